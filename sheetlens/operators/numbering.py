@@ -9,6 +9,14 @@ each partition's global offset.  Group numbers are then global index minus
 the group's first index, found with a partial aggregation (map-side combine)
 and joined back (AQE turns the join into a broadcast when the group table is
 small and splits skewed partitions when it is not).
+
+Range bounds are sampled per exchange, so all consumers of the sorted data
+must read one and the same exchange.  Spark reuses an exchange only for
+identical subtrees, and column pruning would give a consumer that needs fewer
+columns its own exchange with other bounds.  The range key therefore ends with
+every remaining input column (maps and other unorderable types through a
+hash): nothing below the exchange can be pruned, the exchange is reused, and
+the order is total, so numbers are deterministic across task retries.
 """
 
 from __future__ import annotations
@@ -17,24 +25,40 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _POS_BITS = 33  # monotonically_increasing_id = partition id << 33 | position
 
 
-def _cols(cols: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
+def _orderable(dt: T.DataType) -> bool:
+    if isinstance(dt, (T.MapType, T.VariantType)):
+        return False
+    if isinstance(dt, T.ArrayType):
+        return _orderable(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return all(_orderable(f.dataType) for f in dt.fields)
+    return True
+
+
+def _total_order(df: DataFrame, order: Sequence[str | Column]) -> list[Column]:
+    named = {c for c in order if isinstance(c, str)}
+    rest = [f for f in df.schema.fields if f.name not in named]
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys += [F.col(f"`{f.name}`") for f in rest if _orderable(f.dataType)]
+    unorderable = [F.col(f"`{f.name}`") for f in rest if not _orderable(f.dataType)]
+    if unorderable:
+        keys.append(F.xxhash64(*[F.to_json(c) for c in unorderable]))
+    return keys
 
 
 def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str = "row_number",
                       partitions: int | None = None) -> DataFrame:
-    """1-based row number over the whole table in ``order``.
-
-    ``order`` should be a total order (add a unique tie-break); rows whose
-    whole sort key is equal receive their numbers in an unspecified order.
-    """
+    """1-based row number over the whole table in ``order`` (remaining columns
+    break ties)."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *_cols(order))
-           .sortWithinPartitions(*_cols(order))
+    keys = _total_order(df, order)
+    s = (df.repartitionByRange(n, *keys)
+           .sortWithinPartitions(*keys)
            .withColumn("_mid", F.monotonically_increasing_id()))
     s = (s.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
           .withColumn("_pos", F.col("_mid").bitwiseAND((1 << _POS_BITS) - 1)))

@@ -91,3 +91,19 @@ def flat_to_rows(flat: DataFrame) -> DataFrame:
 
 def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_to_rows(flat_grid(spark, sf_dir))
+
+
+def table_as_rows(df: DataFrame, index_col: str, columns: list[str], file: str = "table.xlsx") -> DataFrame:
+    """Any table as sheet rows: one row per record, one unstyled cell per
+    column (text of the value, '' for NULL), ``row_index`` from a column."""
+    cells = F.array(*[F.struct(
+        F.lit(i).alias("column_index"),
+        F.coalesce(F.col(c).cast("string"), F.lit("")).alias("content"),
+        F.struct(F.lit(None).cast("string").alias("background_color"), F.lit(None).cast("string").alias("font_color"),
+                 F.lit(False).alias("bold"), F.lit(False).alias("italic")).alias("style"),
+        F.struct(F.lit("").alias("fg_resolved"), F.lit("").alias("bg_resolved")).alias("fill"),
+        F.lit(None).cast("struct<start_col:int,end_col:int,start_row:int,end_row:int>").alias("merge_info"))
+        for i, c in enumerate(columns)])
+    return df.select(F.lit(file).alias("file"), F.lit(0).alias("sheet_index"), F.lit("Sheet1").alias("sheet_name"),
+                     F.col(index_col).cast("bigint").alias("row_index"), cells.alias("cells"),
+                     F.lit(None).cast("string").alias("error"))

@@ -26,23 +26,50 @@ UNION ALL SELECT sheet_id, 3 + n,
 UNION ALL SELECT sheet_id, 4 + n, '', '  ', NULL, NULL, NULL, NULL FROM sh
 """
 
-# Grid with file name, first-non-empty colour (ARGB) and the cargo profile's row type.
+# DuckDB spelling of the Unicode trim set, so trim() agrees with utrim().
+WS = ("chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(32)||chr(133)||chr(160)||chr(5760)||chr(8192)||chr(8193)"
+      "||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)"
+      "||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)")
+
+
+def utrim(expr: str) -> str:
+    return f"trim({expr}, {WS})"
+
+
+# Grid with file name, first-non-empty colour (ARGB) / content, the seven cargo
+# predicates p1..p7 in profile order, and the winning row type.
 CLASSIFIED_SQL = """
 g AS (""" + GRID_SQL + """),
 f AS (SELECT *, 'order_' || CAST(sheet_id AS VARCHAR) || '.xlsx' AS file,
              CASE WHEN trim(c0) <> '' THEN coalesce(bg0, 'FFFFFFFF')
-                  WHEN trim(c1) <> '' THEN coalesce(bg1, 'FFFFFFFF') END AS fc FROM g),
-c AS (SELECT *, CASE
-   WHEN fc = 'FFC6EFCE' AND m_start = 0 AND m_end = 10 THEN 'ProjectNumber'
-   WHEN fc = 'FF7F9698' OR contains(lower(trim(c1)), '柜号:') THEN 'CabinetNumber'
-   WHEN fc = 'FFD9D9D9' THEN 'Header'
-   WHEN fc = 'FFFFCCFD' AND contains(trim(c0), '单台合计') THEN 'UnitTotal'
-   WHEN fc = 'FFFFCCFD' AND contains(trim(c0), '小计') THEN 'SubTotal'
-   WHEN fc = 'FFFFCCFD' AND contains(trim(c0), '总计') THEN 'GrandTotal'
-   WHEN fc = 'FFFFFFFF' THEN 'Data' ELSE 'Unknown' END AS row_type FROM f)
+                  WHEN trim(c1) <> '' THEN coalesce(bg1, 'FFFFFFFF') END AS fc,
+             CASE WHEN trim(c0) <> '' THEN c0 WHEN trim(c1) <> '' THEN c1 END AS fnc FROM g),
+p AS (SELECT *,
+   coalesce(fc = 'FFC6EFCE', false) AND coalesce(m_start = 0 AND m_end = 10, false) AS p1,
+   coalesce(fc = 'FF7F9698', false) OR coalesce(contains(lower(trim(c1)), '柜号:'), false) AS p2,
+   coalesce(fc = 'FFD9D9D9', false) AS p3,
+   coalesce(fc = 'FFFFCCFD', false) AND contains(lower(trim(c0)), '单台合计') AS p4,
+   coalesce(fc = 'FFFFCCFD', false) AND contains(lower(trim(c0)), '小计') AS p5,
+   coalesce(fc = 'FFFFCCFD', false) AND contains(lower(trim(c0)), '总计') AS p6,
+   coalesce(fc = 'FFFFFFFF', false) AS p7 FROM f),
+cw AS (SELECT *, CASE WHEN p1 THEN 1 WHEN p2 THEN 2 WHEN p3 THEN 3 WHEN p4 THEN 4 WHEN p5 THEN 5 WHEN p6 THEN 6
+                     WHEN p7 THEN 7 ELSE 8 END AS win FROM p),
+c AS (SELECT *,
+   CASE win WHEN 1 THEN 'ProjectNumber' WHEN 2 THEN 'CabinetNumber' WHEN 3 THEN 'Header' WHEN 4 THEN 'UnitTotal'
+            WHEN 5 THEN 'SubTotal' WHEN 6 THEN 'GrandTotal' WHEN 7 THEN 'Data' ELSE 'Unknown' END AS row_type,
+   CASE win WHEN 1 THEN 'project_number_rule' WHEN 2 THEN 'cabinet_number_rule' WHEN 3 THEN 'gray_background'
+            WHEN 4 THEN 'unit_total_rule' WHEN 5 THEN 'subtotal_rule' WHEN 6 THEN 'grand_total_rule'
+            WHEN 7 THEN 'white_or_no_background' ELSE 'none' END AS matched_rule,
+   CASE WHEN win < 8 THEN 1.0 ELSE 0.0 END AS confidence FROM cw)
 """
 
 
 def with_classified(select_sql: str) -> str:
-    """``WITH g, f, c`` + a SELECT over ``c`` (the classified grid)."""
+    """``WITH ...`` + a SELECT over ``c`` (the classified grid)."""
     return "WITH " + CLASSIFIED_SQL + select_sql
+
+
+def with_grid(select_sql: str) -> str:
+    """``WITH g AS (grid), f AS (grid + file)`` + a SELECT."""
+    return ("WITH g AS (" + GRID_SQL + "), f AS (SELECT *, 'order_' || CAST(sheet_id AS VARCHAR) || '.xlsx' AS file "
+            "FROM g) " + select_sql)

@@ -1,5 +1,6 @@
 """Registered queries: each reads the given tables (or data Spark derives from
-them) and has a DuckDB-runnable oracle SQL with the same column names."""
+them) and, where SQL can express it, has a DuckDB oracle with the same
+column names.  Float outputs are rounded to 6 places as DOUBLE on both sides."""
 
 from __future__ import annotations
 
@@ -8,10 +9,21 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetlens.functions.cells import contents
+from sheetlens.functions.text import argb_to_rgb, display_hex
 from sheetlens.operators import classify as C
-from sheetlens.operators.profiles import cargo_analysis
-from sheetlens.plans.grid import grid_rows
-from sheetlens.plans.oracle import with_classified
+from sheetlens.operators import extract as X
+from sheetlens.operators import structure as S
+from sheetlens.operators import tables as TB
+from sheetlens.operators.merges import assign_merges
+from sheetlens.operators.profiles import auxiliary_material, cargo_analysis
+from sheetlens.operators.rules import (
+    And, ColorRule, Contains, Exact, MergeRule, MergedAcross, MergedMinColumns, NotMerged, Or, Regex, TextRule,
+)
+from sheetlens.plans.grid import flat_grid, flat_to_rows, sheet_file, table_as_rows
+from sheetlens.plans.oracle import utrim as sql_utrim
+from sheetlens.plans.oracle import with_classified, with_grid
+from sheetlens.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,11 +38,422 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_to_rows(flat_grid(spark, sf_dir))
+
+
 def classified_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.classify(grid_rows(spark, sf_dir), cargo_analysis())
+    return C.classify(grid(spark, sf_dir), cargo_analysis())
+
+
+def _text(values) -> "F.Column":
+    return F.array_join(values, "|")
 
 
+# ---------------------------------------------------------------- classification
+
 @register("row_type_counts", with_classified(
     "SELECT row_type, COUNT(*) AS n_rows FROM c GROUP BY row_type"))
 def row_type_counts(spark, sf_dir):
     return C.type_counts(classified_grid(spark, sf_dir))
+
+
+@register("classified_rows", with_classified(
+    "SELECT file, row_index, row_type, matched_rule, round(confidence, 6) AS confidence FROM c"))
+def classified_rows(spark, sf_dir):
+    return classified_grid(spark, sf_dir).select(
+        "file", "row_index", "row_type", "matched_rule", F.round(F.col("confidence").cast("double"), 6).alias("confidence"))
+
+
+@register("classification_stats", with_classified(
+    "SELECT file, 0 AS sheet_index, COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE row_type = 'Unknown') AS unknown_count, "
+    "round((COUNT(*) - COUNT(*) FILTER (WHERE row_type = 'Unknown')) / COUNT(*), 6) AS success_rate, "
+    "COUNT(*) FILTER (WHERE row_type = 'Data') AS data_count FROM c GROUP BY file"))
+def classification_stats(spark, sf_dir):
+    st = C.statistics(classified_grid(spark, sf_dir))
+    return st.select("file", "sheet_index", "total_rows", "unknown_count",
+                     F.round((F.col("total_rows") - F.col("unknown_count")) / F.col("total_rows"), 6).alias("success_rate"),
+                     F.coalesce(F.col("row_type_counts")["Data"], F.lit(0)).alias("data_count"))
+
+
+@register("aux_profile_counts", with_classified(
+    "SELECT CASE WHEN coalesce(fc = 'FFFFFFFF', false) THEN 'Data' ELSE 'Unknown' END AS row_type, COUNT(*) AS n_rows "
+    "FROM c GROUP BY 1"))
+def aux_profile_counts(spark, sf_dir):
+    return C.type_counts(C.classify(grid(spark, sf_dir), auxiliary_material()))
+
+
+@register("rule_conflicts", with_classified(
+    "SELECT file, row_index, 6 AS priority, 'unit_total_rule' AS rule1, 'UnitTotal' AS type1, "
+    "'subtotal_rule' AS rule2, 'SubTotal' AS type2 FROM c WHERE p4 AND p5"))
+def rule_conflicts(spark, sf_dir):
+    return C.conflicts(grid(spark, sf_dir), cargo_analysis()).select(
+        "file", "row_index", "priority", "rule1", "type1", "rule2", "type2")
+
+
+_STEPS = [(1, "ProjectNumber", "project_number_rule", 9), (2, "CabinetNumber", "cabinet_number_rule", 8),
+          (3, "Header", "gray_background", 7), (4, "UnitTotal", "unit_total_rule", 6),
+          (5, "SubTotal", "subtotal_rule", 6), (6, "GrandTotal", "grand_total_rule", 5),
+          (7, "Data", "white_or_no_background", 1)]
+
+
+@register("explain_rows", with_classified(
+    "SELECT file, row_index, s.step, s.row_type, s.rule, s.priority, CASE s.step " + " ".join(
+        f"WHEN {k} THEN p{k}" for k, _, _, _ in _STEPS) + " END AS matched FROM c, (VALUES " + ", ".join(
+        f"({k}, '{t}', '{r}', {p})" for k, t, r, p in _STEPS) + ") s(step, row_type, rule, priority) "
+    "WHERE s.step <= win"))
+def explain_rows(spark, sf_dir):
+    return C.explain_rows(grid(spark, sf_dir), cargo_analysis()).select(
+        "file", "row_index", "step", "row_type", "rule", "priority", "matched")
+
+
+@register("all_matches", with_classified(
+    "SELECT file, row_index, concat_ws(',', " + ", ".join(
+        f"CASE WHEN p{k} THEN '{r}' END" for k, _, r, _ in _STEPS) + ") AS matches FROM c"))
+def all_matches(spark, sf_dir):
+    m = C.all_matches(grid(spark, sf_dir), cargo_analysis())
+    return m.select("file", "row_index", F.array_join(F.transform("matches", lambda x: x["rule"]), ",").alias("matches"))
+
+
+# ---------------------------------------------------------------- cargo extraction
+
+@register("cargo_summary", with_classified(
+    "SELECT file, coalesce(string_agg(CASE WHEN row_type = 'ProjectNumber' THEN fnc END, ', ' ORDER BY row_index), '') "
+    "AS 项目编号, CAST(COUNT(*) FILTER (WHERE row_type = 'CabinetNumber') AS INTEGER) AS 柜号数量, "
+    "CAST(COUNT(*) FILTER (WHERE row_type = 'Data') AS INTEGER) AS 数据行数量 FROM c GROUP BY file"))
+def cargo_summary(spark, sf_dir):
+    cl = classified_grid(spark, sf_dir)
+    return X.cargo_summary(cl, files=cl.select("file"))
+
+
+@register("data_rows", with_classified(
+    "SELECT file, row_index, c0 || '|' || c1 AS values_text FROM c WHERE row_type = 'Data'"))
+def data_rows(spark, sf_dir):
+    return X.data_rows(classified_grid(spark, sf_dir)).select("file", "row_index", _text("values").alias("values_text"))
+
+
+@register("project_rows", with_classified(
+    "SELECT file, row_index, fnc AS project_number FROM c WHERE row_type = 'ProjectNumber'"))
+def project_rows(spark, sf_dir):
+    return X.project_rows(classified_grid(spark, sf_dir)).select("file", "row_index", "project_number")
+
+
+@register("cabinet_rows", with_classified(
+    "SELECT file, row_index, c1 AS cabinet FROM c WHERE row_type = 'CabinetNumber'"))
+def cabinet_rows(spark, sf_dir):
+    return X.cabinet_rows(classified_grid(spark, sf_dir)).select("file", "row_index", "cabinet")
+
+
+@register("with_context", with_classified(
+    "SELECT file, row_index, row_type, "
+    "last_value(CASE WHEN row_type = 'ProjectNumber' THEN fnc END IGNORE NULLS) OVER "
+    "(PARTITION BY file ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS project_number, "
+    "last_value(CASE WHEN row_type = 'CabinetNumber' THEN c1 END IGNORE NULLS) OVER "
+    "(PARTITION BY file ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cabinet FROM c"))
+def with_context(spark, sf_dir):
+    return X.with_context(classified_grid(spark, sf_dir)).select(
+        "file", "row_index", "row_type", "project_number", "cabinet")
+
+
+# ---------------------------------------------------------------- leaf / composite rules
+
+def _rule_rows(spark, sf_dir, rule):
+    return grid(spark, sf_dir).where(rule.to_column()).select("file", "row_index")
+
+
+_IN_RANGE = "m_start IS NOT NULL AND m_start <= 1 AND m_end >= 0"
+
+
+@register("merged_across", with_grid("SELECT file, row_index FROM f WHERE m_start = 0 AND m_end = 10"))
+def merged_across(spark, sf_dir):
+    return _rule_rows(spark, sf_dir, MergeRule("m", MergedAcross(0, 10)))
+
+
+@register("merged_min_columns", with_grid(
+    f"SELECT file, row_index FROM f WHERE {_IN_RANGE} AND m_end - m_start + 1 >= 5"))
+def merged_min_columns(spark, sf_dir):
+    return _rule_rows(spark, sf_dir, MergeRule("m", MergedMinColumns(5)))
+
+
+@register("not_merged", with_grid(f"SELECT file, row_index FROM f WHERE NOT coalesce({_IN_RANGE}, false)"))
+def not_merged(spark, sf_dir):
+    return _rule_rows(spark, sf_dir, MergeRule("m", NotMerged()))
+
+
+@register("nested_composite", with_classified(
+    "SELECT file, row_index FROM c WHERE (coalesce(fc = 'FFC6EFCE', false) AND contains(trim(c0), 'G00E')) "
+    "OR contains(trim(c0), '项目')"))
+def nested_composite(spark, sf_dir):
+    rule = Or("outer", And("inner", ColorRule("green", "C6EFCE"), TextRule("g", 0, Contains("G00E"))),
+              TextRule("p", 0, Contains("项目")))
+    return _rule_rows(spark, sf_dir, rule)
+
+
+@register("color_rule_column", with_grid(
+    "SELECT file, row_index FROM f WHERE coalesce(bg1, 'FFFFFFFF') = 'FFD9D9D9'"))
+def color_rule_column(spark, sf_dir):
+    return _rule_rows(spark, sf_dir, ColorRule("c1_grey", (217, 217, 217), column_index=1))
+
+
+@register("text_exact",
+          f"SELECT p_partkey, coalesce({sql_utrim('p_type')} = 'ECONOMY', false) AS matched FROM part")
+def text_exact(spark, sf_dir):
+    rows = table_as_rows(table(spark, sf_dir, "part", "p_partkey", "p_type"), "p_partkey", ["p_type"])
+    return rows.select(F.col("row_index").alias("p_partkey"),
+                       TextRule("t", 0, Exact("ECONOMY")).to_column().alias("matched"))
+
+
+@register("text_exact_ci",
+          f"SELECT p_partkey, coalesce(lower({sql_utrim('p_brand')}) = 'brand#1', false) AS matched FROM part")
+def text_exact_ci(spark, sf_dir):
+    rows = table_as_rows(table(spark, sf_dir, "part", "p_partkey", "p_brand"), "p_partkey", ["p_brand"])
+    return rows.select(F.col("row_index").alias("p_partkey"),
+                       TextRule("t", 0, Exact("BRAND#1"), case_sensitive=False).to_column().alias("matched"))
+
+
+@register("text_contains",
+          f"SELECT doc_id, coalesce(contains(lower({sql_utrim('text')}), 'the'), false) AS matched FROM documents")
+def text_contains(spark, sf_dir):
+    rows = table_as_rows(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", ["text"])
+    return rows.select(F.col("row_index").alias("doc_id"),
+                       TextRule("t", 0, Contains("The"), case_sensitive=False).to_column().alias("matched"))
+
+
+_URL_RE = r"^https://[a-z]+\.example\.(com|org)/(en|fr)/[0-9]+"
+
+
+@register("text_regex",
+          f"SELECT page_id, coalesce(regexp_matches({sql_utrim('url')}, '{_URL_RE}'), false) AS matched FROM pages")
+def text_regex(spark, sf_dir):
+    rows = table_as_rows(table(spark, sf_dir, "pages", "page_id", "url"), "page_id", ["url"])
+    return rows.select(F.col("row_index").alias("page_id"),
+                       TextRule("t", 0, Regex(_URL_RE)).to_column().alias("matched"))
+
+
+@register("text_regex_ci",
+          f"SELECT page_id, coalesce(regexp_matches({sql_utrim('url')}, 'EXAMPLE\\.(NET|ORG)/EN', 'i'), false) AS matched "
+          "FROM pages")
+def text_regex_ci(spark, sf_dir):
+    rows = table_as_rows(table(spark, sf_dir, "pages", "page_id", "url"), "page_id", ["url"])
+    return rows.select(F.col("row_index").alias("page_id"),
+                       TextRule("t", 0, Regex(r"EXAMPLE\.(NET|ORG)/EN"), case_sensitive=False).to_column()
+                       .alias("matched"))
+
+
+@register("regex_invalid_is_false", "SELECT false AS matched, COUNT(*) AS n FROM part")
+def regex_invalid_is_false(spark, sf_dir):
+    rows = table_as_rows(table(spark, sf_dir, "part", "p_partkey", "p_name"), "p_partkey", ["p_name"])
+    return (rows.select(TextRule("bad", 0, Regex("[invalid(")).to_column().alias("matched"))
+            .groupBy("matched").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- colours and structure
+
+@register("argb_to_rgb", """
+SELECT argb, CASE WHEN length(argb) >= 8 AND regexp_matches(substr(argb, 3, 6), '^[0-9A-Fa-f]{6}$')
+                  THEN upper(substr(argb, 3, 6)) END AS rgb
+FROM (SELECT CASE l_linenumber % 4 WHEN 0 THEN 'FF' || lpad(hex(l_partkey * 7919 % 16777216), 6, '0')
+                                   WHEN 1 THEN hex(l_partkey) WHEN 2 THEN lower(hex(l_partkey * 104729))
+                                   ELSE 'FFZZ' || hex(l_suppkey) END AS argb FROM lineitem)""")
+def argb_to_rgb_q(spark, sf_dir):
+    return _argb_strings(spark, sf_dir).select("argb", argb_to_rgb("argb").alias("rgb"))
+
+
+def _argb_strings(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem", "l_linenumber", "l_partkey", "l_suppkey")
+    k = F.col("l_linenumber") % 4
+    return li.select(F.when(k == 0, F.concat(F.lit("FF"), F.lpad(F.hex(F.col("l_partkey") * 7919 % 16777216), 6, "0")))
+                      .when(k == 1, F.hex("l_partkey"))
+                      .when(k == 2, F.lower(F.hex(F.col("l_partkey") * 104729)))
+                      .otherwise(F.concat(F.lit("FFZZ"), F.hex("l_suppkey"))).alias("argb"))
+
+
+@register("display_hex", """
+SELECT argb, upper(CASE WHEN length(s) = 8 THEN substr(s, 3, 6) ELSE s END) AS hex
+FROM (SELECT argb, regexp_replace(argb, '^#+', '') AS s FROM (
+  SELECT CASE l_linenumber % 3 WHEN 0 THEN '#' || lpad(hex(l_partkey * 7919 % 4294967296), 8, '0')
+                               WHEN 1 THEN '##' || lower(hex(l_partkey)) ELSE lpad(hex(l_suppkey), 8, 'f') END AS argb
+  FROM lineitem))""")
+def display_hex_q(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem", "l_linenumber", "l_partkey", "l_suppkey")
+    k = F.col("l_linenumber") % 3
+    argb = (F.when(k == 0, F.concat(F.lit("#"), F.lpad(F.hex(F.col("l_partkey") * 7919 % 4294967296), 8, "0")))
+             .when(k == 1, F.concat(F.lit("##"), F.lower(F.hex("l_partkey"))))
+             .otherwise(F.lpad(F.hex("l_suppkey"), 8, "f")))
+    return li.select(argb.alias("argb")).select("argb", display_hex("argb").alias("hex"))
+
+
+_CELL_COLOURS = ("SELECT file, row_index, 0 AS column_index, bg0 AS argb FROM f WHERE bg0 IS NOT NULL UNION ALL "
+                 "SELECT file, row_index, 1, bg1 FROM f WHERE bg1 IS NOT NULL")
+
+
+@register("color_histogram", with_grid(
+    f"SELECT file, 0 AS sheet_index, upper(substr(argb, 3, 6)) AS hex, COUNT(*) AS cells FROM ({_CELL_COLOURS}) "
+    "GROUP BY file, hex"))
+def color_histogram(spark, sf_dir):
+    return S.color_histogram(grid(spark, sf_dir)).select("file", "sheet_index", "hex", "cells")
+
+
+@register("top_colors", with_grid(
+    f"SELECT * FROM (SELECT file, hex, cells, ROW_NUMBER() OVER (PARTITION BY file ORDER BY cells DESC, hex) AS rank "
+    f"FROM (SELECT file, upper(substr(argb, 3, 6)) AS hex, COUNT(*) AS cells FROM ({_CELL_COLOURS}) GROUP BY file, hex)) "
+    "WHERE rank <= 8"))
+def top_colors(spark, sf_dir):
+    return S.top_colors(grid(spark, sf_dir)).select("file", "hex", "cells", F.col("rank"))
+
+
+@register("dominant_rows", with_grid(
+    "SELECT file, row_index, upper(substr(bg0, 3, 6)) AS hex, CAST(2 AS BIGINT) AS n FROM f WHERE bg0 = bg1"))
+def dominant_rows(spark, sf_dir):
+    return S.dominant_rows(grid(spark, sf_dir)).select("file", "row_index", "hex", "n")
+
+
+@register("color_sample", with_grid(
+    f"SELECT file, row_index, column_index, argb AS fg_argb, '' AS bg_argb, true AS sheet_has_colors "
+    f"FROM ({_CELL_COLOURS}) WHERE row_index < 10"))
+def color_sample(spark, sf_dir):
+    return S.color_sample(grid(spark, sf_dir), only_uncoloured=False).select(
+        "file", "row_index", "column_index", "fg_argb", "bg_argb", "sheet_has_colors")
+
+
+@register("sheet_size", with_grid(
+    "SELECT file, 0 AS sheet_index, max(row_index) + 1 AS height, CAST(2 AS BIGINT) AS width FROM f GROUP BY file"))
+def sheet_size(spark, sf_dir):
+    return S.sheet_size(grid(spark, sf_dir))
+
+
+@register("sheet_dump", with_grid("SELECT file, row_index + 1 AS row_number, c0 || '|' || c1 AS values_text FROM f"))
+def sheet_dump(spark, sf_dir):
+    return S.sheet_dump(grid(spark, sf_dir)).select("file", "row_number", _text("values").alias("values_text"))
+
+
+@register("assign_merges", with_grid("""
+SELECT file, row_index, column_index, ordinal, start_col, end_col, start_row, end_row FROM (
+  SELECT ce.*, m.ordinal, m.start_col, m.end_col, m.start_row, m.end_row,
+         ROW_NUMBER() OVER (PARTITION BY ce.file, ce.row_index, ce.column_index ORDER BY m.ordinal) AS k
+  FROM (SELECT file, row_index, 0 AS column_index FROM f UNION ALL SELECT file, row_index, 1 FROM f) ce
+  LEFT JOIN (SELECT 'order_' || CAST(o_orderkey AS VARCHAR) || '.xlsx' AS file, k.ordinal,
+                    2 * k.ordinal AS start_row, 2 * k.ordinal + o_orderkey % 4 AS end_row,
+                    k.ordinal % 2 AS start_col, 1 AS end_col
+             FROM orders, (VALUES (0), (1), (2)) k(ordinal)) m
+    ON ce.file = m.file AND ce.row_index BETWEEN m.start_row AND m.end_row
+   AND ce.column_index BETWEEN m.start_col AND m.end_col) WHERE k = 1"""))
+def assign_merges_q(spark, sf_dir):
+    cells = grid(spark, sf_dir).select("file", "sheet_index", "row_index", F.inline(
+        F.transform("cells", lambda c: F.struct(c["column_index"].alias("column_index")))))
+    o = table(spark, sf_dir, "orders", "o_orderkey")
+    k = F.col("ordinal")
+    merges = (o.select(sheet_file(F.col("o_orderkey")).alias("file"), F.lit(0).alias("sheet_index"),
+                       F.col("o_orderkey"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("ordinal"))
+              .select("file", "sheet_index", "ordinal", (2 * k).alias("start_row"),
+                      (2 * k + F.col("o_orderkey") % 4).alias("end_row"), (k % 2).alias("start_col"),
+                      F.lit(1).alias("end_col")))
+    out = assign_merges(cells, merges)
+    return out.select("file", "row_index", "column_index", F.col("merge.ordinal").alias("ordinal"),
+                      F.col("merge.start_col").alias("start_col"), F.col("merge.end_col").alias("end_col"),
+                      F.col("merge.start_row").alias("start_row"), F.col("merge.end_row").alias("end_row"))
+
+
+# ---------------------------------------------------------------- tables
+
+_SPARSE_SQL = ("SELECT 'order_' || CAST(l_orderkey AS VARCHAR) || '.xlsx' AS file, CAST(l_linenumber - 1 AS BIGINT) "
+               "AS row_index, CAST(l_partkey % 3 AS INTEGER) AS column_index, max(CAST(l_quantity AS VARCHAR)) AS content "
+               "FROM lineitem GROUP BY 1, 2, 3")
+
+
+@register("dense_grid", f"""
+WITH s AS ({_SPARSE_SQL}),
+box AS (SELECT file, max(row_index) + 1 AS h, max(column_index) + 1 AS w FROM s GROUP BY file),
+r AS (SELECT file, w, unnest(range(h)) AS row_index FROM box),
+rc AS (SELECT file, row_index, CAST(unnest(range(w)) AS INTEGER) AS column_index FROM r)
+SELECT rc.file, rc.row_index, rc.column_index, coalesce(s.content, '') AS content
+FROM rc LEFT JOIN s USING (file, row_index, column_index)""")
+def dense_grid(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    sparse = (li.select(sheet_file(F.col("l_orderkey")).alias("file"), F.lit(0).alias("sheet_index"),
+                        (F.col("l_linenumber") - 1).cast("bigint").alias("row_index"),
+                        (F.col("l_partkey") % 3).cast("int").alias("column_index"),
+                        F.col("l_quantity").cast("string").alias("content"))
+              .groupBy("file", "sheet_index", "row_index", "column_index").agg(F.max("content").alias("content")))
+    dense = TB.densify(sparse)
+    return dense.select("file", "row_index", F.inline("cells"))
+
+
+_ORDERS_HEADER = ["o_orderkey", "o_custkey", "", "o_orderpriority"]
+
+
+@register("header_promote", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, "
+                            "o_orderstatus AS Column_2, o_orderpriority FROM orders")
+def header_promote(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    body = table_as_rows(o.withColumn("row_index", F.col("o_orderkey") + 1), "row_index",
+                         ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], file="orders.xlsx")
+    header = table_as_rows(spark.range(1).select(F.lit(0).cast("bigint").alias("row_index"),
+                                                 *[F.lit(h).alias(f"h{i}") for i, h in enumerate(_ORDERS_HEADER)]),
+                           "row_index", [f"h{i}" for i in range(len(_ORDERS_HEADER))], file="orders.xlsx")
+    return TB.promote_header(header.unionByName(body)).drop("file", "sheet_index", "row_index")
+
+
+@register("dedupe_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem")
+def dedupe_rows(spark, sf_dir):
+    return TB.dedupe(table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_quantity"))
+
+
+@register("dedupe_keep_first", "SELECT l_returnflag, l_linestatus, min(l_orderkey) AS l_orderkey FROM lineitem "
+                               "GROUP BY l_returnflag, l_linestatus")
+def dedupe_keep_first(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus")
+    return TB.dedupe(li, keep_first_by="l_orderkey")
+
+
+@register("number_rows", "SELECT ROW_NUMBER() OVER (ORDER BY o_orderkey) AS 行号, o_orderkey, o_custkey, o_orderstatus "
+                         "FROM orders")
+def number_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    return TB.number_rows(o, ["o_orderkey"])
+
+
+@register("number_rows_per_group", "SELECT ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS 行号, "
+                                   "o_orderkey, o_custkey FROM orders")
+def number_rows_per_group(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    return TB.number_rows(o, ["o_orderkey"], by=["o_custkey"])
+
+
+@register("search_rows", "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'blue') "
+                         "OR contains(lower(p_type), 'blue')")
+def search_rows(spark, sf_dir):
+    return TB.search_rows(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type"), ["p_name", "p_type"], "Blue")
+
+
+@register("clean_blank_rows", with_grid(
+    f"SELECT file, row_index FROM f WHERE {sql_utrim('c0')} <> '' OR {sql_utrim('c1')} <> ''"))
+def clean_blank_rows(spark, sf_dir):
+    return TB.drop_blank_rows(grid(spark, sf_dir)).select("file", "row_index")
+
+
+@register("fill_missing", with_grid(
+    "SELECT sheet_id, row_index, c0, CASE WHEN bg0 IS NULL OR trim(bg0) = '' THEN 'NA' ELSE bg0 END AS bg0, "
+    "CASE WHEN bg1 IS NULL OR trim(bg1) = '' THEN 'NA' ELSE bg1 END AS bg1 FROM f"))
+def fill_missing(spark, sf_dir):
+    return TB.fill_missing(flat_grid(spark, sf_dir).select("sheet_id", "row_index", "c0", "bg0", "bg1"),
+                           "NA", ["bg0", "bg1"])
+
+
+_STAT_COLS = ["l_quantity", "l_discount", "l_returnflag"]
+
+
+@register("column_stats", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", COUNT(v) AS numeric_count, round(min(v), 6) AS min, round(max(v), 6) AS max, "
+    f"round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stddev "
+    f"FROM (SELECT TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) AS v FROM lineitem)" for c in _STAT_COLS))
+def column_stats(spark, sf_dir):
+    st = TB.column_stats(table(spark, sf_dir, "lineitem", *_STAT_COLS))
+    return st.select("column", "numeric_count", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "stddev")])
+
+
+@register("summary_row", "SELECT round(sum(l_quantity), 4) AS l_quantity, round(sum(l_extendedprice), 4) AS "
+                         "l_extendedprice FROM lineitem")
+def summary_row(spark, sf_dir):
+    s = TB.summary_row(table(spark, sf_dir, "lineitem", "l_quantity", "l_extendedprice"))
+    return s.select(*[F.round(c, 4).alias(c) for c in s.columns])
