@@ -26,15 +26,15 @@ FLAT_FIELDS = ["row_index", "c0", "c1", "bg0", "bg1", "m_start", "m_end"]
 
 
 def _row(row_index: Column, c0: Column, c1: Column, bg0: Column, bg1: Column,
-         m_start: Column, m_end: Column) -> Column:
-    return F.struct(row_index.cast("bigint").alias("row_index"), c0.cast("string").alias("c0"),
+         m_start: Column, m_end: Column, kind: str) -> Column:
+    return F.struct(row_index.cast("bigint").alias("row_index"), F.lit(kind).alias("kind"), c0.cast("string").alias("c0"),
                     c1.cast("string").alias("c1"), bg0.cast("string").alias("bg0"),
                     bg1.cast("string").alias("bg1"), m_start.cast("int").alias("m_start"),
                     m_end.cast("int").alias("m_end"))
 
 
 def flat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sheet_id, row_index, c0, c1, bg0, bg1, m_start, m_end)."""
+    """(sheet_id, row_index, kind, c0, c1, bg0, bg1, m_start, m_end)."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", *LINE_ORDER)
     li = row_number_within(li, ["l_orderkey"], LINE_ORDER, name="rn", count_name="n")
     sid, rn, n = F.col("l_orderkey"), F.col("rn"), F.col("n")
@@ -43,17 +43,17 @@ def flat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _row(F.lit(2) + rn, rn, F.col("l_partkey"),
                 F.when(F.col("l_returnflag") == "R", F.lit("FFFFFFFF"))
                  .when((F.col("l_returnflag") == "A") & (rn == 3), F.lit("FF646464")),
-                null, null, null)
+                null, null, null, "data")
     project = _row(F.lit(0), F.concat(F.lit("G00E-"), sid.cast("string")), F.lit(""), F.lit("FFC6EFCE"), null,
-                   F.when(~no_merge, F.lit(0)), F.when(~no_merge, F.lit(10)))
+                   F.when(~no_merge, F.lit(0)), F.when(~no_merge, F.lit(10)), "project")
     cabinet = _row(F.lit(1), F.lit(""),
                    F.concat(F.when(sid % 4 == 0, F.lit("CAB-")).otherwise(F.lit("柜号: ")), (sid % 50).cast("string")),
-                   F.when(sid % 2 == 0, F.lit("FF7F9698")), null, null, null)
-    header = _row(F.lit(2), F.lit("序号"), F.lit("物料"), F.lit("FFD9D9D9"), F.lit("FFD9D9D9"), null, null)
+                   F.when(sid % 2 == 0, F.lit("FF7F9698")), null, null, null, "cabinet")
+    header = _row(F.lit(2), F.lit("序号"), F.lit("物料"), F.lit("FFD9D9D9"), F.lit("FFD9D9D9"), null, null, "header")
     total_text = (F.when(sid % 4 == 0, F.lit(" 单台合计 ")).when(sid % 4 == 1, F.lit("小计: "))
                    .when(sid % 4 == 2, F.lit("总计")).otherwise(F.lit("单台合计/小计")))
-    total = _row(F.lit(3) + n, total_text, F.lit(""), F.lit("FFFFCCFD"), null, null, null)
-    blank = _row(F.lit(4) + n, F.lit(""), F.lit("  "), null, null, null, null)
+    total = _row(F.lit(3) + n, total_text, F.lit(""), F.lit("FFFFCCFD"), null, null, null, "total")
+    blank = _row(F.lit(4) + n, F.lit(""), F.lit("  "), null, null, null, null, "blank")
     emitted = F.slice(F.array(data, project, cabinet, header, total, blank), 1,
                       F.when(rn == 1, F.lit(6)).otherwise(F.lit(1)))
     return li.select(sid.alias("sheet_id"), F.inline(emitted))

@@ -457,3 +457,108 @@ def column_stats(spark, sf_dir):
 def summary_row(spark, sf_dir):
     s = TB.summary_row(table(spark, sf_dir, "lineitem", "l_quantity", "l_extendedprice"))
     return s.select(*[F.round(c, 4).alias(c) for c in s.columns])
+
+
+# ---------------------------------------------------------------- workbook source round trips
+
+from sheetlens.operators import batch as B  # noqa: E402
+from sheetlens.plans.oracle import GRID_SQL  # noqa: E402
+from sheetlens.plans.workbooks import grid_workbooks  # noqa: E402
+from sheetlens.sources import xlsx as XL  # noqa: E402
+from sheetlens.sources.manifest import pick_from_manifest  # noqa: E402
+
+_ORDER_FILES = ("SELECT DISTINCT l_orderkey AS id, 'order_' || CAST(l_orderkey AS VARCHAR) || '.xlsx' AS file "
+                "FROM lineitem")
+
+
+@register("xlsx_row_types", ORACLE["row_type_counts"])
+def xlsx_row_types(spark, sf_dir):
+    rows = XL.decode_workbooks(grid_workbooks(spark, sf_dir))
+    return C.type_counts(C.classify(rows, cargo_analysis()))
+
+
+@register("xlsx_rows", with_grid(
+    "SELECT file, 'O' || CAST(sheet_id AS VARCHAR) AS sheet_name, row_index, c0, c1, upper(substr(bg0, 3, 6)) AS bg0, "
+    "upper(substr(bg1, 3, 6)) AS bg1, m_start, m_end FROM f"))
+def xlsx_rows(spark, sf_dir):
+    rows = XL.decode_workbooks(grid_workbooks(spark, sf_dir))
+    c0, c1 = F.get("cells", 0), F.get("cells", 1)
+    m = F.coalesce(c0["merge_info"], c1["merge_info"])
+    return rows.select("file", "sheet_name", "row_index", c0["content"].alias("c0"), c1["content"].alias("c1"),
+                       c0["style"]["background_color"].alias("bg0"), c1["style"]["background_color"].alias("bg1"),
+                       m["start_col"].alias("m_start"), m["end_col"].alias("m_end"))
+
+
+@register("xlsx_manifest", f"SELECT file, 0 AS sheet_index, 'O' || CAST(id AS VARCHAR) AS sheet_name FROM ({_ORDER_FILES}) "
+                           f"UNION ALL SELECT file, 1, 'Lines' FROM ({_ORDER_FILES})")
+def xlsx_manifest(spark, sf_dir):
+    return XL.manifest_from(grid_workbooks(spark, sf_dir)).select("file", "sheet_index", "sheet_name")
+
+
+@register("xlsx_sheet_pick", f"SELECT file, 0 AS sheet_index, 'O' || CAST(id AS VARCHAR) AS sheet_name FROM ({_ORDER_FILES})")
+def xlsx_sheet_pick(spark, sf_dir):
+    return pick_from_manifest(XL.manifest_from(grid_workbooks(spark, sf_dir)), "NoSuchSheet")
+
+
+@register("xlsx_sheet_pick_named", f"SELECT file, 1 AS sheet_index, 'Lines' AS sheet_name FROM ({_ORDER_FILES})")
+def xlsx_sheet_pick_named(spark, sf_dir):
+    return pick_from_manifest(XL.manifest_from(grid_workbooks(spark, sf_dir)), "Lines")
+
+
+@register("xlsx_sheet_size", with_grid(
+    "SELECT file, 0 AS sheet_index, max(row_index) + 1 AS height, CAST(2 AS BIGINT) AS width FROM f GROUP BY file "
+    "UNION ALL SELECT file, 1, count(*) FILTER (WHERE row_index >= 3 AND row_index < (SELECT max(row_index) FROM f f2 "
+    "WHERE f2.file = f.file) - 1) + 1, 3 FROM f GROUP BY file"))
+def xlsx_sheet_size(spark, sf_dir):
+    return S.sheet_size(XL.decode_workbooks(grid_workbooks(spark, sf_dir), sheets="all"))
+
+
+_LINES_SQL = """
+SELECT 'order_' || CAST(l_orderkey AS VARCHAR) || '.xlsx' AS file,
+       CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+            l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS VARCHAR) AS line,
+       CAST(l_partkey AS VARCHAR) AS partkey, CASE WHEN l_returnflag = 'R' THEN 'TRUE' ELSE 'FALSE' END AS returned
+FROM lineitem"""
+
+
+@register("xlsx_table", _LINES_SQL)
+def xlsx_table(spark, sf_dir):
+    t = XL.decode_tables(grid_workbooks(spark, sf_dir), sheet="Lines").where(F.col("error").isNull())
+    return t.select("file", *[F.get("values", i).alias(h) for i, h in enumerate(["line", "partkey", "returned"])])
+
+
+@register("batch_stats", f"SELECT count(*) AS total_files, count(*) FILTER (WHERE id % 97 <> 0) AS successful, "
+                         f"count(*) FILTER (WHERE id % 97 = 0) AS failed FROM ({_ORDER_FILES})")
+def batch_stats(spark, sf_dir):
+    run = B.read_tables(grid_workbooks(spark, sf_dir, corrupt_every=97))
+    return run.stats().select("total_files", "successful", "failed")
+
+
+@register("batch_status", f"SELECT file, id % 97 = 0 AS failed FROM ({_ORDER_FILES})")
+def batch_status(spark, sf_dir):
+    run = B.read_tables(grid_workbooks(spark, sf_dir, corrupt_every=97))
+    return run.status.select("file", F.col("error").isNotNull().alias("failed"))
+
+
+@register("batch_tables", with_grid(
+    "SELECT file AS source_file, row_index, c0 || '|' || c1 AS values_text FROM f WHERE row_index > 0 "
+    "AND sheet_id % 97 <> 0"))
+def batch_tables(spark, sf_dir):
+    run = B.read_tables(grid_workbooks(spark, sf_dir, corrupt_every=97))
+    return run.tables.select("source_file", "row_index", _text("values").alias("values_text"))
+
+
+@register("batch_dedupe", with_grid(
+    "SELECT file AS source_file, c0 || '|' || c1 AS values_text, min(row_index) AS row_index FROM f "
+    "WHERE row_index > 0 AND sheet_id % 97 <> 0 GROUP BY 1, 2"))
+def batch_dedupe(spark, sf_dir):
+    run = B.read_tables(grid_workbooks(spark, sf_dir, corrupt_every=97))
+    return B.dedupe_per_file(run.tables).select("source_file", _text("values").alias("values_text"), "row_index")
+
+
+@register("batch_row_numbers", with_grid(
+    "SELECT file AS source_file, CAST(row_index AS VARCHAR) || '|' || c0 || '|' || c1 AS values_text FROM f "
+    "WHERE row_index > 0 AND sheet_id % 97 <> 0"))
+def batch_row_numbers(spark, sf_dir):
+    run = B.read_tables(grid_workbooks(spark, sf_dir, corrupt_every=97))
+    return B.number_rows_per_file(run.tables).select("source_file", _text("values").alias("values_text"))

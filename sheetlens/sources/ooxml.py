@@ -1,0 +1,448 @@
+"""Per-file OOXML spreadsheet decoding (runs inside Spark tasks).
+
+Only what the styled-row model needs: sheet list, shared / inline / rich
+strings, numbers, booleans, cached formula values, cell styles (pattern fill
+foreground -> background colour, font colour, bold, italic), theme-resolved
+fill colours and merged ranges.  Sheet XML is parsed with a streaming expat
+parser in two passes (extent + merges, then rows), and rows are yielded one by
+one, so a large sheet never sits in memory as a whole.
+"""
+
+from __future__ import annotations
+
+import collections
+import io
+import posixpath
+import re
+import zipfile
+from dataclasses import dataclass, field
+from typing import Iterator
+from xml.parsers import expat
+
+NS_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+NS_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+NS_PKG_REL = "http://schemas.openxmlformats.org/package/2006/relationships"
+NS_DRAW = "http://schemas.openxmlformats.org/drawingml/2006/main"
+
+# The standard 64-entry indexed colour palette of SpreadsheetML
+# (ARGB, index 0..63); 64 and 65 are the system foreground / background.
+INDEXED_COLORS = (
+    "FF000000", "FFFFFFFF", "FFFF0000", "FF00FF00", "FF0000FF", "FFFFFF00", "FFFF00FF", "FF00FFFF",
+    "FF000000", "FFFFFFFF", "FFFF0000", "FF00FF00", "FF0000FF", "FFFFFF00", "FFFF00FF", "FF00FFFF",
+    "FF800000", "FF008000", "FF000080", "FF808000", "FF800080", "FF008080", "FFC0C0C0", "FF808080",
+    "FF9999FF", "FF993366", "FFFFFFCC", "FFCCFFFF", "FF660066", "FFFF8080", "FF0066CC", "FFCCCCFF",
+    "FF000080", "FFFF00FF", "FFFFFF00", "FF00FFFF", "FF800080", "FF800000", "FF008080", "FF0000FF",
+    "FF00CCFF", "FFCCFFFF", "FFCCFFCC", "FFFFFF99", "FF99CCFF", "FFFF99CC", "FFCC99FF", "FFFFCC99",
+    "FF3366FF", "FF33CCCC", "FF99CC00", "FFFFCC00", "FFFF9900", "FFFF6600", "FF666699", "FF969696",
+    "FF003366", "FF339966", "FF003300", "FF333300", "FF993300", "FF993366", "FF333399", "FF333333",
+)
+
+# Theme colour index -> clrScheme element (lt1/dk1 and lt2/dk2
+# are swapped relative to document order, as spreadsheet themes define).
+THEME_SLOTS = ("lt1", "dk1", "lt2", "dk2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6",
+               "hlink", "folHlink")
+
+EXCEL_MAX_ROWS = 1_048_576
+EXCEL_MAX_COLS = 16_384
+
+_REF = re.compile(r"^\$?([A-Za-z]{1,3})\$?([0-9]+)$")
+
+
+class DecodeError(Exception):
+    pass
+
+
+def col_index(letters: str) -> int:
+    n = 0
+    for ch in letters.upper():
+        n = n * 26 + (ord(ch) - 64)
+    return n - 1
+
+
+def parse_ref(ref: str) -> tuple[int, int] | None:
+    """'B3' -> (row 2, col 1), 0-based; None when malformed."""
+    m = _REF.match(ref or "")
+    if not m:
+        return None
+    return int(m.group(2)) - 1, col_index(m.group(1))
+
+
+def _local(name: str) -> str:
+    return name.rsplit(" ", 1)[-1] if " " in name else name.rsplit(":", 1)[-1]
+
+
+def _parse(data: bytes | io.IOBase, start=None, end=None, chars=None) -> None:
+    p = expat.ParserCreate(namespace_separator=" ")
+    p.buffer_text = True
+    if start:
+        p.StartElementHandler = start
+    if end:
+        p.EndElementHandler = end
+    if chars:
+        p.CharacterDataHandler = chars
+    if isinstance(data, (bytes, bytearray)):
+        p.Parse(data, True)
+    else:
+        while True:
+            chunk = data.read(1 << 20)
+            if not chunk:
+                break
+            p.Parse(chunk, False)
+        p.Parse(b"", True)
+
+
+@dataclass
+class Style:
+    bg_argb: str | None = None          # explicit / indexed pattern-fill foreground
+    fg_resolved: str = ""               # theme-resolved foreground of the fill
+    bg_resolved: str = ""               # theme-resolved background of the fill
+    font_argb: str | None = None
+    bold: bool = False
+    italic: bool = False
+
+
+@dataclass
+class Workbook:
+    zf: zipfile.ZipFile
+    sheets: list[tuple[str, str]] = field(default_factory=list)   # (name, part path)
+    shared: list[str] | None = None
+    styles: list[Style] | None = None
+    theme: list[str] | None = None
+
+    @classmethod
+    def open(cls, content: bytes) -> "Workbook":
+        try:
+            zf = zipfile.ZipFile(io.BytesIO(content))
+        except zipfile.BadZipFile as e:
+            raise DecodeError(f"not a workbook (bad zip): {e}") from None
+        wb = cls(zf)
+        wb._read_sheet_list()
+        return wb
+
+    def _member(self, path: str) -> bytes | None:
+        try:
+            return self.zf.read(path)
+        except KeyError:
+            return None
+
+    def _read_sheet_list(self) -> None:
+        wbxml = self._member("xl/workbook.xml")
+        if wbxml is None:
+            raise DecodeError("workbook part xl/workbook.xml is missing")
+        rels = {}
+        relxml = self._member("xl/_rels/workbook.xml.rels")
+        if relxml is not None:
+            def rel_start(name, attrs):
+                if _local(name) == "Relationship":
+                    rels[attrs.get("Id")] = attrs.get("Target", "")
+            _parse(relxml, start=rel_start)
+        found = []
+
+        def start(name, attrs):
+            if _local(name) == "sheet":
+                rid = attrs.get(f"{NS_REL} id") or attrs.get("r:id")
+                target = rels.get(rid, "")
+                if target.startswith("/"):
+                    part = target.lstrip("/")
+                elif target:
+                    part = posixpath.normpath(posixpath.join("xl", target))
+                else:
+                    part = f"xl/worksheets/sheet{len(found) + 1}.xml"
+                found.append((attrs.get("name", ""), part))
+        _parse(wbxml, start=start)
+        self.sheets = found
+
+    # -- lazily loaded shared parts
+    def shared_strings(self) -> list[str]:
+        if self.shared is None:
+            out: list[str] = []
+            data = self._member("xl/sharedStrings.xml")
+            if data is not None:
+                state = {"depth_rph": 0, "in_t": False, "buf": []}
+
+                def start(name, attrs):
+                    ln = _local(name)
+                    if ln == "si":
+                        state["buf"] = []
+                    elif ln == "rPh":
+                        state["depth_rph"] += 1
+                    elif ln == "t" and state["depth_rph"] == 0:
+                        state["in_t"] = True
+
+                def end(name):
+                    ln = _local(name)
+                    if ln == "si":
+                        out.append("".join(state["buf"]))
+                    elif ln == "rPh":
+                        state["depth_rph"] -= 1
+                    elif ln == "t":
+                        state["in_t"] = False
+
+                def chars(text):
+                    if state["in_t"]:
+                        state["buf"].append(text)
+                _parse(data, start, end, chars)
+            self.shared = out
+        return self.shared
+
+    def theme_colors(self) -> list[str]:
+        if self.theme is None:
+            slots: dict[str, str] = {}
+            data = self._member("xl/theme/theme1.xml")
+            if data is not None:
+                cur = {"slot": None}
+
+                def start(name, attrs):
+                    ln = _local(name)
+                    if ln in THEME_SLOTS:
+                        cur["slot"] = ln
+                    elif cur["slot"] and ln == "srgbClr":
+                        slots[cur["slot"]] = "FF" + attrs.get("val", "").upper()
+                    elif cur["slot"] and ln == "sysClr":
+                        slots[cur["slot"]] = "FF" + attrs.get("lastClr", "").upper()
+
+                def end(name):
+                    if _local(name) in THEME_SLOTS:
+                        cur["slot"] = None
+                _parse(data, start, end)
+            self.theme = [slots.get(s, "") for s in THEME_SLOTS]
+        return self.theme
+
+    def cell_styles(self) -> list[Style]:
+        if self.styles is None:
+            self.styles = self._read_styles()
+        return self.styles
+
+    def _color(self, attrs: dict, resolve_theme: bool) -> str:
+        if "rgb" in attrs:
+            return attrs["rgb"]
+        if "indexed" in attrs:
+            i = int(attrs["indexed"])
+            return INDEXED_COLORS[i] if 0 <= i < len(INDEXED_COLORS) else ""
+        if resolve_theme and "theme" in attrs:
+            theme = self.theme_colors()
+            i = int(attrs["theme"])
+            return theme[i] if 0 <= i < len(theme) else ""
+        return ""
+
+    def _read_styles(self) -> list[Style]:
+        data = self._member("xl/styles.xml")
+        if data is None:
+            return []
+        fills: list[dict] = []
+        fonts: list[dict] = []
+        xfs: list[tuple[int, int]] = []
+        st = {"sect": None, "cur": None}
+
+        def start(name, attrs):
+            ln = _local(name)
+            if ln in ("fills", "fonts", "cellXfs", "cellStyleXfs", "dxfs"):
+                st["sect"] = ln
+            sect = st["sect"]
+            if sect == "fills":
+                if ln == "fill":
+                    st["cur"] = {}
+                    fills.append(st["cur"])
+                elif ln in ("fgColor", "bgColor") and st["cur"] is not None:
+                    st["cur"][ln] = dict(attrs)
+                elif ln == "patternFill" and st["cur"] is not None:
+                    st["cur"]["pattern"] = attrs.get("patternType", "")
+            elif sect == "fonts":
+                if ln == "font":
+                    st["cur"] = {}
+                    fonts.append(st["cur"])
+                elif st["cur"] is not None and ln in ("b", "i"):
+                    st["cur"][ln] = attrs.get("val", "1") not in ("0", "false")
+                elif st["cur"] is not None and ln == "color":
+                    st["cur"]["color"] = dict(attrs)
+            elif sect == "cellXfs" and ln == "xf":
+                xfs.append((int(attrs.get("fillId", 0) or 0), int(attrs.get("fontId", 0) or 0)))
+
+        def end(name):
+            ln = _local(name)
+            if ln in ("fills", "fonts", "cellXfs", "cellStyleXfs", "dxfs"):
+                st["sect"] = None
+                st["cur"] = None
+        _parse(data, start, end)
+        out = []
+        for fill_id, font_id in xfs:
+            s = Style()
+            fill = fills[fill_id] if 0 <= fill_id < len(fills) else {}
+            fg = fill.get("fgColor")
+            bg = fill.get("bgColor")
+            if fg is not None:
+                explicit = self._color(fg, resolve_theme=False)
+                s.bg_argb = explicit or None
+                s.fg_resolved = self._color(fg, resolve_theme=True)
+            if bg is not None:
+                s.bg_resolved = self._color(bg, resolve_theme=True)
+            font = fonts[font_id] if 0 <= font_id < len(fonts) else {}
+            if "color" in font:
+                s.font_argb = self._color(font["color"], resolve_theme=False) or None
+            s.bold = bool(font.get("b", False))
+            s.italic = bool(font.get("i", False))
+            out.append(s)
+        return out
+
+
+def argb_to_rgb(argb: str | None) -> str | None:
+    """Same rule as functions.text.argb_to_rgb, for values decoded in tasks."""
+    if not argb or len(argb) < 8:
+        return None
+    rgb = argb[2:8]
+    return rgb.upper() if re.fullmatch(r"[0-9A-Fa-f]{6}", rgb) else None
+
+
+@dataclass
+class SheetScan:
+    height: int
+    width: int
+    merges: list[tuple[int, int, int, int]]   # (start_row, end_row, start_col, end_col) in document order
+
+
+def scan_sheet(wb: Workbook, part: str) -> SheetScan:
+    """Pass 1: used range (highest row / column holding a cell) and merges."""
+    st = {"row": -1, "col": -1, "max_row": -1, "max_col": -1}
+    merges: list[tuple[int, int, int, int]] = []
+
+    def start(name, attrs):
+        ln = _local(name)
+        if ln == "row":
+            r = attrs.get("r")
+            st["row"] = int(r) - 1 if r else st["row"] + 1
+            st["col"] = -1
+        elif ln == "c":
+            pos = parse_ref(attrs.get("r", ""))
+            if pos is not None:
+                st["row"], st["col"] = pos[0], pos[1]
+            else:
+                st["col"] += 1
+            st["max_row"] = max(st["max_row"], st["row"])
+            st["max_col"] = max(st["max_col"], st["col"])
+        elif ln == "mergeCell":
+            a, _, b = attrs.get("ref", "").partition(":")
+            p, q = parse_ref(a), parse_ref(b or a)
+            if p is not None and q is not None:   # a range with a missing coordinate is skipped
+                merges.append((min(p[0], q[0]), max(p[0], q[0]), min(p[1], q[1]), max(p[1], q[1])))
+    with wb.zf.open(part) as f:
+        _parse(f, start)
+    return SheetScan(st["max_row"] + 1, st["max_col"] + 1, merges)
+
+
+def iter_sheet_rows(wb: Workbook, part: str, scan: SheetScan, with_styles: bool = True) -> Iterator[tuple[int, list]]:
+    """Pass 2: yield (row_index, cells) for every row 0..height-1, each row
+    dense over 0..width-1."""
+    shared = wb.shared_strings()
+    styles = wb.cell_styles() if with_styles else []
+    width = scan.width
+    by_row: dict[int, list[tuple[int, int, int, int, int]]] = {}
+    for k, (r0, r1, c0, c1) in enumerate(scan.merges):
+        for r in range(r0, r1 + 1):
+            by_row.setdefault(r, []).append((k, c0, c1, r0, r1))
+    default_style = (None, None, False, False)
+
+    def merge_for(r: int, c: int):
+        for _k, c0, c1, r0, r1 in by_row.get(r, ()):
+            if c0 <= c <= c1:
+                return (c0, c1, r0, r1)
+        return None
+
+    def blank_row(r: int) -> list:
+        return [(c, "", default_style, ("", ""), merge_for(r, c)) for c in range(width)]
+
+    pending: collections.deque = collections.deque()
+    st = {"row": -1, "col": -1, "cells": None, "cell": None, "text": None, "in_v": False, "in_t": False,
+          "in_is": False, "next_row": 0}
+
+    def flush_row():
+        r = st["row"]
+        cells = st["cells"]
+        if r >= scan.height:   # a row element past the last cell is outside the used range
+            return
+        while st["next_row"] < r:
+            pending.append((st["next_row"], blank_row(st["next_row"])))
+            st["next_row"] += 1
+        dense = []
+        for c in range(width):
+            got = cells.get(c)
+            if got is None:
+                dense.append((c, "", default_style, ("", ""), merge_for(r, c)))
+            else:
+                content, sidx = got
+                if with_styles and 0 <= sidx < len(styles):
+                    s = styles[sidx]
+                    style = (argb_to_rgb(s.bg_argb), argb_to_rgb(s.font_argb), s.bold, s.italic)
+                    fill = (s.fg_resolved, s.bg_resolved)
+                else:
+                    style, fill = default_style, ("", "")
+                dense.append((c, content, style, fill, merge_for(r, c)))
+        pending.append((r, dense))
+        st["next_row"] = r + 1
+
+    def start(name, attrs):
+        ln = _local(name)
+        if ln == "row":
+            rr = attrs.get("r")
+            st["row"] = int(rr) - 1 if rr else st["row"] + 1
+            st["col"] = -1
+            st["cells"] = {}
+        elif ln == "c":
+            pos = parse_ref(attrs.get("r", ""))
+            if pos is not None:
+                st["col"] = pos[1]
+            else:
+                st["col"] += 1
+            st["cell"] = (attrs.get("t", "n"), int(attrs.get("s", 0) or 0))
+            st["text"] = []
+        elif ln == "v":
+            st["in_v"] = True
+        elif ln == "is":
+            st["in_is"] = True
+        elif ln == "t" and st["in_is"]:
+            st["in_t"] = True
+
+    def end(name):
+        ln = _local(name)
+        if ln == "v":
+            st["in_v"] = False
+        elif ln == "t":
+            st["in_t"] = False
+        elif ln == "is":
+            st["in_is"] = False
+        elif ln == "c":
+            typ, sidx = st["cell"]
+            raw = "".join(st["text"])
+            if typ == "s":
+                try:
+                    content = shared[int(raw)]
+                except (ValueError, IndexError):
+                    content = ""
+            elif typ == "b":
+                content = "TRUE" if raw.strip() in ("1", "true") else "FALSE"
+            else:
+                content = raw
+            st["cells"][st["col"]] = (content, sidx)
+        elif ln == "row":
+            flush_row()
+
+    def chars(text):
+        if st["in_v"] or st["in_t"]:
+            st["text"].append(text)
+
+    p = expat.ParserCreate(namespace_separator=" ")
+    p.buffer_text = True
+    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, end, chars
+    with wb.zf.open(part) as f:
+        while True:
+            chunk = f.read(1 << 18)
+            if not chunk:
+                break
+            p.Parse(chunk, False)
+            while pending:
+                yield pending.popleft()
+        p.Parse(b"", True)
+    while pending:
+        yield pending.popleft()
+    while st["next_row"] < scan.height:
+        yield st["next_row"], blank_row(st["next_row"])
+        st["next_row"] += 1
