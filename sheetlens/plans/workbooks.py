@@ -1,17 +1,20 @@
 """Workbook files derived from the given tables (for the source round trips).
 
-The order-sheet grid is written as one workbook per order by a grouped
-pandas function: sheet 0 ``O<order>`` is the styled grid (fills, merges,
+The order-sheet grid is written as one workbook per order by a sorted
+per-partition stream (``mapInArrow``): sheet 0 ``O<order>`` is the styled grid (fills, merges,
 shared / rich / inline strings and numbers), sheet 1 ``Lines`` a plain table
 (header + one row per line item, numbers and booleans).  A sheet is capped by
 the format at 1,048,576 rows, so groups are (order, chunk of 1,000,000 rows):
-no group grows with the data beyond that.  With ``corrupt_every`` every such order's bytes are
-truncated when ``corrupt_every`` is given, to give the batch jobs failing files.
+no group grows with the data beyond that.  With ``corrupt_every=k`` the
+bytes of every k-th order's workbook are truncated (fault injection: the batch
+jobs must isolate those files; every row is still encoded).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from typing import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,34 +42,71 @@ def _cell(text, argb, kind):
     return d
 
 
-def _encoder(corrupt_every: int | None):
-    def encode(key, pdf):
-        return _encode(key, pdf, corrupt_every)
-    return encode
-
-
-def _encode(key, pdf: pd.DataFrame, corrupt_every: int | None) -> pd.DataFrame:
-    sheet_id, chunk = int(key[0]), int(key[1])
-    pdf = pdf.sort_values("row_index")
+def _flush(key, rows, corrupt_every):
+    sheet_id, chunk = key
     base = chunk * CHUNK_ROWS
-    height = int(pdf["row_index"].max()) - base + 1
+    height = max(r[0] for r in rows) - base + 1
     grid_rows: list = [None] * height
     merges = []
     lines = [LINES_HEADER]
-    for r in pdf.itertuples(index=False):
-        i = int(r.row_index) - base
-        grid_rows[i] = [_cell(r.c0, r.bg0, r.kind), _cell(r.c1, r.bg1, r.kind)]
-        if pd.notna(r.m_start):
-            merges.append((i, int(r.m_start), i, int(r.m_end)))
-        if r.kind == "data":
-            lines.append([int(r.c0), int(r.c1), r.bg0 == "FFFFFFFF"])
+    for row_index, kind, c0, c1, bg0, bg1, m_start, m_end in rows:
+        i = row_index - base
+        grid_rows[i] = [_cell(c0, bg0, kind), _cell(c1, bg1, kind)]
+        if m_start is not None:
+            merges.append((i, m_start, i, m_end))
+        if kind == "data":
+            lines.append([int(c0), int(c1), bg0 == "FFFFFFFF"])
     content = workbook_bytes([(f"O{sheet_id}", grid_rows, merges), ("Lines", lines, [])])
     if corrupt_every and sheet_id % corrupt_every == 0:
         content = content[: len(content) // 2]
-    return pd.DataFrame({"path": [workbook_name(sheet_id, chunk)], "content": [content]})
+    return workbook_name(sheet_id, chunk), content
+
+
+_FIELDS = ["row_index", "kind", "c0", "c1", "bg0", "bg1", "m_start", "m_end"]
+_OUT = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+
+def _encoder(corrupt_every: int | None, per_batch: int = 64):
+    """Rows arrive sorted by (sheet_id, chunk, row_index); one workbook is
+    built at a time and written out in bounded Arrow batches."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, paths, contents = None, [], [], []
+        for b in batches:
+            d = b.to_pydict()
+            cols = [d[f] for f in _FIELDS]
+            for sid, ch, *rest in zip(d["sheet_id"], d["chunk"], *cols):
+                k = (sid, ch)
+                if k != key:
+                    if rows:
+                        path, content = _flush(key, rows, corrupt_every)
+                        paths.append(path)
+                        contents.append(content)
+                        if len(paths) >= per_batch:
+                            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()),
+                                                              pa.array(contents, pa.binary())], schema=_OUT)
+                            paths, contents = [], []
+                    key, rows = k, []
+                rows.append(rest)
+        if rows:
+            path, content = _flush(key, rows, corrupt_every)
+            paths.append(path)
+            contents.append(content)
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())],
+                                             schema=_OUT)
+    return encode
 
 
 def grid_workbooks(spark: SparkSession, sf_dir: str, corrupt_every: int | None = None) -> DataFrame:
-    """(path, content) of the order workbooks."""
+    """(path, content) of the order workbooks.
+
+    The shuffle is keyed on (order, chunk) with an explicit partition count
+    (at least the cluster's cores): the rows are small but encoding is CPU
+    work, so AQE must not coalesce it into a few tasks, and a hot order's
+    chunks spread over many tasks."""
     flat = flat_grid(spark, sf_dir).withColumn("chunk", F.floor(F.col("row_index") / CHUNK_ROWS).cast("bigint"))
-    return flat.groupBy("sheet_id", "chunk").applyInPandas(_encoder(corrupt_every), "path string, content binary")
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = (flat.repartition(n, "sheet_id", "chunk")
+                 .sortWithinPartitions("sheet_id", "chunk", "row_index")
+                 .select("sheet_id", "chunk", *_FIELDS))
+    return parts.mapInArrow(_encoder(corrupt_every), "path string, content binary")
