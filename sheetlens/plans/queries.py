@@ -562,3 +562,173 @@ def batch_dedupe(spark, sf_dir):
 def batch_row_numbers(spark, sf_dir):
     run = B.read_tables(grid_workbooks(spark, sf_dir, corrupt_every=97))
     return B.number_rows_per_file(run.tables).select("source_file", _text("values").alias("values_text"))
+
+
+# ---------------------------------------------------------------- run history (ledger)
+
+import uuid as _uuid  # noqa: E402
+
+from sheetlens.operators import ledger as L  # noqa: E402
+from sheetlens.operators import logs as LG  # noqa: E402
+from sheetlens.plans.history import (  # noqa: E402
+    LEVEL_SQL, MESSAGE_SQL, ledger_from_orders, log_lines_from_events, with_ledger, with_lines,
+)
+from sheetlens.session import ensure_checkpoint_dir  # noqa: E402
+
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{_uuid.uuid4().hex}"
+
+
+def _counters(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(*cols, *[F.col("result")[c].alias(c) for c in ("total_files", "successful", "failed")])
+
+
+@register("ledger_recent", with_ledger(
+    "SELECT seq, id, processor_id, total_files, successful, failed FROM led ORDER BY seq DESC LIMIT 10"))
+def ledger_recent(spark, sf_dir):
+    return _counters(L.recent(ledger_from_orders(spark, sf_dir), 10), "seq", "id", "processor_id")
+
+
+@register("ledger_by_processor", with_ledger("SELECT seq, id FROM led WHERE processor_id = '1-URGENT'"))
+def ledger_by_processor(spark, sf_dir):
+    return L.by_processor(ledger_from_orders(spark, sf_dir), "1-URGENT").select("seq", "id")
+
+
+@register("ledger_by_id", with_ledger("SELECT seq, id, input_dir, output_dir FROM led "
+                                      "WHERE id = 'run-' || CAST((SELECT min(seq) FROM led) AS VARCHAR)"))
+def ledger_by_id(spark, sf_dir):
+    led = ledger_from_orders(spark, sf_dir)
+    first = led.agg(F.min("seq")).first()[0]
+    return L.by_id(led, f"run-{first}").select("seq", "id", "input_dir", "output_dir")
+
+
+@register("ledger_successful", with_ledger("SELECT seq, id FROM led WHERE failed = 0"))
+def ledger_successful(spark, sf_dir):
+    return L.successful(ledger_from_orders(spark, sf_dir)).select("seq", "id")
+
+
+@register("ledger_failed", with_ledger("SELECT seq, id, failed FROM led WHERE failed <> 0"))
+def ledger_failed(spark, sf_dir):
+    return L.failed(ledger_from_orders(spark, sf_dir)).select("seq", "id", F.col("result.failed").alias("failed"))
+
+
+@register("ledger_success_rate", with_ledger(
+    "SELECT seq, round(CASE WHEN total_files > 0 THEN CAST(successful AS DOUBLE) / total_files * 100 ELSE 0 END, 6) "
+    "AS success_rate_pct, round(CASE WHEN total_files > 0 THEN CAST(successful + failed AS DOUBLE) / total_files * 100 "
+    "ELSE 0 END, 6) AS progress_pct, successful + failed >= total_files AS complete FROM led"))
+def ledger_success_rate(spark, sf_dir):
+    led = ledger_from_orders(spark, sf_dir)
+    r = F.col("result")
+    pct, done = L.progress(r["successful"] + r["failed"], r["total_files"])
+    return led.select("seq", F.round(L.success_rate_pct(dtype="double"), 6).alias("success_rate_pct"),
+                      F.round(pct.cast("double"), 6).alias("progress_pct"), done.alias("complete"))
+
+
+@register("ledger_stats", with_ledger(
+    "SELECT COUNT(*) AS entries, COUNT(*) FILTER (WHERE failed = 0) AS successful_runs, "
+    "COUNT(*) FILTER (WHERE failed <> 0) AS failed_runs, SUM(total_files) AS files, "
+    "SUM(successful) AS successful_files, SUM(failed) AS failed_files FROM led"))
+def ledger_stats(spark, sf_dir):
+    r = F.col("result")
+    return ledger_from_orders(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if(L.is_successful()).alias("successful_runs"),
+        F.count_if(~L.is_successful()).alias("failed_runs"), F.sum(r["total_files"]).alias("files"),
+        F.sum(r["successful"]).alias("successful_files"), F.sum(r["failed"]).alias("failed_files"))
+
+
+@register("ledger_trim", with_ledger("SELECT seq, id FROM led ORDER BY seq DESC LIMIT 1000"))
+def ledger_trim(spark, sf_dir):
+    return L.trim(ledger_from_orders(spark, sf_dir), 1000).select("seq", "id")
+
+
+@register("ledger_remove", with_ledger("SELECT seq, id FROM led WHERE seq <> (SELECT max(seq) FROM led)"))
+def ledger_remove(spark, sf_dir):
+    led = ledger_from_orders(spark, sf_dir)
+    last = led.agg(F.max("seq")).first()[0]
+    return L.remove(led, f"run-{last}").select("seq", "id")
+
+
+@register("ledger_append", with_ledger(
+    "SELECT seq, id FROM led WHERE processor_name = 'F' UNION ALL "
+    "SELECT (SELECT max(seq) FROM led WHERE processor_name = 'F') + ROW_NUMBER() OVER (ORDER BY ts, id) AS seq, id "
+    "FROM led WHERE processor_name <> 'F'"))
+def ledger_append(spark, sf_dir):
+    led = ledger_from_orders(spark, sf_dir)
+    old, new = led.where(F.col("processor_name") == "F"), led.where(F.col("processor_name") != "F")
+    return L.append(old, new).select("seq", "id")
+
+
+@register("ledger_import", with_ledger("""
+, imp AS (SELECT *, 2 * seq AS ordinal FROM led
+          UNION ALL SELECT seq, id, ts, processor_id, processor_name, input_dir, 'dup/' || output_dir, total_files,
+                           successful, failed, 2 * seq + 1 FROM led WHERE processor_name = 'O'),
+first AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY ordinal) AS k FROM imp) WHERE k = 1),
+old AS (SELECT * FROM led WHERE processor_name = 'F'),
+new AS (SELECT * FROM first WHERE id NOT IN (SELECT id FROM old))
+SELECT seq, id, output_dir FROM old UNION ALL
+SELECT (SELECT max(seq) FROM old) + ROW_NUMBER() OVER (ORDER BY ts, ordinal) AS seq, id, output_dir FROM new"""))
+def ledger_import(spark, sf_dir):
+    led = ledger_from_orders(spark, sf_dir)
+    old = led.where(F.col("processor_name") == "F")
+    imported = led.withColumn("ordinal", 2 * F.col("seq")).unionByName(
+        led.where(F.col("processor_name") == "O")
+           .withColumn("output_dir", F.concat(F.lit("dup/"), F.col("output_dir")))
+           .withColumn("ordinal", 2 * F.col("seq") + 1))
+    return L.import_entries(old, imported, "ordinal").select("seq", "id", "output_dir")
+
+
+@register("ledger_json_roundtrip", with_ledger(
+    "SELECT seq, id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, processor_id, total_files, successful, failed FROM led"))
+def ledger_json_roundtrip(spark, sf_dir):
+    path = _scratch(spark, "ledger-json")
+    L.export_json(ledger_from_orders(spark, sf_dir), path)
+    back = L.load_json(spark, path)
+    return _counters(back, "seq", "id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+                     "processor_id")
+
+
+# ---------------------------------------------------------------- log table
+
+_PARSED_SQL = (f"SELECT event_id, date_trunc('second', ts) AS ts, {LEVEL_SQL} AS level, {MESSAGE_SQL} AS message "
+               "FROM events")
+
+
+def _parsed_logs(spark, sf_dir):
+    return LG.parse_lines(log_lines_from_events(spark, sf_dir))
+
+
+@register("log_parse", _PARSED_SQL)
+def log_parse(spark, sf_dir):
+    return _parsed_logs(spark, sf_dir).select("event_id", "ts", "level", "message")
+
+
+@register("log_parse_all_lines", with_lines("SELECT COUNT(*) AS n_lines, COUNT(*) AS n_parsed FROM lines"))
+def log_parse_all_lines(spark, sf_dir):
+    return _parsed_logs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("parsed").alias("n_parsed"))
+
+
+@register("log_filter", f"SELECT event_id, message FROM ({_PARSED_SQL}) WHERE level = 'ERROR'")
+def log_filter(spark, sf_dir):
+    return LG.filter_level(_parsed_logs(spark, sf_dir), "ERROR").select("event_id", "message")
+
+
+@register("log_last_n", f"SELECT event_id, ts FROM ({_PARSED_SQL}) ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def log_last_n(spark, sf_dir):
+    return LG.last_n(_parsed_logs(spark, sf_dir), 1000, order=("ts", "event_id")).select("event_id", "ts")
+
+
+@register("log_render", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' [' || level || '] ' || message AS text "
+                        f"FROM ({_PARSED_SQL}) WHERE level IN ('WARN', 'ERROR')")
+def log_render(spark, sf_dir):
+    logs = _parsed_logs(spark, sf_dir).where(F.col("level").isin("WARN", "ERROR"))
+    return LG.render(logs).select("event_id", "text")
+
+
+@register("log_files_roundtrip", "SELECT ts, level, message, 'app_' || strftime(ts, '%Y%m%d') || '.log' AS day "
+                                 f"FROM ({_PARSED_SQL})")
+def log_files_roundtrip(spark, sf_dir):
+    path = _scratch(spark, "logs")
+    LG.write_logs(_parsed_logs(spark, sf_dir), path)
+    return LG.read_logs(spark, path, glob="*.txt").select("ts", "level", "message", "day")
