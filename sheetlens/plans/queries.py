@@ -732,3 +732,36 @@ def log_files_roundtrip(spark, sf_dir):
     path = _scratch(spark, "logs")
     LG.write_logs(_parsed_logs(spark, sf_dir), path)
     return LG.read_logs(spark, path, glob="*.txt").select("ts", "level", "message", "day")
+
+
+# ---------------------------------------------------------------- files on disk: CSV sink, incremental stream
+
+from sheetlens.sources.files import write_binary_files  # noqa: E402
+from sheetlens.streaming import incremental as INC  # noqa: E402
+
+
+_CSV_SQL = with_grid(
+    "SELECT file, 'G00E-' || CAST(sheet_id AS VARCHAR) || ',Column_1' AS value FROM f WHERE row_index = 0 "
+    "AND sheet_id % 97 <> 0 UNION ALL "
+    "SELECT file, c0 || ',' || c1 AS value FROM f WHERE row_index > 0 AND sheet_id % 97 <> 0")
+
+
+@register("batch_csv_roundtrip", _CSV_SQL)
+def batch_csv_roundtrip(spark, sf_dir):
+    """Workbooks written to a folder, batch-run (first sheet, header from row
+    1), CSV per source file written and the lines read back."""
+    in_dir, out_dir = _scratch(spark, "workbooks"), _scratch(spark, "csv")
+    write_binary_files(grid_workbooks(spark, sf_dir, corrupt_every=97), in_dir)
+    B.run_batch(spark, in_dir, out_dir)
+    return spark.read.text(out_dir).select("file", "value")
+
+
+@register("batch_stream", f"SELECT count(*) AS total_files, count(*) FILTER (WHERE id % 97 <> 0) AS successful, "
+                          f"count(*) FILTER (WHERE id % 97 = 0) AS failed FROM ({_ORDER_FILES})")
+def batch_stream(spark, sf_dir):
+    """Workbooks written to a folder and processed by an incremental
+    (availableNow) file stream; stats of the per-batch status table."""
+    in_dir = _scratch(spark, "workbooks")
+    write_binary_files(grid_workbooks(spark, sf_dir, corrupt_every=97), in_dir)
+    status = INC.run_incremental_batch(spark, in_dir, _scratch(spark, "stream-out"), _scratch(spark, "stream-ckpt"))
+    return INC.run_stats(status)
