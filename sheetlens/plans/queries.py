@@ -523,7 +523,7 @@ FROM lineitem"""
 
 @register("xlsx_table", _LINES_SQL)
 def xlsx_table(spark, sf_dir):
-    t = XL.decode_tables(grid_workbooks(spark, sf_dir), sheet="Lines").where(F.col("error").isNull())
+    t = XL.decode_tables(grid_workbooks(spark, sf_dir), sheet="Lines").where(F.col("row_index").isNotNull())
     return t.select("file", *[F.get("values", i).alias(h) for i, h in enumerate(["line", "partkey", "returned"])])
 
 

@@ -113,11 +113,11 @@ def _choose(sheets_avail: list[tuple[str, str]], sheets) -> list[int]:
     return [names.index(sheets)] if sheets in names else [0]
 
 
-def decode_file(path: str, content: bytes, sheets="first", styles=True,
-                max_rows=ooxml.EXCEL_MAX_ROWS, max_cols=ooxml.EXCEL_MAX_COLS,
-                batch_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Decode one workbook into ARROW_ROWS batches (an error row on failure)."""
-    out = _Batch()
+def _decode_into(out: "_Batch", path: str, content: bytes, sheets, styles, max_rows, max_cols,
+                 batch_rows: int) -> Iterator["_Batch"]:
+    """Append one workbook's rows (or its error row) to ``out``; yields the
+    accumulator whenever it is full (the caller emits it and passes a new one
+    through ``out.next``)."""
     try:
         wb = ooxml.Workbook.open(content)
         if not wb.sheets:
@@ -134,29 +134,49 @@ def decode_file(path: str, content: bytes, sheets="first", styles=True,
             plan.append((idx, name, part, scan))
     except Exception as e:  # noqa: BLE001 - any decode failure isolates this file
         out.add_error(path, f"{type(e).__name__}: {e}")
-        yield out.to_arrow()
         return
     for idx, name, part, scan in plan:
         for r, cells in ooxml.iter_sheet_rows(wb, part, scan, with_styles=styles):
             out.add_row(path, idx, name, r, cells)
             if len(out) >= batch_rows:
-                yield out.to_arrow()
-                out = _Batch()
+                yield out
+
+
+def _decode_stream(items, sheets="first", styles=True, max_rows=ooxml.EXCEL_MAX_ROWS,
+                   max_cols=ooxml.EXCEL_MAX_COLS, batch_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Decode ``(path, content)`` pairs into ARROW_ROWS batches of about
+    ``batch_rows`` rows, rows of many small files sharing one batch."""
+    out = _Batch()
+    for path, content in items:
+        for full in _decode_into(out, path, content, sheets, styles, max_rows, max_cols, batch_rows):
+            yield full.to_arrow()
+            full.__init__()
     if len(out):
         yield out.to_arrow()
 
 
+def decode_file(path: str, content: bytes, sheets="first", styles=True,
+                max_rows=ooxml.EXCEL_MAX_ROWS, max_cols=ooxml.EXCEL_MAX_COLS,
+                batch_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Decode one workbook into ARROW_ROWS batches (an error row on failure)."""
+    return _decode_stream([(path, content)], sheets, styles, max_rows, max_cols, batch_rows)
+
+
+def _items(batches) -> Iterator[tuple[str, bytes]]:
+    for b in batches:
+        paths = b.column("path").to_pylist()
+        contents = b.column("content")
+        for i, p in enumerate(paths):
+            yield p, contents[i].as_py()
+
+
 def decode_workbooks(files: DataFrame, sheets="first", styles: bool = True,
                      max_rows: int = ooxml.EXCEL_MAX_ROWS, max_cols: int = ooxml.EXCEL_MAX_COLS) -> DataFrame:
     """(path, content) -> canonical ``rows``.  ``sheets``: 'first' (default),
     'all', a 0-based index, or a name (missing name -> first sheet)."""
 
     def run(batches):
-        for b in batches:
-            paths = b.column("path").to_pylist()
-            contents = b.column("content")
-            for i, p in enumerate(paths):
-                yield from decode_file(p, contents[i].as_py(), sheets, styles, max_rows, max_cols)
+        yield from _decode_stream(_items(batches), sheets, styles, max_rows, max_cols)
 
     return files.select("path", "content").mapInArrow(run, ROWS_SCHEMA)
 
@@ -223,17 +243,36 @@ def header_names(header: list[str]) -> list[str]:
     return [h if h != "" else f"Column_{i}" for i, h in enumerate(header)]
 
 
-def decode_table_file(path: str, content: bytes, sheet="first", batch_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+_TABLE_ARROW = pa.schema([("file", pa.string()), ("header", pa.list_(pa.string())), ("row_index", pa.int64()),
+                          ("values", pa.list_(pa.string())), ("error", pa.string())])
+
+
+class _TableBatch:
+    def __init__(self):
+        self.file, self.header, self.ridx, self.vals, self.err = [], [], [], [], []
+
+    def __len__(self):
+        return len(self.file)
+
+    def add(self, path, header, row_index, values, error=None):
+        self.file.append(path)
+        self.header.append(header)
+        self.ridx.append(row_index)
+        self.vals.append(values)
+        self.err.append(error)
+
+    def to_arrow(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.file, pa.string()), pa.array(self.header, pa.list_(pa.string())),
+             pa.array(self.ridx, pa.int64()), pa.array(self.vals, pa.list_(pa.string())),
+             pa.array(self.err, pa.string())], schema=_TABLE_ARROW)
+
+
+def _table_into(out: _TableBatch, path: str, content: bytes, sheet, batch_rows: int) -> Iterator[_TableBatch]:
     """One workbook's sheet as a string table: header from row 1, body rows
-    after it.  Failures (decode error, empty sheet, duplicate header names)
-    give one error row."""
-    schema = pa.schema([("file", pa.string()), ("header", pa.list_(pa.string())), ("row_index", pa.int64()),
-                        ("values", pa.list_(pa.string())), ("error", pa.string())])
-
-    def err(msg):
-        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None], pa.list_(pa.string())),
-                                           pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.string())),
-                                           pa.array([msg])], schema=schema)
+    after it, then one status row (``row_index`` NULL, ``error`` NULL).
+    Failures (decode error, empty sheet, duplicate header names) give only the
+    status row with ``error`` set."""
     try:
         wb = ooxml.Workbook.open(content)
         if not wb.sheets:
@@ -251,31 +290,35 @@ def decode_table_file(path: str, content: bytes, sheet="first", batch_rows: int
         if len(set(header)) < len(header):
             raise ooxml.DecodeError("duplicate column names in header")
     except Exception as e:  # noqa: BLE001
-        yield err(f"{type(e).__name__}: {e}")
+        out.add(path, None, None, None, f"{type(e).__name__}: {e}")
         return
-    ridx, vals = [], []
     for r, cells in rows:
-        ridx.append(r)
-        vals.append([c[1] for c in cells])
-        if len(ridx) >= batch_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(ridx)), pa.array([header] * len(ridx)),
-                                              pa.array(ridx, pa.int64()), pa.array(vals, pa.list_(pa.string())),
-                                              pa.array([None] * len(ridx), pa.string())], schema=schema)
-            ridx, vals = [], []
-    if ridx:
-        yield pa.RecordBatch.from_arrays([pa.array([path] * len(ridx)), pa.array([header] * len(ridx)),
-                                          pa.array(ridx, pa.int64()), pa.array(vals, pa.list_(pa.string())),
-                                          pa.array([None] * len(ridx), pa.string())], schema=schema)
+        out.add(path, header, r, [c[1] for c in cells])
+        if len(out) >= batch_rows:
+            yield out
+    out.add(path, None, None, None, None)
+
+
+def _table_stream(items, sheet="first", batch_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    out = _TableBatch()
+    for path, content in items:
+        for full in _table_into(out, path, content, sheet, batch_rows):
+            yield full.to_arrow()
+            full.__init__()
+    if len(out):
+        yield out.to_arrow()
+
+
+def decode_table_file(path: str, content: bytes, sheet="first", batch_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    return _table_stream([(path, content)], sheet, batch_rows)
 
 
 def decode_tables(files: DataFrame, sheet="first") -> DataFrame:
-    """(path, content) -> (file, header, row_index, values, error)."""
+    """(path, content) -> (file, header, row_index, values, error): table rows,
+    plus one status row per file (``row_index`` NULL; ``error`` NULL on
+    success), so run status needs no second pass over the inputs."""
 
     def run(batches):
-        for b in batches:
-            paths = b.column("path").to_pylist()
-            contents = b.column("content")
-            for i, p in enumerate(paths):
-                yield from decode_table_file(p, contents[i].as_py(), sheet)
+        yield from _table_stream(_items(batches), sheet)
 
     return files.select("path", "content").mapInArrow(run, TABLE_SCHEMA)
