@@ -765,3 +765,74 @@ def batch_stream(spark, sf_dir):
     write_binary_files(grid_workbooks(spark, sf_dir, corrupt_every=97), in_dir)
     status = INC.run_incremental_batch(spark, in_dir, _scratch(spark, "stream-out"), _scratch(spark, "stream-ckpt"))
     return INC.run_stats(status)
+
+
+# ---------------------------------------------------------------- input checks, per-file user code, structure job
+
+from sheetlens.sources.manifest import validate_input  # noqa: E402
+
+_EXT_SQL = ("CASE o_orderpriority WHEN '1-URGENT' THEN '.xlsx' WHEN '2-HIGH' THEN '.XLSX' WHEN '3-MEDIUM' THEN '.xls' "
+            "WHEN '4-NOT SPECIFIED' THEN '.txt' ELSE '' END")
+_PATHS_SQL = f"SELECT 'in/c' || CAST(o_custkey AS VARCHAR) || '/order_' || CAST(o_orderkey AS VARCHAR) || {_EXT_SQL} " \
+             "AS file FROM orders"
+
+
+def _order_paths(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    p = F.col("o_orderpriority")
+    ext = (F.when(p == "1-URGENT", ".xlsx").when(p == "2-HIGH", ".XLSX").when(p == "3-MEDIUM", ".xls")
+           .when(p == "4-NOT SPECIFIED", ".txt").otherwise(""))
+    return o.select(F.concat(F.lit("in/c"), F.col("o_custkey").cast("string"), F.lit("/order_"),
+                             F.col("o_orderkey").cast("string"), ext).alias("file"))
+
+
+def _validate_sql(ok: str) -> str:
+    ext = r"regexp_extract(file, '\.([^./]+)$', 1)"
+    return (f"SELECT file, {ok} AS valid, CASE WHEN {ok} THEN NULL WHEN {ext} = '' THEN 'no file extension' "
+            f"ELSE 'unsupported file type: ' || {ext} END AS reason FROM ({_PATHS_SQL})").replace("EXT", ext)
+
+
+@register("validate_input_cargo", _validate_sql("lower(EXT) IN ('xlsx', 'xls')"))
+def validate_input_cargo(spark, sf_dir):
+    return validate_input(_order_paths(spark, sf_dir), "cargo").select("file", "valid", "reason")
+
+
+@register("validate_input_analyzer", _validate_sql("EXT IN ('xlsx', 'xls')"))
+def validate_input_analyzer(spark, sf_dir):
+    return validate_input(_order_paths(spark, sf_dir), "analyzer").select("file", "valid", "reason")
+
+
+def _cabinet_check(pdf):
+    """User code run once per file: row and non-blank cell counts; files with
+    an old-style cabinet code are rejected by raising."""
+    import pandas as pd
+
+    cells = [v for vals in pdf["values"] for v in vals]
+    if any(v.startswith("CAB-") for v in cells):
+        raise ValueError("old cabinet code format")
+    return pd.DataFrame({"file": [pdf["file"].iloc[0]], "n_rows": [len(pdf)],
+                         "n_nonblank": [sum(1 for v in cells if v.strip() != "")]})
+
+
+@register("per_file_udf", with_grid(
+    f"SELECT file, CASE WHEN bool_or(starts_with(c1, 'CAB-')) THEN NULL ELSE COUNT(*) END AS n_rows, "
+    f"CASE WHEN bool_or(starts_with(c1, 'CAB-')) THEN NULL ELSE "
+    f"SUM((CASE WHEN trim(c0) <> '' THEN 1 ELSE 0 END) + (CASE WHEN trim(c1) <> '' THEN 1 ELSE 0 END)) END "
+    f"AS n_nonblank, CASE WHEN bool_or(starts_with(c1, 'CAB-')) THEN 'ValueError: old cabinet code format' END "
+    f"AS error FROM f GROUP BY file"))
+def per_file_udf(spark, sf_dir):
+    rows = grid(spark, sf_dir).select("file", "row_index", contents("cells").alias("values"))
+    return B.per_file_apply(rows, _cabinet_check, "file string, n_rows bigint, n_nonblank bigint, error string")
+
+
+@register("structure_named_sheet", with_grid(
+    "SELECT file, 1 AS sheet_index, count(*) FILTER (WHERE row_index >= 3 AND row_index < (SELECT max(row_index) "
+    "FROM f f2 WHERE f2.file = f.file) - 1) + 1 AS height, 3 AS width, "
+    "count(*) FILTER (WHERE row_index >= 3 AND row_index < (SELECT max(row_index) FROM f f2 "
+    "WHERE f2.file = f.file) - 1) + 1 AS dumped_rows FROM f GROUP BY file"))
+def structure_named_sheet(spark, sf_dir):
+    """The structure job on decoded workbooks, choosing the sheet by name."""
+    rows = XL.decode_workbooks(grid_workbooks(spark, sf_dir), sheets="all")
+    out = S.analyze_structure(rows, sheet="Lines")
+    dumped = out["dump"].groupBy("file").agg(F.count(F.lit(1)).alias("dumped_rows"))
+    return out["size"].join(dumped, "file").select("file", "sheet_index", "height", "width", "dumped_rows")
