@@ -83,5 +83,6 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("input_dir", T.StringType()),
     T.StructField("output_dir", T.StringType()),
     T.StructField("result", RUN_RESULT),
+    T.StructField("status_path", T.StringType()),
 ])
 LOG_LEVELS = ("DEBUG", "INFO", "WARN", "ERROR")

@@ -2,7 +2,10 @@
 
 Schema ``model.LEDGER_SCHEMA``: ``seq`` (insertion order), ``id`` (uuid),
 ``timestamp`` (UTC), processor id / name, input / output folder and the run
-``result`` struct (total_files, successful, failed, errors, duration).
+``result`` struct (total_files, successful, failed, errors, duration) and
+``status_path``, the run's per-file status table.  Entries recorded here keep
+failed files in that table (distributed) and leave ``errors`` empty; the
+array is filled only by imported histories that carry it inline.
 
 The ledger is an ordinary table (parquet in a folder); every operation is a
 DataFrame transformation, and retention / recency use bounded top-k or the
@@ -33,7 +36,7 @@ def result_struct(total_files: Column, successful: Column, failed: Column,
 
 
 def new_entries(stats: DataFrame, processor_id: str, processor_name: str, input_dir: str,
-                output_dir: str) -> DataFrame:
+                output_dir: str, status_path: str | None = None) -> DataFrame:
     """History entries for run statistics rows (``BatchRun.stats()``): a new
     uuid and the current UTC time each; ``seq`` is assigned on append."""
     return stats.select(
@@ -41,8 +44,9 @@ def new_entries(stats: DataFrame, processor_id: str, processor_name: str, input_
         F.current_timestamp().alias("timestamp"), F.lit(processor_id).alias("processor_id"),
         F.lit(processor_name).alias("processor_name"), F.lit(input_dir).alias("input_dir"),
         F.lit(output_dir).alias("output_dir"),
-        result_struct(F.col("total_files"), F.col("successful"), F.col("failed"), F.col("errors"),
-                      F.col("duration")).alias("result"))
+        result_struct(F.col("total_files"), F.col("successful"), F.col("failed"),
+                      duration=F.col("duration")).alias("result"),
+        F.lit(status_path).cast("string").alias("status_path"))
 
 
 def empty(spark: SparkSession) -> DataFrame:

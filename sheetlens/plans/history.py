@@ -44,7 +44,8 @@ def ledger_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("processor_name"),
         F.concat(F.lit("in/c"), F.col("o_custkey").cast("string")).alias("input_dir"),
         F.concat(F.lit("out/c"), F.col("o_custkey").cast("string")).alias("output_dir"),
-        result_struct(total, total - bad, bad).alias("result")).select(*LEDGER_COLUMNS)
+        result_struct(total, total - bad, bad).alias("result"),
+        F.lit(None).cast("string").alias("status_path")).select(*LEDGER_COLUMNS)
 
 
 LEVEL_SQL = ("CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'view' THEN 'DEBUG' "

@@ -11,9 +11,7 @@ from sheetlens.operators import ledger as L
 
 def _stats(spark, rows):
     return spark.createDataFrame(
-        [(t, s, f, [], 0) for t, s, f in rows],
-        "total_files bigint, successful bigint, failed bigint, "
-        "errors array<struct<file:string,error_message:string>>, duration bigint")
+        [(t, s, f, 0) for t, s, f in rows], "total_files bigint, successful bigint, failed bigint, duration bigint")
 
 
 def test_add_recent_trim_clear(spark):

@@ -95,13 +95,14 @@ def test_tables_and_batch_run(spark, book_dir):
     run = B.run_batch(spark, book_dir, out, process=B.dedupe_per_file, sheet=1)
     st = run.stats().first()
     assert st["total_files"] == 5
-    failed = {os.path.basename(e["file"]) for e in st["errors"]}
+    failed = {os.path.basename(e["file"]) for e in run.errors().collect()}
     assert failed == {"B.XLSX", "C.xlsx", "D.xlsx", "E.xlsx"}          # only A has a second sheet
     tables = run.tables.where(F.col("source_file").endswith("A.xlsx")).collect()
     assert sorted(tuple(r["values"]) for r in tables) == [("1", "2", "3"), ("4", "5", "6")]
     assert list(tables[0]["header"]) == ["a", "Column_1", "c"]
     csv = spark.read.option("header", True).csv(out)
     assert csv.count() >= 2
+    assert spark.read.parquet(B.status_path(out)).count() == 5
 
 
 def test_tables_first_sheet(spark, book_dir):
