@@ -35,31 +35,18 @@ def promote_header(rows: DataFrame) -> DataFrame:
     """Sheet rows -> string table: row 0 gives the column names, the rows
     after it the body; missing cells read as ''.
 
-    All sheets in ``rows`` must share one header; use
-    :func:`promote_headers_by_signature` for mixed inputs.  Only the header row
-    of each sheet reaches the driver.
-    """
-    tables = promote_headers_by_signature(rows)
-    if len(tables) != 1:
-        raise ValueError(f"{len(tables)} different headers; use promote_headers_by_signature")
-    return next(iter(tables.values()))
-
-
-def promote_headers_by_signature(rows: DataFrame) -> dict[tuple, DataFrame]:
-    """{header tuple: table of every sheet with that header}."""
+    All sheets in ``rows`` must share one header: at most two distinct header
+    rows reach the driver to check that.  Inputs with mixed headers use the
+    tables form instead (a header array on every row, one job whatever the
+    mix: :func:`sheetlens.operators.batch.read_tables`)."""
     ok = rows.where(F.col("error").isNull())
-    sigs = (ok.where(F.col("row_index") == 0).select(contents("cells").alias("h")).distinct().collect())
-    out = {}
-    for r in sigs:
-        header = tuple(r["h"])
-        names = header_names(header)
-        sheets = (ok.where(F.col("row_index") == 0).where(contents("cells") == F.array(*[F.lit(h) for h in header]))
-                  .select("file", "sheet_index"))
-        body = ok.where(F.col("row_index") > 0).join(sheets, ["file", "sheet_index"], "left_semi")
-        out[header] = body.select(
-            "file", "sheet_index", "row_index",
-            *[F.coalesce(cell_at(i)["content"], F.lit("")).alias(n) for i, n in enumerate(names)])
-    return out
+    heads = ok.where(F.col("row_index") == 0).select(contents("cells").alias("h")).distinct().limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError("sheets have no header or different headers; use the tables form (read_tables)")
+    names = header_names(tuple(heads[0]["h"]))
+    return ok.where(F.col("row_index") > 0).select(
+        "file", "sheet_index", "row_index",
+        *[F.coalesce(cell_at(i)["content"], F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def densify(cells_long: DataFrame, key: Sequence[str] = ("file", "sheet_index")) -> DataFrame:

@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlens.plans.grid import flat_grid
+from sheetlens.plans.grid import CHUNK_ROWS, flat_grid
 from sheetlens.sources.xlsx_writer import workbook_bytes
 
-CHUNK_ROWS = 1_000_000
 LINES_HEADER = ["line", "partkey", "returned"]
 
 
