@@ -42,6 +42,8 @@ def cargo_summary(classified: DataFrame, files: DataFrame | None = None, sheet_i
     ``files`` (a ``file`` column, e.g. the manifest) keeps files whose sheet
     is empty: they get ``'' / 0 / 0``.
     """
+    # counts combine map-side; the ordered project list holds only a sheet's
+    # project rows (a sheet is bounded by the format's row limit)
     df = classified.where(F.col("sheet_index") == sheet_index)
     rt = F.col("row_type")
     project = F.when(rt == "ProjectNumber", first_non_empty("cells")["content"])
@@ -62,7 +64,11 @@ def cargo_summary(classified: DataFrame, files: DataFrame | None = None, sheet_i
 
 def with_context(classified: DataFrame) -> DataFrame:
     """Attach to every row the nearest project number and cabinet text above it
-    in the same sheet (carry-forward over row order)."""
+    in the same sheet (carry-forward over row order).
+
+    The window is per sheet: a worksheet holds at most 1,048,576 rows (the
+    source and the grid cut longer inputs into several files), so no window
+    partition grows with the data."""
     from pyspark.sql import Window
     w = (Window.partitionBy("file", "sheet_index").orderBy("row_index")
          .rowsBetween(Window.unboundedPreceding, 0))
