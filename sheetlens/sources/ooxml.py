@@ -67,8 +67,18 @@ def parse_ref(ref: str) -> tuple[int, int] | None:
     return int(m.group(2)) - 1, col_index(m.group(1))
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def _local(name: str) -> str:
-    return name.rsplit(" ", 1)[-1] if " " in name else name.rsplit(":", 1)[-1]
+    """Local part of an element name ('uri local' or 'prefix:local'); the
+    handful of distinct names per document are memoised."""
+    ln = _LOCAL.get(name)
+    if ln is None:
+        ln = name.rsplit(" ", 1)[-1] if " " in name else name.rsplit(":", 1)[-1]
+        if len(_LOCAL) < 4096:
+            _LOCAL[name] = ln
+    return ln
 
 
 def _parse(data: bytes | io.IOBase, start=None, end=None, chars=None) -> None:
@@ -333,7 +343,9 @@ def iter_sheet_rows(wb: Workbook, part: str, scan: SheetScan, with_styles: bool
     """Pass 2: yield (row_index, cells) for every row 0..height-1, each row
     dense over 0..width-1."""
     shared = wb.shared_strings()
-    styles = wb.cell_styles() if with_styles else []
+    # (style, fill) tuple per style index, resolved once per workbook
+    styles = ([((argb_to_rgb(s.bg_argb), argb_to_rgb(s.font_argb), s.bold, s.italic), (s.fg_resolved, s.bg_resolved))
+               for s in wb.cell_styles()] if with_styles else [])
     width = scan.width
     by_row: dict[int, list[tuple[int, int, int, int, int]]] = {}
     for k, (r0, r1, c0, c1) in enumerate(scan.merges):
@@ -370,9 +382,7 @@ def iter_sheet_rows(wb: Workbook, part: str, scan: SheetScan, with_styles: bool
             else:
                 content, sidx = got
                 if with_styles and 0 <= sidx < len(styles):
-                    s = styles[sidx]
-                    style = (argb_to_rgb(s.bg_argb), argb_to_rgb(s.font_argb), s.bold, s.italic)
-                    fill = (s.fg_resolved, s.bg_resolved)
+                    style, fill = styles[sidx]
                 else:
                     style, fill = default_style, ("", "")
                 dense.append((c, content, style, fill, merge_for(r, c)))
