@@ -836,3 +836,18 @@ def structure_named_sheet(spark, sf_dir):
     out = S.analyze_structure(rows, sheet="Lines")
     dumped = out["dump"].groupBy("file").agg(F.count(F.lit(1)).alias("dumped_rows"))
     return out["size"].join(dumped, "file").select("file", "sheet_index", "height", "width", "dumped_rows")
+
+
+from sheetlens.sources.manifest import list_files  # noqa: E402
+
+
+@register("xlsx_listing", f"SELECT file, true AS non_empty FROM ({_ORDER_FILES})")
+def xlsx_listing(spark, sf_dir):
+    """Workbooks written to a folder (with a non-workbook file beside them),
+    then listed: only ``.xlsx`` names, contents not read."""
+    in_dir = _scratch(spark, "workbooks")
+    wb = grid_workbooks(spark, sf_dir)
+    notes = spark.range(1).select(F.lit("notes.txt").alias("path"), F.lit(b"not a workbook").alias("content"))
+    write_binary_files(wb.unionByName(notes), in_dir)
+    return list_files(spark, in_dir).select(F.element_at(F.split("file", "/"), -1).alias("file"),
+                                            (F.col("length") > 0).alias("non_empty"))

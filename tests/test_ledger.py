@@ -53,3 +53,13 @@ def test_export_import(spark):
     with open(bad, "w") as f:
         f.write("{not json")
     assert L.load_json(spark, bad, on_corrupt="empty").count() == 0
+
+
+def test_save_load_clear(spark):
+    led = L.append(L.empty(spark), L.new_entries(_stats(spark, [(3, 3, 0)]), "p", "n", "i", "o", status_path="o/_status"))
+    path = os.path.join(tempfile.mkdtemp(prefix="sheetlens-ledger-"), "ledger")
+    L.save(led, path)
+    back = L.load(spark, path)
+    assert back.count() == 1 and back.first()["status_path"] == "o/_status"
+    L.clear(spark, path)
+    assert L.load(spark, path).count() == 0
