@@ -52,14 +52,20 @@ _SHIPPED: dict[int, str] = {}
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``sheetlens`` importable in executor Python workers (the same
-    mechanism as ``--py-files``): zip the package once per process and add it
-    to the SparkContext once per context."""
+    mechanism as ``--py-files``): unless the job was submitted with the
+    package already, zip it once per process on the driver and add it to the
+    SparkContext once per context (Spark copies it to every executor)."""
     import zipfile
 
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
+    # on a cluster the package normally arrives with --py-files / a wheel: nothing to do
+    shipped = ",".join(sc.getConf().get(k, "") for k in ("spark.submit.pyFiles", "spark.yarn.dist.pyFiles"))
+    if "sheetlens" in shipped:
+        _SHIPPED[key] = shipped
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="sheetlens-pyfiles-")
     zpath = os.path.join(out_dir, "sheetlens.zip")
