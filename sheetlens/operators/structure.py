@@ -61,7 +61,8 @@ def dominant_rows(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Rows whose most frequent colour covers more than max(width div 2, 1)
     cells, width being the sheet width (uncoloured cells included)."""
     sizes = sizes if sizes is not None else sheet_size(rows)
-    per_row = _row_colour_counts(rows).select(*KEY, "row_index", F.inline("colours"))
+    # the threshold is at least 1, so only counts >= 2 can qualify: drop the rest before the join
+    per_row = _row_colour_counts(rows).select(*KEY, "row_index", F.inline("colours")).where(F.col("n") >= 2)
     return (per_row.join(sizes.select(*KEY, "width"), KEY)
             .where(F.col("n") > F.greatest(F.expr("width div 2"), F.lit(1).cast("bigint")))
             .select(*KEY, "row_index", "hex", "n"))
