@@ -339,109 +339,154 @@ def scan_sheet(wb: Workbook, part: str) -> SheetScan:
     return SheetScan(st["max_row"] + 1, st["max_col"] + 1, merges)
 
 
-def iter_sheet_rows(wb: Workbook, part: str, scan: SheetScan, with_styles: bool = True) -> Iterator[tuple[int, list]]:
-    """Pass 2: yield (row_index, cells) for every row 0..height-1, each row
-    dense over 0..width-1."""
-    shared = wb.shared_strings()
-    # (style, fill) tuple per style index, resolved once per workbook
-    styles = ([((argb_to_rgb(s.bg_argb), argb_to_rgb(s.font_argb), s.bold, s.italic), (s.fg_resolved, s.bg_resolved))
-               for s in wb.cell_styles()] if with_styles else [])
-    width = scan.width
-    by_row: dict[int, list[tuple[int, int, int, int, int]]] = {}
-    for k, (r0, r1, c0, c1) in enumerate(scan.merges):
-        for r in range(r0, r1 + 1):
-            by_row.setdefault(r, []).append((k, c0, c1, r0, r1))
-    default_style = (None, None, False, False)
-
-    def merge_for(r: int, c: int):
-        for _k, c0, c1, r0, r1 in by_row.get(r, ()):
+class _Densifier:
+    """Turns parsed rows ``{col: (content, style index)}`` into dense rows over
+    the used range: gap rows and absent cells read as '' with no style, and
+    every cell carries the first merge range containing it."""
+
+    def __init__(self, wb: Workbook, scan: SheetScan, with_styles: bool):
+        # (style, fill) tuple per style index, resolved once per workbook
+        self.styles = ([((argb_to_rgb(s.bg_argb), argb_to_rgb(s.font_argb), s.bold, s.italic),
+                         (s.fg_resolved, s.bg_resolved)) for s in wb.cell_styles()] if with_styles else [])
+        self.with_styles = with_styles
+        self.height, self.width = scan.height, scan.width
+        self.by_row: dict[int, list[tuple[int, int, int, int]]] = {}
+        for r0, r1, c0, c1 in scan.merges:
+            for r in range(r0, r1 + 1):
+                self.by_row.setdefault(r, []).append((c0, c1, r0, r1))
+        self.next_row = 0
+
+    def merge_for(self, r: int, c: int):
+        for c0, c1, r0, r1 in self.by_row.get(r, ()):
             if c0 <= c <= c1:
                 return (c0, c1, r0, r1)
         return None
 
-    def blank_row(r: int) -> list:
-        return [(c, "", default_style, ("", ""), merge_for(r, c)) for c in range(width)]
+    def blank_row(self, r: int) -> list:
+        return [(c, "", _NO_STYLE, _NO_FILL, self.merge_for(r, c)) for c in range(self.width)]
 
-    pending: collections.deque = collections.deque()
-    st = {"row": -1, "col": -1, "cells": None, "cell": None, "text": None, "in_v": False, "in_t": False,
-          "in_is": False, "next_row": 0}
-
-    def flush_row():
-        r = st["row"]
-        cells = st["cells"]
-        if r >= scan.height:   # a row element past the last cell is outside the used range
-            return
-        while st["next_row"] < r:
-            pending.append((st["next_row"], blank_row(st["next_row"])))
-            st["next_row"] += 1
+    def row(self, r: int, cells: dict) -> list[tuple[int, list]]:
+        """Gap rows before ``r`` and row ``r`` itself (nothing past the used range)."""
+        if r >= self.height:
+            return []
+        out = []
+        while self.next_row < r:
+            out.append((self.next_row, self.blank_row(self.next_row)))
+            self.next_row += 1
         dense = []
-        for c in range(width):
+        styles, n_styles = self.styles, len(self.styles)
+        for c in range(self.width):
             got = cells.get(c)
             if got is None:
-                dense.append((c, "", default_style, ("", ""), merge_for(r, c)))
+                dense.append((c, "", _NO_STYLE, _NO_FILL, self.merge_for(r, c)))
             else:
                 content, sidx = got
-                if with_styles and 0 <= sidx < len(styles):
-                    style, fill = styles[sidx]
-                else:
-                    style, fill = default_style, ("", "")
-                dense.append((c, content, style, fill, merge_for(r, c)))
-        pending.append((r, dense))
-        st["next_row"] = r + 1
+                style, fill = styles[sidx] if self.with_styles and 0 <= sidx < n_styles else (_NO_STYLE, _NO_FILL)
+                dense.append((c, content, style, fill, self.merge_for(r, c)))
+        out.append((r, dense))
+        self.next_row = r + 1
+        return out
 
-    def start(name, attrs):
+    def tail(self) -> Iterator[tuple[int, list]]:
+        while self.next_row < self.height:
+            yield self.next_row, self.blank_row(self.next_row)
+            self.next_row += 1
+
+
+_NO_STYLE = (None, None, False, False)
+_NO_FILL = ("", "")
+
+
+class _SheetParser:
+    """expat handlers for ``sheetData`` rows; calls ``on_row(r, cells)`` at
+    each row end.  With ``track=True`` it also records, exactly like
+    :func:`scan_sheet`, the used range and the merge ranges."""
+
+    def __init__(self, shared: list[str], on_row, track: bool = False):
+        self.shared, self.on_row, self.track = shared, on_row, track
+        self.row, self.col, self.cells, self.cell, self.text = -1, -1, None, None, None
+        self.in_v = self.in_t = self.in_is = False
+        self.srow, self.scol, self.max_row, self.max_col = -1, -1, -1, -1
+        self.merges: list[tuple[int, int, int, int]] = []
+
+    def start(self, name, attrs):
         ln = _local(name)
         if ln == "row":
             rr = attrs.get("r")
-            st["row"] = int(rr) - 1 if rr else st["row"] + 1
-            st["col"] = -1
-            st["cells"] = {}
+            self.row = int(rr) - 1 if rr else self.row + 1
+            self.col = -1
+            self.cells = {}
+            if self.track:
+                self.srow = int(rr) - 1 if rr else self.srow + 1
+                self.scol = -1
         elif ln == "c":
             pos = parse_ref(attrs.get("r", ""))
-            if pos is not None:
-                st["col"] = pos[1]
-            else:
-                st["col"] += 1
-            st["cell"] = (attrs.get("t", "n"), int(attrs.get("s", 0) or 0))
-            st["text"] = []
+            self.col = pos[1] if pos is not None else self.col + 1
+            self.cell = (attrs.get("t", "n"), int(attrs.get("s", 0) or 0))
+            self.text = []
+            if self.track:
+                if pos is not None:
+                    self.srow, self.scol = pos
+                else:
+                    self.scol += 1
+                if self.srow > self.max_row:
+                    self.max_row = self.srow
+                if self.scol > self.max_col:
+                    self.max_col = self.scol
         elif ln == "v":
-            st["in_v"] = True
+            self.in_v = True
         elif ln == "is":
-            st["in_is"] = True
-        elif ln == "t" and st["in_is"]:
-            st["in_t"] = True
+            self.in_is = True
+        elif ln == "t" and self.in_is:
+            self.in_t = True
+        elif ln == "mergeCell" and self.track:
+            a, _, b = attrs.get("ref", "").partition(":")
+            p, q = parse_ref(a), parse_ref(b or a)
+            if p is not None and q is not None:   # a range with a missing coordinate is skipped
+                self.merges.append((min(p[0], q[0]), max(p[0], q[0]), min(p[1], q[1]), max(p[1], q[1])))
 
-    def end(name):
+    def end(self, name):
         ln = _local(name)
         if ln == "v":
-            st["in_v"] = False
+            self.in_v = False
         elif ln == "t":
-            st["in_t"] = False
+            self.in_t = False
         elif ln == "is":
-            st["in_is"] = False
+            self.in_is = False
         elif ln == "c":
-            typ, sidx = st["cell"]
-            raw = "".join(st["text"])
+            typ, sidx = self.cell
+            raw = "".join(self.text)
             if typ == "s":
                 try:
-                    content = shared[int(raw)]
+                    content = self.shared[int(raw)]
                 except (ValueError, IndexError):
                     content = ""
             elif typ == "b":
                 content = "TRUE" if raw.strip() in ("1", "true") else "FALSE"
             else:
                 content = raw
-            st["cells"][st["col"]] = (content, sidx)
+            self.cells[self.col] = (content, sidx)
         elif ln == "row":
-            flush_row()
+            self.on_row(self.row, self.cells)
 
-    def chars(text):
-        if st["in_v"] or st["in_t"]:
-            st["text"].append(text)
+    def chars(self, text):
+        if self.in_v or self.in_t:
+            self.text.append(text)
 
-    p = expat.ParserCreate(namespace_separator=" ")
-    p.buffer_text = True
-    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, end, chars
+    def parser(self):
+        p = expat.ParserCreate(namespace_separator=" ")
+        p.buffer_text = True
+        p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = self.start, self.end, self.chars
+        return p
+
+
+def iter_sheet_rows(wb: Workbook, part: str, scan: SheetScan, with_styles: bool = True) -> Iterator[tuple[int, list]]:
+    """Pass 2: yield (row_index, cells) for every row 0..height-1, each row
+    dense over 0..width-1, streaming (bounded memory)."""
+    dz = _Densifier(wb, scan, with_styles)
+    pending: collections.deque = collections.deque()
+    sp = _SheetParser(wb.shared_strings(), lambda r, cells: pending.extend(dz.row(r, cells)))
+    p = sp.parser()
     with wb.zf.open(part) as f:
         while True:
             chunk = f.read(1 << 18)
@@ -453,6 +498,35 @@ def iter_sheet_rows(wb: Workbook, part: str, scan: SheetScan, with_styles: bool
         p.Parse(b"", True)
     while pending:
         yield pending.popleft()
-    while st["next_row"] < scan.height:
-        yield st["next_row"], blank_row(st["next_row"])
-        st["next_row"] += 1
+    yield from dz.tail()
+
+
+# A sheet whose XML is at most this size is parsed once with its raw rows kept
+# in memory; a larger one in two streaming passes (merges follow the rows).
+SMALL_SHEET_BYTES = 8 << 20
+
+
+def read_sheet(wb: Workbook, part: str, with_styles: bool = True,
+               single_pass: bool = True) -> tuple[SheetScan, Iterator[tuple[int, list]]]:
+    """(used range + merges, dense rows).  The whole sheet XML is parsed (and
+    validated) before the first row is returned.  ``single_pass=False`` forces
+    the two streaming passes (used when several sheets are decoded together,
+    so that at most one sheet's raw rows are ever held)."""
+    try:
+        size = wb.zf.getinfo(part).file_size
+    except KeyError:
+        raise DecodeError(f"missing sheet part {part}") from None
+    if size > SMALL_SHEET_BYTES or not single_pass:
+        scan = scan_sheet(wb, part)
+        return scan, iter_sheet_rows(wb, part, scan, with_styles)
+    raw: list[tuple[int, dict]] = []
+    sp = _SheetParser(wb.shared_strings(), lambda r, cells: raw.append((r, cells)), track=True)
+    sp.parser().Parse(wb.zf.read(part), True)
+    scan = SheetScan(sp.max_row + 1, sp.max_col + 1, sp.merges)
+
+    def rows() -> Iterator[tuple[int, list]]:
+        dz = _Densifier(wb, scan, with_styles)
+        for r, cells in raw:
+            yield from dz.row(r, cells)
+        yield from dz.tail()
+    return scan, rows()

@@ -123,20 +123,22 @@ def _decode_into(out: "_Batch", path: str, content: bytes, sheets, styles, max_r
         if not wb.sheets:
             raise ooxml.DecodeError("workbook has no sheets")
         plan = []
-        for idx in _choose(wb.sheets, sheets):
+        chosen = _choose(wb.sheets, sheets)
+        for idx in chosen:
             if not 0 <= idx < len(wb.sheets):
                 raise ooxml.DecodeError(f"sheet index {idx} out of range ({len(wb.sheets)} sheets)")
             name, part = wb.sheets[idx]
-            scan = ooxml.scan_sheet(wb, part)     # validates the whole sheet XML before any row is emitted
+            # the whole sheet XML is parsed (validated) before any row is emitted
+            scan, rows = ooxml.read_sheet(wb, part, with_styles=styles, single_pass=len(chosen) == 1)
             if scan.height > max_rows or scan.width > max_cols:
                 raise ooxml.DecodeError(f"sheet {name!r} is {scan.height} x {scan.width}, over the "
                                         f"{max_rows} x {max_cols} limit")
-            plan.append((idx, name, part, scan))
+            plan.append((idx, name, rows))
     except Exception as e:  # noqa: BLE001 - any decode failure isolates this file
         out.add_error(path, f"{type(e).__name__}: {e}")
         return
-    for idx, name, part, scan in plan:
-        for r, cells in ooxml.iter_sheet_rows(wb, part, scan, with_styles=styles):
+    for idx, name, rows in plan:
+        for r, cells in rows:
             out.add_row(path, idx, name, r, cells)
             if len(out) >= batch_rows:
                 yield out
@@ -281,10 +283,9 @@ def _table_into(out: _TableBatch, path: str, content: bytes, sheet, batch_rows:
         if not 0 <= idx < len(wb.sheets):
             raise ooxml.DecodeError(f"sheet index {idx} out of range ({len(wb.sheets)} sheets)")
         name, part = wb.sheets[idx]
-        scan = ooxml.scan_sheet(wb, part)
+        scan, rows = ooxml.read_sheet(wb, part, with_styles=False)
         if scan.height == 0 or scan.width == 0:
             raise ooxml.DecodeError(f"sheet {name!r} is empty")
-        rows = ooxml.iter_sheet_rows(wb, part, scan, with_styles=False)
         _, first = next(rows)
         header = header_names([c[1] for c in first])
         if len(set(header)) < len(header):

@@ -114,3 +114,23 @@ def test_tables_first_sheet(spark, book_dir):
     assert status["D.xlsx"]["error"] is not None
     e = run.tables.where(F.col("source_file").endswith("E.xlsx")).orderBy("row_index").collect()
     assert [list(r["values"]) for r in e] == TABLE[1:]
+
+
+def test_single_and_two_pass_decode_agree(monkeypatch):
+    """Small sheets are parsed once, large ones in two streaming passes: both
+    must give the same rows (forced here by the size threshold)."""
+    from sheetlens.sources import ooxml
+
+    content = workbook_bytes([("Grid", GRID, [(0, 0, 0, 2), (2, 1, 3, 1)]), ("Table", TABLE, [])])
+    gapped = workbook_bytes([("G", [None, [{"v": "a"}], None, [None, {"v": 1}]], [])], omit_refs=False)
+
+    def decode(c, sheets):
+        return [b.to_pylist() for b in XL.decode_file("x.xlsx", c, sheets=sheets)]
+
+    for c in (content, gapped):
+        for sheets in ("first", "all", 1):
+            once = decode(c, sheets)
+            monkeypatch.setattr(ooxml, "SMALL_SHEET_BYTES", 0)
+            twice = decode(c, sheets)
+            monkeypatch.setattr(ooxml, "SMALL_SHEET_BYTES", 8 << 20)
+            assert once == twice
