@@ -111,6 +111,10 @@ class Style:
     italic: bool = False
 
 
+_STYLE_CACHE: dict[tuple, list] = {}
+_STYLE_CACHE_MAX = 256
+
+
 @dataclass
 class Workbook:
     zf: zipfile.ZipFile
@@ -219,8 +223,18 @@ class Workbook:
         return self.theme
 
     def cell_styles(self) -> list[Style]:
+        """Parsed cell formats.  Workbooks made from one template carry the
+        same styles and theme parts, so the parse is cached per worker keyed
+        by the exact bytes of both parts (no collisions, bounded size)."""
         if self.styles is None:
-            self.styles = self._read_styles()
+            key = (self._member("xl/styles.xml"), self._member("xl/theme/theme1.xml"))
+            cached = _STYLE_CACHE.get(key)
+            if cached is None:
+                cached = self._read_styles()
+                if len(_STYLE_CACHE) >= _STYLE_CACHE_MAX:
+                    _STYLE_CACHE.clear()
+                _STYLE_CACHE[key] = cached
+            self.styles = cached
         return self.styles
 
     def _color(self, attrs: dict, resolve_theme: bool) -> str:
