@@ -11,6 +11,7 @@ import warnings
 from dataclasses import dataclass, field
 from typing import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -245,3 +246,38 @@ class ExprRule(Rule):
 
     def confidence(self) -> float:
         return self.conf
+
+
+@dataclass
+class PythonRule(Rule):
+    """User rule in plain Python, for logic the Column rules cannot express:
+    ``fn(contents, backgrounds, merges) -> bool`` per row, where ``merges`` is
+    a list of ``(start_col, end_col)`` or None per cell.  Evaluated by a
+    pandas UDF (Arrow batches of rows); the slow path, so prefer the Column
+    rules or :class:`ExprRule` when they fit."""
+
+    name: str
+    fn: Callable[[list, list, list], bool]
+    conf: float = 1.0
+
+    def to_column(self, ctx: RuleContext = DEFAULT_CONTEXT) -> Column:
+        from pyspark.sql.functions import pandas_udf
+
+        fn = self.fn
+
+        @pandas_udf("boolean")
+        def evaluate(contents: pd.Series, bgs: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+            out = []
+            for c, b, s, e in zip(contents, bgs, starts, ends):
+                merges = [None if a is None or pd.isna(a) else (int(a), int(z)) for a, z in zip(s, e)]
+                out.append(bool(fn(list(c), list(b), merges)))
+            return pd.Series(out, dtype=bool)
+
+        cells = ctx.cells_col()
+        return _false_if_null(evaluate(
+            F.transform(cells, lambda c: c["content"]), F.transform(cells, lambda c: c["style"]["background_color"]),
+            F.transform(cells, lambda c: c["merge_info"]["start_col"]),
+            F.transform(cells, lambda c: c["merge_info"]["end_col"])))
+
+    def confidence(self) -> float:
+        return self.conf

@@ -851,3 +851,20 @@ def xlsx_listing(spark, sf_dir):
     write_binary_files(wb.unionByName(notes), in_dir)
     return list_files(spark, in_dir).select(F.element_at(F.split("file", "/"), -1).alias("file"),
                                             (F.col("length") > 0).alias("non_empty"))
+
+
+from sheetlens.operators.rules import PythonRule  # noqa: E402
+
+
+def _numeric_pair(contents, backgrounds, merges):
+    """User rule in plain Python: the row's first two cells are whole numbers
+    and the row is not merged."""
+    return (len(contents) >= 2 and all(c.strip().isdigit() for c in contents[:2])
+            and all(m is None for m in merges))
+
+
+@register("python_rule_rows", with_grid(
+    "SELECT file, row_index FROM f WHERE regexp_matches(trim(c0), '^[0-9]+$') AND regexp_matches(trim(c1), '^[0-9]+$') "
+    "AND m_start IS NULL"))
+def python_rule_rows(spark, sf_dir):
+    return _rule_rows(spark, sf_dir, PythonRule("numeric_pair", _numeric_pair))

@@ -72,3 +72,21 @@ def test_rule_columns_never_null(spark):
              MergeRule("m2", MergedMinColumns(2)), MergeRule("m3", NotMerged())]
     out = rows.select(*[r.to_column().alias(f"r{i}") for i, r in enumerate(rules)]).collect()
     assert all(v is not None for row in out for v in row)
+
+
+def test_python_rule_in_profile(spark):
+    from sheetlens.operators import classify as C
+    from sheetlens.operators.profiles import Profile, RowTypeDefinition, custom
+    from sheetlens.operators.rules import PythonRule
+
+    def two_numbers(contents, bgs, merges):
+        return sum(1 for c in contents if c.strip().isdigit()) >= 2 and merges[0] is None
+
+    rule = PythonRule("two_numbers", two_numbers)
+    rows = make_rows(spark, [[(0, "1"), (1, " 2 ")], [(0, "1"), (1, "x")], [(0, "3", None, (0, 1)), (1, "4")], []])
+    assert [r["m"] for r in rows.orderBy("row_index").select(rule.to_column().alias("m")).collect()] == [
+        True, False, False, False]
+    p = Profile("p").add(RowTypeDefinition(custom("Pair"), rule, 5)).add(
+        RowTypeDefinition("Data", ColorRule("w", "FFFFFF"), 1))
+    out = [r["row_type"] for r in C.classify(rows, p).orderBy("row_index").collect()]
+    assert out == ["custom:Pair", "Data", "Data", "Unknown"]
