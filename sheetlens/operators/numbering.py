@@ -51,11 +51,38 @@ def _total_order(df: DataFrame, order: Sequence[str | Column]) -> list[Column]:
     return keys
 
 
+def range_partitions(df: DataFrame) -> int:
+    """Partition count for a range exchange over ``df``: the configured
+    shuffle partitions, raised so that each partition holds about one advisory
+    partition size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) of
+    the optimizer's size estimate.  The exchange has a fixed count (AQE does
+    not resize it), so the count must follow the data."""
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate (e.g. remote session): keep the configured count
+        return base
+    target = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) or "64m")
+    return max(base, min(size // target + 1, 200_000))
+
+
+def _bytes(text: str) -> int:
+    """'67108864', '64m', '64MB', '1g' -> bytes."""
+    t = text.strip().lower().rstrip("b")
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(t[-1:], 1)
+    digits = t[:-1] if t[-1:] in "kmgt" else t
+    try:
+        return max(int(float(digits) * mult), 1)
+    except ValueError:
+        return 64 << 20
+
+
 def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str = "row_number",
                       partitions: int | None = None) -> DataFrame:
     """1-based row number over the whole table in ``order`` (remaining columns
     break ties)."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_partitions(df)
     keys = _total_order(df, order)
     s = (df.repartitionByRange(n, *keys)
            .sortWithinPartitions(*keys)

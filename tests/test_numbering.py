@@ -41,3 +41,11 @@ def test_number_rows_global_and_per_group(spark):
     per = number_rows(df, ["payload"], by=["k"]).where(F.col("k") == 0).orderBy("payload").collect()
     hot = df.where(F.col("k") == 0).count()
     assert [r["行号"] for r in per] == list(range(1, hot + 1))
+
+
+def test_range_partitions_follow_the_data(spark):
+    from sheetlens.operators.numbering import _bytes, range_partitions
+
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert range_partitions(spark.range(10)) == base
+    assert _bytes("64MB") == _bytes("64m") == 64 << 20 and _bytes("1g") == 1 << 30
