@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetlens.model import LOG_LEVELS
+from sheetlens.operators.numbering import explicit_partitions
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 LINE_RE = (r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] \[(" + "|".join(LOG_LEVELS) + r")\] (.*)$")
@@ -81,8 +82,7 @@ def write_logs(entries: DataFrame, out_dir: str, mode: str = "append") -> None:
     (``day=app_YYYYMMDD.log`` folders, Spark ``part-*.txt`` files inside).
     Range partitioning on time gives every task a contiguous time slice, so a
     busy day is split over several tasks and each file is in time order."""
-    n = max(entries.sparkSession.sparkContext.defaultParallelism,
-            int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = explicit_partitions(entries)
     (entries.select(log_file_name(F.col("ts")).alias("day"), F.col("ts"),
                     format_line(F.col("ts"), F.col("level"), F.col("message")).alias("value"))
      .repartitionByRange(n, "ts").sortWithinPartitions("day", "ts").drop("ts")

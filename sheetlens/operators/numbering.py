@@ -67,6 +67,13 @@ def range_partitions(df: DataFrame) -> int:
     return max(base, min(size // target + 1, 200_000))
 
 
+def explicit_partitions(df: DataFrame) -> int:
+    """Partition count for a shuffle with an explicit count over ``df`` (CPU
+    work per row, so AQE must not coalesce it): at least the cluster's cores
+    and at least the size-based count of :func:`range_partitions`."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, range_partitions(df))
+
+
 def _bytes(text: str) -> int:
     """'67108864', '64m', '64MB', '1g' -> bytes."""
     t = text.strip().lower().rstrip("b")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetlens.operators.numbering import explicit_partitions
 from sheetlens.plans.grid import CHUNK_ROWS, flat_grid
 from sheetlens.sources.xlsx_writer import workbook_bytes
 
@@ -104,8 +105,7 @@ def grid_workbooks(spark: SparkSession, sf_dir: str, corrupt_every: int | None =
     work, so AQE must not coalesce it into a few tasks, and a hot order's
     chunks spread over many tasks."""
     flat = flat_grid(spark, sf_dir).withColumn("chunk", F.floor(F.col("row_index") / CHUNK_ROWS).cast("bigint"))
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = (flat.repartition(n, "sheet_id", "chunk")
+    parts = (flat.repartition(explicit_partitions(flat), "sheet_id", "chunk")
                  .sortWithinPartitions("sheet_id", "chunk", "row_index")
                  .select("sheet_id", "chunk", *_FIELDS))
     return parts.mapInArrow(_encoder(corrupt_every), "path string, content binary")
