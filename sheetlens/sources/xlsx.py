@@ -270,28 +270,39 @@ class _TableBatch:
              pa.array(self.err, pa.string())], schema=_TABLE_ARROW)
 
 
+def _open_table(path: str, content: bytes, sheet):
+    """(header names, body rows) of the chosen sheet; raises on any failure
+    (decode error, empty sheet, duplicate header names).  The whole sheet XML
+    is parsed before this returns."""
+    wb = ooxml.Workbook.open(content)
+    if not wb.sheets:
+        raise ooxml.DecodeError("workbook has no sheets")
+    idx = _choose(wb.sheets, sheet)[0]
+    if not 0 <= idx < len(wb.sheets):
+        raise ooxml.DecodeError(f"sheet index {idx} out of range ({len(wb.sheets)} sheets)")
+    name, part = wb.sheets[idx]
+    scan, rows = ooxml.read_sheet(wb, part, with_styles=False)
+    if scan.height == 0 or scan.width == 0:
+        raise ooxml.DecodeError(f"sheet {name!r} is empty")
+    _, first = next(rows)
+    header = header_names([c[1] for c in first])
+    if len(set(header)) < len(header):
+        raise ooxml.DecodeError("duplicate column names in header")
+    return header, rows
+
+
+def _error_text(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
 def _table_into(out: _TableBatch, path: str, content: bytes, sheet, batch_rows: int) -> Iterator[_TableBatch]:
     """One workbook's sheet as a string table: header from row 1, body rows
     after it, then one status row (``row_index`` NULL, ``error`` NULL).
-    Failures (decode error, empty sheet, duplicate header names) give only the
-    status row with ``error`` set."""
+    Failures give only the status row with ``error`` set."""
     try:
-        wb = ooxml.Workbook.open(content)
-        if not wb.sheets:
-            raise ooxml.DecodeError("workbook has no sheets")
-        idx = _choose(wb.sheets, sheet)[0]
-        if not 0 <= idx < len(wb.sheets):
-            raise ooxml.DecodeError(f"sheet index {idx} out of range ({len(wb.sheets)} sheets)")
-        name, part = wb.sheets[idx]
-        scan, rows = ooxml.read_sheet(wb, part, with_styles=False)
-        if scan.height == 0 or scan.width == 0:
-            raise ooxml.DecodeError(f"sheet {name!r} is empty")
-        _, first = next(rows)
-        header = header_names([c[1] for c in first])
-        if len(set(header)) < len(header):
-            raise ooxml.DecodeError("duplicate column names in header")
-    except Exception as e:  # noqa: BLE001
-        out.add(path, None, None, None, f"{type(e).__name__}: {e}")
+        header, rows = _open_table(path, content, sheet)
+    except Exception as e:  # noqa: BLE001 - any failure isolates this file
+        out.add(path, None, None, None, _error_text(e))
         return
     for r, cells in rows:
         out.add(path, header, r, [c[1] for c in cells])
@@ -323,3 +334,27 @@ def decode_tables(files: DataFrame, sheet="first") -> DataFrame:
         yield from _table_stream(_items(batches), sheet)
 
     return files.select("path", "content").mapInArrow(run, TABLE_SCHEMA)
+
+
+def decode_status(files: DataFrame, sheet="first") -> DataFrame:
+    """(path, content) -> (file, error): the outcome of the table read of
+    every file (same checks and messages as :func:`decode_tables`) without
+    materialising its rows."""
+    schema = pa.schema([("file", pa.string()), ("error", pa.string())])
+
+    def run(batches):
+        f, er = [], []
+        for path, content in _items(batches):
+            try:
+                _open_table(path, content, sheet)
+                er.append(None)
+            except Exception as e:  # noqa: BLE001
+                er.append(_error_text(e))
+            f.append(path)
+            if len(f) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(er, pa.string())], schema=schema)
+                f, er = [], []
+        if f:
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(er, pa.string())], schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, "file string, error string")
