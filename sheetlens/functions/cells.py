@@ -29,3 +29,14 @@ def first_non_empty(cells: Column | str = "cells") -> Column:
 def contents(cells: Column | str = "cells") -> Column:
     """Row as an array of cell contents."""
     return F.transform(cells_col(cells), lambda c: c["content"])
+
+
+def column_span(merge: Column) -> Column:
+    """Columns covered by a merge range (``end_col - start_col + 1``; NULL
+    when the cell is not merged).  A vertical-only merge spans 1 column."""
+    return merge["end_col"] - merge["start_col"] + 1
+
+
+def row_span(merge: Column) -> Column:
+    """Rows covered by a merge range (``end_row - start_row + 1``)."""
+    return merge["end_row"] - merge["start_row"] + 1

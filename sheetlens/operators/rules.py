@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlens.functions.cells import cell_at, cells_col, first_non_empty
+from sheetlens.functions.cells import cell_at, cells_col, column_span, first_non_empty
 from sheetlens.functions.text import utrim
 from sheetlens.model import WHITE
 
@@ -186,8 +186,7 @@ class MergeRule(Rule):
             return _false_if_null(F.exists(cells, lambda c: (c["merge_info"]["start_col"] == req.start_col)
                                             & (c["merge_info"]["end_col"] == req.end_col)))
         if isinstance(req, MergedMinColumns):
-            return _false_if_null(F.exists(
-                cells, lambda c: c["merge_info"]["end_col"] - c["merge_info"]["start_col"] + 1 >= req.n))
+            return _false_if_null(F.exists(cells, lambda c: column_span(c["merge_info"]) >= req.n))
         return _false_if_null(F.forall(cells, lambda c: c["merge_info"].isNull()))
 
 

@@ -868,3 +868,16 @@ def _numeric_pair(contents, backgrounds, merges):
     "AND m_start IS NULL"))
 def python_rule_rows(spark, sf_dir):
     return _rule_rows(spark, sf_dir, PythonRule("numeric_pair", _numeric_pair))
+
+
+from sheetlens.functions.cells import column_span, row_span  # noqa: E402
+
+
+@register("merge_spans", with_grid(
+    "SELECT file, row_index, 0 AS column_index, m_end - m_start + 1 AS column_span, 1 AS row_span FROM f "
+    "WHERE m_start IS NOT NULL AND m_start <= 0 AND m_end >= 0 UNION ALL "
+    "SELECT file, row_index, 1, m_end - m_start + 1, 1 FROM f WHERE m_start IS NOT NULL AND m_start <= 1 AND m_end >= 1"))
+def merge_spans(spark, sf_dir):
+    cells = grid(spark, sf_dir).select("file", "row_index", F.inline("cells")).where(F.col("merge_info").isNotNull())
+    return cells.select("file", "row_index", "column_index", column_span(F.col("merge_info")).alias("column_span"),
+                        row_span(F.col("merge_info")).alias("row_span"))
