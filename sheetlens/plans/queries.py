@@ -528,10 +528,11 @@ def xlsx_table(spark, sf_dir):
 
 
 @register("batch_stats", f"SELECT count(*) AS total_files, count(*) FILTER (WHERE id % 97 <> 0) AS successful, "
-                         f"count(*) FILTER (WHERE id % 97 = 0) AS failed FROM ({_ORDER_FILES})")
+                         f"count(*) FILTER (WHERE id % 97 = 0) AS failed, "
+                         f"count(*) FILTER (WHERE id % 97 = 0) > 0 AS has_errors FROM ({_ORDER_FILES})")
 def batch_stats(spark, sf_dir):
     run = B.read_tables(grid_workbooks(spark, sf_dir, corrupt_every=97))
-    return run.stats().select("total_files", "successful", "failed")
+    return run.stats().select("total_files", "successful", "failed", "has_errors")
 
 
 @register("batch_status", f"SELECT file, id % 97 = 0 AS failed FROM ({_ORDER_FILES})")
