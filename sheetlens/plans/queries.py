@@ -882,3 +882,19 @@ def merge_spans(spark, sf_dir):
     cells = grid(spark, sf_dir).select("file", "row_index", F.inline("cells")).where(F.col("merge_info").isNotNull())
     return cells.select("file", "row_index", "column_index", column_span(F.col("merge_info")).alias("column_span"),
                         row_span(F.col("merge_info")).alias("row_span"))
+
+
+from sheetlens.streaming.logs import stream_logs  # noqa: E402
+
+
+@register("log_stream", f"SELECT ts, level, message FROM ({_PARSED_SQL})")
+def log_stream(spark, sf_dir):
+    """Log files (written from events) parsed by a file stream
+    (``readStream.text``, availableNow) into a parquet sink, read back."""
+    logs_dir, out, ck = _scratch(spark, "logs"), _scratch(spark, "log-stream-out"), _scratch(spark, "log-stream-ckpt")
+    LG.write_logs(_parsed_logs(spark, sf_dir), logs_dir)
+    schema = spark.read.text(logs_dir).schema          # value + the day= partition column
+    q = (stream_logs(spark, logs_dir, glob="*.txt", schema=schema).writeStream.format("parquet")
+         .option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).where(F.col("parsed")).select("ts", "level", "message")
