@@ -85,4 +85,5 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("result", RUN_RESULT),
     T.StructField("status_path", T.StringType()),
 ])
+# Log levels, in increasing severity.
 LOG_LEVELS = ("DEBUG", "INFO", "WARN", "ERROR")

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from sheetlens.model import LOG_LEVELS
 from sheetlens.operators.numbering import explicit_partitions
 
+# The log line's timestamp format, the daily file pattern and
+# the number of newest lines kept by the in-memory log.
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 LINE_RE = (r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] \[(" + "|".join(LOG_LEVELS) + r")\] (.*)$")
 FILE_GLOB = "app_*.log"
-MAX_KEPT = 1000          # lines kept by the in-memory ring of the reference logger
+MAX_KEPT = 1000
 
 
 def format_line(ts: Column, level: Column, message: Column) -> Column:

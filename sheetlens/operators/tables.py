@@ -12,6 +12,7 @@ from sheetlens.functions.cells import cell_at, contents
 from sheetlens.functions.text import utrim
 from sheetlens.operators.numbering import global_row_number, row_number_within
 
+# Name of the prepended row-number column.
 ROW_NUMBER_COL = "行号"
 
 
