@@ -91,18 +91,37 @@ def explain_rows(rows: DataFrame, profile: Profile, cells: str = "cells") -> Dat
         e["priority"].alias("priority"), e["matched"].alias("matched")))))
 
 
-def statistics(classified: DataFrame, by=SHEET_KEY) -> DataFrame:
+def statistics(classified: DataFrame, by=SHEET_KEY, profile: Profile | None = None) -> DataFrame:
     """Per sheet: total rows, Unknown count, success rate (0..1, 0 when empty)
-    and the per-type counts as a map (Unknown included)."""
+    and the per-type counts as a map of the types present (Unknown included).
+
+    With the ``profile`` that classified the rows, its row types are known on
+    the driver and everything is one aggregation (a conditional count per
+    type, combined map-side); without it, counts per (sheet, type) are
+    aggregated again per sheet."""
     by = list(by)
+    rate = lambda: F.when(F.col("total_rows") > 0,
+                          (F.col("total_rows") - F.col("unknown_count")) / F.col("total_rows")) \
+        .otherwise(F.lit(0.0)).cast("float")
+    if profile is not None:
+        types = list(dict.fromkeys([d.row_type for d in profile.definitions] + [UNKNOWN]))
+        rt = F.col("row_type")
+        agg = classified.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("total_rows"),
+            *[F.count_if(rt == F.lit(t)).alias(f"_n{i}") for i, t in enumerate(types)])
+        counts = F.map_filter(F.map_from_arrays(F.array(*[F.lit(t) for t in types]),
+                                                F.array(*[F.col(f"_n{i}") for i in range(len(types))])),
+                              lambda k, v: v > 0)
+        return (agg.withColumn("unknown_count", F.col(f"_n{types.index(UNKNOWN)}"))
+                   .withColumn("row_type_counts", counts)
+                   .select(*by, "total_rows", "unknown_count", "row_type_counts")
+                   .withColumn("success_rate", rate()))
     per_type = classified.groupBy(*by, "row_type").agg(F.count(F.lit(1)).alias("n"))
     return per_type.groupBy(*by).agg(
         F.sum("n").alias("total_rows"),
         F.coalesce(F.sum(F.when(F.col("row_type") == UNKNOWN, F.col("n"))), F.lit(0)).alias("unknown_count"),
         F.map_from_entries(F.collect_list(F.struct("row_type", "n"))).alias("row_type_counts"),
-    ).withColumn("success_rate", F.when(F.col("total_rows") > 0,
-                                        ((F.col("total_rows") - F.col("unknown_count")) / F.col("total_rows")))
-                 .otherwise(F.lit(0.0)).cast("float"))
+    ).withColumn("success_rate", rate())
 
 
 def type_counts(classified: DataFrame, by=()) -> DataFrame:

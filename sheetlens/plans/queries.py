@@ -70,7 +70,7 @@ def classified_rows(spark, sf_dir):
     "round((COUNT(*) - COUNT(*) FILTER (WHERE row_type = 'Unknown')) / COUNT(*), 6) AS success_rate, "
     "COUNT(*) FILTER (WHERE row_type = 'Data') AS data_count FROM c GROUP BY file"))
 def classification_stats(spark, sf_dir):
-    st = C.statistics(classified_grid(spark, sf_dir))
+    st = C.statistics(classified_grid(spark, sf_dir), profile=cargo_analysis())
     return st.select("file", "sheet_index", "total_rows", "unknown_count",
                      F.round((F.col("total_rows") - F.col("unknown_count")) / F.col("total_rows"), 6).alias("success_rate"),
                      F.coalesce(F.col("row_type_counts")["Data"], F.lit(0)).alias("data_count"))

@@ -78,3 +78,13 @@ def test_cargo_summary(spark):
     s = X.cargo_summary(cl, files=cl.select("file")).first()
     assert s["项目编号"] == "G00E-500009085-00011"
     assert s["柜号数量"] == 1 and s["数据行数量"] == 2
+
+
+def test_statistics_one_pass_equals_two_level(spark):
+    cl = C.classify(make_rows(spark, SHEET + SHEET[:4]), cargo_analysis())
+    a = C.statistics(cl).first()
+    b = C.statistics(cl, profile=cargo_analysis()).first()
+    assert (a["total_rows"], a["unknown_count"], a["success_rate"]) == (b["total_rows"], b["unknown_count"],
+                                                                         b["success_rate"])
+    assert dict(a["row_type_counts"]) == dict(b["row_type_counts"])
+    assert "SubTotal" not in b["row_type_counts"]          # only types present
