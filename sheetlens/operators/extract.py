@@ -39,8 +39,9 @@ def cargo_summary(classified: DataFrame, files: DataFrame | None = None, sheet_i
     """One row per file: project numbers joined by ', ' in row order, the
     number of cabinet rows having a column 1 and the number of data rows.
 
-    ``files`` (a ``file`` column, e.g. the manifest) keeps files whose sheet
-    is empty: they get ``'' / 0 / 0``.
+    ``files`` (a ``file`` column, e.g. the manifest) adds files whose sheet
+    is empty: they get ``'' / 0 / 0``; files with rows are kept whether or
+    not the list names them (outer join on the file key).
     """
     # counts combine map-side; the ordered project list holds only a sheet's
     # project rows (a sheet is bounded by the format's row limit)
@@ -54,7 +55,7 @@ def cargo_summary(classified: DataFrame, files: DataFrame | None = None, sheet_i
         F.count_if(F.col("_cab")).cast("int").alias(CABINET_COUNT),
         F.count_if(rt == "Data").cast("int").alias(DATA_ROW_COUNT))
     if files is not None:
-        agg = files.select("file").distinct().join(agg, "file", "left")
+        agg = files.select("file").distinct().join(agg, "file", "full_outer")
     return agg.select(
         "file",
         F.coalesce(F.col(PROJECT_NUMBERS), F.lit("")).alias(PROJECT_NUMBERS),

@@ -122,8 +122,9 @@ def all_matches(spark, sf_dir):
     "AS 项目编号, CAST(COUNT(*) FILTER (WHERE row_type = 'CabinetNumber') AS INTEGER) AS 柜号数量, "
     "CAST(COUNT(*) FILTER (WHERE row_type = 'Data') AS INTEGER) AS 数据行数量 FROM c GROUP BY file"))
 def cargo_summary(spark, sf_dir):
-    cl = classified_grid(spark, sf_dir)
-    return X.cargo_summary(cl, files=cl.select("file"))
+    # the sheet list comes from the order keys (a one-column distinct), not from a second pass over the grid
+    files = table(spark, sf_dir, "lineitem", "l_orderkey").select(sheet_file(F.col("l_orderkey")).alias("file"))
+    return X.cargo_summary(classified_grid(spark, sf_dir), files=files)
 
 
 @register("data_rows", with_classified(
