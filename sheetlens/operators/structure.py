@@ -39,7 +39,8 @@ def _row_colour_counts(rows: DataFrame) -> DataFrame:
     hexes = F.filter(F.transform("cells", cell_hex), lambda h: h.isNotNull())
     counted = F.transform(F.array_distinct(hexes), lambda h: F.struct(
         h.alias("hex"), F.size(F.filter(hexes, lambda x: x == h)).cast("bigint").alias("n")))
-    return rows.where(F.col("error").isNull()).select(*KEY, "row_index", counted.alias("colours"))
+    extra = ["width"] if "width" in rows.columns else []
+    return rows.where(F.col("error").isNull()).select(*KEY, "row_index", *extra, counted.alias("colours"))
 
 
 def color_histogram(rows: DataFrame) -> DataFrame:
@@ -59,13 +60,21 @@ def top_colors(rows: DataFrame, k: int = 8) -> DataFrame:
 
 def dominant_rows(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Rows whose most frequent colour covers more than max(width div 2, 1)
-    cells, width being the sheet width (uncoloured cells included)."""
-    sizes = sizes if sizes is not None else sheet_size(rows)
-    # the threshold is at least 1, so only counts >= 2 can qualify: drop the rest before the join
-    per_row = _row_colour_counts(rows).select(*KEY, "row_index", F.inline("colours")).where(F.col("n") >= 2)
-    return (per_row.join(sizes.select(*KEY, "width"), KEY)
-            .where(F.col("n") > F.greatest(F.expr("width div 2"), F.lit(1).cast("bigint")))
-            .select(*KEY, "row_index", "hex", "n"))
+    cells, width being the sheet width (uncoloured cells included).
+
+    Canonical rows are dense over the sheet's width, so the width is the
+    row's own cell count: one narrow pass, no aggregate, no join.  ``sizes``
+    (from :func:`sheet_size`) is for inputs whose rows are not dense."""
+    if sizes is None:
+        rows = rows.withColumn("width", F.size("cells").cast("bigint"))
+    # the threshold is at least 1, so only counts >= 2 can qualify
+    per_row = (_row_colour_counts(rows).select(*KEY, "row_index", *(["width"] if sizes is None else []),
+                                               F.inline("colours"))
+               .where(F.col("n") >= 2))
+    if sizes is not None:
+        per_row = per_row.join(sizes.select(*KEY, "width"), KEY)
+    threshold = F.greatest(F.expr("width div 2"), F.lit(1).cast("bigint"))
+    return per_row.where(F.col("n") > threshold).select(*KEY, "row_index", "hex", "n")
 
 
 def color_sample(rows: DataFrame, only_uncoloured: bool = True, max_rows: int = 10, max_cols: int = 5) -> DataFrame:
@@ -96,3 +105,20 @@ def analyze_structure(rows: DataFrame, sheet: str | int | None = None, colors: b
         out.update(colors=top_colors(picked), dominant=dominant_rows(picked, out["size"]),
                    sample=color_sample(picked))
     return out
+
+
+def analyze_workbooks(files: DataFrame, sheet: str | int | None = None, colors: bool = False) -> dict:
+    """The structure job on workbook files ``(path, content)``: the decoder
+    picks the sheet (by name, else the first), the rows are decoded once into
+    a reliable checkpoint (the session's checkpoint folder), and every output
+    reads that checkpoint."""
+    from sheetlens.session import ensure_checkpoint_dir
+    from sheetlens.sources.xlsx import decode_workbooks
+
+    ensure_checkpoint_dir(files.sparkSession)
+    rows = decode_workbooks(files, sheets=sheet if sheet is not None else "first").checkpoint(eager=True)
+    out = {"size": sheet_size(rows), "dump": sheet_dump(rows), "errors": rows.where(F.col("error").isNotNull())
+           .select("file", "error")}
+    if colors:
+        out.update(colors=top_colors(rows), dominant=dominant_rows(rows), sample=color_sample(rows))
+    return out

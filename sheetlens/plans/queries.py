@@ -834,8 +834,7 @@ def per_file_udf(spark, sf_dir):
     "WHERE f2.file = f.file) - 1) + 1 AS dumped_rows FROM f GROUP BY file"))
 def structure_named_sheet(spark, sf_dir):
     """The structure job on decoded workbooks, choosing the sheet by name."""
-    rows = XL.decode_workbooks(grid_workbooks(spark, sf_dir), sheets="all")
-    out = S.analyze_structure(rows, sheet="Lines")
+    out = S.analyze_workbooks(grid_workbooks(spark, sf_dir), sheet="Lines")
     dumped = out["dump"].groupBy("file").agg(F.count(F.lit(1)).alias("dumped_rows"))
     return out["size"].join(dumped, "file").select("file", "sheet_index", "height", "width", "dumped_rows")
 

@@ -29,3 +29,18 @@ def test_promote_header(spark):
     dup = make_rows(spark, [[(0, "a"), (1, "a")], [(0, "1"), (1, "2")]])
     with pytest.raises(ValueError):
         promote_header(dup)
+
+
+def test_dominant_rows_dense_width_equals_sheet_size(spark):
+    from sheetlens.operators.structure import dominant_rows, sheet_size
+
+    def c(i, fill):                   # conftest.cell arguments: index, content, bg, merge, font, bold, fg_resolved
+        return (i, "x", None, None, None, False, fill)
+    rows = make_rows(spark, [[c(0, "FFAA0000"), c(1, "FFAA0000"), c(2, "")],
+                             [c(0, "FFAA0000"), c(1, "FF00BB00"), c(2, "FF00BB00")],
+                             [c(0, ""), c(1, ""), c(2, "")]])
+    a = sorted(tuple(r) for r in dominant_rows(rows).collect())
+    b = sorted(tuple(r) for r in dominant_rows(rows, sheet_size(rows)).collect())
+    assert a == b == [("t.xlsx", 0, 0, "AA0000", 2), ("t.xlsx", 0, 1, "00BB00", 2)]
+    one = make_rows(spark, [[c(0, "FFAA0000")]], file="w1.xlsx")          # width 1 never reports
+    assert dominant_rows(one).count() == 0

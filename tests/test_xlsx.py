@@ -134,3 +134,14 @@ def test_single_and_two_pass_decode_agree(monkeypatch):
             twice = decode(c, sheets)
             monkeypatch.setattr(ooxml, "SMALL_SHEET_BYTES", 8 << 20)
             assert once == twice
+
+
+def test_analyze_workbooks_decodes_once_per_choice(spark, book_dir):
+    from sheetlens.operators.structure import analyze_workbooks
+
+    out = analyze_workbooks(XL.binary_files(spark, book_dir), sheet="Table", colors=True)
+    sizes = {os.path.basename(r["file"]): (r["sheet_index"], r["height"], r["width"]) for r in out["size"].collect()}
+    assert sizes["A.xlsx"] == (1, 4, 3)            # named sheet
+    assert sizes["E.xlsx"] == (0, 4, 3)            # no sheet of that name: the first
+    assert {os.path.basename(r["file"]) for r in out["errors"].collect()} == {"D.xlsx"}
+    assert out["dump"].where(F.col("file").endswith("A.xlsx")).count() == 4
