@@ -80,18 +80,24 @@ def dominant_rows(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
 def color_sample(rows: DataFrame, only_uncoloured: bool = True, max_rows: int = 10, max_cols: int = 5) -> DataFrame:
     """Raw fill values of the first ``max_rows`` x ``max_cols`` cells that have
     any, for sheets without a detected colour (all sheets when
-    ``only_uncoloured`` is False; then ``sheet_has_colors`` tells which)."""
+    ``only_uncoloured`` is False; then ``sheet_has_colors`` tells which).
+
+    One pass: each row contributes whether it has a detected colour and, if
+    it is among the first ``max_rows``, its sampled cells; one aggregation per
+    sheet combines them (at most ``max_rows`` x ``max_cols`` cells per sheet)."""
     ok = rows.where(F.col("error").isNull())
-    coloured = color_histogram(ok).select(*KEY).distinct().withColumn("sheet_has_colors", F.lit(True))
-    cells = (ok.where(F.col("row_index") < max_rows)
-               .select(*KEY, "row_index", F.inline(F.slice("cells", 1, max_cols)))
-               .where((F.coalesce(F.col("fill.fg_resolved"), F.lit("")) != "")
-                      | (F.coalesce(F.col("fill.bg_resolved"), F.lit("")) != ""))
-               .select(*KEY, "row_index", "column_index",
-                       F.coalesce(F.col("fill.fg_resolved"), F.lit("")).alias("fg_argb"),
-                       F.coalesce(F.col("fill.bg_resolved"), F.lit("")).alias("bg_argb")))
-    out = cells.join(coloured, KEY, "left").withColumn(
-        "sheet_has_colors", F.coalesce(F.col("sheet_has_colors"), F.lit(False)))
+    fg = lambda c: F.coalesce(c["fill"]["fg_resolved"], F.lit(""))
+    bg = lambda c: F.coalesce(c["fill"]["bg_resolved"], F.lit(""))
+    sampled = F.when(F.col("row_index") < max_rows, F.transform(
+        F.filter(F.slice("cells", 1, max_cols), lambda c: (fg(c) != "") | (bg(c) != "")),
+        lambda c: F.struct(F.col("row_index").alias("row_index"), c["column_index"].alias("column_index"),
+                           fg(c).alias("fg_argb"), bg(c).alias("bg_argb"))))
+    per_sheet = (ok.select(*KEY, F.exists("cells", lambda c: cell_hex(c).isNotNull()).alias("_coloured"),
+                           sampled.alias("_sample"))
+                 .groupBy(*KEY).agg(F.max("_coloured").alias("sheet_has_colors"),
+                                    F.flatten(F.collect_list("_sample")).alias("_cells")))
+    out = per_sheet.select(*KEY, "sheet_has_colors", F.inline("_cells")).select(
+        *KEY, "row_index", "column_index", "fg_argb", "bg_argb", "sheet_has_colors")
     return out.where(~F.col("sheet_has_colors")) if only_uncoloured else out
 
 
