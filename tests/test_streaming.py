@@ -58,3 +58,15 @@ def test_log_helpers(spark):
     assert [r["message"] for r in LG.filter_level(p, "WARN").orderBy("ts").collect()] == ["a", "c"]
     assert [r["message"] for r in LG.last_n(p, 2).collect()] == ["c", "b"]
     assert LG.render(p).orderBy("ts").first()["text"] == "2024-01-01 10:00:00 [WARN] a"
+
+
+def test_binary_sink_accepts_file_uris(spark):
+    from sheetlens.sources.files import write_binary_files
+
+    d = tempfile.mkdtemp(prefix="sheetlens-sink-")
+    df = spark.createDataFrame([("x/a.bin", b"12"), ("y/b.bin", b"345")], "path string, content binary")
+    write_binary_files(df, "file:" + d + "/out")
+    write_binary_files(df, "file:" + d + "/out")                 # a rerun rewrites the same files
+    assert sorted(os.listdir(d + "/out")) == ["a.bin", "b.bin"]
+    with open(os.path.join(d, "out", "b.bin"), "rb") as f:
+        assert f.read() == b"345"
