@@ -755,7 +755,7 @@ def batch_csv_roundtrip(spark, sf_dir):
     in_dir, out_dir = _scratch(spark, "workbooks"), _scratch(spark, "csv")
     write_binary_files(grid_workbooks(spark, sf_dir, corrupt_every=97), in_dir)
     B.run_batch(spark, in_dir, out_dir)
-    return spark.read.text(out_dir).select("file", "value")
+    return B.read_csv_lines(spark, out_dir)
 
 
 @register("batch_stream", f"SELECT count(*) AS total_files, count(*) FILTER (WHERE id % 97 <> 0) AS successful, "

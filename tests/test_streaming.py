@@ -32,7 +32,8 @@ def test_second_run_sees_only_new_files(spark):
     assert sorted(per_batch.values()) == [1, 2]
     s = run_stats(st).first()
     assert (s["total_files"], s["successful"], s["failed"]) == (3, 2, 1)
-    lines = spark.read.text(os.path.join(out_dir, "tables")).where(F.col("file") == "c.xlsx")
+    from sheetlens.operators.batch import read_csv_lines
+    lines = read_csv_lines(spark, os.path.join(out_dir, "tables")).where(F.col("file") == "c.xlsx")
     assert sorted(r["value"] for r in lines.collect()) == ["1,2", "3,4", "a,b"]
 
 
@@ -70,3 +71,17 @@ def test_binary_sink_accepts_file_uris(spark):
     assert sorted(os.listdir(d + "/out")) == ["a.bin", "b.bin"]
     with open(os.path.join(d, "out", "b.bin"), "rb") as f:
         assert f.read() == b"345"
+
+
+def test_text_sink_one_file_per_key_and_rerun_safe(spark):
+    from sheetlens.sources.files import write_text_files
+
+    d = tempfile.mkdtemp(prefix="sheetlens-text-")
+    df = spark.createDataFrame([("a", 0, "h"), ("a", 1, "x,y"), ("b", 0, "h2"), ("a", 2, "z")],
+                               "file string, row_index int, value string")
+    ordered = df.repartition(3, "file").sortWithinPartitions("file", "row_index")
+    write_text_files(ordered, d, suffix=".csv")
+    write_text_files(ordered, d, suffix=".csv")                  # rerun: same files, no duplicates
+    assert sorted(os.listdir(d)) == ["a.csv", "b.csv"]           # no temporary files left
+    with open(os.path.join(d, "a.csv")) as f:
+        assert f.read() == "h\nx,y\nz\n"
