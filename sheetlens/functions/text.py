@@ -40,3 +40,10 @@ def display_hex(c: Column | str) -> Column:
 def extension(path: Column | str) -> Column:
     """File extension after the last dot of the last path segment ('' when none)."""
     return F.regexp_extract(_col(path), r"\.([^./]+)$", 1)
+
+
+def rgb_components(hex_rgb: Column | str) -> Column:
+    """``RRGGBB`` -> struct<r, g, b> of 0..255 integers (NULL in, NULL out)."""
+    h = _col(hex_rgb)
+    part = lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("int")
+    return F.when(h.isNotNull(), F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))

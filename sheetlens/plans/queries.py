@@ -898,3 +898,16 @@ def log_stream(spark, sf_dir):
          .option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out).where(F.col("parsed")).select("ts", "level", "message")
+
+
+from sheetlens.functions.text import rgb_components  # noqa: E402
+
+
+@register("color_components", with_grid(
+    f"SELECT file, hex, CAST(('0x' || substr(hex, 1, 2)) AS INTEGER) AS r, "
+    f"CAST(('0x' || substr(hex, 3, 2)) AS INTEGER) AS g, CAST(('0x' || substr(hex, 5, 2)) AS INTEGER) AS b "
+    f"FROM (SELECT DISTINCT file, upper(substr(argb, 3, 6)) AS hex FROM ({_CELL_COLOURS}))"))
+def color_components(spark, sf_dir):
+    """Each sheet's colours as r, g, b integers."""
+    h = S.color_histogram(grid(spark, sf_dir)).select("file", "hex")
+    return h.select("file", "hex", rgb_components("hex").alias("c")).select("file", "hex", "c.r", "c.g", "c.b")
