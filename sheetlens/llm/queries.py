@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlens.llm import mixing, packing, shard, suffix
+from sheetlens.llm import mixing, neardup, packing, shard, suffix
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents: five words, similarity 0.75."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, RANKS)
@@ -45,6 +51,7 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hyperminhash_dedup": op1_hyperminhash_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_curriculum_mix": op7_curriculum_mix,
