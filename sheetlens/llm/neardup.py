@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlens.llm.common import bytes_of, drop, own_names, slices, written
@@ -196,7 +196,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WORDS,
-                    percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                    percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, copy: str | None = None) -> DataFrame:
     """``df`` with ``n_shingles`` (size of the document's set), ``component_id`` (the
     smallest id reachable over links, its own included) and ``kept`` (its id is the
     component's).
@@ -204,8 +204,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     A link: 100 * intersection >= percent * union of the sets.  A null or blank text has
     the empty set and no links.  A document with a null id takes part; it is kept only
     if no document with an id stands in its component, whose id is then null.  Rows
-    repeated whole are equal documents with one id.  An empty table gives an empty
-    result.  Input columns with the names of the new ones are replaced."""
+    repeated whole are equal documents with one id; ``copy`` names a column that numbers
+    them from 1, so that one can be taken.  An empty table gives an empty result.  Input columns with the names of the new ones are replaced."""
     base = df.drop("n_shingles", "component_id", "kept")
     names = own_names(base, ["_rid"])
     rid = names["_rid"]
@@ -245,7 +245,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     found = (docs.select("rid", "n", "hi", "lo").dropDuplicates(["rid"]).join(place, ["hi", "lo"], "left")
                  .select(F.col("rid").alias(rid), F.col("n").alias("n_shingles"), "component_id"))
     ident = F.col(doc_id).cast("long")
-    return (base.join(found, rid).drop(rid)
+    out = base.join(found, rid)
+    if copy:
+        out = out.withColumn(copy, F.row_number().over(Window.partitionBy(rid).orderBy(rid)))
+    return (out.drop(rid)
                 .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(ident))
                 .withColumn("kept", ident.eqNullSafe(F.col("component_id"))))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlens.llm import mixing, neardup, packing, shard, suffix
+from sheetlens.llm import mixing, neardup, packing, quality, shard, suffix
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +24,12 @@ def op1_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's votes, weak labels, scores and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, RANKS)
@@ -52,6 +58,7 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash_dedup": op1_hyperminhash_dedup,
+    "op2_weak_label_quality": op2_weak_label_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_curriculum_mix": op7_curriculum_mix,
