@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlens.llm import mixing, neardup, packing, quality, shard, suffix
+from sheetlens.llm import langid, mixing, neardup, packing, quality, shard, suffix
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -41,6 +41,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by weights 1, 2, 3 over the sources, at most three times each."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_weak_label_quality": op2_weak_label_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_kneser_ney_langid": op6_kneser_ney_langid,
     "op7_curriculum_mix": op7_curriculum_mix,
     "op9_histogram_shards": op9_histogram_shards,
 }
