@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlens.llm import langid, mixing, neardup, packing, quality, shard, suffix
+from sheetlens.llm import langid, mixing, neardup, packing, pages, quality, shard, suffix
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,6 +53,11 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "copies", "position")
 
 
+def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract_main(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_kneser_ney_langid": op6_kneser_ney_langid,
     "op7_curriculum_mix": op7_curriculum_mix,
+    "op8_wrapper_induction": op8_wrapper_induction,
     "op9_histogram_shards": op9_histogram_shards,
 }
 
