@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlens.llm import langid, mixing, neardup, packing, pages, quality, shard, suffix
+from sheetlens.llm import ann, langid, mixing, neardup, packing, pages, quality, shard, suffix, topk
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,6 +35,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, RANKS)
 
 
+def op4_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found by cosine of every fiftieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of repeated strings of 400 bytes."""
     return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -58,6 +63,11 @@ def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_main(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op10_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of every fiftieth vector."""
+    return topk.top_products(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
@@ -71,11 +81,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash_dedup": op1_hyperminhash_dedup,
     "op2_weak_label_quality": op2_weak_label_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_adaptive_ann": op4_adaptive_ann,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_kneser_ney_langid": op6_kneser_ney_langid,
     "op7_curriculum_mix": op7_curriculum_mix,
     "op8_wrapper_induction": op8_wrapper_induction,
     "op9_histogram_shards": op9_histogram_shards,
+    "op10_cover_tree_topk": op10_cover_tree_topk,
 }
 
 ORACLE: dict[str, str] = {}
