@@ -34,7 +34,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     left of a character that was cut is left out) and ``n_chars`` counted anew.  A text from
     which nothing is removed stays as it is, null too."""
     out = suffix.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, _decoded(F.col("kept"))).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, suffix.decoded(F.col("kept"))).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
@@ -42,11 +42,6 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.select(docs.columns)
 
 
-@F.pandas_udf("string")
-def _decoded(kept):
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The curriculum: as many copies of each document as the mix takes whole, in training
     order.  Documents without words have no training position and are left out, as are

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlens.llm.common import bytes_of, drop, own_names, slices, written
@@ -374,3 +374,13 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     joined = base.join(found, rid, "left").withColumn("_r", remove(F.col(text), F.col(ranges)))
     return joined.select(*[F.col(f"`{c}`") for c in base.columns if c != rid],
                          *[F.col(f"_r.{c}").alias(c) for c in new])
+
+
+def decoded(kept: Column) -> Column:
+    """The text of UTF-8 bytes without what is left of characters that were cut."""
+
+    @F.pandas_udf("string")
+    def text(b):
+        return b.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+
+    return text(kept)
