@@ -15,9 +15,12 @@ below the threshold is dropped; the others are confirmed on their full sets.
 
 No bucket is expanded into all its pairs.  First every member of a bucket is
 compared with the bucket's first member, and components are formed.  Then, where
-a bucket still holds several components, its members outside the bucket's largest
-are compared with the members of other components.  Two documents that share a
-bucket are so either compared or already in one component: no link is lost.
+a bucket still holds several components, the registers of its members outside the
+bucket's largest are compared with those of the members of other components, inside
+a task, by blocks of at most ``BLOCK`` a side; a finer sketch of 1024 eight-bit
+registers decides there which pairs leave the task, each only from the first bucket
+that the two share.  Two documents that share a bucket are so either compared or
+already in one component: no link is lost.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ BUCKETS = 256          # 2**8: the first eight bits of a hash
 MANTISSA = 10
 BANDS, ROWS = 64, 6
 MARGIN = 0.15          # above five standard errors of the estimate: sqrt(.75 * .25 / 256) = 0.027
+FINE = 1024            # registers of the finer sketch, eight bits each
+FINE_MARGIN = 0.06     # above four standard errors: sqrt(.75 * .25 / 1024) = 0.0135
+BLOCK = 2048           # members of a bucket, on either side, that a task compares at once
 COLLISION = 0.169919487159739093975315012348630288992889  # fixed value: expected collisions, HyperMinHash paper
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -139,24 +145,35 @@ def _sketches(df: DataFrame, text: str, rid: str, doc_id: str, width: int) -> Da
         scan, "doc_id long, rid long, n long, hi long, lo long, sketch binary")
 
 
+class _Banding:
+    """Keys of the bands of registers: fixed choices of registers and multipliers."""
+
+    def __init__(self, bands: int, rows: int):
+        rng = np.random.default_rng(13)
+        self.pick = np.stack([rng.choice(BUCKETS, rows, replace=False) for _ in range(bands)])
+        self.mult = rng.integers(1, 1 << 62, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.salt = np.arange(1, bands + 1, dtype=np.uint64) * _MULT[0]
+
+    def __call__(self, regs: np.ndarray) -> np.ndarray:
+        h = np.repeat(self.salt[None, :], len(regs), 0)
+        for j in range(self.pick.shape[1]):
+            h = _mix(h + regs[:, self.pick[:, j]].astype(np.uint64) * self.mult[:, j])
+        return h
+
+
 def _bands(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     """(key, node): one row for each band of registers."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(13)
-        pick = np.stack([rng.choice(BUCKETS, rows, replace=False) for _ in range(bands)])
-        mult = rng.integers(1, 1 << 62, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        salt = np.arange(1, bands + 1, dtype=np.uint64) * _MULT[0]
+        keys = _Banding(bands, rows)
         for b in slices(batches):
-            regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            h = np.repeat(salt[None, :], len(regs), 0)
-            for j in range(rows):
-                h = _mix(h + regs[:, pick[:, j]].astype(np.uint64) * mult[:, j])
+            h = keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS))
             node = np.repeat(b.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(node)],
-                                             names=["key", "node"])
+            band = np.tile(np.arange(bands, dtype=np.int32), len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(band), pa.array(node)],
+                                             names=["key", "band", "node"])
 
-    return reps.select("node", "sketch").mapInArrow(scan, "key long, node long")
+    return reps.select("node", "sketch").mapInArrow(scan, "key long, band int, node long")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -218,8 +235,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     band = _bands(reps, bands, rows)
     pivot = band.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = written(band.join(pivot, "key"), "buckets")
-    sets = written(_full_sets(base, text, rid, reps.join(shared.select("node").distinct(), "node", "left_semi"), width),
-                   "sets")
+    sets = written(_full_sets(base, text, rid, reps.join(shared.select("node").distinct(), "node", "left_semi"), width,
+                              bands, rows), "sets")
     tried = written(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(),
                     "pairs")
     links = written(_confirmed(_likely(tried, reps, percent), sets, percent), "links")
@@ -227,20 +244,18 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     placed = written(shared.drop("pivot").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")),
                      "placed")
     top = (placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-                 .agg(F.max(F.struct("n", "comp")).alias("t"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-                 .select("key", F.col("t.comp").alias("top")))
+                 .agg(F.max(F.struct("n", "comp")).alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+                 .where("kinds > 1").select("key", F.col("t.comp").alias("top"), F.col("n").alias("members"),
+                                            (F.col("n") - F.col("t.n")).alias("others")))
     mixed = written(placed.join(top, "key"), "mixed")
-    x = mixed.where("comp <> top").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    y = mixed.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"))
-    rest = (x.join(y, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-             .distinct().join(tried, ["a", "b"], "left_anti"))
-    more = written(_confirmed(_likely(rest, reps, percent), sets, percent), "links")
+    rest = written(_across(mixed, sets, percent), "pairs")
+    more = written(_confirmed(rest, sets, percent), "links")
     comps = written(components(links.unionByName(more)), "components")
     of = reps.select("hi", "lo", "first", "node").join(comps, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node"))
     least = of.groupBy("comp").agg(F.min("first").alias("component_id"))
     place = written(of.join(least, "comp").select("hi", "lo", "component_id"), "places")
-    for t in (shared, sets, tried, links, first, placed, mixed, more, comps, reps):
+    for t in (shared, sets, tried, links, first, placed, mixed, rest, more, comps, reps):
         drop(t)
     found = (docs.select("rid", "n", "hi", "lo").dropDuplicates(["rid"]).join(place, ["hi", "lo"], "left")
                  .select(F.col("rid").alias(rid), F.col("n").alias("n_shingles"), "component_id"))
@@ -253,22 +268,88 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
                 .withColumn("kept", ident.eqNullSafe(F.col("component_id"))))
 
 
-def _full_sets(df: DataFrame, text: str, rid: str, reps: DataFrame, width: int) -> DataFrame:
-    """(node, words): the sorted hashes of the set of each class in ``reps``."""
+def _full_sets(df: DataFrame, text: str, rid: str, reps: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(node, n, words, bands, fine) of each class in ``reps``: the sorted hashes of its set, its band keys (32
+    bits each) and the finer sketch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known, probes, finer, keys = _Words(), _probes(BUCKETS), _probes(FINE), _Banding(bands, rows)
         for b in slices(batches):
             node, hi, lo = (b.column(k).to_pylist() for k in range(3))
-            out: list[tuple[int, bytes]] = []
+            out: list[tuple] = []
             for i, v in enumerate(bytes_of(b.column(3))):
-                s = shingles(bytes(v), known, width).tobytes()
-                d = xxhash.xxh3_128_intdigest(s)
+                s = shingles(bytes(v), known, width)
+                d = xxhash.xxh3_128_intdigest(s.tobytes())
                 if ((d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)) == (hi[i], lo[i]):
-                    out.append((node[i], s))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()),
-                                              pa.array([o[1] for o in out], pa.binary())], names=["node", "words"])
+                    key = keys(registers(s, probes)[None, :])[0].astype("<u4")
+                    out.append((node[i], len(s), s.tobytes(), key.tobytes(), registers(s, finer).astype(np.uint8).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)],
+                                             names=["node", "n", "words", "bands", "fine"])
 
     docs = df.select(F.col(rid).alias("rid"), F.col(text).alias("_text"))
     return (docs.join(reps.select("rid", "node", "hi", "lo"), "rid").select("node", "hi", "lo", "_text")
-                .mapInArrow(scan, "node long, words binary").dropDuplicates(["node"]))
+                .mapInArrow(scan, "node long, n long, words binary, bands binary, fine binary").dropDuplicates(["node"]))
+
+
+def _across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components that share a bucket and are likely links.  ``mixed``: (key, band,
+    node, comp, top, members, others), all members of the buckets that hold several components."""
+    least = percent / 100 - FINE_MARGIN
+
+    def compare(x: list[tuple], y: list[tuple], band: int) -> tuple[np.ndarray, np.ndarray]:
+        def part(rows: list[tuple]):
+            return (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]),
+                    np.array([r[3] for r in rows]), np.frombuffer(b"".join(r[4] for r in rows), "<u4").reshape(len(rows), -1),
+                    np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1))
+
+        (xn, xc, _, xs, xb, xf), (yn, yc, yo, ys, yb, yf) = part(x), part(y)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        step = max(1, 4_000_000 // (len(y) * max(band, 1)))
+        for i in range(0, len(x), step):
+            j = slice(i, i + step)
+            ok = xc[j, None] != yc[None, :]
+            ok &= ~yo[None, :] | (xn[j, None] < yn[None, :])  # two that are both outside the largest: once
+            ok &= np.minimum(xs[j, None], ys[None, :]) * 100 >= np.maximum(xs[j, None], ys[None, :]) * percent
+            if band:
+                ok &= ~(xb[j, None, :band] == yb[None, :, :band]).any(2)  # an earlier bucket of both has them
+            p, q = np.nonzero(ok)
+            p += i
+            for k in range(0, len(p), 20_000):
+                a, b = p[k:k + 20_000], q[k:k + 20_000]
+                same = (xf[a] == yf[b]).mean(1)
+                hit = (same - 1 / 256) / (1 - 1 / 256) >= least  # eight bits agree by chance once in 256
+                out.append((xn[a[hit]], yn[b[hit]]))
+        if not out:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        p, q = (np.concatenate([o[k] for o in out]) for k in range(2))
+        return np.minimum(p, q), np.maximum(p, q)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            if held[0] and held[1]:
+                a, b = compare(held[0], held[1], now[3])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for b in slices(batches):
+            for key, bo, bm, band, role, *rest in zip(*(b.column(k).to_pylist() for k in range(11))):
+                if now is None or now[:3] != (key, bo, bm):
+                    yield from solve()
+                    now, held = (key, bo, bm, band), ([], [])
+                held[role].append(rest)
+        yield from solve()
+
+    rows = mixed.select("key", "band", "node", "comp", (F.col("comp") != F.col("top")).alias("other"),
+                        F.ceil(F.col("members") / BLOCK).cast("int").alias("nm"),
+                        F.ceil(F.col("others") / BLOCK).cast("int").alias("no"))
+    own = F.xxhash64("node")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rows.where("other").select("*", F.pmod(own, F.col("no")).cast("int").alias("bo"), each("nm").alias("bm"),
+                                   F.lit(0).alias("role"))
+    y = rows.select("*", each("no").alias("bo"), F.pmod(own, F.col("nm")).cast("int").alias("bm"), F.lit(1).alias("role"))
+    both = x.unionByName(y).join(sets.select("node", "n", "bands", "fine"), "node")
+    return (both.repartition("key", "bo", "bm").sortWithinPartitions("key", "bo", "bm", "role")
+                .select("key", "bo", "bm", "band", "role", "node", "comp", "other", "n", "bands", "fine")
+                .mapInArrow(scan, "a long, b long"))
