@@ -18,6 +18,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheetlens.model import LEDGER_SCHEMA
 from sheetlens.operators.numbering import global_row_number
@@ -54,12 +55,14 @@ def empty(spark: SparkSession) -> DataFrame:
 
 
 def append(ledger: DataFrame, entries: DataFrame, max_entries: int | None = None,
-           order: Sequence[str | Column] = ("timestamp", "id")) -> DataFrame:
+           order: Sequence[str | Column] = ("timestamp",)) -> DataFrame:
     """``ledger`` + ``entries`` with ``seq`` continuing after the ledger's
-    largest (entries numbered in ``order``), then retention to the newest
-    ``max_entries``.  Only the ledger's max(seq) reaches the driver."""
+    largest (entries numbered in ``order``, equal ones as they come), then
+    retention to the newest ``max_entries``.  Only the ledger's max(seq)
+    reaches the driver."""
     base = ledger.agg(F.max("seq")).first()[0] or 0    # one scalar to the driver
-    numbered = global_row_number(entries.drop("seq"), list(order), "_k")
+    entries = entries.drop("seq").withColumn("_in", F.monotonically_increasing_id())
+    numbered = global_row_number(entries, [*order, "_in"], "_k")
     added = numbered.withColumn("seq", F.lit(base) + F.col("_k")).select(*LEDGER_COLUMNS)
     out = ledger.select(*LEDGER_COLUMNS).unionByName(added)
     return trim(out, max_entries) if max_entries is not None else out
@@ -129,13 +132,20 @@ def import_entries(ledger: DataFrame, imported: DataFrame, ordinal: str = "ordin
                    max_entries: int | None = None) -> DataFrame:
     """Merge imported entries (``ordinal`` = position in the imported file): an
     id already in the ledger keeps the ledger's entry; among imported
-    duplicates the first (lowest ordinal) wins.  New entries get ``seq`` after
-    the ledger's, in (timestamp, ordinal) order."""
+    duplicates the first (lowest ordinal) wins.  All entries are then put in
+    order of time (entries of the ledger before imported ones of the same
+    time, each in their own order), numbered anew and trimmed to the newest
+    ``max_entries``."""
     cols = [c for c in LEDGER_COLUMNS if c not in ("id", "seq")] + [ordinal]
     first = (imported.groupBy("id").agg(F.min_by(F.struct(*cols), F.col(ordinal)).alias("_e"))
              .select("id", "_e.*"))
     new = first.join(ledger.select("id"), "id", "left_anti")
-    return append(ledger, new, max_entries, order=("timestamp", ordinal))
+    both = (ledger.select(*LEDGER_COLUMNS, F.lit(0).alias("_origin"), F.col("seq").alias("_place"))
+            .unionByName(new.select(F.lit(None).cast("bigint").alias("seq"), *[c for c in LEDGER_COLUMNS if c != "seq"],
+                                    F.lit(1).alias("_origin"), F.col(ordinal).cast("bigint").alias("_place"))))
+    numbered = global_row_number(both, ["timestamp", "_origin", "_place", "id"], "_k")
+    out = numbered.withColumn("seq", F.col("_k")).select(*LEDGER_COLUMNS)
+    return trim(out, max_entries) if max_entries is not None else out
 
 
 # ------------------------------------------------------------------ storage
@@ -158,18 +168,21 @@ def export_json(ledger: DataFrame, path: str) -> None:
 
 
 def load_json(spark: SparkSession, path: str, on_corrupt: str = "fail") -> DataFrame:
-    """Read exported entries (JSON Lines or a JSON array with ``multiLine``).
-    ``on_corrupt='empty'`` returns an empty ledger for an unreadable file."""
-    try:
-        df = spark.read.schema(LEDGER_SCHEMA).option("mode", "FAILFAST").json(path)
-        df.limit(1).count()
-        return df
-    except Exception:  # noqa: BLE001
-        try:
-            df = spark.read.schema(LEDGER_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-            df.limit(1).count()
-            return df
-        except Exception:
-            if on_corrupt == "empty":
-                return empty(spark)
-            raise
+    """Read exported entries: JSON Lines, or one JSON array a file.  Damage
+    anywhere in the files makes the history unreadable: an error, or an empty
+    ledger with ``on_corrupt='empty'`` (the whole input is parsed to know).
+
+    A file whose first character that is not white space is ``[`` is an array."""
+    array = F.first(F.when(F.trim("value") != "", F.ltrim("value").startswith("["))  # lines of a file come in order
+                    , ignorenulls=True)
+    heads = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"))
+    arrays = heads.groupBy("f").agg(array.alias("a")).where("a").limit(1).count() > 0
+    schema = T.StructType([*LEDGER_SCHEMA.fields, T.StructField("_broken", T.StringType())])
+    df = (spark.read.schema(schema).option("multiLine", arrays).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", "_broken").json(path))
+    bad = df.select("_broken", "id").where(F.col("_broken").isNotNull() | F.col("id").isNull()).limit(1).count()
+    if not bad:
+        return df.drop("_broken")
+    if on_corrupt == "empty":
+        return empty(spark)
+    raise ValueError(f"unreadable history in {path}")

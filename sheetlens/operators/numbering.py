@@ -1,32 +1,30 @@
-"""Row numbering that never puts a whole group into one task.
-
-``Window.partitionBy(k).orderBy(o)`` sends every row of a key to one task, and
-a window without ``partitionBy`` sends the whole table to one task.  Here the
-data is range-partitioned on the full sort key (a hot key is split over many
-partitions), every row gets its position inside its partition, and the
-per-partition row counts (one row per partition, a proven size bound) give
-each partition's global offset.  Group numbers are then global index minus
-the group's first index, found with a partial aggregation (map-side combine)
-and joined back (AQE turns the join into a broadcast when the group table is
-small and splits skewed partitions when it is not).
-
-Range bounds are sampled per exchange, so all consumers of the sorted data
-must read one and the same exchange.  Spark reuses an exchange only for
-identical subtrees, and column pruning would give a consumer that needs fewer
-columns its own exchange with other bounds.  The range key therefore ends with
-every remaining input column (maps and other unorderable types through a
-hash): nothing below the exchange can be pruned, the exchange is reused, and
-the order is total, so numbers are deterministic across task retries.
+"""Row numbering that never puts a whole hot group into one task.
+
+A window without ``partitionBy`` sends the whole table to one task, and one with
+it sends every row of a key to one task.  Here the table is range-partitioned on
+the full sort key and *written once* with every row's position in its partition;
+the per-partition counts (one row per partition, a proven size bound) and the
+rows are both read from that table, so the numbers are right whatever the
+optimizer reuses, prunes or recomputes.  The sort key ends with every remaining
+input column (maps and other unorderable types through a hash), so the order is
+total and the numbers are the same in every run.
+
+Numbers within groups come from an ordinary window (one shuffle) except in
+groups of more than ``HOT`` rows, which are numbered by the range form.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheetlens.scratch import written
+
+HOT = 1_000_000  # rows of a group above which it is dealt over tasks
 _POS_BITS = 33  # monotonically_increasing_id = partition id << 33 | position
 
 
@@ -51,49 +49,21 @@ def _total_order(df: DataFrame, order: Sequence[str | Column]) -> list[Column]:
     return keys
 
 
-def range_partitions(df: DataFrame) -> int:
-    """Partition count for a range exchange over ``df``: the configured
-    shuffle partitions, raised so that each partition holds about one advisory
-    partition size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) of
-    the optimizer's size estimate.  The exchange has a fixed count (AQE does
-    not resize it), so the count must follow the data."""
-    spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate (e.g. remote session): keep the configured count
-        return base
-    target = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) or "64m")
-    return max(base, min(size // target + 1, 200_000))
-
-
 def explicit_partitions(df: DataFrame) -> int:
-    """Partition count for a shuffle with an explicit count over ``df`` (CPU
-    work per row, so AQE must not coalesce it): at least the cluster's cores
-    and at least the size-based count of :func:`range_partitions`."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, range_partitions(df))
-
-
-def _bytes(text: str) -> int:
-    """'67108864', '64m', '64MB', '1g' -> bytes."""
-    t = text.strip().lower().rstrip("b")
-    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(t[-1:], 1)
-    digits = t[:-1] if t[-1:] in "kmgt" else t
-    try:
-        return max(int(float(digits) * mult), 1)
-    except ValueError:
-        return 64 << 20
+    """Partition count for a shuffle with an explicit count (CPU work per row, so
+    AQE must not coalesce it): the session's shuffle partitions, at least the
+    cluster's cores.  Size it for the job with ``spark.sql.shuffle.partitions``."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str = "row_number",
                       partitions: int | None = None) -> DataFrame:
     """1-based row number over the whole table in ``order`` (remaining columns
     break ties)."""
-    n = partitions or range_partitions(df)
     keys = _total_order(df, order)
-    s = (df.repartitionByRange(n, *keys)
-           .sortWithinPartitions(*keys)
-           .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    s = written(ranged.sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id()), "numbered")
     s = (s.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
           .withColumn("_pos", F.col("_mid").bitwiseAND((1 << _POS_BITS) - 1)))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -107,12 +77,27 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str =
 
 
 def row_number_within(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str = "rn",
-                      count_name: str | None = None, partitions: int | None = None) -> DataFrame:
+                      count_name: str | None = None, partitions: int | None = None, hot: int = HOT) -> DataFrame:
     """1-based row number inside each ``by`` group in ``order`` (and, when
-    ``count_name`` is given, the group size) without a per-group window."""
-    g = global_row_number(df, [*by, *order], "_g", partitions)
-    aggs = [F.min("_g").alias("_g0")]
-    if count_name:
-        aggs.append(F.count(F.lit(1)).alias(count_name))
-    starts = g.groupBy(*by).agg(*aggs)
-    return g.join(starts, list(by)).withColumn(name, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
+    ``count_name`` is given, the group size).  NULL keys form a group."""
+    by = list(by)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > hot)
+    if not sizes.limit(1).count():
+        return _windowed(df, by, order, name, count_name)
+    sizes = written(sizes, "hot-groups").select(*[F.col(c).alias(f"_hot_{c}") for c in by], "_size")
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in by])
+    g = global_row_number(df.join(sizes.drop("_size"), match, "left_semi"), [*by, *order], "_g", partitions)
+    starts = g.groupBy(*[F.col(c).alias(f"_hot_{c}") for c in by]).agg(
+        F.min("_g").alias("_g0"), *([F.count(F.lit(1)).alias(count_name)] if count_name else []))
+    big = (g.join(starts, match).withColumn(name, F.col("_g") - F.col("_g0") + 1)
+            .drop("_g", "_g0", *[f"_hot_{c}" for c in by]))
+    small = _windowed(df.join(sizes.drop("_size"), match, "left_anti"), by, order, name, count_name)
+    return small.unionByName(big)
+
+
+def _windowed(df: DataFrame, by: list[str], order: Sequence[str | Column], name: str,
+              count_name: str | None) -> DataFrame:
+    w = Window.partitionBy(*by)
+    keys = _total_order(df, [*by, *order])[len(by):]
+    out = df.withColumn(name, F.row_number().over(w.orderBy(*keys)).cast("bigint"))
+    return out.withColumn(count_name, F.count(F.lit(1)).over(w)) if count_name else out

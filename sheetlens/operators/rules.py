@@ -12,12 +12,13 @@ from dataclasses import dataclass, field
 from typing import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheetlens.functions.cells import cell_at, cells_col, column_span, first_non_empty
 from sheetlens.functions.text import utrim
 from sheetlens.model import WHITE
+from sheetlens.operators.patterns import java_pattern
 
 
 @dataclass(frozen=True)
@@ -104,30 +105,6 @@ class Regex:
     pattern: str
 
 
-# Constructs the rule's regex dialect does not have; a pattern using one is
-# treated as invalid (never matches), like any pattern that fails to compile.
-_UNSUPPORTED_REGEX = re.compile(r"\(\?<?[=!]|\(\?>|\\[1-9]|\\k<|[*+?}]\+")
-_REGEX_OK: dict[str, bool] = {}
-
-
-def _java_pattern(pattern: str, case_sensitive: bool) -> str | None:
-    """Translate to a Java pattern with Unicode classes, or None when invalid."""
-    if _UNSUPPORTED_REGEX.search(pattern):
-        return None
-    body = pattern.replace("(?P<", "(?<")
-    java = ("(?U)" if case_sensitive else "(?iU)") + body
-    ok = _REGEX_OK.get(java)
-    if ok is None:
-        spark = SparkSession.getActiveSession()
-        try:
-            spark.range(1).select(F.lit("").rlike(java)).collect()
-            ok = True
-        except Exception:  # invalid pattern: the rule is false, not an error
-            ok = False
-        _REGEX_OK[java] = ok
-    return java if ok else None
-
-
 @dataclass
 class TextRule(Rule):
     """Text of column ``column_index``, trimmed, against an Exact / Contains /
@@ -143,7 +120,7 @@ class TextRule(Rule):
         content = utrim(ctx.cell(self.column_index)["content"])
         p = self.pattern
         if isinstance(p, Regex):
-            java = _java_pattern(p.pattern, self.case_sensitive)
+            java = java_pattern(p.pattern, self.case_sensitive)
             if java is None:
                 warnings.warn(f"invalid regex {p.pattern!r} in rule {self.name!r}: never matches")
                 return F.lit(False)

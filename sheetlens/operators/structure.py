@@ -116,13 +116,11 @@ def analyze_structure(rows: DataFrame, sheet: str | int | None = None, colors: b
 def analyze_workbooks(files: DataFrame, sheet: str | int | None = None, colors: bool = False) -> dict:
     """The structure job on workbook files ``(path, content)``: the decoder
     picks the sheet (by name, else the first), the rows are decoded once into
-    a reliable checkpoint (the session's checkpoint folder), and every output
-    reads that checkpoint."""
-    from sheetlens.session import ensure_checkpoint_dir
+    a table in the shared folder, and every output reads that."""
+    from sheetlens.scratch import written
     from sheetlens.sources.xlsx import decode_workbooks
 
-    ensure_checkpoint_dir(files.sparkSession)
-    rows = decode_workbooks(files, sheets=sheet if sheet is not None else "first").checkpoint(eager=True)
+    rows = written(decode_workbooks(files, sheets=sheet if sheet is not None else "first"), "rows")
     out = {"size": sheet_size(rows), "dump": sheet_dump(rows), "errors": rows.where(F.col("error").isNotNull())
            .select("file", "error")}
     if colors:

@@ -59,16 +59,8 @@ def flat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(sid.alias("sheet_id"), F.inline(emitted))
 
 
-# A worksheet holds at most 1,048,576 rows, so an order's sheet is cut into
-# files of CHUNK_ROWS rows (``order_<id>.xlsx``, ``order_<id>~<k>.xlsx``): no
-# per-file group of the grid grows with the data beyond that.
-CHUNK_ROWS = 1_000_000
-
-
-def sheet_file(sheet_id: Column, chunk: Column | None = None) -> Column:
-    suffix = F.lit("") if chunk is None else F.when(chunk > 0, F.concat(F.lit("~"), chunk.cast("string"))) \
-        .otherwise(F.lit(""))
-    return F.concat(F.lit("order_"), sheet_id.cast("string"), suffix, F.lit(".xlsx"))
+def sheet_file(sheet_id: Column) -> Column:
+    return F.concat(F.lit("order_"), sheet_id.cast("string"), F.lit(".xlsx"))
 
 
 def _cell(ci: int, content: Column, argb: Column, m_start: Column, m_end: Column, row_index: Column) -> Column:
@@ -85,11 +77,11 @@ def _cell(ci: int, content: Column, argb: Column, m_start: Column, m_end: Column
 
 
 def flat_to_rows(flat: DataFrame) -> DataFrame:
-    """Flat two-column grid -> canonical ``rows`` (sheets cut at CHUNK_ROWS)."""
-    chunk = F.floor(F.col("row_index") / CHUNK_ROWS).cast("bigint")
-    ri, ms, me = F.col("row_index") - chunk * CHUNK_ROWS, F.col("m_start"), F.col("m_end")
+    """Flat two-column grid -> canonical ``rows``.  A sheet in DataFrame form has
+    no row limit; only real workbook files do (:mod:`sheetlens.plans.workbooks`)."""
+    ri, ms, me = F.col("row_index"), F.col("m_start"), F.col("m_end")
     return flat.select(
-        sheet_file(F.col("sheet_id"), chunk).alias("file"),
+        sheet_file(F.col("sheet_id")).alias("file"),
         F.lit(0).alias("sheet_index"),
         F.lit("Sheet1").alias("sheet_name"),
         ri.alias("row_index"),

@@ -26,8 +26,10 @@ UNION ALL SELECT sheet_id, 3 + n,
 UNION ALL SELECT sheet_id, 4 + n, '', '  ', NULL, NULL, NULL, NULL FROM sh
 """
 
-# File of a grid row: sheets are cut into files of 1,000,000 rows (plans.grid.CHUNK_ROWS).
-FILE_SQL = ("'order_' || CAST(sheet_id AS VARCHAR) || CASE WHEN row_index >= 1000000 "
+FILE_SQL = "'order_' || CAST(sheet_id AS VARCHAR) || '.xlsx'"
+
+# File of a grid row in workbook form: a sheet is cut into files of 1,000,000 rows (plans.workbooks.CHUNK_ROWS).
+WORKBOOK_SQL = ("'order_' || CAST(sheet_id AS VARCHAR) || CASE WHEN row_index >= 1000000 "
             "THEN '~' || CAST(row_index // 1000000 AS VARCHAR) ELSE '' END || '.xlsx'")
 
 # DuckDB spelling of the Unicode trim set, so trim() agrees with utrim().
@@ -44,7 +46,7 @@ def utrim(expr: str) -> str:
 # predicates p1..p7 in profile order, and the winning row type.
 CLASSIFIED_SQL = """
 g AS (""" + GRID_SQL + """),
-f AS (SELECT * REPLACE (row_index % 1000000 AS row_index), """ + FILE_SQL + """ AS file,
+f AS (SELECT *, """ + FILE_SQL + """ AS file,
              CASE WHEN trim(c0) <> '' THEN coalesce(bg0, 'FFFFFFFF')
                   WHEN trim(c1) <> '' THEN coalesce(bg1, 'FFFFFFFF') END AS fc,
              CASE WHEN trim(c0) <> '' THEN c0 WHEN trim(c1) <> '' THEN c1 END AS fnc FROM g),
@@ -75,5 +77,10 @@ def with_classified(select_sql: str) -> str:
 
 def with_grid(select_sql: str) -> str:
     """``WITH g AS (grid), f AS (grid + file)`` + a SELECT."""
-    return ("WITH g AS (" + GRID_SQL + "), f AS (SELECT * REPLACE (row_index % 1000000 AS row_index), " + FILE_SQL + " AS file "
-            "FROM g) " + select_sql)
+    return "WITH g AS (" + GRID_SQL + "), f AS (SELECT *, " + FILE_SQL + " AS file FROM g) " + select_sql
+
+
+def with_workbooks(select_sql: str) -> str:
+    """Like :func:`with_grid`, for the grid written as workbook files."""
+    return ("WITH g AS (" + GRID_SQL + "), f AS (SELECT * REPLACE (row_index % 1000000 AS row_index), " + WORKBOOK_SQL
+            + " AS file FROM g) " + select_sql)

@@ -22,7 +22,7 @@ from sheetlens.operators.rules import (
 )
 from sheetlens.plans.grid import flat_grid, flat_to_rows, sheet_file, table_as_rows
 from sheetlens.plans.oracle import utrim as sql_utrim
-from sheetlens.plans.oracle import with_classified, with_grid
+from sheetlens.plans.oracle import with_classified, with_grid, with_workbooks
 from sheetlens.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,11 +241,36 @@ def text_regex_ci(spark, sf_dir):
                        .alias("matched"))
 
 
-@register("regex_invalid_is_false", "SELECT false AS matched, COUNT(*) AS n FROM part")
+# (pattern, the same in the oracle's dialect or None: invalid, so it never matches)
+_PATTERNS = [
+    ("[*+]", "[*+]"), (r"\++", r"\++"), (r"\\\\1", r"\\\\1"), (r"^https?://(www\.)?th", r"^https?://(www\.)?th"),
+    (r"\d{2}\b", r"\d{2}\b"), ("(?i)EXAMPLE", "(?i)EXAMPLE"), ("(?P<host>[a-z]+)\\.example", "([a-z]+)\\.example"),
+    ("[invalid(", None), ("(?<=a)b", None), ("(?>a)b", None), (r"(t)\1", None), (r"\Qex\E", None), (r"\h", None),
+]
+
+
+def _patterns_sql() -> str:
+    one = [f"regexp_matches(trim(url), '{s}')" if s is not None else "false" for _, s in _PATTERNS]
+    return "SELECT page_id, " + ", ".join(f"coalesce({m}, false) AS m{i}" for i, m in enumerate(one)) + " FROM pages"
+
+
+@register("regex_patterns", _patterns_sql())
+def regex_patterns(spark, sf_dir):
+    """A table of patterns, valid and invalid ones, on every page's url."""
+    import warnings
+
+    rows = table_as_rows(table(spark, sf_dir, "pages", "page_id", "url"), "page_id", ["url"])
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        cols = [TextRule(f"m{i}", 0, Regex(p)).to_column().alias(f"m{i}") for i, (p, _) in enumerate(_PATTERNS)]
+    return rows.select(F.col("row_index").alias("page_id"), *cols)
+
+
+@register("regex_invalid_is_false", "SELECT p_partkey, p_name, false AS matched FROM part")
 def regex_invalid_is_false(spark, sf_dir):
     rows = table_as_rows(table(spark, sf_dir, "part", "p_partkey", "p_name"), "p_partkey", ["p_name"])
-    return (rows.select(TextRule("bad", 0, Regex("[invalid(")).to_column().alias("matched"))
-            .groupBy("matched").agg(F.count(F.lit(1)).alias("n")))
+    return rows.select(F.col("row_index").alias("p_partkey"), F.get("cells", 0)["content"].alias("p_name"),
+                       TextRule("bad", 0, Regex("[invalid(")).to_column().alias("matched"))
 
 
 # ---------------------------------------------------------------- colours and structure
@@ -478,7 +503,7 @@ def xlsx_row_types(spark, sf_dir):
     return C.type_counts(C.classify(rows, cargo_analysis()))
 
 
-@register("xlsx_rows", with_grid(
+@register("xlsx_rows", with_workbooks(
     "SELECT file, 'O' || CAST(sheet_id AS VARCHAR) AS sheet_name, row_index, c0, c1, upper(substr(bg0, 3, 6)) AS bg0, "
     "upper(substr(bg1, 3, 6)) AS bg1, m_start, m_end FROM f"))
 def xlsx_rows(spark, sf_dir):
@@ -506,7 +531,7 @@ def xlsx_sheet_pick_named(spark, sf_dir):
     return pick_from_manifest(XL.manifest_from(grid_workbooks(spark, sf_dir)), "Lines")
 
 
-@register("xlsx_sheet_size", with_grid(
+@register("xlsx_sheet_size", with_workbooks(
     "SELECT file, 0 AS sheet_index, max(row_index) + 1 AS height, CAST(2 AS BIGINT) AS width FROM f GROUP BY file "
     "UNION ALL SELECT file, 1, count(*) FILTER (WHERE row_index >= 3 AND row_index < (SELECT max(row_index) FROM f f2 "
     "WHERE f2.file = f.file) - 1) + 1, 3 FROM f GROUP BY file"))
@@ -542,30 +567,63 @@ def batch_status(spark, sf_dir):
     return run.status.select("file", F.col("error").isNotNull().alias("failed"))
 
 
-@register("batch_tables", with_grid(
-    "SELECT file AS source_file, row_index, c0 || '|' || c1 AS values_text FROM f WHERE row_index > 0 "
-    "AND sheet_id % 97 <> 0"))
+@register("batch_tables", with_workbooks(
+    "SELECT file AS source_file, row_index, c0 || '|' || c1 AS values_text FROM f WHERE row_index > 0"))
 def batch_tables(spark, sf_dir):
-    run = B.read_tables(grid_workbooks(spark, sf_dir, corrupt_every=97))
+    run = B.read_tables(grid_workbooks(spark, sf_dir))
     return run.tables.select("source_file", "row_index", _text("values").alias("values_text"))
 
 
-@register("batch_dedupe", with_grid(
+@register("batch_dedupe", with_workbooks(
     "SELECT file AS source_file, c0 || '|' || c1 AS values_text, min(row_index) AS row_index FROM f "
-    "WHERE row_index > 0 AND sheet_id % 97 <> 0 GROUP BY 1, 2"))
+    "WHERE row_index > 0 GROUP BY 1, 2"))
 def batch_dedupe(spark, sf_dir):
-    run = B.read_tables(grid_workbooks(spark, sf_dir, corrupt_every=97))
+    run = B.read_tables(grid_workbooks(spark, sf_dir))
     return B.dedupe_per_file(run.tables).select("source_file", _text("values").alias("values_text"), "row_index")
 
 
-@register("batch_row_numbers", with_grid(
+@register("batch_row_numbers", with_workbooks(
     "SELECT file AS source_file, CAST(row_index AS VARCHAR) || '|' || c0 || '|' || c1 AS values_text FROM f "
-    "WHERE row_index > 0 AND sheet_id % 97 <> 0"))
+    "WHERE row_index > 0"))
 def batch_row_numbers(spark, sf_dir):
-    run = B.read_tables(grid_workbooks(spark, sf_dir, corrupt_every=97))
+    run = B.read_tables(grid_workbooks(spark, sf_dir))
     return B.number_rows_per_file(run.tables).select("source_file", _text("values").alias("values_text"))
 
 
+@register("batch_numbers_after_dedupe", with_workbooks(
+    "SELECT source_file, CAST(ROW_NUMBER() OVER (PARTITION BY source_file ORDER BY row_index) AS VARCHAR) || '|' || "
+    "values_text AS values_text FROM (SELECT file AS source_file, c0 || '|' || c1 AS values_text, min(row_index) AS row_index "
+    "FROM f WHERE row_index > 0 GROUP BY 1, 2)"))
+def batch_numbers_after_dedupe(spark, sf_dir):
+    run = B.read_tables(grid_workbooks(spark, sf_dir))
+    numbered = B.number_rows_per_file(B.dedupe_per_file(run.tables))
+    return numbered.select("source_file", _text("values").alias("values_text"))
+
+
+def _running(pdf):
+    """User code that depends on the order of the rows and refuses some files: the rows above each row that have
+    the same text in the last column; a table without any digit there is an error."""
+    if not pdf.iloc[:, -1].str.contains("[0-9]").any() or pdf.columns[0].endswith("7"):
+        raise ValueError("nothing to count")
+    return pdf.assign(above=pdf.groupby(pdf.columns[-1]).cumcount())
+
+
+@register("batch_user_errors", with_workbooks("""
+, body AS (SELECT file, row_index, c0, c1,
+                  ROW_NUMBER() OVER (PARTITION BY file, c1 ORDER BY row_index) - 1 AS above FROM f WHERE row_index > 0),
+bad AS (SELECT file, bool_or(regexp_matches(c1, '[0-9]')) AS digits, any_value(sheet_id) AS id FROM f WHERE row_index > 0 GROUP BY file)
+SELECT b.file, CASE WHEN NOT digits OR id % 10 = 7 THEN 'ValueError: nothing to count' END AS error,
+       CASE WHEN digits AND id % 10 <> 7 THEN (SELECT string_agg(c0 || ',' || c1 || ',' || CAST(above AS VARCHAR), ';'
+            ORDER BY row_index) FROM body WHERE body.file = b.file) END AS rows_text FROM bad b"""))
+def batch_user_errors(spark, sf_dir):
+    """Per-file user code that fails on some files: their errors are in the status, the others have their rows."""
+    run = B.run_batch(spark, grid_workbooks(spark, sf_dir), per_file=_running)
+    rows = run.tables.groupBy(F.col("source_file").alias("file")).agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("row_index", "values"))), lambda r: F.array_join(r["values"], ",")), ";")
+        .alias("rows_text"))
+    return run.status.select("file", "error").join(rows, "file", "left")
+
+
 # ---------------------------------------------------------------- run history (ledger)
 
 import uuid as _uuid  # noqa: E402
@@ -659,7 +717,7 @@ def ledger_remove(spark, sf_dir):
 def ledger_append(spark, sf_dir):
     led = ledger_from_orders(spark, sf_dir)
     old, new = led.where(F.col("processor_name") == "F"), led.where(F.col("processor_name") != "F")
-    return L.append(old, new).select("seq", "id")
+    return L.append(old, new, order=("timestamp", "id")).select("seq", "id")
 
 
 @register("ledger_import", with_ledger("""
@@ -668,17 +726,19 @@ def ledger_append(spark, sf_dir):
                            successful, failed, 2 * seq + 1 FROM led WHERE processor_name = 'O'),
 first AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY ordinal) AS k FROM imp) WHERE k = 1),
 old AS (SELECT * FROM led WHERE processor_name = 'F'),
-new AS (SELECT * FROM first WHERE id NOT IN (SELECT id FROM old))
-SELECT seq, id, output_dir FROM old UNION ALL
-SELECT (SELECT max(seq) FROM old) + ROW_NUMBER() OVER (ORDER BY ts, ordinal) AS seq, id, output_dir FROM new"""))
+every AS (SELECT id, ts, output_dir, 0 AS origin, seq AS place FROM old
+          UNION ALL SELECT id, ts, output_dir, 1, ordinal FROM first WHERE id NOT IN (SELECT id FROM old))
+SELECT seq, id, output_dir FROM (SELECT ROW_NUMBER() OVER (ORDER BY ts, origin, place) AS seq, id, output_dir FROM every)
+ORDER BY seq DESC LIMIT 700"""))
 def ledger_import(spark, sf_dir):
+    """Imported runs lie between the ledger's in time; the newest 700 of all stay."""
     led = ledger_from_orders(spark, sf_dir)
     old = led.where(F.col("processor_name") == "F")
     imported = led.withColumn("ordinal", 2 * F.col("seq")).unionByName(
         led.where(F.col("processor_name") == "O")
            .withColumn("output_dir", F.concat(F.lit("dup/"), F.col("output_dir")))
            .withColumn("ordinal", 2 * F.col("seq") + 1))
-    return L.import_entries(old, imported, "ordinal").select("seq", "id", "output_dir")
+    return L.import_entries(old, imported, "ordinal", max_entries=700).select("seq", "id", "output_dir")
 
 
 @register("ledger_json_roundtrip", with_ledger(
@@ -742,10 +802,9 @@ from sheetlens.sources.files import write_binary_files  # noqa: E402
 from sheetlens.streaming import incremental as INC  # noqa: E402
 
 
-_CSV_SQL = with_grid(
+_CSV_SQL = with_workbooks(
     "SELECT file, 'G00E-' || CAST(sheet_id AS VARCHAR) || ',Column_1' AS value FROM f WHERE row_index = 0 "
-    "AND sheet_id % 97 <> 0 UNION ALL "
-    "SELECT file, c0 || ',' || c1 AS value FROM f WHERE row_index > 0 AND sheet_id % 97 <> 0")
+    "UNION ALL SELECT file, c0 || ',' || c1 AS value FROM f WHERE row_index > 0")
 
 
 @register("batch_csv_roundtrip", _CSV_SQL)
@@ -753,7 +812,7 @@ def batch_csv_roundtrip(spark, sf_dir):
     """Workbooks written to a folder, batch-run (first sheet, header from row
     1), CSV per source file written and the lines read back."""
     in_dir, out_dir = _scratch(spark, "workbooks"), _scratch(spark, "csv")
-    write_binary_files(grid_workbooks(spark, sf_dir, corrupt_every=97), in_dir)
+    write_binary_files(grid_workbooks(spark, sf_dir), in_dir)
     B.run_batch(spark, in_dir, out_dir)
     return B.read_csv_lines(spark, out_dir)
 
@@ -779,8 +838,9 @@ _PATHS_SQL = f"SELECT 'in/c' || CAST(o_custkey AS VARCHAR) || '/order_' || CAST(
              "AS file FROM orders"
 
 
-def _order_paths(spark, sf_dir):
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+def _order_paths(spark, sf_dir, where=None):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    o = o if where is None else o.where(where)
     p = F.col("o_orderpriority")
     ext = (F.when(p == "1-URGENT", ".xlsx").when(p == "2-HIGH", ".XLSX").when(p == "3-MEDIUM", ".xls")
            .when(p == "4-NOT SPECIFIED", ".txt").otherwise(""))
@@ -799,9 +859,17 @@ def validate_input_cargo(spark, sf_dir):
     return validate_input(_order_paths(spark, sf_dir), "cargo").select("file", "valid", "reason")
 
 
-@register("validate_input_analyzer", _validate_sql("EXT IN ('xlsx', 'xls')"))
+@register("validate_input_analyzer", f"""
+SELECT p.file, e.file IS NOT NULL AND regexp_extract(p.file, '\\.([^./]+)$', 1) IN ('xlsx', 'xls') AS valid,
+       CASE WHEN e.file IS NULL THEN 'file does not exist'
+            WHEN regexp_extract(p.file, '\\.([^./]+)$', 1) IN ('xlsx', 'xls') THEN NULL
+            WHEN regexp_extract(p.file, '\\.([^./]+)$', 1) = '' THEN 'no file extension'
+            ELSE 'unsupported file type: ' || regexp_extract(p.file, '\\.([^./]+)$', 1) END AS reason
+FROM ({_PATHS_SQL}) p LEFT JOIN (SELECT file FROM ({_PATHS_SQL} WHERE o_orderstatus <> 'P')) e ON p.file = e.file""")
 def validate_input_analyzer(spark, sf_dir):
-    return validate_input(_order_paths(spark, sf_dir), "analyzer").select("file", "valid", "reason")
+    """The analyser's rule; files of orders in status P are not there."""
+    there = _order_paths(spark, sf_dir, F.col("o_orderstatus") != "P")
+    return validate_input(_order_paths(spark, sf_dir), "analyzer", there).select("file", "valid", "reason")
 
 
 def _cabinet_check(pdf):
@@ -827,7 +895,7 @@ def per_file_udf(spark, sf_dir):
     return B.per_file_apply(rows, _cabinet_check, "file string, n_rows bigint, n_nonblank bigint, error string")
 
 
-@register("structure_named_sheet", with_grid(
+@register("structure_named_sheet", with_workbooks(
     "SELECT file, 1 AS sheet_index, count(*) FILTER (WHERE row_index >= 3 AND row_index < (SELECT max(row_index) "
     "FROM f f2 WHERE f2.file = f.file) - 1) + 1 AS height, 3 AS width, "
     "count(*) FILTER (WHERE row_index >= 3 AND row_index < (SELECT max(row_index) FROM f f2 "
@@ -854,19 +922,28 @@ def xlsx_listing(spark, sf_dir):
                                             (F.col("length") > 0).alias("non_empty"))
 
 
-from sheetlens.operators.rules import PythonRule  # noqa: E402
+from sheetlens.operators.rules import ExprRule, PythonRule  # noqa: E402
+
+_NUMERIC_SQL = with_grid("SELECT file, row_index FROM f WHERE regexp_matches(trim(c0), '^[0-9]+$') "
+                         "AND regexp_matches(trim(c1), '^[0-9]+$') AND m_start IS NULL")
+
+
+@register("expr_rule_rows", _NUMERIC_SQL)
+def expr_rule_rows(spark, sf_dir):
+    """A user rule as a column expression: whole numbers in the first two cells, no merge."""
+    def numeric_pair(ctx):
+        digits = lambda i: ctx.cell(i)["content"].rlike(r"^\s*[0-9]+\s*$")
+        return digits(0) & digits(1) & F.forall(ctx.cells_col(), lambda c: c["merge_info"].isNull())
+    return _rule_rows(spark, sf_dir, ExprRule("numeric_pair", numeric_pair))
 
 
 def _numeric_pair(contents, backgrounds, merges):
-    """User rule in plain Python: the row's first two cells are whole numbers
-    and the row is not merged."""
+    """The same rule in plain Python (the named slow path)."""
     return (len(contents) >= 2 and all(c.strip().isdigit() for c in contents[:2])
             and all(m is None for m in merges))
 
 
-@register("python_rule_rows", with_grid(
-    "SELECT file, row_index FROM f WHERE regexp_matches(trim(c0), '^[0-9]+$') AND regexp_matches(trim(c1), '^[0-9]+$') "
-    "AND m_start IS NULL"))
+@register("python_rule_rows", _NUMERIC_SQL)
 def python_rule_rows(spark, sf_dir):
     return _rule_rows(spark, sf_dir, PythonRule("numeric_pair", _numeric_pair))
 
@@ -903,7 +980,7 @@ def log_stream(spark, sf_dir):
 from sheetlens.functions.text import rgb_components  # noqa: E402
 
 
-@register("color_components", with_grid(
+@register("color_components", with_workbooks(
     f"SELECT file, hex, CAST(('0x' || substr(hex, 1, 2)) AS INTEGER) AS r, "
     f"CAST(('0x' || substr(hex, 3, 2)) AS INTEGER) AS g, CAST(('0x' || substr(hex, 5, 2)) AS INTEGER) AS b "
     f"FROM (SELECT DISTINCT file, upper(substr(argb, 3, 6)) AS hex FROM ({_CELL_COLOURS}))"))

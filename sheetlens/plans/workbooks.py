@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetlens.operators.numbering import explicit_partitions
-from sheetlens.plans.grid import CHUNK_ROWS, flat_grid
+from sheetlens.plans.grid import flat_grid
 from sheetlens.sources.xlsx_writer import workbook_bytes
 
+CHUNK_ROWS = 1_000_000   # rows of one workbook's sheet: the file format holds 1,048,576
 LINES_HEADER = ["line", "partkey", "returned"]
 
 

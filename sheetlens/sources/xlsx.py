@@ -297,7 +297,7 @@ def _error_text(e: Exception) -> str:
 
 def _table_into(out: _TableBatch, path: str, content: bytes, sheet, batch_rows: int) -> Iterator[_TableBatch]:
     """One workbook's sheet as a string table: header from row 1, body rows
-    after it, then one status row (``row_index`` NULL, ``error`` NULL).
+    after it, then one status row (``row_index`` NULL, ``error`` NULL, the header).
     Failures give only the status row with ``error`` set."""
     try:
         header, rows = _open_table(path, content, sheet)
@@ -308,7 +308,7 @@ def _table_into(out: _TableBatch, path: str, content: bytes, sheet, batch_rows:
         out.add(path, header, r, [c[1] for c in cells])
         if len(out) >= batch_rows:
             yield out
-    out.add(path, None, None, None, None)
+    out.add(path, header, None, None, None)
 
 
 def _table_stream(items, sheet="first", batch_rows: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -337,24 +337,31 @@ def decode_tables(files: DataFrame, sheet="first") -> DataFrame:
 
 
 def decode_status(files: DataFrame, sheet="first") -> DataFrame:
-    """(path, content) -> (file, error): the outcome of the table read of
+    """(path, content) -> (file, error, header): the outcome of the table read of
     every file (same checks and messages as :func:`decode_tables`) without
     materialising its rows."""
-    schema = pa.schema([("file", pa.string()), ("error", pa.string())])
+    schema = pa.schema([("file", pa.string()), ("error", pa.string()), ("header", pa.list_(pa.string()))])
 
     def run(batches):
-        f, er = [], []
+        rows: list[tuple] = []
+
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)],
+                                               schema=schema)
+            rows.clear()
+            return batch
+
         for path, content in _items(batches):
             try:
-                _open_table(path, content, sheet)
-                er.append(None)
+                header, body = _open_table(path, content, sheet)
+                for _ in body:      # read to the end, as the table read does: damage there fails the file too
+                    pass
+                rows.append((path, None, header))
             except Exception as e:  # noqa: BLE001
-                er.append(_error_text(e))
-            f.append(path)
-            if len(f) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(er, pa.string())], schema=schema)
-                f, er = [], []
-        if f:
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(er, pa.string())], schema=schema)
-
-    return files.select("path", "content").mapInArrow(run, "file string, error string")
+                rows.append((path, _error_text(e), None))
+            if len(rows) >= 4096:
+                yield out()
+        if rows:
+            yield out()
+
+    return files.select("path", "content").mapInArrow(run, "file string, error string, header array<string>")

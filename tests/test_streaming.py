@@ -77,11 +77,12 @@ def test_text_sink_one_file_per_key_and_rerun_safe(spark):
     from sheetlens.sources.files import write_text_files
 
     d = tempfile.mkdtemp(prefix="sheetlens-text-")
-    df = spark.createDataFrame([("a", 0, "h"), ("a", 1, "x,y"), ("b", 0, "h2"), ("a", 2, "z")],
-                               "file string, row_index int, value string")
-    ordered = df.repartition(3, "file").sortWithinPartitions("file", "row_index")
-    write_text_files(ordered, d, suffix=".csv")
-    write_text_files(ordered, d, suffix=".csv")                  # rerun: same files, no duplicates
+    df = spark.createDataFrame([("p/a", "a", 0, "h"), ("p/a", "a", 1, "x,y"), ("p/b", "b", 0, "h2"), ("p/a", "a", 2, "z"),
+                                ("p/c", "no/such/c", 0, "h")], "source_file string, file string, row_index int, value string")
+    ordered = df.repartition(3, "source_file").sortWithinPartitions("source_file", "row_index")
+    for _ in range(2):                                           # rerun: same files, no duplicates
+        failed = write_text_files(ordered, d, suffix=".csv").collect()
+        assert [r.source_file for r in failed] == ["p/c"] and "Error" in failed[0].error
     assert sorted(os.listdir(d)) == ["a.csv", "b.csv"]           # no temporary files left
     with open(os.path.join(d, "a.csv")) as f:
         assert f.read() == "h\nx,y\nz\n"
