@@ -9,7 +9,7 @@ tolerance of the wanted number.  Only then are the rows exchanged, once.
 
 Equal texts have equal hashes and so stay side by side.  A boundary goes
 between two texts, and cuts through the copies of one text (by doc id) only if
-there is none between two texts within a twentieth of a shard.
+there is none between two texts within a fiftieth of a shard.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sheetlens.llm.common import own_names, written
 
-CUT_ABOVE = 0.05    # of a shard's bytes: a boundary that far off may cut through the copies of a text
+CUT_ABOVE = 0.02    # of a shard's bytes: a boundary that far off may cut through the copies of a text
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -116,9 +116,11 @@ def _key(hashed: Column, large: Column, parts: int) -> Column:
     ``parts``-th of the key range, so that boundaries, which come near the ends,
     fall between small texts and the shards come out more equal."""
     cell = (_HIGH - _LOW + 1) // parts
-    at = F.pmod(hashed, F.lit(cell)) if parts > 1 else hashed
-    middle = hashed - at + F.lit(cell // 4) + F.floor(at / 2).cast("long")
-    return F.when(large & (F.abs(hashed.cast("double")) < F.lit(0.99 * _HIGH)), middle).otherwise(hashed)
+    if parts < 2:
+        return hashed
+    at = F.pmod(hashed, F.lit(cell))
+    middle = F.try_add(F.try_subtract(hashed, at), F.lit(cell // 4) + F.floor(at / 2).cast("long"))
+    return F.when(large, F.coalesce(middle, hashed)).otherwise(hashed)  # at the ends of the range: the hash
 
 
 def shard_documents(df: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id",
