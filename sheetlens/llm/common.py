@@ -2,50 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sheetlens.session import ensure_checkpoint_dir
-
-_WRITTEN: list[str] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the cluster's shared folder
-    (``spark.checkpoint.dir``): cuts the lineage, survives a lost executor and
-    keeps columnar statistics.  :func:`drop` or :func:`clean_scratch` removes it."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sheetlens-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sheetlens_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that no result reads any more."""
-    path = getattr(df, "_sheetlens_path", None)
-    if path in _WRITTEN:
-        _WRITTEN.remove(path)
-        _delete(df.sparkSession, path)
-
-
-def clean_scratch(spark: SparkSession) -> None:
-    """Delete every table :func:`written` still holds (call when the job's results are stored)."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
-
+from sheetlens.scratch import clean_scratch, drop, written  # noqa: F401 - for the operators
 
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> Iterator[memoryview | None]:
     """The UTF-8 bytes of each row of an Arrow string column, without a copy."""
@@ -122,3 +88,23 @@ def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str =
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null or blank text."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def with_arrays(df: DataFrame, inputs: list[str], fn: Callable, added: str, rows: int = 512) -> DataFrame:
+    """``df`` with the columns ``added`` (DDL): ``make = fn()`` is called once a task, and
+    ``make(*lists)`` gives, for the values of ``inputs`` in at most ``rows`` rows at a time, one
+    list for each new column.  Like a pandas UDF, but what a task holds at once is bounded by
+    ``rows`` and not by the session's batch size."""
+    new = T.StructType.fromDDL(added)
+    schema = T.StructType([*df.schema.fields, *new.fields])
+    kinds = [to_arrow_type(f.dataType) for f in new.fields]
+    at = [df.columns.index(c) for c in inputs]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = fn()
+        for b in slices(batches, rows):
+            out = make(*(b.column(k).to_pylist() for k in at))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(o, k) for o, k in zip(out, kinds))],
+                                             names=[f.name for f in schema.fields])
+
+    return df.mapInArrow(scan, schema)
