@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetlens.llm import ann, langid, mixing, neardup, packing, pages, quality, shard, suffix, topk
+from sheetlens.llm.oracles import ORACLE  # noqa: F401 - part of this module's contract
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -89,5 +90,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_histogram_shards": op9_histogram_shards,
     "op10_cover_tree_topk": op10_cover_tree_topk,
 }
-
-ORACLE: dict[str, str] = {}
