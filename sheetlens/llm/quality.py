@@ -19,22 +19,23 @@ counts, error rates and scores cover all documents.
 from __future__ import annotations
 
 import operator
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlens.llm.common import own_names, slices, written
+from sheetlens.llm.common import slices, with_arrays, written
 
 LABELLED = 40_000
-TRAINED = 16_000
+TRAINED = 10_000
 SLOTS = 1 << 18
 SUPPORT = 3           # labelled abusive documents that a listed word must be in
 LISTED = 4096         # longest learned list
+SMALL = 0.1           # weights of the scorer nearer to 0 are left out
 
 #: English insults, a short public list; other words are learned from labels.
 INSULTS = frozenset("idiot moron stupid scum trash worthless pathetic disgusting loser clown "
@@ -52,24 +53,32 @@ def _words(text: str) -> list[str]:
 
 class _Flags(dict):
     """Per word: 1 symbol run at the end, 2 doubled mark at the end, 4 capitals,
-    8 no letter or digit, 16 insult, 32 listed word, 64 listed beginning."""
+    8 no letter or digit, 16 insult, 32 listed word, 64 listed beginning.  Long
+    words, which seldom come again, are not kept."""
 
     def __init__(self, listed: frozenset[str]):
         self.listed = listed
+        self.starts = frozenset(w[:-1] for w in listed if w[-1] == "-")
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        core = w.strip(STRIP).lower()
-        end = w[-3:]
-        f = 1 if len(w) > 3 and end[0] == end[1] == end[2] and not end[0].isalnum() else 0
-        f |= 2 if len(w) > 2 and w[-1] == w[-2] and w[-1] in "!?" else 0
-        f |= 4 if len(core) > 1 and w.upper() == w and core.upper() != core else 0
-        f |= 8 if not any(c.isalnum() for c in w) else 0
-        f |= 16 if core in INSULTS else 0
-        f |= 32 if core in self.listed else 0
-        f |= 64 if any(s in self.listed for s in starts(core)) else 0
-        self[w] = f
+        if w.isalpha():
+            core, f = w.lower(), 0
+        else:
+            core = w.strip(STRIP).lower()
+            end = w[-3:]
+            f = 1 if len(w) > 3 and end[0] == end[1] == end[2] and not end[0].isalnum() else 0
+            f |= 2 if len(w) > 2 and w[-1] == w[-2] and w[-1] in "!?" else 0
+            f |= 8 if not any(map(str.isalnum, w)) else 0
+        if core:
+            f |= 4 if len(core) > 1 and core.upper() in w and core.upper() != core else 0
+            f |= 16 if core in INSULTS else 0
+            f |= 32 if core in self.listed else 0
+            if len(core) > 4 and (core[:4] in self.starts or (len(core) > 5 and core[:5] in self.starts)):
+                f |= 64
+        if len(w) < 13:
+            if len(self) > 100_000:
+                self.clear()
+            self[w] = f
         return f
 
 
@@ -78,18 +87,15 @@ def starts(core: str) -> list[str]:
     return [core[:k] + "-" for k in (4, 5) if len(core) > k]
 
 
-def signals(text: str, flags: _Flags) -> tuple[int, int, tuple[float, ...]]:
+def signals(words: list[str], counts: Counter, flags: _Flags) -> tuple[int, int, tuple[float, ...]]:
     """Vote patterns for junk and abuse (one bit a labeller, set: at fault), and the
     shares of symbol runs, marks, capitals, bars, repeats, the top word and new words."""
-    words = _words(text)
     n = len(words)
     if not n:
         return 0, 0, (0.0,) * 6 + (1.0,)
-    counts = Counter(words)
     sums = [0] * 7
     hits = 0
-    for w, c in counts.items():
-        f = flags[w]
+    for f, c in zip(map(flags.__getitem__, counts), counts.values()):
         if f:
             for k in range(7):
                 if f >> k & 1:
@@ -99,9 +105,14 @@ def signals(text: str, flags: _Flags) -> tuple[int, int, tuple[float, ...]]:
     same = sum(map(operator.eq, words, words[1:])) / n
     top = max(counts.values()) / n if n >= 20 else 0.0
     new = len(counts) / n if n >= 30 else 1.0
-    odd = sum(1 for ch in text[:4000] if not (ch.isalnum() or ch.isspace())) / min(len(text), 4000) if sym + marks + bars > 0 else 0.0
-    fault = (sym >= 0.2, sym >= 0.05, marks >= 0.2, caps >= 0.4, bars >= 0.15, same >= 0.15, top >= 0.3,
-             new <= 0.1 and n <= 3000, odd >= 0.2, sym >= 0.02 or marks >= 0.05 or (caps >= 0.25 and n >= 20) or bars >= 0.05 or same >= 0.05)
+    odd = 0.0
+    if sym + marks + bars > 0:
+        letters = "".join(words)
+        odd = 1 - sum(map(str.isalnum, letters)) / len(letters)
+    some = min(1.0, n / 20)  # shares of a short text say less
+    fault = (sym >= 0.2, sym >= 0.05, marks >= 0.2, caps >= 0.4, bars >= 0.15, same * some >= 0.15, top >= 0.3,
+             new <= 0.1 and n <= 3000, odd >= 0.2,
+             sym >= 0.02 or marks >= 0.05 or caps * some >= 0.25 or bars * some >= 0.05 or (same >= 0.05 and same * n > 3.5))
     abuse = (sums[4] > 0, sums[5] > 0, sums[6] > 0, hits >= 2)
     return (sum(int(v) << k for k, v in enumerate(fault)), sum(int(v) << k for k, v in enumerate(abuse)),
             (sym, marks, caps, bars, same, top, new))
@@ -144,7 +155,7 @@ def _sampled(df: DataFrame, key: str, most: int) -> DataFrame:
 
 def learn_list(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, most: int = LABELLED) -> frozenset[str]:
     """Words and word beginnings of labelled abusive documents that other labelled ones
-    lack: in at least ``SUPPORT`` of the former and 30 times as often there."""
+    lack: in at least ``SUPPORT`` of the former and 150 times as often there."""
     rows = _sampled(labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic"), "doc_id", most)
     rows = F.broadcast(rows.select(F.col("doc_id").alias("_id"), "toxic"))  # at most ``most`` rows of two numbers
     marked = docs.where(F.col(text).isNotNull()).join(rows, docs[doc_id].cast("long") == F.col("_id")).select("toxic", text)
@@ -183,61 +194,113 @@ def learn_list(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, most:
     ratio = whole["sound"] / whole["bad"]
     least = max(SUPPORT, 0.004 * whole["bad"])
     return frozenset(r["t"] for r in rows if r["t"] and r["bad"] >= least
-                     and r["bad"] * ratio >= 30 * (r["sound"] + (0.5 if r["bad"] >= 5 else 0)))
+                     and r["bad"] * ratio >= 150 * (r["sound"] + (0.5 if r["bad"] >= 5 else 0)))
+
+
+def _hash(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % SLOTS
 
 
-def _slots(word: str) -> list[int]:
-    core = word.strip(STRIP).lower()
-    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[-4:])
-    return [xxhash.xxh3_64_intdigest(x.encode()) % SLOTS
-            for x in ([core] if core else []) + starts(core) + ["#" + shape if not word[-1:].isalnum() else "#"]]
+class _Starts(dict):
+    """Slots of a word's beginnings of four and five letters, by its first six."""
+
+    def __init__(self, used: list[bool] | None):
+        self.used = used
+
+    def __missing__(self, core: str) -> tuple[int, ...]:
+        if len(self) > 100_000:
+            self.clear()
+        got = self[core] = tuple(k for k in map(_hash, starts(core)) if self.used is None or self.used[k])
+        return got
+
+
+class _Slots(dict):
+    """Hashed features of a word: it (if of at most ten letters), its beginnings, and the marks at its end.  With
+    ``used`` only slots that have a weight.  Long words, which seldom come again, are not kept."""
+
+    def __init__(self, used: np.ndarray | None = None):
+        self.used = None if used is None else used.tolist()
+        self.starts = _Starts(self.used)
+
+    def __missing__(self, w: str) -> tuple[int, ...]:
+        if w.isalpha():
+            core, got = w.lower(), ()
+        else:
+            bare = w.rstrip(STRIP)
+            core, got = bare.lstrip(STRIP).lower(), self._kept("#" + w[len(bare):][-3:])
+        n = len(core)
+        if n > 4:
+            got += self.starts[core[:6]]
+        if n < 11:
+            if n:
+                got += self._kept(core)
+            if len(self) > 100_000:
+                self.clear()
+            self[w] = got
+        return got
+
+    def _kept(self, feature: str) -> tuple[int, ...]:
+        k = _hash(feature)
+        return (k,) if self.used is None or self.used[k] else ()
 
 
 def _shares(shares: tuple[float, ...]) -> list[int]:
     """Hashed bins of the shares, each with those below it (a step function by weights)."""
     out = []
     for name, s in zip(("sym", "marks", "caps", "bars", "same", "top", "old"), (*shares[:6], 1 - shares[6])):
-        out += [xxhash.xxh3_64_intdigest(f"{name}>{edge}".encode()) % SLOTS
-                for edge in (0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 0.9) if s >= edge]
+        out += [_hash(f"{name}>{edge}") for edge in (0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 0.9) if s >= edge]
     return out
 
 
-def _train(sample: DataFrame, epochs: int = 6) -> np.ndarray:
+def _marks(junk: int, abuse: int, shares: tuple[float, ...]) -> list[int]:
+    """Hashed features of the votes and shares."""
+    return ([_hash(f"vote {n}") for k, n in enumerate(JUNK) if junk >> k & 1]
+            + [_hash(f"vote {n}") for k, n in enumerate(ABUSE) if abuse >> k & 1] + _shares(shares))
+
+
+def _scale(n: int) -> float:
+    """Value of each of a text's n word features: long texts don't drown the others."""
+    return 1 / np.sqrt(max(n, 1))
+
+
+def _train(sample: DataFrame, listed: frozenset[str], epochs: int = 6) -> np.ndarray:
     """Weights (2, SLOTS + 1) of two logistic regressions on a bounded sample (text,
     posteriors), by AdaGrad in one task; the last weight is the intercept."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[int]] = {}
-        docs, target = [], []
-        flags = _Flags(frozenset())
+        slots_of, flags = _Slots(), _Flags(listed)
+        docs, marks, target = [], [], []
         for b in slices(batches):
             for t, j, a in zip(*(b.column(k).to_pylist() for k in range(3))):
-                ids = []
-                for w in set(_words(t)):
-                    if w not in cache:
-                        cache[w] = _slots(w)
-                    ids += cache[w]
-                docs.append(np.unique(np.array(ids + _shares(signals(t, flags)[2]), dtype=np.int64)))
+                words = _words(t)
+                counts = Counter(words)
+                ids = [k for got in map(slots_of.__getitem__, counts) for k in got]
+                docs.append(np.unique(np.array(ids, dtype=np.int32)))
+                marks.append(np.array(_marks(*signals(words, counts, flags)), dtype=np.int32))
                 target.append((j, a))
         w = np.zeros((2, SLOTS + 1))
         if docs:
-            seen = np.bincount(np.concatenate(docs), minlength=SLOTS + 1)
-            docs = [np.append(d[seen[d] >= 3], SLOTS) for d in docs]
+            seen = np.bincount(np.concatenate(docs), minlength=SLOTS)
+            docs = [d[seen[d] >= 3] for d in docs]
             y = np.array(target)
             square = np.full((2, SLOTS + 1), 1e-3)
             rng = np.random.default_rng(17)
             for _ in range(epochs):
                 for i in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // 32)):
-                    sizes = np.array([len(docs[k]) for k in i])
-                    flat = np.concatenate([docs[k] for k in i])
-                    starts_ = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                    rows = [np.concatenate([docs[k], marks[k], [SLOTS]]) for k in i]
+                    sizes = np.array([len(r) for r in rows])
+                    value = np.concatenate([np.append(np.full(len(docs[k]), _scale(len(docs[k]))),
+                                                      np.ones(len(marks[k]) + 1)) for k in i])
+                    flat = np.concatenate(rows)
+                    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                     slots, inverse = np.unique(flat, return_inverse=True)
                     for c in range(2):
-                        z = np.add.reduceat(w[c, flat], starts_)
+                        z = np.add.reduceat(w[c, flat] * value, begin)
                         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i, c]
-                        g = np.bincount(inverse, np.repeat(err, sizes)) / len(i) + 1e-4 * w[c, slots]
+                        g = np.bincount(inverse, np.repeat(err, sizes) * value) / len(i) + 1e-4 * w[c, slots]
                         square[c, slots] += g * g
                         w[c, slots] -= 0.3 * g / np.sqrt(square[c, slots])
+        w[:, :SLOTS][np.abs(w[:, :SLOTS]) < SMALL] = 0
         used = np.flatnonzero(w.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(w[0, used]), pa.array(w[1, used])], names=["s", "j", "a"])
 
@@ -260,17 +323,20 @@ def classify(df: DataFrame, labels: DataFrame | None = None, text: str = "text",
     new = ["junk_votes", "abuse_votes", "junk_weak", "abuse_weak", "junk", "abuse", "score", "kept"]
     base = df.drop(*new)
     listed = learn_list(base, labels, text, doc_id, labelled) if labels is not None else frozenset()
-    names = own_names(base, ["_s"])
-    s = names["_s"]
 
-    @F.pandas_udf("junk int, abuse int")
-    def vote(texts):
-        import pandas as pd
+    def voters():
         flags = _Flags(listed)
-        return pd.DataFrame([signals(t or "", flags)[:2] for t in texts], columns=["junk", "abuse"])
 
-    votes = written(base.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("rid"),
-                                vote(F.col(text)).alias("v")).select("doc_id", "rid", "v.*"), "votes")
+        def vote(texts):
+            rows = []
+            for t in texts:
+                words = _words(t or "")
+                rows.append(signals(words, Counter(words), flags)[:2])
+            return [r[0] for r in rows], [r[1] for r in rows]
+        return vote
+
+    rows = base.select(F.xxhash64(doc_id, text).alias("rid"), F.col(text).alias("_t"))
+    votes = written(with_arrays(rows, ["_t"], voters, "junk int, abuse int").drop("_t"), "votes")
     tables = []
     for col, n in (("junk", len(JUNK)), ("abuse", len(ABUSE))):
         counts = {r[col]: r["n"] for r in votes.groupBy(col).agg(F.count(F.lit(1)).alias("n")).collect()}  # <= 2**n rows
@@ -283,32 +349,30 @@ def classify(df: DataFrame, labels: DataFrame | None = None, text: str = "text",
     picked = picked.select("rid", weak("junk", junk_of).alias("j"), weak("abuse", abuse_of).alias("a"))
     sample = (base.select(F.xxhash64(doc_id, text).alias("rid"), F.col(text).alias("_t")).where("_t is not null")
                   .join(F.broadcast(picked), "rid").select("_t", "j", "a"))  # at most ``trained`` rows of three numbers
-    w = _train(sample)
+    w = _train(sample, listed)
 
-    @F.pandas_udf("junk_votes int, abuse_votes int, junk_weak double, abuse_weak double, junk double, abuse double")
-    def decide(texts):
-        import pandas as pd
-        flags, cache, rows = _Flags(listed), {}, []
+    def scorers():
+        flags, slots_of = _Flags(listed), _Slots(w[:, :SLOTS].any(0))
         wj, wa = w[0], w[1]
-        for t in texts:
-            t = t or ""
-            j, a, shares = signals(t, flags)
-            ids: set[int] = set()
-            for x in set(_words(t)):
-                got = cache.get(x)
-                if got is None:
-                    if len(cache) > 300_000:
-                        cache.clear()
-                    got = cache[x] = [k for k in _slots(x) if wj[k] or wa[k]]
-                if got:
-                    ids.update(got)
-            ids.update(_shares(shares))
-            at = np.fromiter(ids, dtype=np.int64, count=len(ids))
-            z = np.clip((wj[at].sum() + wj[SLOTS], wa[at].sum() + wa[SLOTS]), -30, 30)
-            p = 1 / (1 + np.exp(-z))
-            rows.append((j, a, junk_of.get(j, 0.0), abuse_of.get(a, 0.0), p[0], p[1]))
-        return pd.DataFrame(rows, columns=["junk_votes", "abuse_votes", "junk_weak", "abuse_weak", "junk", "abuse"])
-
-    out = base.withColumn(s, decide(F.col(text)))
-    out = out.select(*[F.col(f"`{c}`") for c in base.columns], F.col(f"{s}.*"))
+
+        def decide(texts):
+            out = [[] for _ in range(6)]
+            for t in texts:
+                words = _words(t or "")
+                counts = Counter(words)
+                j, a, shares = signals(words, counts, flags)
+                ids = set().union(*map(slots_of.__getitem__, counts))
+                at = np.fromiter(ids, dtype=np.int64, count=len(ids))
+                mark = _marks(j, a, shares)
+                scale = _scale(len(ids))
+                z = np.clip((wj[at].sum() * scale + wj[mark].sum() + wj[SLOTS],
+                             wa[at].sum() * scale + wa[mark].sum() + wa[SLOTS]), -30, 30)
+                p = 1 / (1 + np.exp(-z))
+                for c, v in zip(out, (j, a, junk_of.get(j, 0.0), abuse_of.get(a, 0.0), float(p[0]), float(p[1]))):
+                    c.append(v)
+            return out
+        return decide
+
+    out = with_arrays(base, [text], scorers,
+                      "junk_votes int, abuse_votes int, junk_weak double, abuse_weak double, junk double, abuse double")
     return (out.withColumn("score", 1 - F.greatest("junk", "abuse")).withColumn("kept", F.col("score") >= 0.5))
