@@ -1,217 +1,232 @@
-"""Workbooks as a Spark source: ``binaryFile`` + ``mapInArrow`` decode.
+"""Workbooks as a Spark source.
 
-A zip member is not splittable, so the unit of parallelism is the file: files
-are bin-packed into input splits by ``spark.sql.files.maxPartitionBytes`` /
-``openCostInBytes`` and each task decodes its files row by row, emitting
-bounded Arrow batches.  A file that cannot be decoded yields one sentinel row
-with ``error`` set (and no cells); the job goes on.
+Files are cut into XML texts by :mod:`sheetlens.sources.parts` and written once to the
+shared folder; everything else is DataFrame work in the JVM: ``from_xml`` parses worksheet
+rows, shared strings, styles and the theme, shared strings are joined to the cells that
+refer to them, styles to the rows of their file, merged ranges to the rows they cover, and
+gap rows and cells are filled in.  So the rows of one large workbook spread over tasks.
+
+A file with any fault (no zip, a truncated or malformed part, a reference to no style)
+gives one row with ``error`` set and no cells, whatever its size; the job goes on.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetlens.functions.text import argb_to_rgb
 from sheetlens.model import ROWS_SCHEMA
-from sheetlens.sources import ooxml
+from sheetlens.scratch import written
+from sheetlens.sources.parts import cut_workbooks
 
 XLSX_GLOB = "*.[xX][lL][sS][xX]"
 
-_STYLE_T = pa.struct([("background_color", pa.string()), ("font_color", pa.string()),
-                      ("bold", pa.bool_()), ("italic", pa.bool_())])
-_FILL_T = pa.struct([("fg_resolved", pa.string()), ("bg_resolved", pa.string())])
-_MERGE_T = pa.struct([("start_col", pa.int32()), ("end_col", pa.int32()),
-                      ("start_row", pa.int32()), ("end_row", pa.int32())])
-_CELL_T = pa.struct([("column_index", pa.int32()), ("content", pa.string()), ("style", _STYLE_T),
-                     ("fill", _FILL_T), ("merge_info", _MERGE_T)])
-ARROW_ROWS = pa.schema([("file", pa.string()), ("sheet_index", pa.int32()), ("sheet_name", pa.string()),
-                        ("row_index", pa.int64()), ("cells", pa.list_(_CELL_T)), ("error", pa.string())])
-
-
-class _Batch:
-    """Columnar accumulator for ARROW_ROWS (no per-cell Python dicts)."""
-
-    def __init__(self):
-        self.file, self.sidx, self.sname, self.ridx, self.err = [], [], [], [], []
-        self.offsets, self.valid = [0], []
-        self.ci, self.content, self.bg, self.font, self.bold, self.italic = [], [], [], [], [], []
-        self.fg_res, self.bg_res = [], []
-        self.msc, self.mec, self.msr, self.mer, self.mnull = [], [], [], [], []
-
-    def __len__(self):
-        return len(self.file)
-
-    def add_row(self, file, sheet_index, sheet_name, row_index, cells):
-        self.file.append(file)
-        self.sidx.append(sheet_index)
-        self.sname.append(sheet_name)
-        self.ridx.append(row_index)
-        self.err.append(None)
-        self.valid.append(True)
-        for c, content, style, fill, merge in cells:
-            self.ci.append(c)
-            self.content.append(content)
-            self.bg.append(style[0])
-            self.font.append(style[1])
-            self.bold.append(style[2])
-            self.italic.append(style[3])
-            self.fg_res.append(fill[0])
-            self.bg_res.append(fill[1])
-            if merge is None:
-                self.msc.append(None)
-                self.mec.append(None)
-                self.msr.append(None)
-                self.mer.append(None)
-                self.mnull.append(True)
-            else:
-                self.msc.append(merge[0])
-                self.mec.append(merge[1])
-                self.msr.append(merge[2])
-                self.mer.append(merge[3])
-                self.mnull.append(False)
-        self.offsets.append(len(self.ci))
-
-    def add_error(self, file, message, sheet_index=None, sheet_name=None):
-        self.file.append(file)
-        self.sidx.append(sheet_index)
-        self.sname.append(sheet_name)
-        self.ridx.append(None)
-        self.err.append(message)
-        self.valid.append(False)
-        self.offsets.append(len(self.ci))
-
-    def to_arrow(self) -> pa.RecordBatch:
-        style = pa.StructArray.from_arrays(
-            [pa.array(self.bg, pa.string()), pa.array(self.font, pa.string()), pa.array(self.bold, pa.bool_()),
-             pa.array(self.italic, pa.bool_())], fields=list(_STYLE_T))
-        fill = pa.StructArray.from_arrays([pa.array(self.fg_res, pa.string()), pa.array(self.bg_res, pa.string())],
-                                          fields=list(_FILL_T))
-        merge = pa.StructArray.from_arrays(
-            [pa.array(self.msc, pa.int32()), pa.array(self.mec, pa.int32()), pa.array(self.msr, pa.int32()),
-             pa.array(self.mer, pa.int32())], fields=list(_MERGE_T), mask=pa.array(self.mnull, pa.bool_()))
-        cell = pa.StructArray.from_arrays([pa.array(self.ci, pa.int32()), pa.array(self.content, pa.string()),
-                                           style, fill, merge], fields=list(_CELL_T))
-        cells = pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), cell,
-                                         mask=pa.array([not v for v in self.valid], pa.bool_()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(self.file, pa.string()), pa.array(self.sidx, pa.int32()), pa.array(self.sname, pa.string()),
-             pa.array(self.ridx, pa.int64()), cells, pa.array(self.err, pa.string())], schema=ARROW_ROWS)
-
-
-def _choose(sheets_avail: list[tuple[str, str]], sheets) -> list[int]:
-    n = len(sheets_avail)
-    if sheets == "all":
-        return list(range(n))
-    if sheets in (None, "first"):
-        return [0]
-    if isinstance(sheets, int):
-        return [sheets]
-    names = [s[0] for s in sheets_avail]
-    return [names.index(sheets)] if sheets in names else [0]
-
-
-def _decode_into(out: "_Batch", path: str, content: bytes, sheets, styles, max_rows, max_cols,
-                 batch_rows: int) -> Iterator["_Batch"]:
-    """Append one workbook's rows (or its error row) to ``out``; yields the
-    accumulator whenever it is full (the caller emits it and passes a new one
-    through ``out.next``)."""
-    try:
-        wb = ooxml.Workbook.open(content)
-        if not wb.sheets:
-            raise ooxml.DecodeError("workbook has no sheets")
-        plan = []
-        chosen = _choose(wb.sheets, sheets)
-        for idx in chosen:
-            if not 0 <= idx < len(wb.sheets):
-                raise ooxml.DecodeError(f"sheet index {idx} out of range ({len(wb.sheets)} sheets)")
-            name, part = wb.sheets[idx]
-            # the whole sheet XML is parsed (validated) before any row is emitted
-            scan, rows = ooxml.read_sheet(wb, part, with_styles=styles, single_pass=len(chosen) == 1)
-            if scan.height > max_rows or scan.width > max_cols:
-                raise ooxml.DecodeError(f"sheet {name!r} is {scan.height} x {scan.width}, over the "
-                                        f"{max_rows} x {max_cols} limit")
-            plan.append((idx, name, rows))
-    except Exception as e:  # noqa: BLE001 - any decode failure isolates this file
-        out.add_error(path, f"{type(e).__name__}: {e}")
-        return
-    for idx, name, rows in plan:
-        for r, cells in rows:
-            out.add_row(path, idx, name, r, cells)
-            if len(out) >= batch_rows:
-                yield out
-
-
-def _decode_stream(items, sheets="first", styles=True, max_rows=ooxml.EXCEL_MAX_ROWS,
-                   max_cols=ooxml.EXCEL_MAX_COLS, batch_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Decode ``(path, content)`` pairs into ARROW_ROWS batches of about
-    ``batch_rows`` rows, rows of many small files sharing one batch."""
-    out = _Batch()
-    for path, content in items:
-        for full in _decode_into(out, path, content, sheets, styles, max_rows, max_cols, batch_rows):
-            yield full.to_arrow()
-            full.__init__()
-    if len(out):
-        yield out.to_arrow()
-
-
-def decode_file(path: str, content: bytes, sheets="first", styles=True,
-                max_rows=ooxml.EXCEL_MAX_ROWS, max_cols=ooxml.EXCEL_MAX_COLS,
-                batch_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Decode one workbook into ARROW_ROWS batches (an error row on failure)."""
-    return _decode_stream([(path, content)], sheets, styles, max_rows, max_cols, batch_rows)
-
-
-def _items(batches) -> Iterator[tuple[str, bytes]]:
-    for b in batches:
-        paths = b.column("path").to_pylist()
-        contents = b.column("content")
-        for i, p in enumerate(paths):
-            yield p, contents[i].as_py()
-
-
-def decode_workbooks(files: DataFrame, sheets="first", styles: bool = True,
-                     max_rows: int = ooxml.EXCEL_MAX_ROWS, max_cols: int = ooxml.EXCEL_MAX_COLS) -> DataFrame:
+# The standard indexed colour palette of SpreadsheetML (ARGB, index 0..63).
+INDEXED_COLORS = (
+    "FF000000", "FFFFFFFF", "FFFF0000", "FF00FF00", "FF0000FF", "FFFFFF00", "FFFF00FF", "FF00FFFF",
+    "FF000000", "FFFFFFFF", "FFFF0000", "FF00FF00", "FF0000FF", "FFFFFF00", "FFFF00FF", "FF00FFFF",
+    "FF800000", "FF008000", "FF000080", "FF808000", "FF800080", "FF008080", "FFC0C0C0", "FF808080",
+    "FF9999FF", "FF993366", "FFFFFFCC", "FFCCFFFF", "FF660066", "FFFF8080", "FF0066CC", "FFCCCCFF",
+    "FF000080", "FFFF00FF", "FFFFFF00", "FF00FFFF", "FF800080", "FF800000", "FF008080", "FF0000FF",
+    "FF00CCFF", "FFCCFFFF", "FFCCFFCC", "FFFFFF99", "FF99CCFF", "FFFF99CC", "FFCC99FF", "FFFFCC99",
+    "FF3366FF", "FF33CCCC", "FF99CC00", "FFFFCC00", "FFFF9900", "FFFF6600", "FF666699", "FF969696",
+    "FF003366", "FF339966", "FF003300", "FF333300", "FF993300", "FF993366", "FF333399", "FF333333",
+)
+# Theme colour index -> element of the colour scheme (light and dark pairs are swapped).
+THEME_SLOTS = ("lt1", "dk1", "lt2", "dk2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6", "hlink", "folHlink")
+
+_TEXT = "struct<t:array<string>,r:array<struct<t:array<string>>>>"
+_ROW_XML = f"c array<struct<_r:string,_s:string,_t:string,v:string,is:{_TEXT}>>, bad string"
+_STRING_XML = "t array<string>, r array<struct<t:array<string>>>, bad string"
+_COLOR = "struct<_rgb:string,_indexed:string,_theme:string>"
+_FLAG = "struct<_VALUE:string,_val:string>"
+_STYLES_XML = (f"fonts struct<font:array<struct<b:{_FLAG},i:{_FLAG},color:{_COLOR}>>>, "
+               f"fills struct<fill:array<struct<patternFill:struct<fgColor:{_COLOR},bgColor:{_COLOR}>>>>, "
+               "cellXfs struct<xf:array<struct<_fillId:string,_fontId:string>>>, bad string")
+_THEME_XML = ("themeElements struct<clrScheme:struct<" + ",".join(
+    f"{s}:struct<srgbClr:struct<_val:string>,sysClr:struct<_lastClr:string>>" for s in THEME_SLOTS) + ">>, bad string")
+_XML = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "ignoreSurroundingSpaces": "false"}
+
+_STYLE = "struct<background_color:string,font_color:string,bold:boolean,italic:boolean>"
+_FILL = "struct<fg_resolved:string,bg_resolved:string>"
+_MERGE = "struct<start_col:int,end_col:int,start_row:int,end_row:int>"
+MALFORMED = "DecodeError: malformed part"
+
+
+def _parsed(xml: str, schema: str) -> Column:
+    return F.from_xml(xml, schema, _XML)
+
+
+def _column_number(ref: Column) -> Column:
+    """0-based column of a cell reference such as B3 or $B$3; null if it is none."""
+    letters = F.upper(F.regexp_extract(F.coalesce(ref, F.lit("")), r"^\$?([A-Za-z]{1,3})\$?[0-9]+$", 1))
+    value = F.aggregate(F.split(letters, ""), F.lit(0), lambda acc, ch: acc * 26 + F.ascii(ch) - 64)
+    return F.when(letters != "", value - 1)
+
+
+def _runs(item: Column) -> Column:
+    """Text of a string item: its plain text, then its runs (phonetic text is no part of it)."""
+    parts = F.concat(F.coalesce(item["t"], F.array().cast("array<string>")),
+                     F.flatten(F.transform(F.coalesce(item["r"], F.array().cast("array<struct<t:array<string>>>")),
+                                           lambda r: F.coalesce(r["t"], F.array().cast("array<string>")))))
+    return F.array_join(parts, "")
+
+
+def _raw_rows(parts: DataFrame) -> DataFrame:
+    """(file, sheet_index, sheet_name, row_index, cells, bad): ``cells`` as stored, with their column."""
+    d = parts.where("kind = 'row'").select("file", "sheet_index", "sheet_name", F.col("pos").alias("row_index"),
+                                           _parsed("xml", _ROW_XML).alias("p"))
+    d = d.withColumn("c", F.coalesce("p.c", F.array().cast("array<struct<_r:string,_s:string,_t:string,v:string,is:"
+                                                           + _TEXT + ">>")))
+    d = d.withColumn("given", F.transform("c", lambda x: _column_number(x["_r"])))
+    d = d.withColumn("at", F.when(F.forall("given", lambda g: g.isNotNull()), F.col("given")).otherwise(
+        F.aggregate("given", F.array().cast("array<int>"), lambda acc, g: F.concat(acc, F.array(
+            F.coalesce(g, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + 1))))))
+    cells = F.transform("c", lambda x, i: F.struct(
+        F.get("at", i).alias("col"), F.coalesce(x["_t"], F.lit("n")).alias("t"),
+        F.coalesce(x["_s"].try_cast("int"), F.lit(0)).alias("s"),
+        F.concat(F.coalesce(x["v"], F.lit("")), F.when(x["is"].isNotNull(), _runs(x["is"])).otherwise("")).alias("v")))
+    bad = F.col("p").isNull() | F.col("p.bad").isNotNull() | F.exists("c", lambda x: x["_s"].isNotNull() & x["_s"].try_cast("int").isNull())
+    return d.select("file", "sheet_index", "sheet_name", "row_index", cells.alias("cells"), bad.alias("bad"))
+
+
+def _color(c: Column, theme: Column | None) -> Column:
+    """ARGB of a colour element: explicit, indexed, or (with ``theme``) a theme colour; '' if none."""
+    palette = F.array(*[F.lit(x) for x in INDEXED_COLORS])
+    by_theme = F.get(theme, c["_theme"].try_cast("int")) if theme is not None else F.lit(None).cast("string")
+    return F.coalesce(c["_rgb"], F.get(palette, c["_indexed"].try_cast("int")),
+                      F.when(c["_indexed"].isNull(), by_theme), F.lit(""))
+
+
+def _styles(parts: DataFrame) -> DataFrame:
+    """(file, xfs, bad): per file the style and fill of every cell format."""
+    theme = parts.where("kind = 'theme'").select("file", _parsed("xml", _THEME_XML).alias("h"))
+    scheme = F.col("h.themeElements.clrScheme")
+    colours = F.array(*[F.coalesce(F.concat(F.lit("FF"), F.upper(F.coalesce(
+        scheme[s]["srgbClr"]["_val"], scheme[s]["sysClr"]["_lastClr"]))), F.lit("")) for s in THEME_SLOTS])
+    d = parts.where("kind = 'styles'").select("file", _parsed("xml", _STYLES_XML).alias("p")).join(
+        theme.select("file", F.when(F.col("h.bad").isNull(), colours).alias("theme"), F.col("h.bad").alias("hbad")), "file", "left")
+    on = lambda f: F.coalesce(f.isNotNull() & ~F.coalesce(f["_val"], F.lit("1")).isin("0", "false"), F.lit(False))
+    none = lambda x: F.when(x != "", x)
+
+    def xf(x: Column) -> Column:
+        fill = F.get(F.col("p.fills.fill"), F.coalesce(x["_fillId"].try_cast("int"), F.lit(0)))["patternFill"]
+        font = F.get(F.col("p.fonts.font"), F.coalesce(x["_fontId"].try_cast("int"), F.lit(0)))
+        fg, bg = fill["fgColor"], fill["bgColor"]
+        # an explicit colour that is empty text falls through to none
+        return F.struct(
+            F.struct(argb_to_rgb(none(F.when(fg.isNotNull(), _color(fg, None)))).alias("background_color"),
+                     argb_to_rgb(none(F.when(font["color"].isNotNull(), _color(font["color"], None)))).alias("font_color"),
+                     on(font["b"]).alias("bold"), on(font["i"]).alias("italic")).alias("style"),
+            F.struct(F.coalesce(F.when(fg.isNotNull(), _color(fg, F.col("theme"))), F.lit("")).alias("fg_resolved"),
+                     F.coalesce(F.when(bg.isNotNull(), _color(bg, F.col("theme"))), F.lit("")).alias("bg_resolved")).alias("fill"))
+
+    bad = F.col("p").isNull() | F.col("p.bad").isNotNull() | F.col("hbad").isNotNull()
+    return d.select("file", F.transform("p.cellXfs.xf", xf).alias("xfs"), bad.alias("bad"))
+
+
+def _merges(parts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(file, sheet_index, row_index, merges): the ranges over each row of a sheet, in their order."""
+    ends = F.split("xml", ":")
+    a, b = F.get(ends, F.lit(0)), F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0)))
+    row = lambda ref: F.regexp_extract(ref, r"^\$?[A-Za-z]{1,3}\$?([0-9]+)$", 1).try_cast("int") - 1
+    d = parts.where("kind = 'merge'").select(
+        "file", "sheet_index", "pos", F.least(row(a), row(b)).alias("r0"), F.greatest(row(a), row(b)).alias("r1"),
+        F.least(_column_number(a), _column_number(b)).alias("c0"), F.greatest(_column_number(a), _column_number(b)).alias("c1"))
+    d = d.where("r0 is not null and r1 is not null and c0 is not null and c1 is not null")
+    d = d.join(sizes.select("file", "sheet_index", "height"), ["file", "sheet_index"]).where("r0 < height")
+    return (d.withColumn("row_index", F.explode(F.sequence(F.col("r0").cast("bigint"), F.least(F.col("r1").cast("bigint"), F.col("height") - 1))))
+             .groupBy("file", "sheet_index", "row_index").agg(F.sort_array(F.collect_list(F.struct(
+                 "pos", F.col("c0").alias("start_col"), F.col("c1").alias("end_col"), F.col("r0").alias("start_row"),
+                 F.col("r1").alias("end_row")))).alias("merges")))
+
+
+def _faults(parts: DataFrame, raw: DataFrame, styles: DataFrame | None) -> DataFrame:
+    """(file, error) of every file that cannot be read whole."""
+    strings = parts.where("kind = 'string'").select("file", _parsed("xml", _STRING_XML).alias("p")).where("p is null or p.bad is not null")
+    found = [parts.where("kind = 'error'").select("file", "error"),
+             raw.where("bad").select("file", F.lit(f"{MALFORMED} (worksheet row)").alias("error")),
+             strings.select("file", F.lit(f"{MALFORMED} (shared strings)").alias("error"))]
+    if styles is not None:
+        found.append(styles.where("bad").select("file", F.lit(f"{MALFORMED} (styles)").alias("error")))
+    return reduce(DataFrame.unionByName, found).groupBy("file").agg(F.min("error").alias("error"))
+
+
+class _Book:
+    """The parts of workbooks, cut and parsed once."""
+
+    def __init__(self, files: DataFrame, sheets, styles: bool):
+        self.parts = written(cut_workbooks(files, sheets, styles), "parts")
+        self.raw = written(_raw_rows(self.parts), "raw-rows")
+        self.styles = written(_styles(self.parts), "styles") if styles else None
+        self.faults = written(_faults(self.parts, self.raw, self.styles), "faults")
+        end = F.when(F.size("cells") > 0, F.col("row_index") + 1)
+        wide = F.array_max(F.transform("cells", lambda c: c["col"])) + 1
+        self.sizes = (self.raw.groupBy("file", "sheet_index", "sheet_name")
+                          .agg(F.max(end).alias("height"), F.max(wide).alias("width"), F.count(end).alias("filled"))
+                          .where("height is not null").join(self.faults.select("file"), "file", "left_anti"))
+
+    def rows(self) -> DataFrame:
+        """Canonical rows of all readable files."""
+        key = ["file", "sheet_index"]
+        sized = self.raw.drop("bad", "sheet_name").join(self.sizes, key).where("row_index < height")
+        # rows of the used range that the file leaves out
+        gaps = (self.sizes.where("filled < height").withColumn("row_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("height") - 1)))
+                    .join(self.raw.select(*key, "row_index"), [*key, "row_index"], "left_anti")
+                    .withColumn("cells", F.array().cast(self.raw.schema["cells"].dataType)))
+        d = sized.unionByName(gaps.select(sized.columns))
+        refs = (self.raw.select(*key, "row_index", F.inline(F.filter("cells", lambda c: c["t"] == "s")))
+                    .select(*key, "row_index", "col", F.col("v").try_cast("bigint").alias("pos")))
+        texts = self.parts.where("kind = 'string'").select("file", "pos", _runs(_parsed("xml", _STRING_XML)).alias("text"))
+        shared = (refs.join(texts, ["file", "pos"]).groupBy(*key, "row_index")
+                      .agg(F.map_from_entries(F.collect_set(F.struct(F.col("col"), F.col("text")))).alias("shared")))
+        d = d.join(shared, [*key, "row_index"], "left").join(_merges(self.parts, self.sizes), [*key, "row_index"], "left")
+        if self.styles is not None:
+            d = d.join(self.styles.select("file", "xfs"), "file", "left")
+        else:
+            d = d.withColumn("xfs", F.lit(None).cast(f"array<struct<style:{_STYLE},fill:{_FILL}>>"))
+        no_style = F.struct(F.lit(None).cast("string").alias("background_color"), F.lit(None).cast("string").alias("font_color"),
+                            F.lit(False).alias("bold"), F.lit(False).alias("italic"))
+        no_fill = F.struct(F.lit("").alias("fg_resolved"), F.lit("").alias("bg_resolved"))
+
+        def cell(i: Column) -> Column:
+            here = F.get("cells", i)                 # nearly always; else look for it (the last of a column counts)
+            c = F.when(here["col"] == i, here).otherwise(F.try_element_at(F.filter("cells", lambda x: x["col"] == i), F.lit(-1)))
+            text = (F.when(c["t"] == "s", F.try_element_at("shared", i))
+                     .when(c["t"] == "b", F.when(F.trim(c["v"]).isin("1", "true"), "TRUE").otherwise("FALSE")).otherwise(c["v"]))
+            look = F.get("xfs", c["s"])
+            over = F.get(F.filter("merges", lambda m: (m["start_col"] <= i) & (m["end_col"] >= i)), F.lit(0))
+            return F.struct(i.alias("column_index"), F.coalesce(text, F.lit("")).alias("content"),
+                            F.coalesce(look["style"], no_style).cast(_STYLE).alias("style"),
+                            F.coalesce(look["fill"], no_fill).cast(_FILL).alias("fill"),
+                            F.when(over.isNotNull(), F.struct(over["start_col"].alias("start_col"), over["end_col"].alias("end_col"),
+                                                              over["start_row"].alias("start_row"), over["end_row"].alias("end_row")))
+                            .cast(_MERGE).alias("merge_info"))
+
+        dense = F.transform(F.sequence(F.lit(0), F.col("width") - 1), cell)
+        return d.select("file", "sheet_index", "sheet_name", "row_index", dense.alias("cells"), F.lit(None).cast("string").alias("error"))
+
+    def error_rows(self) -> DataFrame:
+        return self.faults.select("file", *[F.lit(None).cast(f.dataType).alias(f.name) for f in ROWS_SCHEMA.fields
+                                            if f.name not in ("file", "error")], "error").select(*ROWS_SCHEMA.names)
+
+
+def decode_workbooks(files: DataFrame, sheets="first", styles: bool = True) -> DataFrame:
     """(path, content) -> canonical ``rows``.  ``sheets``: 'first' (default),
-    'all', a 0-based index, or a name (missing name -> first sheet)."""
-
-    def run(batches):
-        yield from _decode_stream(_items(batches), sheets, styles, max_rows, max_cols)
-
-    return files.select("path", "content").mapInArrow(run, ROWS_SCHEMA)
+    'all', a 0-based index, or a name (missing name -> first sheet).  A sheet without
+    cells gives no rows; a theme colour is taken without its tint."""
+    book = _Book(files, sheets, styles)
+    return book.rows().unionByName(book.error_rows())
 
 
 def manifest_from(files: DataFrame) -> DataFrame:
     """(path, content) -> (file, sheet_index, sheet_name, error): reads only
     the workbook part of each file."""
-    schema = pa.schema([("file", pa.string()), ("sheet_index", pa.int32()), ("sheet_name", pa.string()),
-                        ("error", pa.string())])
-
-    def run(batches):
-        for b in batches:
-            paths = b.column("path").to_pylist()
-            contents = b.column("content")
-            f, si, sn, er = [], [], [], []
-            for i, p in enumerate(paths):
-                try:
-                    wb = ooxml.Workbook.open(contents[i].as_py())
-                    for k, (name, _part) in enumerate(wb.sheets):
-                        f.append(p)
-                        si.append(k)
-                        sn.append(name)
-                        er.append(None)
-                except Exception as e:  # noqa: BLE001
-                    f.append(p)
-                    si.append(None)
-                    sn.append(None)
-                    er.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(si, pa.int32()),
-                                              pa.array(sn, pa.string()), pa.array(er, pa.string())], schema=schema)
-
-    return files.select("path", "content").mapInArrow(
-        run, "file string, sheet_index int, sheet_name string, error string")
+    parts = cut_workbooks(files, cells=False)
+    return parts.where("kind in ('sheet', 'error')").select("file", "sheet_index", "sheet_name", "error")
 
 
 def binary_files(spark: SparkSession, directory: str, glob: str = XLSX_GLOB) -> DataFrame:
@@ -221,8 +236,8 @@ def binary_files(spark: SparkSession, directory: str, glob: str = XLSX_GLOB) ->
 
 
 def read_workbooks(spark: SparkSession, directory: str, sheets="first", styles: bool = True,
-                   glob: str = XLSX_GLOB, **limits) -> DataFrame:
-    return decode_workbooks(binary_files(spark, directory, glob), sheets, styles, **limits)
+                   glob: str = XLSX_GLOB) -> DataFrame:
+    return decode_workbooks(binary_files(spark, directory, glob), sheets, styles)
 
 
 def workbook_manifest(spark: SparkSession, directory: str, glob: str = XLSX_GLOB) -> DataFrame:
@@ -240,128 +255,37 @@ def file_errors(rows: DataFrame) -> DataFrame:
 TABLE_SCHEMA = "file string, header array<string>, row_index bigint, values array<string>, error string"
 
 
-def header_names(header: list[str]) -> list[str]:
-    """Empty header text (not trimmed) -> Column_<i>; the reference's rule."""
-    return [h if h != "" else f"Column_{i}" for i, h in enumerate(header)]
-
-
-_TABLE_ARROW = pa.schema([("file", pa.string()), ("header", pa.list_(pa.string())), ("row_index", pa.int64()),
-                          ("values", pa.list_(pa.string())), ("error", pa.string())])
-
-
-class _TableBatch:
-    def __init__(self):
-        self.file, self.header, self.ridx, self.vals, self.err = [], [], [], [], []
-
-    def __len__(self):
-        return len(self.file)
-
-    def add(self, path, header, row_index, values, error=None):
-        self.file.append(path)
-        self.header.append(header)
-        self.ridx.append(row_index)
-        self.vals.append(values)
-        self.err.append(error)
-
-    def to_arrow(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(self.file, pa.string()), pa.array(self.header, pa.list_(pa.string())),
-             pa.array(self.ridx, pa.int64()), pa.array(self.vals, pa.list_(pa.string())),
-             pa.array(self.err, pa.string())], schema=_TABLE_ARROW)
+def _header(cells: Column) -> Column:
+    """Column names from a sheet's first row: its texts; an empty one (not trimmed) is Column_<i>."""
+    return F.transform(cells, lambda c, i: F.when(c["content"] == "", F.concat(F.lit("Column_"), i.cast("string"))).otherwise(c["content"]))
 
 
-def _open_table(path: str, content: bytes, sheet):
-    """(header names, body rows) of the chosen sheet; raises on any failure
-    (decode error, empty sheet, duplicate header names).  The whole sheet XML
-    is parsed before this returns."""
-    wb = ooxml.Workbook.open(content)
-    if not wb.sheets:
-        raise ooxml.DecodeError("workbook has no sheets")
-    idx = _choose(wb.sheets, sheet)[0]
-    if not 0 <= idx < len(wb.sheets):
-        raise ooxml.DecodeError(f"sheet index {idx} out of range ({len(wb.sheets)} sheets)")
-    name, part = wb.sheets[idx]
-    scan, rows = ooxml.read_sheet(wb, part, with_styles=False)
-    if scan.height == 0 or scan.width == 0:
-        raise ooxml.DecodeError(f"sheet {name!r} is empty")
-    _, first = next(rows)
-    header = header_names([c[1] for c in first])
-    if len(set(header)) < len(header):
-        raise ooxml.DecodeError("duplicate column names in header")
-    return header, rows
-
-
-def _error_text(e: Exception) -> str:
-    return f"{type(e).__name__}: {e}"
-
-
-def _table_into(out: _TableBatch, path: str, content: bytes, sheet, batch_rows: int) -> Iterator[_TableBatch]:
-    """One workbook's sheet as a string table: header from row 1, body rows
-    after it, then one status row (``row_index`` NULL, ``error`` NULL, the header).
-    Failures give only the status row with ``error`` set."""
-    try:
-        header, rows = _open_table(path, content, sheet)
-    except Exception as e:  # noqa: BLE001 - any failure isolates this file
-        out.add(path, None, None, None, _error_text(e))
-        return
-    for r, cells in rows:
-        out.add(path, header, r, [c[1] for c in cells])
-        if len(out) >= batch_rows:
-            yield out
-    out.add(path, header, None, None, None)
-
-
-def _table_stream(items, sheet="first", batch_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    out = _TableBatch()
-    for path, content in items:
-        for full in _table_into(out, path, content, sheet, batch_rows):
-            yield full.to_arrow()
-            full.__init__()
-    if len(out):
-        yield out.to_arrow()
-
-
-def decode_table_file(path: str, content: bytes, sheet="first", batch_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    return _table_stream([(path, content)], sheet, batch_rows)
+def _tables(files: DataFrame, sheet) -> tuple[DataFrame, DataFrame]:
+    """(rows, status) of the table read: status has (file, error, header) of every file."""
+    book = _Book(files, sheet, styles=False)
+    rows = book.rows()
+    heads = rows.where("row_index = 0").select("file", _header(F.col("cells")).alias("header"))
+    heads = heads.withColumn("twice", F.size(F.array_distinct("header")) < F.size("header"))
+    status = book.parts.select("file").distinct().join(book.faults, "file", "left").join(heads, "file", "left")
+    error = (F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("header").isNull(), F.lit("DecodeError: sheet is empty"))
+              .when(F.col("twice"), F.lit("DecodeError: duplicate column names in header")))
+    status = written(status.select("file", error.alias("error"), F.when(error.isNull(), F.col("header")).alias("header")), "status")
+    good = status.where("error is null").select("file", "header")
+    body = (rows.where("row_index > 0").select("file", "row_index", F.transform("cells", lambda c: c["content"]).alias("values"))
+                .join(good, "file").select("file", "header", "row_index", "values", F.lit(None).cast("string").alias("error")))
+    return body, status
 
 
 def decode_tables(files: DataFrame, sheet="first") -> DataFrame:
-    """(path, content) -> (file, header, row_index, values, error): table rows,
-    plus one status row per file (``row_index`` NULL; ``error`` NULL on
-    success), so run status needs no second pass over the inputs."""
-
-    def run(batches):
-        yield from _table_stream(_items(batches), sheet)
-
-    return files.select("path", "content").mapInArrow(run, TABLE_SCHEMA)
+    """(path, content) -> (file, header, row_index, values, error): table rows (header
+    from row 1, body rows after it), plus one status row per file (``row_index`` NULL;
+    ``error`` NULL and the header on success)."""
+    body, status = _tables(files, sheet)
+    return body.unionByName(status.select("file", "header", F.lit(None).cast("bigint").alias("row_index"),
+                                          F.lit(None).cast("array<string>").alias("values"), "error"))
 
 
 def decode_status(files: DataFrame, sheet="first") -> DataFrame:
     """(path, content) -> (file, error, header): the outcome of the table read of
-    every file (same checks and messages as :func:`decode_tables`) without
-    materialising its rows."""
-    schema = pa.schema([("file", pa.string()), ("error", pa.string()), ("header", pa.list_(pa.string()))])
-
-    def run(batches):
-        rows: list[tuple] = []
-
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)],
-                                               schema=schema)
-            rows.clear()
-            return batch
-
-        for path, content in _items(batches):
-            try:
-                header, body = _open_table(path, content, sheet)
-                for _ in body:      # read to the end, as the table read does: damage there fails the file too
-                    pass
-                rows.append((path, None, header))
-            except Exception as e:  # noqa: BLE001
-                rows.append((path, _error_text(e), None))
-            if len(rows) >= 4096:
-                yield out()
-        if rows:
-            yield out()
-
-    return files.select("path", "content").mapInArrow(run, "file string, error string, header array<string>")
+    every file (same checks and messages as :func:`decode_tables`)."""
+    return _tables(files, sheet)[1]

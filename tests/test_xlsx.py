@@ -1,8 +1,10 @@
 """Workbook source round trips: files written with stdlib zipfile, read back
 through binaryFile + mapInArrow (FIXTURES.md §F)."""
 
+import io
 import os
 import tempfile
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,24 +118,67 @@ def test_tables_first_sheet(spark, book_dir):
     assert [list(r["values"]) for r in e] == TABLE[1:]
 
 
-def test_single_and_two_pass_decode_agree(monkeypatch):
-    """Small sheets are parsed once, large ones in two streaming passes: both
-    must give the same rows (forced here by the size threshold)."""
-    from sheetlens.sources import ooxml
+def _edit(content, member, change):
+    """The workbook with one member's bytes changed (None: taken out)."""
+    src, out = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n in src.namelist():
+            data = change(src.read(n)) if n == member else src.read(n)
+            if data is not None:
+                z.writestr(n, data)
+    return out.getvalue()
+
+
+def test_a_fault_in_any_part_is_one_error_row(spark):
+    good = workbook_bytes([("Grid", GRID, [(0, 0, 0, 2)]), ("Table", TABLE, [])])
+    half = lambda d: d[: len(d) // 2]
+    sheet = "xl/worksheets/sheet1.xml"
+    items = [("good", good)] + [(m, _edit(good, m, half)) for m in (
+        "xl/workbook.xml", "xl/styles.xml", "xl/sharedStrings.xml", sheet, "xl/theme/theme1.xml")]
+    items += [("gone", _edit(good, sheet, lambda d: None)),
+              ("tag", _edit(good, sheet, lambda d: d.replace(b"</v>", b"</w>", 1))),
+              ("style", _edit(good, sheet, lambda d: d.replace(b' s="1"', b' s="x"', 1))),
+              ("order", _edit(good, sheet, lambda d: d.replace(b'r="4"', b'r="1"', 1)))]
+    rows = XL.decode_workbooks(spark.createDataFrame(items, "path string, content binary"), sheets="all").collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r.file, []).append(r.error)
+    assert len(per.pop("good")) == 9
+    assert all(len(e) == 1 and e[0] for e in per.values()) and len(per) == 9
+
+
+def test_rows_cut_at_any_chunk_border(monkeypatch):
+    from sheetlens.sources import parts
 
     content = workbook_bytes([("Grid", GRID, [(0, 0, 0, 2), (2, 1, 3, 1)]), ("Table", TABLE, [])])
-    gapped = workbook_bytes([("G", [None, [{"v": "a"}], None, [None, {"v": 1}]], [])], omit_refs=False)
-
-    def decode(c, sheets):
-        return [b.to_pylist() for b in XL.decode_file("x.xlsx", c, sheets=sheets)]
-
-    for c in (content, gapped):
-        for sheets in ("first", "all", 1):
-            once = decode(c, sheets)
-            monkeypatch.setattr(ooxml, "SMALL_SHEET_BYTES", 0)
-            twice = decode(c, sheets)
-            monkeypatch.setattr(ooxml, "SMALL_SHEET_BYTES", 8 << 20)
-            assert once == twice
+    whole = list(parts._pieces(content, "all", True, True))
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(parts, "_CHUNK", size)
+        assert list(parts._pieces(content, "all", True, True)) == whole
+
+
+def test_prefixes_phonetic_text_and_empty_elements(spark):
+    ns = 'xmlns:x="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = (f'<x:worksheet {ns}><x:sheetData><x:row r="2" x14ac:dyDescent="0.25"><x:c r="B2" t="s"><x:v>1</x:v></x:c>'
+             '<x:c t="s"><x:v>0</x:v></x:c><x:c r="E2" t="str"><x:f>1</x:f><x:v> a&amp;b </x:v></x:c></x:row><x:row r="9"/></x:sheetData>'
+             '<x:mergeCells><x:mergeCell ref="C2:B1"/><x:mergeCell ref="A1:A5000"/></x:mergeCells></x:worksheet>').encode()
+    sst = (f'<x:sst {ns}><x:si><x:r><x:t>one</x:t></x:r><x:r><x:t xml:space="preserve"> two</x:t></x:r><x:rPh sb="0" eb="1"><x:t>no</x:t>'
+           '</x:rPh></x:si><x:si><x:t xml:space="preserve"> sp </x:t></x:si></x:sst>').encode()
+    book = workbook_bytes([("S", [["q"]], [])])
+    book = _edit(_edit(book, "xl/worksheets/sheet1.xml", lambda d: sheet), "xl/sharedStrings.xml", lambda d: sst)
+    rows = sorted(XL.decode_workbooks(spark.createDataFrame([("p", book)], "path string, content binary")).collect(),
+                  key=lambda r: r.row_index)
+    assert [[c.content for c in r.cells] for r in rows] == [[""] * 5, ["", " sp ", "one two", "", " a&b "]]
+    merged = [[c.merge_info and tuple(c.merge_info) for c in r.cells] for r in rows]
+    assert merged == [[(0, 0, 0, 4999), (1, 2, 0, 1), (1, 2, 0, 1), None, None]] * 2
+
+
+def test_one_large_file_spreads_over_tasks(spark):
+    book = workbook_bytes([("S", [[{"v": f"t{i % 50}"}, {"v": i}] for i in range(20_000)], [])])
+    rows = XL.decode_workbooks(spark.createDataFrame([("p", book)], "path string, content binary"))
+    assert rows.count() == 20_000
+    r = rows.where("row_index = 12345").first()
+    assert [c.content for c in r.cells] == ["t45", "12345"]
 
 
 def test_analyze_workbooks_decodes_once_per_choice(spark, book_dir):
