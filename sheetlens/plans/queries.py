@@ -24,6 +24,7 @@ from sheetlens.plans.grid import flat_grid, flat_to_rows, sheet_file, table_as_r
 from sheetlens.plans.oracle import utrim as sql_utrim
 from sheetlens.plans.oracle import with_classified, with_grid, with_workbooks
 from sheetlens.plans.tables import table
+from sheetlens.plans.wide import wide_rows, with_wide
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -342,6 +343,56 @@ def color_sample(spark, sf_dir):
         "file", "row_index", "column_index", "fg_argb", "bg_argb", "sheet_has_colors")
 
 
+_WIDE_HISTOGRAM = "SELECT file, hex, COUNT(*) AS cells FROM w WHERE hex IS NOT NULL GROUP BY file, hex"
+
+
+@register("wide_color_histogram", with_wide(_WIDE_HISTOGRAM))
+def wide_color_histogram(spark, sf_dir):
+    return S.color_histogram(wide_rows(spark, sf_dir)).select("file", "hex", "cells")
+
+
+@register("wide_top_colors", with_wide(
+    f"SELECT file, hex, cells, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY file ORDER BY cells DESC, hex) AS rank "
+    f"FROM ({_WIDE_HISTOGRAM})) WHERE rank <= 8"))
+def wide_top_colors(spark, sf_dir):
+    """Sheets with twelve colours: the cut at eight is reached."""
+    return S.top_colors(wide_rows(spark, sf_dir)).select("file", "hex", "cells", "rank")
+
+
+@register("wide_dominant_rows", with_wide(
+    "SELECT file, row_index, hex, COUNT(*) AS n FROM w WHERE hex IS NOT NULL GROUP BY file, row_index, hex HAVING COUNT(*) > 4"))
+def wide_dominant_rows(spark, sf_dir):
+    """Eight columns: a majority is five cells or more."""
+    return S.dominant_rows(wide_rows(spark, sf_dir)).select("file", "row_index", "hex", "n")
+
+
+@register("wide_color_sample", with_wide(
+    "SELECT file, row_index, c AS column_index, 'FF' || hex AS fg_argb, '' AS bg_argb, true AS sheet_has_colors FROM w "
+    "WHERE hex IS NOT NULL AND row_index < 10 AND c < 5"))
+def wide_color_sample(spark, sf_dir):
+    return S.color_sample(wide_rows(spark, sf_dir), only_uncoloured=False).select(
+        "file", "row_index", "column_index", "fg_argb", "bg_argb", "sheet_has_colors")
+
+
+@register("structure_colors", with_wide(
+    f", h AS ({_WIDE_HISTOGRAM}), t AS (SELECT file, COUNT(*) AS colours, SUM(cells) AS coloured FROM (SELECT *, ROW_NUMBER() "
+    "OVER (PARTITION BY file ORDER BY cells DESC, hex) AS rank FROM h) WHERE rank <= 8 GROUP BY file), "
+    "d AS (SELECT file, COUNT(*) AS dominant FROM (SELECT file, row_index FROM w WHERE hex IS NOT NULL "
+    "GROUP BY file, row_index, hex HAVING COUNT(*) > 4) GROUP BY file) "
+    "SELECT s.file, s.height, CAST(8 AS BIGINT) AS width, t.colours, CAST(t.coloured AS BIGINT) AS coloured, "
+    "coalesce(d.dominant, 0) AS dominant, 0 AS sampled FROM (SELECT file, MAX(row_index) + 1 AS height FROM w GROUP BY file) s "
+    "LEFT JOIN t ON t.file = s.file LEFT JOIN d ON d.file = s.file"))
+def structure_colors(spark, sf_dir):
+    """The structure job with its colour analysis, one row a sheet.  Every sheet has colours, so none is sampled."""
+    out = S.analyze_structure(wide_rows(spark, sf_dir), colors=True)
+    n = lambda name, *aggs: out[name].groupBy("file").agg(*aggs)
+    one = F.count(F.lit(1))
+    return (out["size"].select("file", "height", "width")
+            .join(n("colors", one.alias("colours"), F.sum("cells").alias("coloured")), "file", "left")
+            .join(n("dominant", one.alias("dominant")), "file", "left").join(n("sample", one.alias("sampled")), "file", "left")
+            .withColumn("dominant", F.coalesce("dominant", F.lit(0))).withColumn("sampled", F.coalesce("sampled", F.lit(0))))
+
+
 @register("sheet_size", with_grid(
     "SELECT file, 0 AS sheet_index, max(row_index) + 1 AS height, CAST(2 AS BIGINT) AS width FROM f GROUP BY file"))
 def sheet_size(spark, sf_dir):
