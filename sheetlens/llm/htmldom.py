@@ -28,11 +28,12 @@ NOISE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 #: Words of class or id names that mark what is no article text.
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget widgets "
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar "
     "comment comments reply replies respond discussion disqus notice notices cookie cookies consent gdpr popup modal "
     "overlay newsletter subscribe signup login menu navbar nav navigation breadcrumb breadcrumbs pagination pager "
     "toolbar masthead topbar header footer share sharing social related recommended recommendations copyright "
     "legal disclaimer tracking alert announcement".split())
+HEADER = frozenset(("header", "masthead"))
 MAIN = frozenset(("article", "main"))
 
 
@@ -41,6 +42,12 @@ def _closing(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\s*>", re.I)
 
 
+def noise_names(names: str, inside_main: bool) -> bool:
+    """Whether class or id names mark what is no article text; a header inside the article is part of it."""
+    words = {p.lower() for p in _PART.findall(names)}
+    return not words.isdisjoint(NOISE_WORDS - HEADER if inside_main else NOISE_WORDS)
+
+
 class Node:
     __slots__ = ("tag", "label", "noise", "children", "text", "index", "kids", "sig")
 
@@ -66,7 +73,7 @@ def _node(tag: str, attrs: str, inside_main: bool) -> Node:
         tag = "main"
     noise = hidden or tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not inside_main)
     if names and not noise and tag not in ("html", "body", *MAIN):
-        noise = any(p.lower() in NOISE_WORDS for n in names for p in _PART.findall(n))
+        noise = noise_names(" ".join(names), inside_main)
     if names:
         label += "".join(sorted(set(names)))
     if tag == "main" and label[:4] != "main":

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetlens.llm.common import bytes_of, own_names, slices, written
-from sheetlens.llm.htmldom import MAIN, NOISE_TAGS, NOISE_WORDS, _PART, outline, parse
+from sheetlens.llm.htmldom import MAIN, NOISE_TAGS, noise_names, outline, parse
 
 GROUP = 400
 CONSTANT = 5          # pages on which a text must stand to be taken for template
@@ -146,8 +146,7 @@ def _noisy(label: str, tag: str, in_main: bool) -> bool:
     if tag in NOISE_TAGS or (tag == "header" and not in_main):
         return True
     names = label[len(tag):] if label.startswith(tag) else ""
-    return bool(names) and tag not in ("html", "body", *MAIN) and any(
-        p.lower() in NOISE_WORDS for p in _PART.findall(names))
+    return bool(names) and tag not in ("html", "body", *MAIN) and noise_names(names, in_main)
 
 
 def slots(root: Tree) -> tuple[Tree, bool]:

@@ -55,13 +55,14 @@ def test_edges(spark):
     rows = [(1, None, None), (2, "http://a.b/", ""), (3, "http://a.b/x", article), (3, "http://a.b/x", article),
             (4, "http://u.v", "<p>alone < 3 &amp; <b>bo</b>ld</p><!-- c --><style>p{}</style>"),
             (5, "https://c.d/", "<main><p>a</p><div class='cookie-notice'>ok?</div><aside>s</aside><p>b</main><p>after"),
-            (6, "http://e.f", "<div" + " x='" * 2000), (7, "http://e.g", "plain text &eacute;"), (8, "x", "<p>" * 5000 + "deep"), (9, "y", "<div>" * 30_000 + "deeper")]
+            (6, "http://e.f", "<div" + " x='" * 2000), (7, "http://e.g", "plain text &eacute;"), (8, "x", "<p>" * 5000 + "deep"), (9, "y", "<div>" * 30_000 + "deeper"),
+            (10, "z", "<article><div class='article-header'><h1>T</h1></div><p>x<section id='comments'><p>c</section></article>")]
     rows += [(20 + i, "http://copies.example/", shop(1)) for i in range(8)]
     out = [(r.page_id, r.text) for r in pages.extract_main(spark.createDataFrame(rows, SCHEMA)).collect()]
     got = dict(out)
     assert len(out) == len(rows)
-    assert [got[k] for k in (1, 2, 3, 4, 5, 7, 8, 9)] == [
-        "", "", "Hi one", "alone < 3 & bold", "a b", "plain text é", "deep", "deeper"]
+    assert [got[k] for k in (1, 2, 3, 4, 5, 7, 8, 9, 10)] == [
+        "", "", "Hi one", "alone < 3 & bold", "a b", "plain text é", "deep", "deeper", "T x"]
     assert all("Second paragraph 7." in got[20 + i] for i in range(8))
     assert pages.extract_main(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = spark.createDataFrame([(1, "u", "<p>x", 5, "k", "h")], SCHEMA + ", _p int, key string, host string")
