@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetlens.llm import mixing, neardup, packing, quality, suffix
-from sheetlens.llm.common import own_names, written
+from sheetlens.llm.common import own_names, set_aside, written
 from sheetlens.llm.queries import RANKS, TOKENIZER
 
 
@@ -19,37 +19,38 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents that the classifier keeps.  A null or blank text is no fault and stays;
     repeated rows stay or go together; an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels).where("kept").select(docs.columns)
+    docs, back = set_aside(docs, quality.COLUMNS)
+    return back(quality.classify(docs, labels).where("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with the smallest id, once if its row is
     repeated.  Documents without words all stay; an empty table stays empty."""
+    docs, back = set_aside(docs, neardup.COLUMNS)
     copy = own_names(docs, ["_copy"])["_copy"]
-    return neardup.near_duplicates(docs, copy=copy).where(F.col("kept") & (F.col(copy) == 1)).select(docs.columns)
+    return back(neardup.near_duplicates(docs, copy=copy).where(F.col("kept") & (F.col(copy) == 1)))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its text without the bytes of repeated strings of 400 bytes (what is
     left of a character that was cut is left out) and ``n_chars`` counted anew.  A text from
     which nothing is removed stays as it is, null too."""
+    docs, back = set_aside(docs, suffix.COLUMNS)
     out = suffix.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, suffix.decoded(F.col("kept"))).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
                              .otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return back(out)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The curriculum: as many copies of each document as the mix takes whole, in training
     order.  Documents without words have no training position and are left out, as are
     those beyond the target of their source; an empty table stays empty."""
-    at = own_names(docs, ["_at"])["_at"]
-    mixed = mixing.mix(docs).where("copies > 0")
-    mixed = mixed.withColumn(at, F.explode(F.slice("positions", 1, F.col("copies"))))
-    return mixed.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id").select(docs.columns)
+    docs, back = set_aside(docs, mixing.COLUMNS)
+    return back(mixing.mixed_copies(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

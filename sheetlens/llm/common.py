@@ -46,6 +46,15 @@ def own_names(df: DataFrame, names: list[str]) -> dict[str, str]:
     return out
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns of these names renamed, so that an operator does not replace them, and the function
+    that gives a result ``df``'s columns again."""
+    clash = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    new = {c: own_names(df, [f"_own_{c}"])[f"_own_{c}"] for c in clash}
+    back = [F.col(f"`{new.get(c, c)}`").alias(c) for c in df.columns]
+    return df.withColumnsRenamed(new), lambda out: out.select(*back)
+
+
 def ordered_prefix(df: DataFrame, by: list[str], order: list[Column], value: str, out: str,
                    spread: Column, per_bucket: int = 100_000) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same ``by`` group

@@ -49,13 +49,14 @@ COLLISION = 0.169919487159739093975315012348630288992889  # fixed value: expecte
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                   0x85EBCA77C2B2AE63], dtype=np.uint64)
+COLUMNS = ["n_shingles", "component_id", "kept"]  # what the operator adds
 
 
 class _Words(dict):
-    """Hash of a word, kept; emptied when it holds a million."""
+    """Hash of a word, kept; emptied when it holds 200,000."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -223,7 +224,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     if no document with an id stands in its component, whose id is then null.  Rows
     repeated whole are equal documents with one id; ``copy`` names a column that numbers
     them from 1, so that one can be taken.  An empty table gives an empty result.  Input columns with the names of the new ones are replaced."""
-    base = df.drop("n_shingles", "component_id", "kept")
+    base = df.drop(*COLUMNS)
     names = own_names(base, ["_rid"])
     rid = names["_rid"]
     base = base.withColumn(rid, F.xxhash64(F.col(doc_id), F.col(text)))

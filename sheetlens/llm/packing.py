@@ -39,23 +39,26 @@ class _Encoder:
     characters."""
 
     def __init__(self, path: str, ranks: str | None):
-        from tokenizers import Tokenizer
-        self.slow = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.path, self.slow, self.fast, self.added = path, None, None, []
         if ranks:
             import base64
+            import json
 
             import public_tokenizers
             import tiktoken
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            with open(path, encoding="utf-8") as f:
+                self.added = [t["content"] for t in json.load(f).get("added_tokens", [])]
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN,
                                           mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast and len(text) <= 1_000_000 and not any(a in text for a in self.added):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        if self.slow is None:   # loaded only where it is needed
+            from tokenizers import Tokenizer
+            self.slow = Tokenizer.from_file(self.path)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 

@@ -45,6 +45,7 @@ STRIP = ".,;:!?\"'()[]{}*$%#&«»„“”…-"
 JUNK = ("symbols", "some_symbols", "marks", "capitals", "bars", "repeats", "one_word", "few_words", "odd_chars",
         "not_prose")
 ABUSE = ("insult", "listed_word", "listed_start", "two_hits")
+COLUMNS = ["junk_votes", "abuse_votes", "junk_weak", "abuse_weak", "junk", "abuse", "score", "kept"]  # what the operator adds
 
 
 def _words(text: str) -> list[str]:
@@ -179,7 +180,7 @@ def learn_list(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, most:
                 seen[side] += 1
                 for token in cores | {s for c in cores for s in starts(c)}:
                     count.setdefault(token, [0, 0])[side] += 1
-            if len(count) > 1_000_000:
+            if len(count) > 150_000:
                 yield out()
         yield out()
 
@@ -202,21 +203,22 @@ def _hash(feature: str) -> int:
 
 
 class _Starts(dict):
-    """Slots of a word's beginnings of four and five letters, by its first six."""
+    """Slots of a word's beginnings of four and five letters, by its first six characters."""
 
     def __init__(self, used: list[bool] | None):
         self.used = used
 
-    def __missing__(self, core: str) -> tuple[int, ...]:
+    def __missing__(self, head: str) -> tuple[int, ...]:
         if len(self) > 100_000:
             self.clear()
-        got = self[core] = tuple(k for k in map(_hash, starts(core)) if self.used is None or self.used[k])
+        core = head.lstrip(STRIP).lower()
+        got = self[head] = tuple(k for k in map(_hash, starts(core)) if self.used is None or self.used[k])
         return got
 
 
 class _Slots(dict):
-    """Hashed features of a word: it (if of at most ten letters), its beginnings, and the marks at its end.  With
-    ``used`` only slots that have a weight.  Long words, which seldom come again, are not kept."""
+    """Hashed features of words: a word of less than 13 characters gives itself, its beginnings and the marks at its
+    end, a longer one its beginnings.  With ``used`` only slots that have a weight."""
 
     def __init__(self, used: np.ndarray | None = None):
         self.used = None if used is None else used.tolist()
@@ -228,21 +230,24 @@ class _Slots(dict):
         else:
             bare = w.rstrip(STRIP)
             core, got = bare.lstrip(STRIP).lower(), self._kept("#" + w[len(bare):][-3:])
-        n = len(core)
-        if n > 4:
+        if len(core) > 4:
             got += self.starts[core[:6]]
-        if n < 11:
-            if n:
-                got += self._kept(core)
-            if len(self) > 100_000:
-                self.clear()
-            self[w] = got
+        if core:
+            got += self._kept(core)
+        if len(self) > 100_000:
+            self.clear()
+        self[w] = got
         return got
 
     def _kept(self, feature: str) -> tuple[int, ...]:
         k = _hash(feature)
         return (k,) if self.used is None or self.used[k] else ()
 
+    def of(self, counts: Counter) -> set[int]:
+        """The slots of a text's words."""
+        return set().union(*map(self.__getitem__, [w for w in counts if len(w) < 13]),
+                           *map(self.starts.__getitem__, {w[:6] for w in counts if len(w) > 12}))
+
 
 def _shares(shares: tuple[float, ...]) -> list[int]:
     """Hashed bins of the shares, each with those below it (a step function by weights)."""
@@ -274,8 +279,7 @@ def _train(sample: DataFrame, listed: frozenset[str], epochs: int = 6) -> np.nda
             for t, j, a in zip(*(b.column(k).to_pylist() for k in range(3))):
                 words = _words(t)
                 counts = Counter(words)
-                ids = [k for got in map(slots_of.__getitem__, counts) for k in got]
-                docs.append(np.unique(np.array(ids, dtype=np.int32)))
+                docs.append(np.array(sorted(slots_of.of(counts)), dtype=np.int32))
                 marks.append(np.array(_marks(*signals(words, counts, flags)), dtype=np.int32))
                 target.append((j, a))
         w = np.zeros((2, SLOTS + 1))
@@ -320,8 +324,7 @@ def classify(df: DataFrame, labels: DataFrame | None = None, text: str = "text",
     or blank text gets no votes and is scored like an empty one; repeated rows are scored
     alike; an empty table gives an empty result.  Input columns with the names of the new
     ones are replaced."""
-    new = ["junk_votes", "abuse_votes", "junk_weak", "abuse_weak", "junk", "abuse", "score", "kept"]
-    base = df.drop(*new)
+    base = df.drop(*COLUMNS)
     listed = learn_list(base, labels, text, doc_id, labelled) if labels is not None else frozenset()
 
     def voters():
@@ -361,7 +364,7 @@ def classify(df: DataFrame, labels: DataFrame | None = None, text: str = "text",
                 words = _words(t or "")
                 counts = Counter(words)
                 j, a, shares = signals(words, counts, flags)
-                ids = set().union(*map(slots_of.__getitem__, counts))
+                ids = slots_of.of(counts)
                 at = np.fromiter(ids, dtype=np.int64, count=len(ids))
                 mark = _marks(j, a, shares)
                 scale = _scale(len(ids))

@@ -42,6 +42,7 @@ _CHUNK = 1 << 19      # window starts hashed at once
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POS = np.uint64((1 << 20) - 1)
 _POWERS: dict[str, np.ndarray] = {}
+COLUMNS = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]  # what the operator adds
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +153,8 @@ class _Suffixes:
         self.bytes[inside] = flat
         c, p, _ = _tables(self.width + 2)
         self.prefix = np.zeros((self.n, self.width + 1), dtype=np.uint64)
-        np.cumsum(c[self.bytes[:, :self.width]] * p[:self.width], axis=1, out=self.prefix[:, 1:])
+        for i in range(0, self.n, 256):  # in slices: what is only passed through stays small
+            np.cumsum(c[self.bytes[i:i + 256, :self.width]] * p[:self.width], axis=1, out=self.prefix[i:i + 256, 1:])
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common prefix of strings x and y: binary search over hashes of prefixes."""
@@ -266,9 +268,9 @@ def _compare(frags: DataFrame, length: int) -> DataFrame:
                 [pa.array([rows[i][0] for i in some], pa.int64()), pa.array([rows[i][1] for i in some], pa.int64()),
                  pa.array([_runs(hit[i]) for i in some], pa.list_(pa.int32()))], names=["anchor", "seg", "runs"])
 
-        for b in slices(batches, 1024):
+        for b in slices(batches, 512):
             held += zip(*(b.column(k).to_pylist() for k in range(4)))
-            if len(held) >= 4096:
+            if len(held) >= 2048:
                 cut = len(held) - 1
                 while cut and held[cut][0] == held[cut - 1][0]:
                     cut -= 1
@@ -345,8 +347,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     repeated whole repeat each other's passages, so these go from all of them; matches
     never cross documents; an empty table gives an empty result.  Input columns with
     the names of the new ones are replaced."""
-    new = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    base = df.drop(*new)
+    base = df.drop(*COLUMNS)
     n = own_names(base, ["_rid", "_ranges"])
     rid, ranges = n["_rid"], n["_ranges"]
     base = base.withColumn(rid, F.xxhash64(F.col(doc_id), F.col(text)))
@@ -373,7 +374,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
 
     joined = base.join(found, rid, "left").withColumn("_r", remove(F.col(text), F.col(ranges)))
     return joined.select(*[F.col(f"`{c}`") for c in base.columns if c != rid],
-                         *[F.col(f"_r.{c}").alias(c) for c in new])
+                         *[F.col(f"_r.{c}").alias(c) for c in COLUMNS])
 
 
 def decoded(kept: Column) -> Column:
