@@ -25,9 +25,9 @@ from sheetlens.llm.vectors import ranked, taking_part
 
 SAMPLE = 32_768      # rows on which centroids are fitted
 LISTS = 1024         # most lists
-SHARE = 0.4          # of the lists, probed by a query
+SHARE = 0.7          # of the lists, probed by a query
 COLUMNS = 16         # components of a column block
-EPSILON = 2.1        # the test abandons at a distance sqrt(d/D) * best * (1 + epsilon / sqrt(d))
+EPSILON = 3.0        # the test abandons at a distance sqrt(d/D) * best * (1 + epsilon / sqrt(d))
 ROWS = 1024          # rows of a block
 QUERIES = 256        # queries of a block
 
@@ -119,19 +119,23 @@ def nearest(df: DataFrame, query: str, k: int = 5, vec: str = "embedding", vec_i
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
-            near = np.argmax(_unit(_matrix(b.column(2))) @ rot @ center.T, axis=1) if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int32())], names=["row", "id", "v", "list"])
+            if b.num_rows:
+                m = _matrix(b.column(2))
+                near = np.argmax(_unit(m) @ rot @ center.T, axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in m], pa.binary()),
+                                                  pa.array(near, pa.int32())], names=["row", "id", "v", "list"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             if b.num_rows:
-                sim = _unit(_matrix(b.column(2))) @ rot @ center.T
-                near = np.argpartition(-sim, probes - 1, axis=1)[:, :probes]
+                m = _matrix(b.column(2))
+                near = np.argpartition(-(_unit(m) @ rot @ center.T), probes - 1, axis=1)[:, :probes]
                 at = pa.array(np.repeat(np.arange(b.num_rows), probes))
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array(near.reshape(-1), pa.int32())],
-                                                 names=["row", "id", "v", "list"])
+                raw = pa.array([x.tobytes() for x in m], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in (b.column(0), b.column(1), raw)),
+                                                  pa.array(near.reshape(-1), pa.int32())], names=["row", "id", "v", "list"])
 
-    shape = "row long, id long, v array<double>, list int"
+    shape = "row long, id long, v binary, list int"
     index = written(part.select("row", "id", "v").mapInArrow(deal, shape), "lists")
     count = index.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     asked = written(part.where(query).select("row", "id", "v").mapInArrow(probe, shape), "probes")
@@ -172,8 +176,8 @@ def _blocks(rows: DataFrame, count: DataFrame, size: int) -> DataFrame:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            row = (held[0][0], *(np.array([h[c] for h in held], t).tobytes() for c, t in (
-                (1, np.int64), (2, np.int64), (3, np.float64))))
+            row = (held[0][0], *(np.array([h[c] for h in held], np.int64).tobytes() for c in (1, 2)),
+                   b"".join(h[3] for h in held))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])],
                                               names=["list", "rows", "ids", "vs"])
