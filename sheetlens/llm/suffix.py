@@ -4,7 +4,7 @@ A window is a string of ``length`` bytes.  Every window is owned by its minimize
 the ``GRAM`` bytes inside it whose hash is least (the leftmost of equal ones), so
 equal windows are owned at the same place inside them.  The windows that one
 position owns form a segment, a short run of bytes; a text has about one segment
-for every 170 bytes.  Two windows can be equal only if their segments have the same
+for every 185 bytes.  Two windows can be equal only if their segments have the same
 anchor (hash of the owning bytes):
 
 1. Segments alike in anchor and content are counted.  If there are two, all their
@@ -19,7 +19,10 @@ anchor (hash of the owning bytes):
    collision the batch is sorted by its bytes.  A window repeats if another segment
    agrees with it far enough on both sides.  (An anchor with more than ``BLOCK``
    contents is dealt over tasks by window instead and the windows are counted.)
-3. The repeated windows of a document are gathered and their bytes removed.
+3. The repeated windows of a document are gathered and their bytes removed.  Runs of
+   segments are first looked up as blocks, cut where the anchor's hash says so: a block
+   that occurs twice repeats whole and is one row, and only the segments of other blocks
+   are looked up one by one.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from sheetlens.llm.common import bytes_of, drop, own_names, slices, written
 
 LENGTH = 400
-GRAM = 64
+GRAM = 32
 BLOCK = 16_384        # contents of an anchor that one task compares
 _CHUNK = 1 << 19      # window starts hashed at once
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -99,27 +102,45 @@ def _pack(first: np.ndarray, last: np.ndarray, a: np.ndarray) -> np.ndarray:
     return (first << 20) | ((last - first + 1) << 10) | (a - first)
 
 
+def _blocks(anchor: np.ndarray, seg: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of a text's segments: (hash of the block, content of its first segment) for each segment, and
+    the first and last window of each block's first segment's row (-1 in other rows)."""
+    first = np.flatnonzero((anchor & 7) == 0)
+    first = np.concatenate([[0], first[first > 0]])
+    last = np.append(first[1:] - 1, len(anchor) - 1)
+    both = np.stack([anchor, seg], 1)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(both[i:j + 1].tobytes()) for i, j in zip(first.tolist(), last.tolist())),
+                    dtype=np.uint64, count=len(first)).view(np.int64)
+    size = last - first + 1
+    begin, end = np.full((2, len(anchor)), -1, dtype=np.int64)
+    begin[first] = at[first] >> 20
+    end[first] = (at[last] >> 20) + ((at[last] >> 10) & 1023) - 1
+    return np.repeat(h, size), np.repeat(seg[first], size), begin, end
+
+
+_ROWS = ["anchor", "seg", "rid", "at", "n"]
+_PLACED = ["anchor", "seg", "rid", "at", "block", "head", "begin", "end"]
+
+
 def _segment_rows(df: DataFrame, text: str, rid: str, length: int, gram: int, combine: bool) -> DataFrame:
-    """(anchor, seg, rid, at, n): the segments of all texts; ``combine``: one row for
-    each content of a task's share instead, with their number."""
+    """The segments of all texts.  ``combine``: (anchor, seg, rid, at, n), one row for each content of a task's
+    share with their number; else (anchor, seg, rid, at, block, head, begin, end), see :func:`_blocks`."""
+    names = _ROWS if combine else _PLACED
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            anchor, seg, rid_, at = (np.concatenate(x) if held else np.empty(0, np.int64) for x in (
-                zip(*held) if held else [()] * 4))
-            n = np.ones(len(anchor), dtype=np.int64)
-            if combine and len(anchor):
+            cols = [np.concatenate(x) for x in zip(*held)] if held else [np.empty(0, np.int64)] * (4 if combine else 8)
+            if combine:
+                anchor, seg, rid_, at = cols
                 order = np.lexsort((seg, anchor))
                 a, s = anchor[order], seg[order]
-                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])]))
-                n = np.diff(np.append(first, len(a)))
-                anchor, seg, rid_, at = a[first], s[first], rid_[order][first], at[order][first]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])])) if len(a) else order
+                cols = [a[first], s[first], rid_[order][first], at[order][first], np.diff(np.append(first, len(a)))]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, seg, rid_, at, n)],
-                                              names=["anchor", "seg", "rid", "at", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=names)
 
         for batch in slices(batches, 256):
             for r, v in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
@@ -129,14 +150,15 @@ def _segment_rows(df: DataFrame, text: str, rid: str, length: int, gram: int, co
                 hashed = xxhash.xxh3_64_intdigest
                 seg = np.fromiter((hashed(v[f:e]) for f, e in zip(first.tolist(), (last + length).tolist())),
                                   dtype=np.uint64, count=len(first)).view(np.int64)
-                held.append([anchor, seg, np.full(len(first), r, dtype=np.int64), _pack(first, last, a)])
+                row = [anchor, seg, np.full(len(first), r, dtype=np.int64), _pack(first, last, a)]
+                held.append(row if combine else [*row, *_blocks(anchor, seg, row[3])])
                 count += len(first)
-            if count > 400_000:
+            if count > 300_000:
                 count = 0
                 yield flush()
         yield flush()
 
-    return df.select(rid, text).mapInArrow(scan, "anchor long, seg long, rid long, at long, n long")
+    return df.select(rid, text).mapInArrow(scan, ", ".join(f"`{c}` long" for c in names))
 
 
 class _Suffixes:
@@ -330,11 +352,16 @@ def repeated_windows(df: DataFrame, rid: str, text: str, length: int = LENGTH, g
     hits = written(hits, "repeated")
     drop(classes)
     drop(frags)
-    all_ = _segment_rows(df, text, rid, length, gram, False).drop("n")
+    all_ = _segment_rows(df, text, rid, length, gram, False)
+    heads = all_.where("begin >= 0").select("block", "head", "rid", "begin", "end")
+    twice = written(heads.groupBy("block", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block", "head"),
+                    "blocks")
+    whole = heads.join(twice, ["block", "head"]).select("rid", F.array("begin", "end").alias("runs"))
     count = F.shiftright("at", 10).bitwiseAND(1023)
     runs = F.transform(F.coalesce("runs", F.array(F.lit(0), (count - 1).cast("int"))), lambda x: x + first)
-    return (all_.join(hits, ["anchor", "seg"]).select("rid", runs.alias("runs"))
-                .groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("ranges")))
+    single = (all_.select("anchor", "seg", "rid", "at", "block", "head").join(twice, ["block", "head"], "left_anti")
+                  .join(hits, ["anchor", "seg"]).select("rid", runs.alias("runs")))
+    return whole.unionByName(single).groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("ranges"))
 
 
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH,
