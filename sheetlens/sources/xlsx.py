@@ -102,13 +102,18 @@ def _color(c: Column, theme: Column | None) -> Column:
 
 
 def _styles(parts: DataFrame) -> DataFrame:
-    """(file, xfs, bad): per file the style and fill of every cell format."""
-    theme = parts.where("kind = 'theme'").select("file", _parsed("xml", _THEME_XML).alias("h"))
+    """(file, xfs, bad): per file the style and fill of every cell format.  Workbooks of one template have the
+    same parts, so each different pair of parts is parsed once."""
+    of = (parts.where("kind = 'styles'").select("file", F.col("xml").alias("styles"))
+          .join(parts.where("kind = 'theme'").select("file", F.col("xml").alias("theme")), "file", "left"))
+    of = of.withColumn("look", F.sha2(F.concat_ws("|", "styles", "theme"), 256))
+    looks = of.groupBy("look").agg(F.any_value("styles").alias("styles"), F.any_value("theme").alias("themes"))
+    looks = looks.withColumn("h", _parsed("themes", _THEME_XML)).withColumn("p", _parsed("styles", _STYLES_XML))
     scheme = F.col("h.themeElements.clrScheme")
     colours = F.array(*[F.coalesce(F.concat(F.lit("FF"), F.upper(F.coalesce(
         scheme[s]["srgbClr"]["_val"], scheme[s]["sysClr"]["_lastClr"]))), F.lit("")) for s in THEME_SLOTS])
-    d = parts.where("kind = 'styles'").select("file", _parsed("xml", _STYLES_XML).alias("p")).join(
-        theme.select("file", F.when(F.col("h.bad").isNull(), colours).alias("theme"), F.col("h.bad").alias("hbad")), "file", "left")
+    d = looks.withColumn("theme", F.when(F.col("h").isNotNull() & F.col("h.bad").isNull(), colours)).withColumn(
+        "hbad", F.coalesce(F.col("h.bad"), F.when(F.col("themes").isNotNull() & F.col("h").isNull(), F.lit("theme"))))
     on = lambda f: F.coalesce(f.isNotNull() & ~F.coalesce(f["_val"], F.lit("1")).isin("0", "false"), F.lit(False))
     none = lambda x: F.when(x != "", x)
 
@@ -125,7 +130,8 @@ def _styles(parts: DataFrame) -> DataFrame:
                      F.coalesce(F.when(bg.isNotNull(), _color(bg, F.col("theme"))), F.lit("")).alias("bg_resolved")).alias("fill"))
 
     bad = F.col("p").isNull() | F.col("p.bad").isNotNull() | F.col("hbad").isNotNull()
-    return d.select("file", F.transform("p.cellXfs.xf", xf).alias("xfs"), bad.alias("bad"))
+    parsed = d.select("look", F.transform("p.cellXfs.xf", xf).alias("xfs"), bad.alias("bad"))
+    return of.select("file", "look").join(parsed, "look").drop("look")
 
 
 def _merges(parts: DataFrame, sizes: DataFrame) -> DataFrame:
