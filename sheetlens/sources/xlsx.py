@@ -175,8 +175,8 @@ class _Book:
                           .agg(F.max(end).alias("height"), F.max(wide).alias("width"), F.count(end).alias("filled"))
                           .where("height is not null").join(self.faults.select("file"), "file", "left_anti"))
 
-    def rows(self) -> DataFrame:
-        """Canonical rows of all readable files."""
+    def rows(self, merges: bool = True) -> DataFrame:
+        """Canonical rows of all readable files (without merge state if it is not wanted)."""
         key = ["file", "sheet_index"]
         sized = self.raw.drop("bad", "sheet_name").join(self.sizes, key).where("row_index < height")
         # rows of the used range that the file leaves out
@@ -189,7 +189,11 @@ class _Book:
         texts = self.parts.where("kind = 'string'").select("file", "pos", _runs(_parsed("xml", _STRING_XML)).alias("text"))
         shared = (refs.join(texts, ["file", "pos"]).groupBy(*key, "row_index")
                       .agg(F.map_from_entries(F.collect_set(F.struct(F.col("col"), F.col("text")))).alias("shared")))
-        d = d.join(shared, [*key, "row_index"], "left").join(_merges(self.parts, self.sizes), [*key, "row_index"], "left")
+        d = d.join(shared, [*key, "row_index"], "left")
+        if merges:
+            d = d.join(_merges(self.parts, self.sizes), [*key, "row_index"], "left")
+        else:
+            d = d.withColumn("merges", F.lit(None).cast(f"array<{_MERGE}>"))
         if self.styles is not None:
             d = d.join(self.styles.select("file", "xfs"), "file", "left")
         else:
@@ -269,7 +273,7 @@ def _header(cells: Column) -> Column:
 def _tables(files: DataFrame, sheet) -> tuple[DataFrame, DataFrame]:
     """(rows, status) of the table read: status has (file, error, header) of every file."""
     book = _Book(files, sheet, styles=False)
-    rows = book.rows()
+    rows = book.rows(merges=False)
     heads = rows.where("row_index = 0").select("file", _header(F.col("cells")).alias("header"))
     heads = heads.withColumn("twice", F.size(F.array_distinct("header")) < F.size("header"))
     status = book.parts.select("file").distinct().join(book.faults, "file", "left").join(heads, "file", "left")
