@@ -18,6 +18,7 @@ counts, error rates and scores cover all documents.
 
 from __future__ import annotations
 
+import math
 import operator
 import zlib
 from collections import Counter
@@ -34,7 +35,7 @@ LABELLED = 40_000
 TRAINED = 10_000
 SLOTS = 1 << 18
 SUPPORT = 3           # labelled abusive documents that a listed word must be in
-LISTED = 4096         # longest learned list
+FALSE = 0.2           # share of the learned words that may be there by chance
 SMALL = 0.1           # weights of the scorer nearer to 0 are left out
 
 #: English insults, a short public list; other words are learned from labels.
@@ -156,7 +157,9 @@ def _sampled(df: DataFrame, key: str, most: int) -> DataFrame:
 
 def learn_list(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, most: int = LABELLED) -> frozenset[str]:
     """Words and word beginnings of labelled abusive documents that other labelled ones
-    lack: in at least ``SUPPORT`` of the former and 150 times as often there."""
+    lack: in at least ``SUPPORT`` of the former, 150 times as often there, and in so many that
+    at most ``FALSE`` of the list is there by chance (by each word's own counts, in any
+    language; Benjamini and Hochberg's rule over all words tested)."""
     rows = _sampled(labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic"), "doc_id", most)
     rows = F.broadcast(rows.select(F.col("doc_id").alias("_id"), "toxic"))  # at most ``most`` rows of two numbers
     marked = docs.where(F.col(text).isNotNull()).join(rows, docs[doc_id].cast("long") == F.col("_id")).select("toxic", text)
@@ -186,16 +189,24 @@ def learn_list(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, most:
 
     totals = marked.mapInArrow(scan, "t string, sound long, bad long").groupBy("t").agg(
         F.sum("sound").alias("sound"), F.sum("bad").alias("bad"))
-    totals = totals.where((F.col("t") == "") | (F.col("bad") >= SUPPORT))
-    totals = totals.orderBy(F.col("t") != "", F.desc("bad"), "sound", "t").limit(LISTED + 1)  # the list is a bounded model
-    rows = totals.collect()
-    whole = next((r for r in rows if r["t"] == ""), None)
-    if whole is None or not whole["bad"] or not whole["sound"]:
-        return frozenset()
-    ratio = whole["sound"] / whole["bad"]
-    least = max(SUPPORT, 0.004 * whole["bad"])
-    return frozenset(r["t"] for r in rows if r["t"] and r["bad"] >= least
-                     and r["bad"] * ratio >= 150 * (r["sound"] + (0.5 if r["bad"] >= 5 else 0)))
+    totals = totals.where((F.col("t") == "") | (F.col("bad") >= SUPPORT)).persist()
+    none = F.col("t") == ""
+    whole = totals.agg(F.sum(F.when(none, F.col("sound"))).alias("sound"), F.sum(F.when(none, F.col("bad"))).alias("bad"),
+                       F.count_if(~none).alias("tested")).first()
+    found = frozenset()
+    if whole["bad"] and whole["sound"]:
+        share = whole["bad"] / (whole["bad"] + whole["sound"])
+        bad, sound = F.col("bad"), F.col("sound")
+        often = bad * (whole["sound"] / whole["bad"]) >= 150 * (sound + F.when(bad >= 5, 0.5).otherwise(0.0))
+        # Chernoff's bound on the chance that a word of bad + sound documents has so many abusive ones
+        unlikely = bad * F.ln(bad / ((bad + sound) * share)) + F.when(
+            sound > 0, sound * F.ln(sound / ((bad + sound) * (1 - share)))).otherwise(0.0)
+        rows = totals.where(~none & often).select("t", unlikely.alias("u")).orderBy(F.desc("u"), "t").collect()
+        chance = [max(whole["tested"], 1) * math.exp(-r["u"]) for r in rows]  # words that chance makes so unlikely
+        least = min((r["u"] for k, r in enumerate(rows, 1) if chance[k - 1] <= FALSE * k), default=math.inf)
+        found = frozenset(r["t"] for r in rows if r["u"] >= least)  # words of ``most`` documents at most
+    totals.unpersist()
+    return found
 
 
 def _hash(feature: str) -> int:

@@ -92,3 +92,13 @@ def test_edges(spark):
     r = quality.classify(clash).first()
     assert r.rid == "k" and 0 <= r.junk <= 1
     assert list(itertools.islice(quality.classify(clash).columns, 3)) == ["doc_id", "text", "rid"]
+
+
+def test_rare_words_of_abuse_are_tested_before_common_ones(spark):
+    """More common words than any list holds do not push out an insult of a few documents, however many are labelled."""
+    common = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(5000))
+    rows = [(i, (common if i < 40 else "plain prose of some words") + (" gnarfusal" if i < 5 else "")) for i in range(30_000)]
+    labels = [(i, int(i < 20 or i % 20 == 0)) for i, _ in rows]
+    docs, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    listed = quality.learn_list(docs, lab, "text", "doc_id")
+    assert "gnarfusal" in listed and not listed & {"plain", "prose", "aaa"}
