@@ -4,6 +4,7 @@ block elements, and the tree's folded outline."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -13,7 +14,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-DEPTH = 200           # levels of nesting that are told apart
+DEPTH = 200           # levels of nesting that are told apart; the text of a deeper element is its ancestor's, if no noise
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math textarea select title head canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
@@ -86,21 +87,26 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     as single blanks)."""
     root = Node("#root", "#root", False)
     stack, mains = [root], 0
+    open_: Counter[str] = Counter()
+    into: list[Node | None] = [root]  # for each open element that of the tree which has its text
     blocks: list[tuple[Node, str]] = []
     held: list[str] = []
 
     def flush() -> None:
         if held:
             text = " ".join("".join(held).split())
-            if text:
-                blocks.append((stack[-1], text))
+            if text and into[-1] is not None:
+                blocks.append((into[-1], text))
             held.clear()
 
     def close_to(k: int) -> None:
         nonlocal mains
         flush()
         while len(stack) > k:
-            mains -= stack.pop().tag in MAIN
+            node = stack.pop()
+            into.pop()
+            open_[node.tag] -= 1
+            mains -= node.tag in MAIN
 
     pos, end = 0, len(html)
     while pos < end:
@@ -115,12 +121,12 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         tag = name.lower()
         closing, attrs = (m[1], m[3]) if m[2] else (m[4], m[6])
         if closing:
-            if tag in INLINE and not any(n.tag == tag for n in stack[1:]):
+            if tag in INLINE and not open_[tag]:
                 continue
             if tag == "br":
                 held.append(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if open_[tag] else 0, 0, -1):
                 if stack[k].tag == tag:
                     close_to(k)
                     break
@@ -155,7 +161,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         else:
             node = None
             if tag in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1 if any(open_[t] for t in CLOSES[tag]) else 0, 0, -1):
                     if stack[k].tag in CLOSES[tag]:
                         close_to(k)
                         if tag in ("li", "option", "dt", "dd", "td", "th"):
@@ -163,7 +169,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                     elif stack[k].tag in SCOPE:
                         break
             else:  # a block closes an open paragraph
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1 if open_["p"] else 0, 0, -1):
                     if stack[k].tag == "p":
                         close_to(k)
                         break
@@ -171,12 +177,15 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                         break
             node = _node(tag, attrs, mains > 0)
         flush()
-        if tag in ("html", "body") and len(stack) > 1 and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and open_[tag]:
             continue
-        if len(stack) > DEPTH:  # what is nested deeper counts as text of this level
-            continue
-        stack[-1].children.append(node)
+        if len(stack) > DEPTH:
+            into.append(None if node.noise else into[-1])
+        else:
+            stack[-1].children.append(node)
+            into.append(node)
         stack.append(node)
+        open_[node.tag] += 1
         mains += node.tag in MAIN
     close_to(1)
     return root, blocks

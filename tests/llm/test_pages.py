@@ -73,3 +73,13 @@ def test_edges(spark):
 def test_nested_elements_close():
     root, blocks = htmldom.parse("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><dl><dt>e<dd>f<dt>g</dl><p>h<div>i</p>j</div>")
     assert [t for _, t in blocks] == list("abcdefghij")
+
+
+def test_deep_elements_close_only_themselves():
+    deep = "<div>" * 250 + "deep<div class='advert'>buy<p>now</p></div>still" + "</div>" * 250
+    root, blocks = htmldom.parse(f"<div id=page><article><p>a</p>{deep}<p>b</p></article><div>c</div></div><p>d")
+    assert [t for _, t in blocks] == ["a", "deep", "still", "b", "c", "d"]
+    page = root.children[0]
+    assert [n.tag for n in page.children] == ["article", "div"] and page.children[0].children[-1] is blocks[3][0]
+    root, blocks = htmldom.parse("<div>" * 300 + "<nav>menu<div>more</div></nav>text")
+    assert [t for _, t in blocks] == ["text"]
