@@ -28,6 +28,7 @@ from sheetlens.llm.common import bytes_of, own_names, slices, written
 from sheetlens.llm.htmldom import MAIN, NOISE_TAGS, noise_names, outline, parse
 
 GROUP = 400
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONSTANT = 5          # pages on which a text must stand to be taken for template
 
 
@@ -184,12 +185,16 @@ def slots(root: Tree) -> tuple[Tree, bool]:
 def content_nodes(page: Tree, nodes: list[Tree], wrapper: Tree) -> list[int]:
     """Outline nodes of a page that are content by its host's wrapper."""
     part, marked = slots(wrapper)
-    inside, work = set(), [part]
+    inside, work = set(), [(part, part, False)]
     while work:
-        t = work.pop()
-        if not t.noise and (marked or not t.fixed):
+        t, above, in_block = work.pop()
+        # a part marked as content has template too: what stands on every page of it, but for headings of varying
+        # text and parts of a varying block
+        kept = marked and (t.pages < part.pages or in_block or (t.tag in HEADINGS and above.mass > 0))
+        if not t.noise and (kept or not t.fixed):
             inside.add(id(t))
-        work += [k for k in t.kids if not k.noise]
+        in_block = in_block or (t is not part and t.tag not in MAIN and t.length > 0 and not t.fixed)
+        work += [(k, t, in_block) for k in t.kids if not k.noise]
     of = {id(p): w for w, p in align(wrapper, page)}
     keep = [p.index for p in nodes if id(p) in of and id(of[id(p)]) in inside]
     if not keep and wrapper is not page:

@@ -83,3 +83,14 @@ def test_deep_elements_close_only_themselves():
     assert [n.tag for n in page.children] == ["article", "div"] and page.children[0].children[-1] is blocks[3][0]
     root, blocks = htmldom.parse("<div>" * 300 + "<nav>menu<div>more</div></nav>text")
     assert [t for _, t in blocks] == ["text"]
+
+
+def test_template_inside_an_article_is_removed(spark):
+    page = ("<body><article><h1>News {0}</h1><h2>Summary</h2><p>text {0} here</p><div class='box'><h3>Join us</h3>"
+            "<p>Get our letter</p></div><div>body {0}<p>always the same</p></div>{1}</article></body>")
+    rows = [(i, f"http://n.example/{i}", page.format(i, "<table><tr><td>copied</table>" if i >= 8 else "")) for i in range(8)]
+    rows += [(8 + k, "http://n.example/c", page.format(8, "<table><tr><td>copied</table>")) for k in range(6)]
+    out = {r.page_id: r.text for r in pages.extract_main(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(14):
+        k = min(i, 8)
+        assert out[i] == f"News {k} Summary text {k} here body {k} always the same" + (" copied" if k == 8 else "")
