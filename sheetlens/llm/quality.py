@@ -36,6 +36,7 @@ TRAINED = 10_000
 SLOTS = 1 << 18
 SUPPORT = 3           # labelled abusive documents that a listed word must be in
 FALSE = 0.2           # share of the learned words that may be there by chance
+BLOCK = 3000          # words over which different ones are counted
 SMALL = 0.1           # weights of the scorer nearer to 0 are left out
 
 #: English insults, a short public list; other words are learned from labels.
@@ -107,13 +108,16 @@ def signals(words: list[str], counts: Counter, flags: _Flags) -> tuple[int, int,
     same = sum(map(operator.eq, words, words[1:])) / n
     top = max(counts.values()) / n if n >= 20 else 0.0
     new = len(counts) / n if n >= 30 else 1.0
+    if n > BLOCK:  # long prose repeats its words: the mean share of blocks of about the same length
+        cuts = [n * k // -(-n // BLOCK) for k in range(-(-n // BLOCK) + 1)]
+        new = sum(len(set(words[i:j])) / (j - i) for i, j in zip(cuts, cuts[1:])) / (len(cuts) - 1)
     odd = 0.0
     if sym + marks + bars > 0:
         letters = "".join(words)
         odd = 1 - sum(map(str.isalnum, letters)) / len(letters)
     some = min(1.0, n / 20)  # shares of a short text say less
     fault = (sym >= 0.2, sym >= 0.05, marks >= 0.2, caps >= 0.4, bars >= 0.15, same * some >= 0.15, top >= 0.3,
-             new <= 0.1 and n <= 3000, odd >= 0.2,
+             new <= 0.1, odd >= 0.2,
              sym >= 0.02 or marks >= 0.05 or caps * some >= 0.25 or bars * some >= 0.05 or (same >= 0.05 and same * n > 3.5))
     abuse = (sums[4] > 0, sums[5] > 0, sums[6] > 0, hits >= 2)
     return (sum(int(v) << k for k, v in enumerate(fault)), sum(int(v) << k for k, v in enumerate(abuse)),

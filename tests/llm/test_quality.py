@@ -102,3 +102,13 @@ def test_rare_words_of_abuse_are_tested_before_common_ones(spark):
     docs, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
     listed = quality.learn_list(docs, lab, "text", "doc_id")
     assert "gnarfusal" in listed and not listed & {"plain", "prose", "aaa"}
+
+
+def test_few_words_at_every_length():
+    from collections import Counter
+    paragraph = " ".join(f"w{k}" for k in range(30)).split()
+    rnd = random.Random(5)
+    long_prose = [f"w{int(rnd.paretovariate(0.3))}" for _ in range(400_000)]
+    few = 1 << quality.JUNK.index("few_words")
+    for words, wanted in ((paragraph * 90, True), (paragraph * 110, True), (paragraph * 3000, True), (long_prose, False)):
+        assert bool(quality.signals(words, Counter(words), quality._Flags(frozenset()))[0] & few) == wanted
