@@ -52,10 +52,11 @@ def _histogram(keys: DataFrame, probes: list[tuple[int, int]]) -> np.ndarray:
 
 def _place(h: np.ndarray, i: np.ndarray, ph: np.ndarray, pi: np.ndarray) -> np.ndarray:
     """Number of probes at or below each (h, i)."""
-    at = np.searchsorted(ph, h, "left")
-    same = at < np.searchsorted(ph, h, "right")  # rows on a probe's own hash
-    for u in np.unique(at[same]):
-        rows = np.flatnonzero(same & (at == u))
+    first = np.searchsorted(ph, h, "left")
+    same = first < np.searchsorted(ph, h, "right")  # rows on a probe's own hash
+    at = first.copy()
+    for u in np.unique(first[same]):
+        rows = np.flatnonzero(same & (first == u))
         top = np.searchsorted(ph, ph[u], "right")
         at[rows] = u + np.searchsorted(pi[u:top], i[rows], "right")
     return at

@@ -69,3 +69,24 @@ def test_edges(spark):
     clash = spark.createDataFrame([(1, "a", 9, "h", 3)], SCHEMA + ", size int, _h string, shard int")
     r = shard.shard_documents(clash, shards=1).first()
     assert (r["size"], r._h, r.shard, r.slot) == (2, "h", 0, 0)
+
+
+def test_place_with_several_texts_cut_by_id():
+    rnd = np.random.default_rng(5)
+    h, i = rnd.integers(0, 4, 500), rnd.integers(0, 30, 500)
+    probes = sorted({(int(a), int(b)) for a, b in zip(rnd.integers(0, 4, 25), rnd.integers(0, 30, 25))})
+    ph, pi = (np.array([p[k] for p in probes]) for k in range(2))
+    want = [sum(p <= (a, b) for p in probes) for a, b in zip(h.tolist(), i.tolist())]
+    assert shard._place(h, i, ph, pi).tolist() == want
+
+
+def test_two_hot_texts_cut_by_id(spark):
+    rows = ([(k, "first hot text " * 20) for k in range(3000)] + [(k, "second hot text " * 20) for k in range(3000, 6000)]
+            + [(k, f"own {k}") for k in range(6000, 6500)])
+    out = shard.shard_documents(spark.createDataFrame(rows, SCHEMA), shards=7, rows_per_range=50).collect()
+    total, places = [0] * 7, {}
+    for r in out:
+        total[r.shard] += r["size"]
+        places.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 6500 and max(total) - min(total) < 0.03 * sum(total) / 7
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
