@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import make_rows
+from rows import make_rows
 from sheetlens.operators import classify as C
 from sheetlens.operators import extract as X
 from sheetlens.operators.profiles import Profile, RowTypeDefinition, auxiliary_material, cargo_analysis, custom

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import make_rows
+from rows import make_rows
 from sheetlens.operators.tables import promote_header
 from sheetlens.operators.classify import classify
 from sheetlens.operators.extract import cargo_summary, with_context
@@ -64,7 +64,7 @@ def test_promote_header(spark):
 def test_dominant_rows_dense_width_equals_sheet_size(spark):
     from sheetlens.operators.structure import dominant_rows, sheet_size
 
-    def c(i, fill):                   # conftest.cell arguments: index, content, bg, merge, font, bold, fg_resolved
+    def c(i, fill):                   # rows.cell arguments: index, content, bg, merge, font, bold, fg_resolved
         return (i, "x", None, None, None, False, fill)
     rows = make_rows(spark, [[c(0, "FFAA0000"), c(1, "FFAA0000"), c(2, "")],
                              [c(0, "FFAA0000"), c(1, "FF00BB00"), c(2, "FF00BB00")],

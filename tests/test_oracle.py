@@ -6,7 +6,7 @@ import sys
 
 import pytest
 
-from conftest import ROOT, SF0001
+from rows import ROOT, SF0001
 
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 from oracle_check import TABLES, digest  # noqa: E402

@@ -3,7 +3,7 @@ shuffle on top of its input."""
 
 import re
 
-from conftest import SF0001
+from rows import SF0001
 from __spark_entry__ import queries
 
 QS = queries()

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import make_rows
+from rows import make_rows
 from sheetlens.operators.rules import (
     And, ColorRule, Contains, Exact, MergeRule, MergedAcross, MergedMinColumns, NotMerged, Or, Regex, TextRule,
 )

@@ -4,7 +4,7 @@ the rule semantics on random rows (random content, colours, merges, widths)."""
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import make_rows
+from rows import make_rows
 from sheetlens.model import UNICODE_WS
 from sheetlens.operators.rules import (
     And, ColorRule, Contains, Exact, MergeRule, MergedAcross, MergedMinColumns, NotMerged, Or, TextRule,
