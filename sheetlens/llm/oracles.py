@@ -38,8 +38,54 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.z, c.z) A
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank <= 5"""
 
+# documents of similarity 0.85 or more on sets of four words
+JACCARD = NEAR_DUPLICATES.replace("len(w) < 5", "len(w) < 4").replace("len(w) - 3), lambda i: array_to_string(w[i:i + 4]",
+                                                                    "len(w) - 2), lambda i: array_to_string(w[i:i + 3]")
+JACCARD = JACCARD.replace("100 * k >= 75", "100 * k >= 85").replace(", n.doc_id = min(other) AS kept", "")
+
+_LEVELS = 8  # eight levels of eight: more leaves than any table that SQL is run on here
+
+
+def _merkle() -> str:
+    """Levels of all trees side by side: ``t`` numbers the tree of a node (its group), ``n`` the nodes of its level."""
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(concat(" + ", ".join(map(value, ("doc_id", "source", "lang", "n_chars", text))) + "))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # CRC-32 of the decimal id: a byte is xor-ed in, then eight steps of one bit (-1)
+    crc = ("xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), "
+           "lambda i: [ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+           "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), "
+           "4294967295::BIGINT)")
+    q = [f"""d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} END AS claim FROM documents),
+s AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+      count(*) OVER (PARTITION BY lang) AS n FROM d),
+a0 AS (SELECT t, i, n, leaf AS h FROM s)"""]
+    up = """{b} AS (SELECT t, i // 8 AS i, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h
+      FROM {a} GROUP BY t, i // 8, n)"""
+    q += [up.format(a=f"a{k}", b=f"a{k + 1}") for k in range(_LEVELS)]
+    q.append(f"b0 AS (SELECT 0 AS t, t AS i, (SELECT count(*) FROM a{_LEVELS}) AS n, h FROM a{_LEVELS})")
+    q += [up.format(a=f"b{k}", b=f"b{k + 1}") for k in range(_LEVELS)]
+    # the path of every leaf, one level after the other: p the proof so far, f the folded digest
+    q.append("c0 AS (SELECT doc_id, t, i, leaf, coalesce(claim, leaf) AS f, '' AS p FROM s)")
+    step = """{b} AS (SELECT c.doc_id, {keep}, c.i // 8 AS i, c.leaf, CASE WHEN max(x.n) > 1 THEN sha256(
+        coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i < c.i), '') || c.f || coalesce(string_agg(x.h, '' ORDER BY x.i)
+        FILTER (WHERE x.i > c.i), '')) ELSE c.f END AS f,
+      c.p || coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i <> c.i), '') AS p
+      FROM {a} c JOIN {x} x ON x.t = {on} AND x.i // 8 = c.i // 8 GROUP BY c.doc_id, c.t, c.i, c.leaf, c.f, c.p{more})"""
+    for k in range(_LEVELS):
+        q.append(step.format(a=f"c{k}", b=f"c{k + 1}", x=f"a{k}", on="c.t", keep="c.t", more=""))
+    q.append(f"e0 AS (SELECT doc_id, t, t AS i, leaf, f, p FROM c{_LEVELS})")
+    for k in range(_LEVELS):
+        q.append(step.format(a=f"e{k}", b=f"e{k + 1}", x=f"b{k}", on="0", keep="c.t", more=""))
+    return "WITH " + ",\n".join(q) + f"""
+SELECT e.doc_id, e.leaf, g.h AS subroot, r.h AS root, sha256(e.p) AS proof_sha256, e.f AS folded_root, e.f = r.h AS verified
+FROM e{_LEVELS} e JOIN a{_LEVELS} g ON g.t = e.t CROSS JOIN b{_LEVELS} r"""
+
+
 ORACLE = {
     "op1_hyperminhash_dedup": NEAR_DUPLICATES,
     "op5_suffix_dedup": REPEATS,
     "op10_cover_tree_topk": PRODUCTS,
+    "op12_veb_merkle_manifest": _merkle(),
+    "op13_pigeonhole_jaccard": JACCARD,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlens.llm import ann, langid, mixing, neardup, packing, pages, quality, shard, suffix, topk
+from sheetlens.llm import ann, langid, merkle, mixing, neardup, packing, pages, quality, runs, setjoin, shard, suffix, topk
 from sheetlens.llm.oracles import ORACLE  # noqa: F401 - part of this module's contract
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +78,50 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _with_planted_runs(text: str, doc_id: str):
+    """The text; of every tenth document (by its id's checksum) a later part repeats a few words."""
+    words = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    n, h = F.size(words), F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    a = F.pmod(g, F.nullif(n, F.lit(0))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(F.col(text))
+
+
+def op11_frequency_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every document, every tenth with a planted one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_planted_runs("text", "doc_id").alias("text"))
+    out = runs.find_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"),
+                                                   F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                     F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", (-F.col("best.col2")).alias("start"), F.col("best.length").alias("length"),
+                      (-F.col("best.col3")).alias("period"),
+                      F.expr("(1000 * best.length) div (-best.col3)").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_veb_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents, and its proofs against a table of which a third is tampered with."""
+    docs = table(spark, sf_dir, "documents").select(*LEAF)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    made = merkle.manifest(docs, LEAF, group="lang", order="doc_id", changed=tampered, replaced={"text": lowered})
+    return merkle.audit(made).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256",
+                                     "folded_root", "verified")
+
+
+def op13_pigeonhole_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with four-word shingle sets of similarity 0.85 or more."""
+    return setjoin.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash_dedup": op1_hyperminhash_dedup,
     "op2_weak_label_quality": op2_weak_label_quality,
@@ -89,4 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wrapper_induction": op8_wrapper_induction,
     "op9_histogram_shards": op9_histogram_shards,
     "op10_cover_tree_topk": op10_cover_tree_topk,
+    "op11_frequency_split_runs": op11_frequency_split_runs,
+    "op12_veb_merkle_manifest": op12_veb_merkle_manifest,
+    "op13_pigeonhole_jaccard": op13_pigeonhole_jaccard,
 }
