@@ -11,14 +11,16 @@ The larger set of a pair probes.  It gives its segments values of 0, 1 or 2 with
 of H + 1: then some segment differs in fewer elements than its value.  Value 1
 looks up equal parts, value 2 also those that one deletion on either side makes
 equal, and value 0 nothing.  A segment whose equal parts all belong to sets that are
-already linked to this one costs nothing; the cheapest are taken, and those that cost
-more than ``UPGRADE`` comparisons are replaced by giving 2 to others.
+already linked to this one costs nothing; the cheapest are taken.  Those that cost more
+than ``UPGRADE`` comparisons are replaced by giving 2 to others, if what this saves is
+worth the pass over all texts that looks for parts less one element (``PASS``
+comparisons a set).
 
 So the steps are: keys that two different sets share; verified links between the
 sets of a key and its first set; components; values by cost; comparison of what the
-values leave, in blocks inside tasks, by an exact bound (bitmaps of parity differ in
-no more bits than the sets in elements); verification on full sets; components.  Copies
-share one set.  No bucket is expanded into all its pairs, and a key that a large part
+values leave, in blocks inside tasks; verification on full sets; components.  Before full
+sets are fetched, an exact bound drops pairs: bitmaps of parity differ in no more bits
+than the sets in elements.  Copies share one set.  No bucket is expanded into all its pairs, and a key that a large part
 of all sets has is aggregated before the shuffle and dealt over blocks.
 """
 
@@ -40,6 +42,7 @@ WORDS = 4
 PERCENT = 85
 GROWTH = 1.5           # largest size of a band over that of the one before
 UPGRADE = 64           # comparisons that a segment may cost before others get value 2 for it
+PASS = 50              # comparisons for each set that cost as much as a pass over all texts
 BLOCK = 2048           # members of a key, on either side, that a task compares at once
 FILTER_BITS = 1 << 25  # of the bitmap that filters rows before a join: 4 MB at any size of the input
 COLUMNS = ["n_shingles", "component_id"]  # what the operator adds
@@ -126,8 +129,9 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _keyed(df: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, hi, lo, own, more) of every document: (hi, lo) is its set's digest, ``own`` the keys in its own
-    band and ``more`` those in the next, given where a task first meets the set."""
+    """(doc_id, n, hi, lo, own, more, bits) of every document: (hi, lo) is its set's digest, ``own`` the keys in its
+    own band, ``more`` those in the next and ``bits`` its bitmaps in these bands, given where a task first meets
+    the set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bands, met = _Words(), Bands(percent), set()
@@ -136,7 +140,7 @@ def _keyed(df: DataFrame, text: str, doc_id: str, width: int, percent: int) -> D
             for v in bytes_of(b.column(1)):
                 s = shingles(bytes(v), words, width) if v is not None else np.empty(0, np.uint64)
                 hi, lo = _digest(s)
-                own = more = None
+                own = more = bits = None
                 if len(s) and (hi, lo) not in met:
                     if len(met) >= 100_000:
                         met.clear()
@@ -145,21 +149,22 @@ def _keyed(df: DataFrame, text: str, doc_id: str, width: int, percent: int) -> D
                     own = own_keys(s, k, bands) if k else None
                     more = [own_keys(s, j, bands) for j in bands.others(len(s))]
                     more = np.concatenate(more) if more else None
-                rows.append((len(s), hi, lo, own, more))
-            cols = list(zip(*rows)) if rows else [()] * 5
+                    bits = [parity(s, j, bands).tobytes() for j in (k, *bands.others(len(s)))]
+                rows.append((len(s), hi, lo, own, more, bits))
+            cols = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[3:])],
-                names=["doc_id", "n", "hi", "lo", "own", "more"])
+                [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[3:5]),
+                 pa.array(cols[5], pa.list_(pa.binary()))], names=["doc_id", "n", "hi", "lo", "own", "more", "bits"])
 
     return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`")).mapInArrow(
-        scan, "doc_id long, n long, hi long, lo long, own array<long>, more array<long>")
+        scan, "doc_id long, n long, hi long, lo long, own array<long>, more array<long>, bits array<binary>")
 
 
 def _bitmap(df: DataFrame, column: str) -> np.ndarray:
     """Bitmap of a column of hashes: ``FILTER_BITS`` bits, or-ed in Spark.  It only saves rows that the join after
     it would drop, so a full one does no harm."""
     slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    words = df.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))").alias("b"))
+    words = df.where(F.col(column).isNotNull()).select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))").alias("b"))
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most a row for each word of the bitmap
     out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     out[got.column("w").to_numpy()] = got.column("b").to_numpy()
@@ -191,30 +196,42 @@ def _with_keys(docs: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(scan, "key long, hi long, lo long, own boolean").join(wanted, "key", "left_semi")
 
 
-def _sets(df: DataFrame, text: str, width: int, nodes: DataFrame) -> DataFrame:
-    """(node, n, words) of ``nodes`` (node, n, hi, lo): the sorted hashes of the set, made again from the texts."""
-    bitmap = _bitmap(nodes, "lo")
+def _sets(df: DataFrame, text: str, doc_id: str, width: int, nodes: DataFrame) -> DataFrame:
+    """(node, words) of ``nodes`` (node, hi, lo, first): the sorted hashes of the set, made again from the texts of
+    the documents whose id is some node's first."""
+    bitmap = _bitmap(nodes, "first")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met = _Words(), set()
+        known = _Words()
         for b in slices(batches, 256):
             rows: list[tuple] = []
-            for v in bytes_of(b.column(0)):
-                s = shingles(bytes(v), known, width) if v is not None else ()
-                if not len(s):
-                    continue
-                hi, lo = _digest(s)
-                if _in(bitmap, np.array([lo]))[0] and (hi, lo) not in met:
-                    if len(met) >= 100_000:
-                        met.clear()
-                    met.add((hi, lo))
-                    rows.append((hi, lo, s.tobytes()))
+            ids = b.column(0)
+            asked = _in(bitmap, ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
+            for v, ask in zip(bytes_of(b.column(1)), asked.tolist()):
+                s = shingles(bytes(v), known, width) if ask and v is not None else ()
+                if len(s):
+                    rows.append((*_digest(s), s.tobytes()))
             cols = list(zip(*rows)) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))],
                                              names=["hi", "lo", "words"])
 
-    found = df.select(F.col(f"`{text}`")).mapInArrow(scan, "hi long, lo long, words binary")
-    return found.join(nodes, ["hi", "lo"]).select("node", "n", "words").dropDuplicates(["node"])
+    found = df.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(scan, "hi long, lo long, words binary")
+    return found.join(nodes.select("node", "hi", "lo"), ["hi", "lo"]).select("node", "words").dropDuplicates(["node"])
+
+
+def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps in the larger set's band do not rule out a link; ``pairs``: (a, na, b, nb,
+    band)."""
+
+    @F.pandas_udf("boolean")
+    def fits(x, y, n):
+        import pandas as pd
+        bits = [int(np.bitwise_count(np.frombuffer(p, np.uint64) ^ np.frombuffer(q, np.uint64)).sum()) for p, q in zip(x, y)]
+        return pd.Series(np.array(bits, dtype=np.int64) * (100 + percent) <= n.to_numpy() * (100 - percent))
+
+    side = lambda s: marks.select(F.col("node").alias(s), "band", F.col("bits").alias(f"x{s}"))
+    return (pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"])
+                 .where(fits("xa", "xb", F.col("na") + F.col("nb"))).select("a", "b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,8 +256,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- values
 
 def _allocated(placed: DataFrame, nodes: DataFrame, percent: int, upgrade: int) -> DataFrame:
-    """(node, take, left, up) of the sets that must still look up something: the keys of the segments with value 1
-    that cost something, those of the segments with value 0, and how many segments get value 2.
+    """(node, ones, take, left, up, saved) of the sets that must still look up something.  ``ones``: the keys of the
+    cheapest segments that cost something, if the values are 0 and 1.  Else ``take``: the keys of such segments with
+    value 1, ``left``: of those with value 0, ``up``: how many segments get value 2, ``saved``: comparisons less.
 
     ``placed``: (key, node, comp, n, own), the members of every shared key."""
     per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("same"))
@@ -254,7 +272,8 @@ def _allocated(placed: DataFrame, nodes: DataFrame, percent: int, upgrade: int)
     # of need - hot segments with value 1 each can get 2; what that cannot make up for is looked up all the same
     d = d.withColumn("kept", F.greatest(F.lit(0), F.ceil((2 * F.col("hot") - F.col("need")) / 2)).cast("int"))
     d = d.withColumn("take", F.slice("cheapest", 1, (F.col("r") - F.col("hot") + F.col("kept")).cast("int")))
-    return d.select("node", F.col("take.key").alias("take"), F.transform(
+    saved = F.aggregate(F.array_except("cheapest", "take"), F.lit(0).cast("long"), lambda s, c: s + c["cost"])
+    return d.select("node", F.col("cheapest.key").alias("ones"), F.col("take.key").alias("take"), saved.alias("saved"), F.transform(
         F.array_except("l", "take"), lambda c: c["key"]).alias("left"), (F.col("hot") - F.col("kept")).cast("int").alias("up"))
 
 
@@ -318,24 +337,6 @@ def _less_one(df: DataFrame, text: str, width: int, wanted: DataFrame, percent:
 
 # ---------------------------------------------------------------- comparison in blocks
 
-def _marked(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, words, band, bits): the parity bitmaps of a set in every band where it has keys."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
-        for b in slices(batches, 256):
-            rows = []
-            for node, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = np.frombuffer(words, np.uint64)
-                for k in [bands.of(len(s)), *bands.others(len(s))]:
-                    rows.append((node, k, parity(s, k, bands).tobytes()))
-            cols = list(zip(*rows)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()))],
-                                             names=["node", "band", "bits"])
-
-    return sets.select("node", "words").mapInArrow(scan, "node long, band int, bits binary")
-
-
 def _compared(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of a probing set and another of the same key, not in one component and not larger, that
     the bitmaps do not rule out.  ``members``: (key, band, node, comp, n, probe)."""
@@ -384,7 +385,7 @@ def _compared(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WORDS,
-                       percent: int = PERCENT, upgrade: int = UPGRADE) -> DataFrame:
+                       percent: int = PERCENT, upgrade: int = UPGRADE, pass_cost: int = PASS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``df``: the size of its set and the smallest id reachable
     over links, its own included.
 
@@ -403,32 +404,43 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     classes = keep(docs.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("first"))
                        .withColumn("node", F.monotonically_increasing_id()), "sets-classes")
     band = lambda n: F.lit(0) + sum(F.when(n > t, 1).otherwise(0) for t in bands.tops)
-    nodes = classes.select("node", "n", "hi", "lo")
+    nodes = classes.select("node", "n", "hi", "lo", "first")
+
+    def marked(of: DataFrame) -> DataFrame:
+        """(node, band, bits) of the sets in ``of``."""
+        some = nodes.join(of.select("node").distinct(), "node", "left_semi")
+        rows = docs.where("bits is not null").select("hi", "lo", F.posexplode("bits").alias("k", "bits")).join(some, ["hi", "lo"])
+        return keep(rows.select("node", (band(F.col("n")) + F.col("k")).cast("int").alias("band"), "bits")
+                        .dropDuplicates(["node", "band"]), "sets-marks")
+
     keyed = [docs.select("lo", F.explode(c).alias("key"), F.lit(own).alias("own")) for c, own in (("own", True), ("more", False))]
     shared = keep(keyed[0].unionByName(keyed[1]).groupBy("key").agg(
         F.min("lo").alias("a"), F.max("lo").alias("b"), F.max("own").alias("own")).where("own and a < b").select("key"), "sets-shared")
     members = keep(_with_keys(docs, shared, percent).join(nodes, ["hi", "lo"])
                        .select("key", "node", "n", "own").distinct(), "sets-members")
+    marks = marked(members)
     # every key's first set against its others; sets that share one key only are left to the values
     first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p")).select("key", "p.node", "p.n").toDF("key", "a", "na")
     star = (members.join(first, "key").where(f"node <> a and 100 * least(n, na) >= {percent} * greatest(n, na)")
-                   .groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a", "b"))
-    star = keep(star, "sets-star")
+                   .groupBy("a", "na", F.col("node").alias("b"), F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+                   .withColumn("band", band(F.greatest("na", "nb")).cast("int")))
+    star = keep(_possible(star, marks, percent), "sets-star")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = keep(_sets(df, text, width, nodes.join(ends(star), "node")), "sets-full")
-    links = keep(_verified(star, sets, percent), "sets-links")
+    full = lambda of: keep(_sets(df, text, doc_id, width, nodes.join(of, "node", "left_semi")), "sets-full")
+    links = keep(_verified(star, full(ends(star)), percent), "sets-links")
     comp = keep(components(links), "sets-components")
     placed = keep(members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "sets-placed")
     sizes = nodes.withColumn("need", F.expr(f"(2 * n * {100 - percent}) div {100 + percent} + 1")).withColumn(
         "m", _segments(F.col("n"), bands))
     plan = keep(_allocated(placed, sizes, percent, upgrade), "sets-values")
-    look = plan.select("node", F.explode("take").alias("key"), F.lit(True).alias("probe"))
+    saved = plan.agg(F.sum(F.when(F.col("up") > 0, F.col("saved")))).first()[0]
+    upgraded = saved is not None and saved > pass_cost * classes.count()
+    look = plan.select("node", F.explode("take" if upgraded else "ones").alias("key"), F.lit(True).alias("probe"))
     probed = placed.join(look.select("key").distinct(), "key", "left_semi").join(look, ["key", "node"], "left")
     every = probed.select("key", "node", "comp", "n", F.coalesce("probe", F.lit(False)).alias("probe"))
-    ups = plan.where("up > 0").select("node", "left", "up")
-    if not ups.isEmpty():
-        wanted = nodes.join(ups.select("node"), "node")
-        asked = keep(_requests(keep(_sets(df, text, width, wanted), "sets-probing"), ups, percent), "sets-requests")
+    if upgraded:
+        ups = plan.where("up > 0").select("node", "left", "up")
+        asked = keep(_requests(full(ups.select("node")), ups, percent), "sets-requests")
         part = [asked.where(f"kind = {k}").select("key").distinct() for k in range(2)]
         found = _less_one(df, text, width, part[0], percent).select(F.lit(0).alias("kind"), "key", "hi", "lo").unionByName(
             _with_keys(docs, part[1], percent).select(F.lit(1).alias("kind"), "key", "hi", "lo"))
@@ -437,13 +449,14 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
         both = both.groupBy("kind", "key", "node", "n").agg(F.max("probe").alias("probe")).join(comp, "node", "left")
         every = every.unionByName(both.select(F.xxhash64("kind", "key").alias("key"), "node", F.coalesce("comp", "node").alias("comp"), "n", "probe"))
     every = keep(every, "sets-buckets")
-    if not every.isEmpty():
-        # a key belongs to one band, that of its probing sets
-        of = every.where("probe").groupBy("key").agg(F.max("n").alias("most"))
-        every = every.join(of, "key").withColumn("band", band(F.col("most")).cast("int")).drop("most")
-        full = keep(_sets(df, text, width, nodes.join(every.select("node").distinct(), "node")), "sets-full")
-        pairs = keep(_compared(every, _marked(full, percent), percent), "sets-pairs")
-        links = links.unionByName(keep(_verified(pairs, full, percent), "sets-links"))
+    # a key belongs to one band, that of its probing sets
+    of = every.where("probe").groupBy("key").agg(F.max("n").alias("most"))
+    every = every.join(of, "key").withColumn("band", band(F.col("most")).cast("int")).drop("most")
+    if upgraded:  # sets found by a deletion need share no key
+        marks = marked(every)
+    pairs = keep(_compared(every, marks, percent), "sets-pairs")
+    if not pairs.isEmpty():
+        links = links.unionByName(keep(_verified(pairs, full(ends(pairs)), percent), "sets-links"))
         comp = keep(components(links), "sets-components")
     of = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = of.groupBy("comp").agg(F.min("first").alias("component_id"))

@@ -65,10 +65,20 @@ def corpus(seed, n=150, common=0):
     return rows + [(1000, None), (1001, "  "), (None, rows[3][1]), (4, rows[4][1]), (4, rows[4][1]), (None, "alone here")]
 
 
-@pytest.mark.parametrize("seed,common,upgrade", [(1, 0, 64), (2, 25, 64), (3, 25, 0), (4, 60, 3)])
-def test_equals_all_pairs(spark, seed, common, upgrade):
+@pytest.mark.parametrize("seed,common,kw", [(1, 0, {}), (2, 25, {}), (3, 25, {"upgrade": 0, "pass_cost": 0}), (4, 60, {"upgrade": 3, "pass_cost": 0})])
+def test_equals_all_pairs(spark, seed, common, kw):
     rows = corpus(seed, common=common)
-    assert got(spark.createDataFrame(rows, SCHEMA), upgrade=upgrade) == brute(rows)
+    assert got(spark.createDataFrame(rows, SCHEMA), **kw) == brute(rows)
+
+
+def test_upgrades_are_used(spark, monkeypatch):
+    """Value 2 is given, and what it finds is compared."""
+    names, own = [], setjoin.written
+    monkeypatch.setattr(setjoin, "written", lambda df, name: names.append(name) or own(df, name))
+    rows = corpus(3, common=25)
+    assert got(spark.createDataFrame(rows, SCHEMA), upgrade=0, pass_cost=0) == brute(rows) and "sets-requests" in names
+    names.clear()
+    assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows) and "sets-requests" not in names
 
 
 def test_blocks_and_full_filters(spark, monkeypatch):
@@ -76,7 +86,7 @@ def test_blocks_and_full_filters(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK", 3)
     monkeypatch.setattr(setjoin, "FILTER_BITS", 128)
     rows = corpus(5, common=25)
-    assert got(spark.createDataFrame(rows, SCHEMA), upgrade=2) == brute(rows)
+    assert got(spark.createDataFrame(rows, SCHEMA), upgrade=2, pass_cost=0) == brute(rows)
     assert got(spark.createDataFrame(rows, SCHEMA), percent=60, width=2) == brute(rows, 60, 2)
 
 
