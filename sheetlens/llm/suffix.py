@@ -33,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetlens.llm.common import bytes_of, drop, own_names, slices, written
+from sheetlens.llm.common import bytes_of, drop, own_names, slices, with_arrays, written
 
 LENGTH = 400
 GRAM = 32
@@ -162,38 +162,37 @@ def _segment_rows(df: DataFrame, text: str, rid: str, length: int, gram: int, co
 
 
 class _Suffixes:
-    """Strings of a batch with prefix hashes; ``sort`` orders (group, string)."""
+    """Strings of a batch with prefix hashes, end to end; ``sort`` orders (group, string)."""
 
     def __init__(self, strings: list[bytes], group: np.ndarray):
         self.n = len(strings)
         self.group = group
         self.len = np.fromiter(map(len, strings), dtype=np.int64, count=self.n)
-        self.width = int(self.len.max(initial=0))
-        self.bytes = np.zeros((self.n, self.width + 1), dtype=np.uint8)
-        flat = np.frombuffer(b"".join(strings), np.uint8)
-        inside = np.arange(self.width + 1)[None, :] < self.len[:, None]
-        self.bytes[inside] = flat
-        c, p, _ = _tables(self.width + 2)
-        self.prefix = np.zeros((self.n, self.width + 1), dtype=np.uint64)
-        for i in range(0, self.n, 256):  # in slices: what is only passed through stays small
-            np.cumsum(c[self.bytes[i:i + 256, :self.width]] * p[:self.width], axis=1, out=self.prefix[i:i + 256, 1:])
+        self.at = np.cumsum(self.len + 1) - self.len - 1  # a byte of padding after each
+        self.bytes = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+        c, p, _ = _tables(int(self.len.max(initial=0)) + 2)
+        inside = np.arange(len(self.bytes)) - np.repeat(self.at, self.len + 1) if self.n else np.empty(0, np.int64)
+        self.prefix = np.zeros(len(self.bytes) + 1, dtype=np.uint64)  # of all strings; a string's own are differences
+        np.cumsum(c[self.bytes[:len(inside)]] * p[inside], out=self.prefix[1:1 + len(inside)])
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common prefix of strings x and y: binary search over hashes of prefixes."""
         lo, hi = np.zeros(len(x), dtype=np.int64), np.minimum(self.len[x], self.len[y])
+        ax, ay = self.at[x], self.at[y]
+        apart = self.prefix[ax] - self.prefix[ay]
         while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            same = self.prefix[x, mid] == self.prefix[y, mid]
+            same = self.prefix[ax + mid] - self.prefix[ay + mid] == apart
             lo = np.where(same, mid, lo)
             hi = np.where(same, hi, mid - 1)
         return lo
 
-    def before(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether x sorts before y; equal ones by number."""
-        at = self.common(x, y)
+    def before(self, x: np.ndarray, y: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Whether x sorts before y, whose common prefix has length ``at``; equal ones by number."""
+        at = self.common(x, y) if at is None else at
         nx, ny = self.len[x], self.len[y]
         ended = (at >= nx) | (at >= ny)
-        by_byte = self.bytes[x, at] < self.bytes[y, at]
+        by_byte = self.bytes[self.at[x] + at] < self.bytes[self.at[y] + at]
         inner = np.where(ended, np.where(nx == ny, x < y, nx < ny), by_byte)
         gx, gy = self.group[x], self.group[y]
         return np.where(gx == gy, inner, gx < gy)
@@ -219,28 +218,31 @@ class _Suffixes:
             merged = np.empty_like(order)
             merged[(block // 2) * 2 * run + (pos - block * run) + (lo - start)] = order
             order, run = merged, run * 2
-        lcp = self._lcp(order)
-        exact = self._exact(order)
-        if not np.array_equal(lcp, exact):  # a hash collision: sort by the bytes
-            order = np.array(sorted(range(self.n), key=lambda i: (
-                self.group[i], self.bytes[i, :self.len[i]].tobytes())), dtype=np.int64)
-            exact = self._exact(order)
-        return order, exact
-
-    def _joined(self, order: np.ndarray) -> np.ndarray:
-        return self.group[order[1:]] == self.group[order[:-1]]
-
-    def _lcp(self, order: np.ndarray) -> np.ndarray:
-        return np.concatenate([[0], np.where(self._joined(order), self.common(order[1:], order[:-1]), 0)])
-
-    def _exact(self, order: np.ndarray) -> np.ndarray:
-        x, y = order[1:], order[:-1]
-        out = np.empty(max(len(order) - 1, 0), dtype=np.int64)
-        for i in range(0, len(out), 4096):
-            same = self.bytes[x[i:i + 4096]] == self.bytes[y[i:i + 4096]]
-            out[i:i + 4096] = np.where(same.all(1), self.width + 1, same.argmin(1))
-        out = np.minimum(out, np.minimum(self.len[x], self.len[y]))
-        return np.concatenate([[0], np.where(self._joined(order), out, 0)])
+        lcp = self.common(order[1:], order[:-1])
+        if not self._holds(order, lcp):  # a hash collision: sort by the bytes
+            text = [self.bytes[a:a + n].tobytes() for a, n in zip(self.at.tolist(), self.len.tolist())]
+            order = np.array(sorted(range(self.n), key=lambda i: (self.group[i], text[i])), dtype=np.int64)
+            lcp = np.array([_common(text[i], text[k]) for i, k in zip(order[1:], order[:-1])], dtype=np.int64)
+        joined = self.group[order[1:]] == self.group[order[:-1]]
+        return order, np.concatenate([[0], np.where(joined, lcp, 0)])
+
+    def _holds(self, order: np.ndarray, lcp: np.ndarray) -> bool:
+        """Whether the bytes bear out the common prefixes of neighbours and their order (hashes never make a
+        prefix too short)."""
+        x, y = order[:-1], order[1:]
+        for i in range(0, len(x), 1024):
+            n = lcp[i:i + 1024]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            a, b = (np.repeat(self.at[v[i:i + 1024]], n) + step for v in (x, y))
+            if (self.bytes[a] != self.bytes[b]).any():
+                return False
+        return bool(self.before(x, y, lcp).all())
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(differ[0]) if len(differ) else n
 
 
 def shared_windows(frags: list[bytes], anchors: np.ndarray, group: np.ndarray, counts: np.ndarray,
@@ -364,11 +366,37 @@ def repeated_windows(df: DataFrame, rid: str, text: str, length: int = LENGTH, g
     return whole.unionByName(single).groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("ranges"))
 
 
+def _inside_word(b: bytes, i: int) -> bool:
+    return 0 < i < len(b) and not b[i - 1:i].isspace() and not b[i:i + 1].isspace()
+
+
+def _cut(b: bytes, ranges: list[int] | None, length: int, least_words: int) -> tuple[np.ndarray, int]:
+    """(bytes that are kept, maximal runs that are removed) of a text with the repeated windows ``ranges``."""
+    whole = np.frombuffer(b, np.uint8)
+    if ranges is None:
+        return whole, 0
+    edges = np.zeros(len(b) + 1, dtype=np.int64)
+    np.add.at(edges, ranges[0::2], 1)
+    np.add.at(edges, np.asarray(ranges[1::2]) + length, -1)
+    gone = np.cumsum(edges[:-1]) > 0
+    turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    spans = len(turn) // 2
+    if least_words:
+        for x, y in zip(turn[0::2].tolist(), turn[1::2].tolist()):
+            cut = _inside_word(b, x) + _inside_word(b, y)  # words at the ends that are not whole
+            if len(b[x:y].split()) - cut < least_words:
+                gone[x:y] = False
+                spans -= 1
+    return whole[~gone], spans
+
+
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH,
-                   gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+                   gram: int = GRAM, block: int = BLOCK, least_words: int = 0, decode: str | None = None) -> DataFrame:
     """``df`` with ``kept`` (binary: the UTF-8 bytes of the text without every byte
     covered by a string of ``length`` bytes that also starts anywhere else),
     ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept_sha256``.
+    A run that holds fewer than ``least_words`` whole words stays.  ``decode`` names a column for the
+    kept text instead of ``kept`` and ``kept_sha256``; what is left of a character that was cut is left out of it.
 
     A null text counts as empty; texts shorter than ``length`` are kept whole; rows
     repeated whole repeat each other's passages, so these go from all of them; matches
@@ -381,34 +409,19 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     found = repeated_windows(base.select(rid, text), rid, text, length, gram, block)
     found = found.select(F.col("rid").alias(rid), F.col("ranges").alias(ranges))
 
-    @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    def remove(texts, spans):
-        import pandas as pd
-        rows = []
-        for t, r in zip(texts, spans):
-            b = (t or "").encode()
-            if r is None:
-                rows.append((b, len(b), 0, 0, hashlib.sha256(b).hexdigest()))
-                continue
-            edges = np.zeros(len(b) + 1, dtype=np.int64)
-            np.add.at(edges, r[0::2], 1)
-            np.add.at(edges, np.asarray(r[1::2]) + length, -1)
-            gone = np.cumsum(edges[:-1]) > 0
-            kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-            spans_ = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
-            rows.append((kept, len(b), len(b) - len(kept), spans_, hashlib.sha256(kept).hexdigest()))
-        return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    joined = base.join(found, rid, "left").withColumn("_r", remove(F.col(text), F.col(ranges)))
-    return joined.select(*[F.col(f"`{c}`") for c in base.columns if c != rid],
-                         *[F.col(f"_r.{c}").alias(c) for c in COLUMNS])
-
-
-def decoded(kept: Column) -> Column:
-    """The text of UTF-8 bytes without what is left of characters that were cut."""
-
-    @F.pandas_udf("string")
-    def text(b):
-        return b.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    return text(kept)
+    def remove():
+        def make(texts, spans):
+            out: list[tuple] = []
+            for t, r in zip(texts, spans):
+                b = (t or "").encode()
+                kept, times = _cut(b, r, length, least_words)
+                kept = kept.tobytes()
+                counts = (len(b), len(b) - len(kept), times)
+                out.append((kept.decode("utf-8", "ignore"), *counts) if decode else
+                           (kept, *counts, hashlib.sha256(kept).hexdigest()))
+            return [list(c) for c in zip(*out)]
+        return make
+
+    counts = "n_bytes long, n_removed long, n_spans long"
+    added = f"`{decode}` string, {counts}" if decode else f"kept binary, {counts}, kept_sha256 string"
+    return with_arrays(base.join(found, rid, "left"), [text, ranges], remove, added, 256).drop(rid, ranges)

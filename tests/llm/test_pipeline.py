@@ -48,7 +48,7 @@ def test_near_duplicates(stages):
 
 def test_repeated_passages(stages):
     before, after = stages["suffix_array_dedup"]
-    want = {d: (gone, sha) for d, _, gone, _, sha in repeat_brute([(r.doc_id, r.text) for r in before.collect()], 400)}
+    want = {d: (gone, sha) for d, _, gone, _, sha in repeat_brute([(r.doc_id, r.text) for r in before.collect()], 200, 51)}
     texts = {r.doc_id: r for r in before.collect()}
     assert after.count() == len(want)
     for r in after.collect():
@@ -61,6 +61,30 @@ def test_repeated_passages(stages):
                 assert len(texts[r.doc_id].text.encode()) - gone - len(r.text.encode()) < 8   # parts of cut characters
 
 
+def test_planted_passages(spark):
+    """Passages of 51 to 60 short words in otherwise different documents go; those of 50 words and clean documents stay."""
+    import random
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], {}
+    for k in range(10):
+        passage = prose(51 + k)
+        for d in range(3):
+            planted[len(rows)] = passage
+            rows.append((len(rows), f"{prose(80)} {passage} {prose(80)}"))
+    short = "Only " + prose(48) + " fifty"
+    rows += [(len(rows) + k, f"{k}{prose(40)}. {short} {k}{prose(40)}") for k in range(3)]
+    rows += [(len(rows) + k, prose(300)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "length(text) n_chars")
+    out = {r.doc_id: r.text for r in cp.drop_repeated_passages(spark, docs, SF0001).collect()}
+    for d, text in rows:
+        if d in planted:
+            assert planted[d] not in out[d] and len(out[d].split()) >= 158
+        else:
+            assert out[d] == text
+
+
 def test_mix(stages):
     from test_mixing import plain_targets, words
 

@@ -14,7 +14,7 @@ SF0001 = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string"
 
 
-def brute(rows, length):
+def brute(rows, length, least_words=0):
     seen = Counter(b[i:i + length] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - length + 1))
     out = []
     for d, t in rows:
@@ -23,6 +23,16 @@ def brute(rows, length):
         for i in range(len(b) - length + 1):
             if seen[b[i:i + length]] > 1:
                 gone[i:i + length] = b"\x01" * length
+        i = 0
+        while least_words and i < len(b):
+            j = i
+            while j < len(b) and gone[j] == gone[i]:
+                j += 1
+            space = lambda k: not 0 <= k < len(b) or b[k] in b" \t\n\r\v\f"
+            ends = sum(not space(k - 1) and not space(k) for k in (i, j))
+            if gone[i] and len(b[i:j].split()) - ends < least_words:
+                gone[i:j] = bytes(j - i)
+            i = j
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
@@ -54,6 +64,17 @@ def test_equals_brute_force(spark, seed, block):
     assert got(out) == brute(rows, 30)
 
 
+def test_least_words(spark):
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, 20, 9)
+    assert got(suffix.remove_repeats(df, length=20, gram=8, least_words=9)) == want
+    assert 0 < sum(r[2] for r in want) < sum(r[2] for r in brute(rows, 20))
+    out = suffix.remove_repeats(df, length=20, gram=8, least_words=9, decode="left")
+    assert out.columns == ["doc_id", "text", "left", "n_bytes", "n_removed", "n_spans"]
+    assert all(r.left == (r.text or "") for r in out.collect() if not r.n_removed)
+
+
 def test_chunked_long_text(spark, monkeypatch):
     monkeypatch.setattr(suffix, "_CHUNK", 64)
     rnd = random.Random(5)
