@@ -31,17 +31,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return back(neardup.near_duplicates(docs, copy=copy).where(F.col("kept") & (F.col(copy) == 1)))
 
 
+#: A repeated passage is one of more than 50 words; 200 bytes are 50 words of three letters.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 200
+
+
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its text without the bytes of repeated strings of 400 bytes (what is
-    left of a character that was cut is left out) and ``n_chars`` counted anew.  A text from
-    which nothing is removed stays as it is, null too."""
+    """Every document, its text without the passages of at least ``PASSAGE_WORDS`` words that
+    strings of ``PASSAGE_BYTES`` bytes repeated anywhere cover (what is left of a character
+    that was cut is left out) and ``n_chars`` counted anew.  A text from which nothing is
+    removed stays as it is, null too; an empty table stays empty."""
     docs, back = set_aside(docs, suffix.COLUMNS)
-    out = suffix.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, suffix.decoded(F.col("kept"))).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    left = own_names(docs, ["_left"])["_left"]
+    out = suffix.remove_repeats(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS, decode=left)
+    cut = F.col("n_removed") > 0
+    out = out.withColumn("text", F.when(cut, F.col(left)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
-                             .otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return back(out)
 
 
