@@ -8,8 +8,9 @@ failed files in that table (distributed) and leave ``errors`` empty; the
 array is filled only by imported histories that carry it inline.
 
 The ledger is an ordinary table (parquet in a folder); every operation is a
-DataFrame transformation, and retention / recency use bounded top-k or the
-distributed row numbering, never a single-partition window.
+DataFrame transformation; recency is a bounded top-k and retention a selection,
+never a single-partition window.  :mod:`sheetlens.operators.ledger_table` keeps it
+in a folder that several jobs append to.
 """
 
 from __future__ import annotations
@@ -77,13 +78,47 @@ def recent(ledger: DataFrame, n: int) -> DataFrame:
     return ledger.orderBy(F.col("seq").desc()).limit(n)
 
 
+_BUCKETS = 1024  # counts of a round of the selection: what a round sends to the driver
+
+
+def newest_threshold(ledger: DataFrame, n: int) -> tuple[int, int] | None:
+    """(t, k): the newest ``n`` entries are those with ``seq`` over t and k of those with ``seq`` t; None if there
+    are no more than ``n``.  Rounds of counts in equal ranges of ``seq`` narrow down the range that holds t, so
+    nothing is sorted and only ``seq`` is read."""
+    seqs = ledger.select("seq").where("seq is not null")
+    low, high, total = seqs.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+    if total <= n:
+        return None
+    above = 0  # entries over ``high``
+    while high > low:
+        step = (high - low) // _BUCKETS + 1
+        inside = seqs.where(F.col("seq").between(low, high))
+        counts = dict(inside.groupBy(F.floor((F.col("seq") - low) / step).alias("b")).agg(F.count(F.lit(1))).collect())
+        for b in sorted(counts, reverse=True):
+            if above + counts[b] >= n:
+                break
+            above += counts[b]
+        low, high = low + b * step, min(high, low + (b + 1) * step - 1)
+    return low, n - above
+
+
 def trim(ledger: DataFrame, n: int) -> DataFrame:
-    """Keep the newest ``n`` entries by insertion order.  Distributed: the
-    rank comes from the range-partitioned numbering, so ``n`` may be large."""
+    """Keep the newest ``n`` entries by insertion order.  A selection finds the least ``seq`` that stays and a filter
+    applies it: no sort, however large ``n``.  Only entries that share that very ``seq`` (there are several after two
+    unguarded appends) are ranked, by their other columns.  An entry without ``seq`` is older than all others."""
     if n <= 0:
         return ledger.limit(0)
-    ranked = global_row_number(ledger, [F.col("seq").desc()], "_rank")
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+    found = newest_threshold(ledger, n)
+    if found is None:
+        if ledger.where("seq is null").isEmpty():
+            return ledger
+        ranked = global_row_number(ledger, [F.col("seq").desc()], "_rank")
+        return ranked.where(F.col("_rank") <= n).drop("_rank")
+    t, k = found
+    if ledger.where(F.col("seq") == t).count() <= k:
+        return ledger.where(F.col("seq") >= t)
+    tied = global_row_number(ledger.where(F.col("seq") == t), ["seq"], "_rank")
+    return ledger.where(F.col("seq") > t).unionByName(tied.where(F.col("_rank") <= k).drop("_rank"))
 
 
 def by_id(ledger: DataFrame, entry_id: str) -> DataFrame:

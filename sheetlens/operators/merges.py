@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LEVELS = 32  # dyadic levels: coordinates are ints
+
+
+def _dyadic(lo: Column, hi: Column) -> Column:
+    """The dyadic intervals (level, node) that make up lo..hi, at most two a level: node n of level k holds the
+    coordinates n * 2**k to (n + 1) * 2**k - 1."""
+    shift = lambda x, k: F.call_function("shiftright", x, k)
+    one = F.lit(1).cast("bigint")
+
+    def level(k: Column) -> Column:
+        a = shift(lo + F.call_function("shiftleft", one, k) - 1, k)  # first node at or after lo
+        b = shift(hi + 1, k)                                         # first node that is not below hi + 1
+        piece = lambda ok, n: F.when((a < b) & ok, F.struct(k.alias("level"), n.alias("node")))
+        return F.array(piece(a % 2 == 1, a), piece(b % 2 == 1, b - 1))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), level)), lambda p: p.isNotNull())
+
 
 def assign_merges(cells_long: DataFrame, merges: DataFrame, key=("file", "sheet_index")) -> DataFrame:
     """For every cell, the first merge range (lowest ``ordinal``) containing it.
@@ -12,18 +29,23 @@ def assign_merges(cells_long: DataFrame, merges: DataFrame, key=("file", "sheet_
     ``cells_long``: key, row_index, column_index, ...;
     ``merges``: key, ordinal, start_row, end_row, start_col, end_col.
 
-    Each range is listed under every row it covers (its height, not the
-    sheet's), grouped per row into an ordinal-sorted list, and equi-joined to
-    the cells on (key, row_index).  The containing range is then the first
-    list entry whose columns cover the cell: one output row per cell, no
-    cell x range product.
-    """
+    A range is cut into dyadic boxes, at most 2 log2(height) x 2 log2(width) of them, and the first range of each
+    box is kept (combined before the shuffle), so neither a range's height nor the number of ranges over a row
+    counts.  A cell looks itself up in the one box of each pair of levels that its sheet uses, by an equi-join.
+    Coordinates are 0-based and not negative; a range that ends before it starts holds nothing, and a cell without
+    coordinates lies in none."""
     key = list(key)
-    per_row = (merges.select(*key, F.explode(F.sequence(F.col("start_row").cast("bigint"),
-                                                        F.col("end_row").cast("bigint"))).alias("row_index"),
-                             F.struct("ordinal", "start_col", "end_col", "start_row", "end_row").alias("m"))
-               .groupBy(*key, "row_index").agg(F.array_sort(F.collect_list("m")).alias("_ms")))
-    out = cells_long.join(per_row, [*key, "row_index"], "left")
-    hit = F.get(F.filter(F.coalesce(F.col("_ms"), F.array()), lambda m: (F.col("column_index") >= m["start_col"])
-                         & (F.col("column_index") <= m["end_col"])), 0)
-    return out.withColumn("merge", hit).drop("_ms")
+    long = lambda c: F.col(c).cast("bigint")
+    m = F.struct("ordinal", "start_col", "end_col", "start_row", "end_row")
+    boxes = (merges.select(*key, m.alias("m"), F.explode(_dyadic(long("start_row"), long("end_row"))).alias("r"),
+                           _dyadic(long("start_col"), long("end_col")).alias("cs"))
+                   .select(*key, "m", F.col("r.level").alias("_rl"), F.col("r.node").alias("_rn"), F.explode("cs").alias("c"))
+                   .groupBy(*key, "_rl", "_rn", F.col("c.level").alias("_cl"), F.col("c.node").alias("_cn"))
+                   .agg(F.min("m").alias("merge")))
+    levels = boxes.groupBy(*key).agg(F.collect_set(F.struct("_rl", "_cl")).alias("_levels"))  # at most LEVELS squared
+    at = [*key, "row_index", "column_index"]
+    up = lambda c, k: F.call_function("shiftright", long(c), F.col(k))
+    asked = (cells_long.select(*at).distinct().join(levels, key).select(*at, F.inline("_levels"))
+                       .select(*at, "_rl", "_cl", up("row_index", "_rl").alias("_rn"), up("column_index", "_cl").alias("_cn")))
+    first = asked.join(boxes, [*key, "_rl", "_rn", "_cl", "_cn"]).groupBy(*at).agg(F.min("merge").alias("merge"))
+    return cells_long.join(first, at, "left")

@@ -544,6 +544,13 @@ from sheetlens.plans.workbooks import grid_workbooks  # noqa: E402
 from sheetlens.sources import xlsx as XL  # noqa: E402
 from sheetlens.sources.manifest import pick_from_manifest  # noqa: E402
 
+from sheetlens.sources.files import write_binary_files  # noqa: E402
+
+
+def _base_name(path: str) -> "F.Column":
+    return F.element_at(F.split(path, "/"), -1)
+
+
 _ORDER_FILES = ("SELECT DISTINCT l_orderkey AS id, 'order_' || CAST(l_orderkey AS VARCHAR) || '.xlsx' AS file "
                 "FROM lineitem")
 
@@ -558,7 +565,10 @@ def xlsx_row_types(spark, sf_dir):
     "SELECT file, 'O' || CAST(sheet_id AS VARCHAR) AS sheet_name, row_index, c0, c1, upper(substr(bg0, 3, 6)) AS bg0, "
     "upper(substr(bg1, 3, 6)) AS bg1, m_start, m_end FROM f"))
 def xlsx_rows(spark, sf_dir):
-    rows = XL.decode_workbooks(grid_workbooks(spark, sf_dir))
+    """Workbooks written to a folder and read by the ``workbook_parts`` source."""
+    in_dir = _scratch(spark, "workbooks")
+    write_binary_files(grid_workbooks(spark, sf_dir), in_dir)
+    rows = XL.read_workbooks(spark, in_dir).withColumn("file", _base_name("file"))
     c0, c1 = F.get("cells", 0), F.get("cells", 1)
     m = F.coalesce(c0["merge_info"], c1["merge_info"])
     return rows.select("file", "sheet_name", "row_index", c0["content"].alias("c0"), c1["content"].alias("c1"),
@@ -569,7 +579,21 @@ def xlsx_rows(spark, sf_dir):
 @register("xlsx_manifest", f"SELECT file, 0 AS sheet_index, 'O' || CAST(id AS VARCHAR) AS sheet_name FROM ({_ORDER_FILES}) "
                            f"UNION ALL SELECT file, 1, 'Lines' FROM ({_ORDER_FILES})")
 def xlsx_manifest(spark, sf_dir):
-    return XL.manifest_from(grid_workbooks(spark, sf_dir)).select("file", "sheet_index", "sheet_name")
+    """Sheet lists by the ``workbook_parts`` source, which opens no sheet for them."""
+    in_dir = _scratch(spark, "workbooks")
+    write_binary_files(grid_workbooks(spark, sf_dir), in_dir)
+    return XL.workbook_manifest(spark, in_dir).select(_base_name("file").alias("file"), "sheet_index", "sheet_name")
+
+
+@register("xlsx_fonts", with_workbooks(
+    "SELECT file, row_index, row_index IN (0, 2) OR coalesce(bg0 = 'FFFFCCFD', false) AS bold, "
+    "c1 = '  ' OR coalesce(bg0 = 'FFFFCCFD', false) AS italic, CASE WHEN row_index = 0 THEN '0000FF' "
+    "WHEN bg0 = 'FFFFCCFD' THEN 'FF0000' END AS font_color FROM f"))
+def xlsx_fonts(spark, sf_dir):
+    """Font colour, bold and italic of decoded workbooks."""
+    style = F.get("cells", 0)["style"]
+    return XL.decode_workbooks(grid_workbooks(spark, sf_dir, fonts=True)).select(
+        "file", "row_index", style["bold"].alias("bold"), style["italic"].alias("italic"), style["font_color"].alias("font_color"))
 
 
 @register("xlsx_sheet_pick", f"SELECT file, 0 AS sheet_index, 'O' || CAST(id AS VARCHAR) AS sheet_name FROM ({_ORDER_FILES})")
@@ -681,6 +705,7 @@ import uuid as _uuid  # noqa: E402
 
 from sheetlens.operators import ledger as L  # noqa: E402
 from sheetlens.operators import logs as LG  # noqa: E402
+from sheetlens.operators.ledger_table import LedgerTable  # noqa: E402
 from sheetlens.plans.history import (  # noqa: E402
     LEVEL_SQL, MESSAGE_SQL, ledger_from_orders, log_lines_from_events, with_ledger, with_lines,
 )
@@ -771,6 +796,52 @@ def ledger_append(spark, sf_dir):
     return L.append(old, new, order=("timestamp", "id")).select("seq", "id")
 
 
+@register("ledger_shared", with_ledger(
+    "SELECT row_number() OVER (ORDER BY seq % 2, ts, id) AS seq, id, failed FROM led"))
+def ledger_shared(spark, sf_dir):
+    """Two appends to a history in a shared folder; each commit gives its entries their numbers."""
+    t, led = LedgerTable(spark, _scratch(spark, "ledger")), ledger_from_orders(spark, sf_dir)
+    for k in range(2):
+        t.append(led.where(F.col("seq") % 2 == k), order=["timestamp", "id"])
+    return t.read().select("seq", "id", F.col("result.failed").alias("failed"))
+
+
+@register("ledger_shared_kept", with_ledger(
+    "SELECT seq, id FROM (SELECT row_number() OVER (ORDER BY ts, id) AS seq, id, count(*) OVER () AS n FROM led) "
+    "WHERE seq > n - 700 AND seq < n"))
+def ledger_shared_kept(spark, sf_dir):
+    """A history in a shared folder: cleared, filled again to at most 700 entries, the newest removed."""
+    t, led = LedgerTable(spark, _scratch(spark, "ledger")), ledger_from_orders(spark, sf_dir)
+    t.append(led.where("seq % 2 = 0"))
+    t.clear()
+    base = t.append(led, max_entries=700, order=["timestamp", "id"])
+    t.remove(L.recent(t.read(), 1).first()["id"])
+    return t.read().select((F.col("seq") - base).alias("seq"), "id")
+
+
+@register("ledger_saved", with_ledger("SELECT seq, id, failed FROM led"))
+def ledger_saved(spark, sf_dir):
+    """A history saved to two folders, one of them cleared; both loaded again."""
+    kept, cleared, led = _scratch(spark, "ledger"), _scratch(spark, "ledger"), ledger_from_orders(spark, sf_dir)
+    L.save(led, kept)
+    L.save(led, cleared)
+    L.clear(spark, cleared)
+    both = L.load(spark, kept).unionByName(L.load(spark, cleared))
+    return both.select("seq", "id", F.col("result.failed").alias("failed"))
+
+
+@register("ledger_new_entries", with_ledger(
+    "SELECT count(*) AS n, count(*) AS ids, count(*) AS uuids, count(*) AS now FROM led"))
+def ledger_new_entries(spark, sf_dir):
+    """Entries made of run counters: each has its own UUID and the current time."""
+    runs = ledger_from_orders(spark, sf_dir).select("result.total_files", "result.successful", "result.failed", "result.duration")
+    e = L.new_entries(runs, "p", "n", "in", "out")
+    uuid4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    recent = F.abs(F.unix_timestamp("timestamp") - F.unix_timestamp(F.current_timestamp())) < 3600
+    return e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").rlike(uuid4)).alias("uuids"),
+                 F.count_if(recent).alias("now"))
+
+
 @register("ledger_import", with_ledger("""
 , imp AS (SELECT *, 2 * seq AS ordinal FROM led
           UNION ALL SELECT seq, id, ts, processor_id, processor_name, input_dir, 'dup/' || output_dir, total_files,
@@ -849,7 +920,6 @@ def log_files_roundtrip(spark, sf_dir):
 
 # ---------------------------------------------------------------- files on disk: CSV sink, incremental stream
 
-from sheetlens.sources.files import write_binary_files  # noqa: E402
 from sheetlens.streaming import incremental as INC  # noqa: E402
 
 
@@ -1039,3 +1109,43 @@ def color_components(spark, sf_dir):
     """Each sheet's colours as r, g, b integers."""
     h = S.color_histogram(grid(spark, sf_dir)).select("file", "hex")
     return h.select("file", "hex", rgb_components("hex").alias("c")).select("file", "hex", "c.r", "c.g", "c.b")
+
+
+@register("pending_files", f"SELECT count(*) AS pending FROM ({_ORDER_FILES})")
+def pending_files(spark, sf_dir):
+    """Number of workbooks that wait in a folder."""
+    in_dir = _scratch(spark, "workbooks")
+    write_binary_files(grid_workbooks(spark, sf_dir), in_dir)
+    return list_files(spark, in_dir).agg(F.count(F.lit(1)).alias("pending"))
+
+
+# ---------------------------------------------------------------- theme colours
+
+from sheetlens.functions.text import tinted  # noqa: E402
+
+# The oracle converts to hue, saturation and lightness and back, as the file format's description says.
+_CHANNEL = ("CASE WHEN s = 0 THEN l2 WHEN {t} < 1.0 / 6 THEN p + (q - p) * 6 * {t} WHEN {t} < 0.5 THEN q "
+            "WHEN {t} < 2.0 / 3 THEN p + (q - p) * (2.0 / 3 - {t}) * 6 ELSE p END")
+_HEX = "format('{{:02X}}', CAST(floor(255 * ({}) + 0.5 + 1e-9) AS INTEGER))"
+_TINT_SQL = """
+WITH c AS (SELECT DISTINCT l_partkey AS partkey, l_linenumber AS line, (CAST(l_partkey AS BIGINT) * 7919 + l_linenumber * 104729) % 16777216 AS v FROM lineitem),
+x AS (SELECT *, (line - 4) / 4.0::DOUBLE AS tint, (v // 65536) / 255.0::DOUBLE AS r, (v // 256 % 256) / 255.0::DOUBLE AS g,
+      (v % 256) / 255.0::DOUBLE AS b FROM c),
+m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM x),
+h AS (SELECT *, (hi + lo) / 2 AS l, CASE WHEN hi = lo THEN 0 WHEN (hi + lo) / 2 < 0.5 THEN (hi - lo) / (hi + lo) ELSE (hi - lo) / (2 - hi - lo) END AS s,
+      CASE WHEN hi = lo THEN 0 WHEN r = hi THEN (g - b) / (hi - lo) / 6 WHEN g = hi THEN ((b - r) / (hi - lo) + 2) / 6
+           ELSE ((r - g) / (hi - lo) + 4) / 6 END AS hue FROM m),
+n AS (SELECT *, CASE WHEN tint < 0 THEN l * (1 + tint) ELSE l * (1 - tint) + tint END AS l2 FROM h),
+w AS (SELECT *, CASE WHEN l2 < 0.5 THEN l2 * (1 + s) ELSE l2 + s - l2 * s END AS q FROM n),
+z AS (SELECT *, 2 * l2 - q AS p, hue + 1.0 / 3 - floor(hue + 1.0 / 3) AS tr, hue - floor(hue) AS tg, hue - 1.0 / 3 - floor(hue - 1.0 / 3) AS tb FROM w)
+SELECT partkey, line, 'FF' || """ + " || ".join(_HEX.format(_CHANNEL.format(t=t)) for t in ("tr", "tg", "tb")) + """ AS argb FROM z"""
+
+
+@register("tint_colors", _TINT_SQL)
+def tint_colors(spark, sf_dir):
+    """Colours and tints of line items, resolved as a theme fill's are."""
+    li = table(spark, sf_dir, "lineitem", "l_partkey", "l_linenumber").distinct()
+    v = (F.col("l_partkey").cast("bigint") * 7919 + F.col("l_linenumber") * 104729) % 16777216
+    argb = F.concat(F.lit("FF"), F.lpad(F.hex(v), 6, "0"))
+    return li.select(F.col("l_partkey").alias("partkey"), F.col("l_linenumber").alias("line"),
+                     tinted(argb, (F.col("l_linenumber") - 4) / 4.0).alias("argb"))

@@ -30,8 +30,13 @@ def workbook_name(sheet_id: int, chunk: int) -> str:
     return f"order_{sheet_id}.xlsx" if chunk == 0 else f"order_{sheet_id}~{chunk}.xlsx"
 
 
-def _cell(text, argb, kind):
-    d = {"v": text}
+# Fonts of the styled workbooks by kind of row.
+_FONTS = {"project": {"bold": True, "font": "FF0000FF"}, "header": {"bold": True}, "blank": {"italic": True},
+          "total": {"bold": True, "italic": True, "font": "FFFF0000"}}
+
+
+def _cell(text, argb, kind, fonts=False):
+    d = {"v": text} | (_FONTS.get(kind, {}) if fonts else {})
     if argb is not None:
         d["fill"] = argb
     if kind == "data" and text not in (None, "") and str(text).isdigit():
@@ -43,7 +48,7 @@ def _cell(text, argb, kind):
     return d
 
 
-def _flush(key, rows, corrupt_every):
+def _flush(key, rows, corrupt_every, fonts=False):
     sheet_id, chunk = key
     base = chunk * CHUNK_ROWS
     height = max(r[0] for r in rows) - base + 1
@@ -52,7 +57,7 @@ def _flush(key, rows, corrupt_every):
     lines = [LINES_HEADER]
     for row_index, kind, c0, c1, bg0, bg1, m_start, m_end in rows:
         i = row_index - base
-        grid_rows[i] = [_cell(c0, bg0, kind), _cell(c1, bg1, kind)]
+        grid_rows[i] = [_cell(c0, bg0, kind, fonts), _cell(c1, bg1, kind, fonts)]
         if m_start is not None:
             merges.append((i, m_start, i, m_end))
         if kind == "data":
@@ -67,7 +72,7 @@ _FIELDS = ["row_index", "kind", "c0", "c1", "bg0", "bg1", "m_start", "m_end"]
 _OUT = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
 
-def _encoder(corrupt_every: int | None, per_batch: int = 64):
+def _encoder(corrupt_every: int | None, fonts: bool = False, per_batch: int = 64):
     """Rows arrive sorted by (sheet_id, chunk, row_index); one workbook is
     built at a time and written out in bounded Arrow batches."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +84,7 @@ def _encoder(corrupt_every: int | None, per_batch: int = 64):
                 k = (sid, ch)
                 if k != key:
                     if rows:
-                        path, content = _flush(key, rows, corrupt_every)
+                        path, content = _flush(key, rows, corrupt_every, fonts)
                         paths.append(path)
                         contents.append(content)
                         if len(paths) >= per_batch:
@@ -89,7 +94,7 @@ def _encoder(corrupt_every: int | None, per_batch: int = 64):
                     key, rows = k, []
                 rows.append(rest)
         if rows:
-            path, content = _flush(key, rows, corrupt_every)
+            path, content = _flush(key, rows, corrupt_every, fonts)
             paths.append(path)
             contents.append(content)
         if paths:
@@ -98,8 +103,8 @@ def _encoder(corrupt_every: int | None, per_batch: int = 64):
     return encode
 
 
-def grid_workbooks(spark: SparkSession, sf_dir: str, corrupt_every: int | None = None) -> DataFrame:
-    """(path, content) of the order workbooks.
+def grid_workbooks(spark: SparkSession, sf_dir: str, corrupt_every: int | None = None, fonts: bool = False) -> DataFrame:
+    """(path, content) of the order workbooks, with ``fonts`` also in bold, italic and coloured fonts.
 
     The shuffle is keyed on (order, chunk) with an explicit partition count
     (at least the cluster's cores): the rows are small but encoding is CPU
@@ -109,4 +114,4 @@ def grid_workbooks(spark: SparkSession, sf_dir: str, corrupt_every: int | None =
     parts = (flat.repartition(explicit_partitions(flat), "sheet_id", "chunk")
                  .sortWithinPartitions("sheet_id", "chunk", "row_index")
                  .select("sheet_id", "chunk", *_FIELDS))
-    return parts.mapInArrow(_encoder(corrupt_every), "path string, content binary")
+    return parts.mapInArrow(_encoder(corrupt_every, fonts), "path string, content binary")

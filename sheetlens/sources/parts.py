@@ -86,20 +86,48 @@ def choose(names: list[str], sheets) -> list[int]:
     return [names.index(sheets)] if sheets in names else [0]
 
 
+def _skipped(held: bytes, at: int) -> int:
+    """End of the comment or CDATA section that starts at ``at``; 0 if it lies beyond what is held."""
+    end = b"-->" if held.startswith(b"<!--", at) else b"]]>"
+    k = held.find(end, at + 4)
+    return k + 3 if k >= 0 else 0
+
+
+def _element_end(held: bytes, end_tag: bytes, at: int) -> int:
+    """End of an element whose content starts at ``at``: its end tag is no text of a comment or CDATA section."""
+    while True:
+        k = held.find(end_tag, at)
+        c = min((x for x in (held.find(b"<!--", at), held.find(b"<![CDATA[", at)) if x >= 0), default=-1)
+        if k < 0 or c < 0 or k < c:
+            return held.find(b">", k) + 1 if k >= 0 else 0
+        at = _skipped(held, c)
+        if not at:
+            return 0
+
+
 def elements(stream: io.BufferedIOBase, names: tuple[str, ...], root: str) -> Iterator[bytes]:
-    """The elements ``names`` of a member, cut out of its bytes in order (prefixes removed); the member must go on
-    to its root's end."""
-    start = re.compile(rb"<(?:[A-Za-z_][\w.-]*:)?(" + "|".join(names).encode() + rb")(?=[\s/>])")
-    held, tail, prefix = b"", b"", None
+    """The elements ``names`` of a member, cut out of its bytes in order (prefixes removed).  The member must go on
+    to its root's end tag, or be one root that closes itself; what stands in comments and CDATA is no element."""
+    start = re.compile(rb"<!--|<!\[CDATA\[|<(?:[A-Za-z_][\w.-]*:)?(" + "|".join(names).encode() + rb")(?=[\s/>])")
+    held, head, tail, read = b"", b"", b"", 0
     while True:
         chunk = stream.read(_CHUNK)
         held += chunk
+        read += len(chunk)
+        head = head or chunk
         at = 0
         while True:
             m = start.search(held, at)
             if m is None:
                 at = max(at, len(held) - 64) if chunk else len(held)   # a tag may be cut by the chunk's end
                 break
+            if m[1] is None:
+                end = _skipped(held, m.start())
+                if not end:
+                    at = m.start()
+                    break
+                at = end
+                continue
             close = held.find(b">", m.end())
             if close < 0:
                 at = m.start()
@@ -107,10 +135,8 @@ def elements(stream: io.BufferedIOBase, names: tuple[str, ...], root: str) -> It
             if held[close - 1] == 47:                                  # <row .../>
                 end = close + 1
             else:
-                end_tag = b"</" + held[m.start() + 1:m.end()]
-                k = held.find(end_tag, close)
-                end = held.find(b">", k) + 1 if k >= 0 else 0
-                if end <= 0:
+                end = _element_end(held, b"</" + held[m.start() + 1:m.end()], close)
+                if not end:
                     at = m.start()
                     break
             piece = held[m.start():end]
@@ -122,32 +148,48 @@ def elements(stream: io.BufferedIOBase, names: tuple[str, ...], root: str) -> It
         if not chunk:
             break
     tail = (tail + held)[-256:]
-    if not re.search(rb"(</(?:[\w.-]+:)?" + root.encode() + rb"\s*>|/>)\s*$", tail):
+    after = rb"\s*(?:<!--(?:(?!-->).)*-->\s*)*"
+    name = rb"(?:[A-Za-z_][\w.-]*:)?" + root.encode()
+    if re.search(rb"</" + name + rb"\s*>" + after + rb"$", tail, re.S):
+        return
+    alone = rb"(?:\xef\xbb\xbf)?\s*(?:<\?[^>]*\?>\s*)?" + after + rb"<" + name + rb"(?:\s[^<>]*)?/>" + after
+    if read != len(head) or not re.fullmatch(alone, head, re.S):
         raise CutError(f"truncated part ({root})")
 
 
-def _pieces(content: bytes, sheets, styles: bool, cells: bool) -> Iterator[tuple]:
-    """(kind, sheet index, sheet name, position, xml) of one workbook."""
+def _open(source) -> zipfile.ZipFile:
     try:
-        zf = zipfile.ZipFile(io.BytesIO(content))
+        return zipfile.ZipFile(source)
     except zipfile.BadZipFile as e:
         raise CutError(f"not a workbook (bad zip): {e}") from None
+
+
+def _pieces(content: bytes, sheets, styles: bool, cells: bool) -> Iterator[tuple]:
+    """(kind, sheet index, sheet name, position, xml) of one workbook's bytes."""
+    with _open(io.BytesIO(content)) as zf:
+        yield from _book_pieces(zf, sheets, styles, cells)
+
+
+def _book_pieces(zf: zipfile.ZipFile, sheets, styles: bool, cells: bool, only: int | None = None) -> Iterator[tuple]:
+    """(kind, sheet index, sheet name, position, xml) of one workbook.  ``only``: of one of the chosen sheets, or -1
+    for all that belongs to none."""
     found = sheet_list(zf)
-    for k, (name, _) in enumerate(found):
-        yield "sheet", k, name, k, None
-    if not cells:
-        return
-    shared = "xl/sharedStrings.xml" in zf.namelist()
-    if shared:
-        with zf.open("xl/sharedStrings.xml") as f:
-            for i, xml in enumerate(elements(f, ("si",), "sst")):
-                yield "string", None, None, i, xml.decode()
-    if styles:
-        for kind, path, root in (("styles", "xl/styles.xml", "styleSheet"), ("theme", "xl/theme/theme1.xml", "theme")):
-            data = _member(zf, path)
-            if data is not None:
-                yield kind, None, None, 0, _whole(data, root)
-    for k in choose([n for n, _ in found], sheets):
+    if only is None or only < 0:
+        for k, (name, _) in enumerate(found):
+            yield "sheet", k, name, k, None
+        if not cells:
+            return
+        shared = "xl/sharedStrings.xml" in zf.namelist()
+        if shared:
+            with zf.open("xl/sharedStrings.xml") as f:
+                for i, xml in enumerate(elements(f, ("si",), "sst")):
+                    yield "string", None, None, i, xml.decode()
+        if styles:
+            for kind, path, root in (("styles", "xl/styles.xml", "styleSheet"), ("theme", "xl/theme/theme1.xml", "theme")):
+                data = _member(zf, path)
+                if data is not None:
+                    yield kind, None, None, 0, _whole(data, root)
+    for k in choose([n for n, _ in found], sheets) if only is None else [only] if only >= 0 else []:
         name, part = found[k]
         if part not in zf.namelist():
             raise CutError(f"missing sheet part {part}")
@@ -167,34 +209,44 @@ def _pieces(content: bytes, sheets, styles: bool, cells: bool) -> Iterator[tuple
                     merge += 1
 
 
+def part_batches(books: Iterator[tuple], sheets, styles: bool, cells: bool) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of :data:`PART_SCHEMA` of ``books``: (path, function that gives a file to read, only).  A book
+    that cannot be cut gives a row of kind 'error'."""
+    held: list[tuple] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+        held.clear()
+        return batch
+
+    for path, source, only in books:
+        try:
+            with _open(source()) as zf:
+                for kind, k, name, pos, xml in _book_pieces(zf, sheets, styles, cells, only):
+                    held.append((path, kind, k, name, pos, xml, None))
+                    size += len(xml or "")
+                    if len(held) >= 4096 or size > 4_000_000:
+                        yield out()
+                        size = 0
+        except Exception as e:  # noqa: BLE001 - any fault isolates this file
+            what = "DecodeError" if isinstance(e, CutError) else type(e).__name__
+            held.append((path, "error", None, None, None, None, f"{what}: {e}"))
+    if held:
+        yield out()
+
+
 def cut_workbooks(files: DataFrame, sheets="first", styles: bool = True, cells: bool = True) -> DataFrame:
     """(path, content) -> :data:`PART_SCHEMA`.  A file that cannot be cut gives a row of kind 'error' (pieces
     that came before the fault may be there as well).  ``cells=False``: only the sheet list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], f.type) for i, f in enumerate(_ARROW)],
-                                               schema=_ARROW)
-            held.clear()
-            return batch
-
-        for b in batches:
-            content = b.column("content")
-            for i, path in enumerate(b.column("path").to_pylist()):
-                try:
-                    for kind, k, name, pos, xml in _pieces(content[i].as_py() or b"", sheets, styles, cells):
-                        held.append((path, kind, k, name, pos, xml, None))
-                        size += len(xml or "")
-                        if len(held) >= 4096 or size > 4_000_000:
-                            yield out()
-                            size = 0
-                except Exception as e:  # noqa: BLE001 - any fault isolates this file
-                    what = "DecodeError" if isinstance(e, CutError) else type(e).__name__
-                    held.append((path, "error", None, None, None, None, f"{what}: {e}"))
-        if held:
-            yield out()
+        def books() -> Iterator[tuple]:
+            for b in batches:
+                content = b.column("content")
+                for i, path in enumerate(b.column("path").to_pylist()):
+                    yield path, lambda i=i: io.BytesIO(content[i].as_py() or b""), None
+
+        yield from part_batches(books(), sheets, styles, cells)
 
     return files.select("path", "content").mapInArrow(run, PART_SCHEMA)

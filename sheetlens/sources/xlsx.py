@@ -17,10 +17,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlens.functions.text import argb_to_rgb
+from sheetlens.functions.text import argb_to_rgb, tinted
 from sheetlens.model import ROWS_SCHEMA
 from sheetlens.scratch import written
 from sheetlens.sources.parts import cut_workbooks
+from sheetlens.sources.workbook_source import opens, read_parts
 
 XLSX_GLOB = "*.[xX][lL][sS][xX]"
 
@@ -41,7 +42,7 @@ THEME_SLOTS = ("lt1", "dk1", "lt2", "dk2", "accent1", "accent2", "accent3", "acc
 _TEXT = "struct<t:array<string>,r:array<struct<t:array<string>>>>"
 _ROW_XML = f"c array<struct<_r:string,_s:string,_t:string,v:string,is:{_TEXT}>>, bad string"
 _STRING_XML = "t array<string>, r array<struct<t:array<string>>>, bad string"
-_COLOR = "struct<_rgb:string,_indexed:string,_theme:string>"
+_COLOR = "struct<_rgb:string,_indexed:string,_theme:string,_tint:string>"
 _FLAG = "struct<_VALUE:string,_val:string>"
 _STYLES_XML = (f"fonts struct<font:array<struct<b:{_FLAG},i:{_FLAG},color:{_COLOR}>>>, "
                f"fills struct<fill:array<struct<patternFill:struct<fgColor:{_COLOR},bgColor:{_COLOR}>>>>, "
@@ -94,9 +95,10 @@ def _raw_rows(parts: DataFrame) -> DataFrame:
 
 
 def _color(c: Column, theme: Column | None) -> Column:
-    """ARGB of a colour element: explicit, indexed, or (with ``theme``) a theme colour; '' if none."""
+    """ARGB of a colour element: explicit, indexed, or (with ``theme``) a theme colour with its tint; '' if none."""
     palette = F.array(*[F.lit(x) for x in INDEXED_COLORS])
-    by_theme = F.get(theme, c["_theme"].try_cast("int")) if theme is not None else F.lit(None).cast("string")
+    by_theme = tinted(F.get(theme, c["_theme"].try_cast("int")), c["_tint"].try_cast("double")) if theme is not None \
+        else F.lit(None).cast("string")
     return F.coalesce(c["_rgb"], F.get(palette, c["_indexed"].try_cast("int")),
                       F.when(c["_indexed"].isNull(), by_theme), F.lit(""))
 
@@ -164,8 +166,8 @@ def _faults(parts: DataFrame, raw: DataFrame, styles: DataFrame | None) -> DataF
 class _Book:
     """The parts of workbooks, cut and parsed once."""
 
-    def __init__(self, files: DataFrame, sheets, styles: bool):
-        self.parts = written(cut_workbooks(files, sheets, styles), "parts")
+    def __init__(self, parts: DataFrame, styles: bool):
+        self.parts = written(parts, "parts")
         self.raw = written(_raw_rows(self.parts), "raw-rows")
         self.styles = written(_styles(self.parts), "styles") if styles else None
         self.faults = written(_faults(self.parts, self.raw, self.styles), "faults")
@@ -227,15 +229,23 @@ class _Book:
 def decode_workbooks(files: DataFrame, sheets="first", styles: bool = True) -> DataFrame:
     """(path, content) -> canonical ``rows``.  ``sheets``: 'first' (default),
     'all', a 0-based index, or a name (missing name -> first sheet).  A sheet without
-    cells gives no rows; a theme colour is taken without its tint."""
-    book = _Book(files, sheets, styles)
+    cells gives no rows."""
+    return decode_parts(cut_workbooks(files, sheets, styles), styles)
+
+
+def decode_parts(parts: DataFrame, styles: bool = True) -> DataFrame:
+    """Parts of workbooks (of ``spark.read.format("workbook_parts")``) -> canonical ``rows``."""
+    book = _Book(parts, styles)
     return book.rows().unionByName(book.error_rows())
 
 
 def manifest_from(files: DataFrame) -> DataFrame:
     """(path, content) -> (file, sheet_index, sheet_name, error): reads only
     the workbook part of each file."""
-    parts = cut_workbooks(files, cells=False)
+    return _manifest(cut_workbooks(files, cells=False))
+
+
+def _manifest(parts: DataFrame) -> DataFrame:
     return parts.where("kind in ('sheet', 'error')").select("file", "sheet_index", "sheet_name", "error")
 
 
@@ -247,10 +257,17 @@ def binary_files(spark: SparkSession, directory: str, glob: str = XLSX_GLOB) ->
 
 def read_workbooks(spark: SparkSession, directory: str, sheets="first", styles: bool = True,
                    glob: str = XLSX_GLOB) -> DataFrame:
+    """Canonical rows of the workbooks in a folder.  Tasks open the files themselves where they can (large files by
+    sheet); a folder that only Spark reads goes through ``binaryFile``."""
+    if glob == XLSX_GLOB and opens(directory):
+        return decode_parts(read_parts(spark, directory, sheets, styles), styles)
     return decode_workbooks(binary_files(spark, directory, glob), sheets, styles)
 
 
 def workbook_manifest(spark: SparkSession, directory: str, glob: str = XLSX_GLOB) -> DataFrame:
+    """(file, sheet_index, sheet_name, error) of the workbooks in a folder: their sheet lists only."""
+    if glob == XLSX_GLOB and opens(directory):
+        return _manifest(read_parts(spark, directory, cells=False))
     return manifest_from(binary_files(spark, directory, glob))
 
 
@@ -272,7 +289,7 @@ def _header(cells: Column) -> Column:
 
 def _tables(files: DataFrame, sheet) -> tuple[DataFrame, DataFrame]:
     """(rows, status) of the table read: status has (file, error, header) of every file."""
-    book = _Book(files, sheet, styles=False)
+    book = _Book(cut_workbooks(files, sheet, False), styles=False)
     rows = book.rows(merges=False)
     heads = rows.where("row_index = 0").select("file", _header(F.col("cells")).alias("header"))
     heads = heads.withColumn("twice", F.size(F.array_distinct("header")) < F.size("header"))

@@ -3,7 +3,7 @@ round-trip queries build workbooks from the given tables with it).
 
 A sheet is a list of rows; a row is a list of cells; a cell is either a
 value (str / int / float / bool / None) or a dict with ``v`` and optional
-``fill`` (ARGB), ``fill_theme`` (theme index), ``fill_indexed``, ``bg``
+``fill`` (ARGB), ``fill_theme`` (theme index, with ``fill_tint``), ``fill_indexed``, ``bg``
 (ARGB of the pattern background), ``font`` (ARGB), ``bold``, ``italic``,
 ``t`` ('s' shared, 'inline', 'rich', 'f' formula with cached value).
 """
@@ -41,7 +41,7 @@ class _Styles:
         fill_key = None
         if any(k in cell for k in ("fill", "fill_theme", "fill_indexed", "bg")):
             fg = (f'<fgColor rgb="{cell["fill"]}"/>' if "fill" in cell else
-                  f'<fgColor theme="{cell["fill_theme"]}"/>' if "fill_theme" in cell else
+                  f'<fgColor theme="{cell["fill_theme"]}" tint="{cell.get("fill_tint", 0)}"/>' if "fill_theme" in cell else
                   f'<fgColor indexed="{cell["fill_indexed"]}"/>' if "fill_indexed" in cell else "")
             bg = f'<bgColor rgb="{cell["bg"]}"/>' if "bg" in cell else ""
             fill_key = f'<fill><patternFill patternType="solid">{fg}{bg}</patternFill></fill>'
