@@ -43,6 +43,7 @@ PERCENT = 85
 GROWTH = 1.5           # largest size of a band over that of the one before
 UPGRADE = 64           # comparisons that a segment may cost before others get value 2 for it
 PASS = 50              # comparisons for each set that cost as much as a pass over all texts
+ORDERS = 32            # of a key's sets, by which its first one is chosen
 BLOCK = 2048           # members of a key, on either side, that a task compares at once
 FILTER_BITS = 1 << 25  # of the bitmap that filters rows before a join: 4 MB at any size of the input
 COLUMNS = ["n_shingles", "component_id"]  # what the operator adds
@@ -419,10 +420,16 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     members = keep(_with_keys(docs, shared, percent).join(nodes, ["hi", "lo"])
                        .select("key", "node", "n", "own").distinct(), "sets-members")
     marks = marked(members)
-    # every key's first set against its others; sets that share one key only are left to the values
-    first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p")).select("key", "p.node", "p.n").toDF("key", "a", "na")
+    # every key's first set against its others, by one of several orders, so that the sets of a large group meet
+    # several first ones; sets that share one key only are left to the values
+    order = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))
+    first = (members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n")).alias("p"))
+                    .select("key", "p.node", "p.n").toDF("key", "a", "na"))
     star = (members.join(first, "key").where(f"node <> a and 100 * least(n, na) >= {percent} * greatest(n, na)")
-                   .groupBy("a", "na", F.col("node").alias("b"), F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+                   .withColumn("turn", F.col("node") < F.col("a"))
+                   .select(F.least("a", "node").alias("a"), F.when(F.col("turn"), F.col("n")).otherwise(F.col("na")).alias("na"),
+                           F.greatest("a", "node").alias("b"), F.when(F.col("turn"), F.col("na")).otherwise(F.col("n")).alias("nb"))
+                   .groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
                    .withColumn("band", band(F.greatest("na", "nb")).cast("int")))
     star = keep(_possible(star, marks, percent), "sets-star")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
