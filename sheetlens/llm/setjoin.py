@@ -338,9 +338,10 @@ def _less_one(df: DataFrame, text: str, width: int, wanted: DataFrame, percent:
 
 # ---------------------------------------------------------------- comparison in blocks
 
-def _compared(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+def _compared(members: DataFrame, marks: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """The pairs (a, b) of a probing set and another of the same key, not in one component and not larger, that
-    the bitmaps do not rule out.  ``members``: (key, band, node, comp, n, probe)."""
+    the bitmaps do not rule out; ``nearest``: for a probing set only the one whose bitmap differs least.
+    ``members``: (key, band, node, comp, n, probe)."""
     fields = ["key", "bo", "bm", "probe", "node", "comp", "n", "bits"]
 
     def compare(x: list[tuple], y: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -350,12 +351,17 @@ def _compared(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
         out = []
         for i in range(len(x)):
             j = np.flatnonzero((yc != xc[i]) & (ys <= xs[i]) & (100 * ys >= percent * xs[i]))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             for k in range(0, len(j), max(1, 1_000_000 // yb.shape[1])):
                 c = j[k:k + max(1, 1_000_000 // yb.shape[1])]
                 bits = np.bitwise_count(yb[c] ^ xb[i]).sum(1, dtype=np.int64)
-                c = c[bits * (100 + percent) <= (ys[c] + xs[i]) * (100 - percent)]
-                if len(c):
-                    out.append((np.full(len(c), xn[i]), yn[c]))
+                fits = bits * (100 + percent) <= (ys[c] + xs[i]) * (100 - percent)
+                found.append((c[fits], bits[fits]))
+            c = np.concatenate([f[0] for f in found]) if found else j
+            if nearest and len(c):
+                c = c[[np.argmin(np.concatenate([f[1] for f in found]))]]
+            if len(c):
+                out.append((np.full(len(c), xn[i]), yn[c]))
         return out
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,10 +467,15 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     every = every.join(of, "key").withColumn("band", band(F.col("most")).cast("int")).drop("most")
     if upgraded:  # sets found by a deletion need share no key
         marks = marked(every)
-    pairs = keep(_compared(every, marks, percent), "sets-pairs")
-    if not pairs.isEmpty():
+    # a link to the nearest set of another component joins large groups; then all that is left between components
+    for nearest in (True, False):
+        pairs = keep(_compared(every, marks, percent, nearest), "sets-pairs")
+        if pairs.isEmpty():
+            break
         links = links.unionByName(keep(_verified(pairs, full(ends(pairs)), percent), "sets-links"))
         comp = keep(components(links), "sets-components")
+        if nearest:
+            every = keep(every.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "sets-buckets")
     of = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = of.groupBy("comp").agg(F.min("first").alias("component_id"))
     place = written(of.join(least, "comp").select("hi", "lo", "component_id"), "sets-places")
