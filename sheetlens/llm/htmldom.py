@@ -16,9 +16,12 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 DEPTH = 200           # levels of nesting that are told apart; the text of a deeper element is its ancestor's, if no noise
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select title head canvas audio video".split())
+RAW = frozenset("script style noscript template iframe object svg textarea select title head canvas audio video "
+                "annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr output meter progress".split())
+                   "small span strike strong sub sup time tt u var wbr output meter progress "
+                   "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle mpadded mphantom menclose mfenced msub msup "
+                   "msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 #: A start tag of the key closes an open element of the value, up to the nearest list or table.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
@@ -36,6 +39,7 @@ NOISE_WORDS = frozenset(
     "legal disclaimer tracking alert announcement".split())
 HEADER = frozenset(("header", "masthead"))
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 @lru_cache(None)
@@ -43,10 +47,18 @@ def _closing(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\s*>", re.I)
 
 
-def noise_names(names: str, inside_main: bool) -> bool:
-    """Whether class or id names mark what is no article text; a header inside the article is part of it."""
-    words = {p.lower() for p in _PART.findall(names)}
-    return not words.isdisjoint(NOISE_WORDS - HEADER if inside_main else NOISE_WORDS)
+def noise_names(names: list[str], tag: str, inside_main: bool) -> bool:
+    """Whether class names (``.name``) or ids (``#name``) mark what is no article text.  A header inside the article
+    is part of it, and so is a heading whatever its names; an id there, often made of a heading's words, counts only
+    if all its words are marks."""
+    if inside_main and tag in HEADINGS:
+        return False
+    marks = NOISE_WORDS - HEADER if inside_main else NOISE_WORDS
+    for name in names:
+        words = {p.lower() for p in _PART.findall(name)}
+        if words and (words <= marks if inside_main and name[0] == "#" else not words.isdisjoint(marks)):
+            return True
+    return False
 
 
 class Node:
@@ -74,7 +86,7 @@ def _node(tag: str, attrs: str, inside_main: bool) -> Node:
         tag = "main"
     noise = hidden or tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not inside_main)
     if names and not noise and tag not in ("html", "body", *MAIN):
-        noise = noise_names(" ".join(names), inside_main)
+        noise = noise_names(names, tag, inside_main)
     if names:
         label += "".join(sorted(set(names)))
     if tag == "main" and label[:4] != "main":

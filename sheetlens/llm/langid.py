@@ -53,7 +53,7 @@ def _table() -> np.ndarray:
             if ch.isalpha():
                 low = ch.lower()
                 t[c] = ord(low) if len(low) == 1 and ord(low) < 0x10000 else c
-        wide = np.arange(0x10000, 0x32000)
+        wide = np.arange(0x10000, 0x110000)
         letters = np.fromiter((chr(c).isalpha() for c in wide.tolist()), dtype=bool, count=len(wide))
         t[wide[letters]] = 0xE000 + wide[letters] % 6400
         _LUT.append(t)

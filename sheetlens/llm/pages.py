@@ -17,6 +17,7 @@ results again, until one wrapper a host is left.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetlens.llm.common import bytes_of, own_names, slices, written
-from sheetlens.llm.htmldom import MAIN, NOISE_TAGS, noise_names, outline, parse
+from sheetlens.llm.htmldom import HEADINGS, MAIN, NOISE_TAGS, noise_names, outline, parse
 
 GROUP = 400
-HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_NAME = re.compile(r"[.#][^.#]*")
 CONSTANT = 5          # pages on which a text must stand to be taken for template
 
 
@@ -146,8 +147,8 @@ def merge(wrapper: Tree, page: Tree) -> None:
 def _noisy(label: str, tag: str, in_main: bool) -> bool:
     if tag in NOISE_TAGS or (tag == "header" and not in_main):
         return True
-    names = label[len(tag):] if label.startswith(tag) else ""
-    return bool(names) and tag not in ("html", "body", *MAIN) and noise_names(names, in_main)
+    names = _NAME.findall(label[len(tag):]) if label.startswith(tag) else []
+    return tag not in ("html", "body", *MAIN) and noise_names(names, tag, in_main)
 
 
 def slots(root: Tree) -> tuple[Tree, bool]:

@@ -109,3 +109,7 @@ def test_calibration_on_whole_texts_of_every_language(spark):
     mid = np.median(own)
     _, limits = langid._calibration(train, "text", "lang", "doc_id", models, 10_000)
     np.testing.assert_allclose(limits[2], mid + 5 * max(1.4826 * np.median(np.abs(own - mid)), 0.05))
+
+
+def test_letters_of_every_plane():
+    assert len(langid.characters(chr(0x32001) + chr(0x20001))) == 4 and not len(langid.characters(chr(0x1F600)))

@@ -94,3 +94,14 @@ def test_template_inside_an_article_is_removed(spark):
     for i in range(14):
         k = min(i, 8)
         assert out[i] == f"News {k} Summary text {k} here body {k} always the same" + (" copied" if k == 8 else "")
+
+
+def test_names_made_of_words_of_the_article(spark):
+    page = ("<body><div id='site'><article><h1 class='social-title'>T {0}</h1><p>one {0}</p>"
+            "<section id='related-work'><h2 id='social-effects'>Effects {0}</h2><p>work {0}</p></section>"
+            "<p>sum <math><mi>x</mi><mo>+</mo><mn>{0}</mn><annotation>x+{0}</annotation></math> end</p>"
+            "<section id='related'><p>see {0}</p></section><div class='related-links'><p>also {0}</p></div></article></div>")
+    rows = [(i, f"http://m.example/{i}", page.format(i)) for i in range(7)] + [(9, "http://alone.example/", page.format(9))]
+    for r in pages.extract_main(spark.createDataFrame(rows, SCHEMA)).collect():
+        i = r.page_id
+        assert r.text == f"T {i} one {i} Effects {i} work {i} sum x+{i} end"
