@@ -11,7 +11,9 @@ import warnings
 from dataclasses import dataclass, field
 from typing import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -257,3 +259,64 @@ class PythonRule(Rule):
 
     def confidence(self) -> float:
         return self.conf
+
+
+class CellBatch:
+    """The cells of a batch of rows end to end: flat Arrow arrays ``contents``, ``backgrounds`` (strings),
+    ``starts`` and ``ends`` (columns of the cell's merge, null without one); the cells of row i are those from
+    ``offsets[i]`` up to ``offsets[i + 1]``."""
+
+    def __init__(self, contents: pa.Array, backgrounds: pa.Array, starts: pa.Array, ends: pa.Array):
+        sizes = contents.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        self.offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.contents, self.backgrounds, self.starts, self.ends = (
+            a.flatten() for a in (contents, backgrounds, starts, ends))
+
+    def count(self, flags: pa.Array | np.ndarray) -> np.ndarray:
+        """For each row how many of its cells are flagged; a null flag counts as none."""
+        if isinstance(flags, (pa.Array, pa.ChunkedArray)):
+            flags = flags.fill_null(False).to_numpy(zero_copy_only=False)
+        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+
+    def at(self, column: int, flags: pa.Array | np.ndarray) -> np.ndarray:
+        """For each row whether the cell in this place is there and flagged."""
+        place = self.offsets[:-1] + column
+        there = place < self.offsets[1:]
+        out = np.zeros(len(place), dtype=bool)
+        if isinstance(flags, (pa.Array, pa.ChunkedArray)):
+            flags = flags.fill_null(False).to_numpy(zero_copy_only=False)
+        out[there] = flags[place[there]]
+        return out
+
+
+@dataclass
+class ArrowRule(Rule):
+    """User rule over whole batches: ``fn(cells) -> booleans``, one for each row, gets a :class:`CellBatch` and
+    is called once a batch, so rows and cells are not looped over in Python.  For logic that the Column rules
+    cannot express."""
+
+    name: str
+    fn: Callable[[CellBatch], pa.Array | np.ndarray]
+    conf: float = 1.0
+
+    def to_column(self, ctx: RuleContext = DEFAULT_CONTEXT) -> Column:
+        from pyspark.sql.functions import arrow_udf
+
+        fn, name = self.fn, self.name
+
+        @arrow_udf("boolean")
+        def evaluate(contents: pa.Array, bgs: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+            out = fn(CellBatch(contents, bgs, starts, ends))
+            if len(out) != len(contents):
+                raise ValueError(f"rule {name!r} gave {len(out)} values for {len(contents)} rows")
+            return out if isinstance(out, pa.Array) else pa.array(out, pa.bool_())
+
+        cells = F.coalesce(ctx.cells_col(), F.array())
+        return _false_if_null(evaluate(
+            F.transform(cells, lambda c: c["content"]), F.transform(cells, lambda c: c["style"]["background_color"]),
+            F.transform(cells, lambda c: c["merge_info"]["start_col"]),
+            F.transform(cells, lambda c: c["merge_info"]["end_col"])))
+
+    def confidence(self) -> float:
+        return self.conf

@@ -938,6 +938,15 @@ def batch_csv_roundtrip(spark, sf_dir):
     return B.read_csv_lines(spark, out_dir)
 
 
+@register("batch_written_stats", f"SELECT count(*) AS total_files, count(*) FILTER (WHERE id % 97 <> 0) AS successful, "
+                                 f"count(*) FILTER (WHERE id % 97 = 0) AS failed, "
+                                 f"count(*) FILTER (WHERE id % 97 = 0) > 0 AS has_errors FROM ({_ORDER_FILES})")
+def batch_written_stats(spark, sf_dir):
+    """A run with CSV output, its counters observed on the write of the status."""
+    run = B.run_batch(spark, grid_workbooks(spark, sf_dir, corrupt_every=97), _scratch(spark, "csv"))
+    return run.stats().select("total_files", "successful", "failed", "has_errors")
+
+
 @register("batch_stream", f"SELECT count(*) AS total_files, count(*) FILTER (WHERE id % 97 <> 0) AS successful, "
                           f"count(*) FILTER (WHERE id % 97 = 0) AS failed FROM ({_ORDER_FILES})")
 def batch_stream(spark, sf_dir):
@@ -1043,7 +1052,7 @@ def xlsx_listing(spark, sf_dir):
                                             (F.col("length") > 0).alias("non_empty"))
 
 
-from sheetlens.operators.rules import ExprRule, PythonRule  # noqa: E402
+from sheetlens.operators.rules import ArrowRule, ExprRule, PythonRule  # noqa: E402
 
 _NUMERIC_SQL = with_grid("SELECT file, row_index FROM f WHERE regexp_matches(trim(c0), '^[0-9]+$') "
                          "AND regexp_matches(trim(c1), '^[0-9]+$') AND m_start IS NULL")
@@ -1069,6 +1078,19 @@ def python_rule_rows(spark, sf_dir):
     return _rule_rows(spark, sf_dir, PythonRule("numeric_pair", _numeric_pair))
 
 
+def _numeric_pairs(cells):
+    """The same rule on batches of rows."""
+    import pyarrow.compute as pc
+    digits = pc.utf8_is_digit(pc.utf8_trim_whitespace(cells.contents))
+    return cells.at(0, digits) & cells.at(1, digits) & (cells.count(cells.starts.is_valid()) == 0)
+
+
+@register("arrow_rule_rows", _NUMERIC_SQL)
+def arrow_rule_rows(spark, sf_dir):
+    """A user rule over flat arrays of cells, called once a batch."""
+    return _rule_rows(spark, sf_dir, ArrowRule("numeric_pair", _numeric_pairs))
+
+
 from sheetlens.functions.cells import column_span, row_span  # noqa: E402
 
 

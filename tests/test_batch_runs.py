@@ -43,6 +43,9 @@ def test_header_only_same_names_and_broken_files(spark):
     s = {r.file: r.error for r in run.status.collect()}
     assert s.pop("a/bad.xlsx") and set(s.values()) == {None} and len(s) == 3
     assert tuple(run.stats().first())[:4] == (4, 3, 1, True)
+    assert run.counts == {"total_files": 4, "failed": 1}
+    assert "parquet" not in run.stats()._jdf.queryExecution().toString().lower()   # not read again
+    assert tuple(B.read_tables(src).stats().first())[:4] == (4, 3, 1, True)
 
 
 def test_user_code_fails_one_file(spark):

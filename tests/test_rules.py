@@ -1,6 +1,7 @@
 """Truth tables of the leaf and composite rules (FIXTURES.md §A)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from rows import make_rows
 from sheetlens.operators.rules import (
@@ -90,3 +91,35 @@ def test_python_rule_in_profile(spark):
         RowTypeDefinition("Data", ColorRule("w", "FFFFFF"), 1))
     out = [r["row_type"] for r in C.classify(rows, p).orderBy("row_index").collect()]
     assert out == ["custom:Pair", "Data", "Data", "Unknown"]
+
+
+def test_arrow_rule_equals_python_rule(spark):
+    import numpy as np
+    import pyarrow.compute as pc
+    from sheetlens.operators import classify as C
+    from sheetlens.operators.profiles import Profile, RowTypeDefinition, custom
+    from sheetlens.operators.rules import And, ArrowRule, PythonRule
+
+    def by_row(contents, bgs, merges):
+        return sum(1 for c in contents if c.strip().isdigit()) >= 2 and merges[0] is None
+
+    def by_batch(cells):
+        digits = pc.utf8_is_digit(pc.utf8_trim_whitespace(cells.contents))
+        return (cells.count(digits) >= 2) & ~cells.at(0, cells.starts.is_valid())
+
+    rows = make_rows(spark, [[(0, "1"), (1, " 2 ")], [(0, "1"), (1, "x")], [(0, "3", None, (0, 1)), (1, "4")], [],
+                             [(0, "7")], [(0, "5", "FF0000"), (1, ""), (2, "6")]])
+    rules = [PythonRule("r", by_row), ArrowRule("a", by_batch), And("b", ArrowRule("a", by_batch), ColorRule("c", "FF0000"))]
+    got = rows.orderBy("row_index").select(*(r.to_column().alias(n) for r, n in zip(rules, "pab"))).collect()
+    assert [r.p for r in got] == [r.a for r in got] == [True, False, False, False, False, True]
+    assert [r.b for r in got] == [False] * 5 + [True]
+    assert rows.limit(0).select(rules[1].to_column()).count() == 0
+    nulls = rows.select(ArrowRule("n", lambda c: np.full(len(c.offsets) - 1, None)).to_column().alias("n"))
+    assert {r.n for r in nulls.collect()} == {False}
+    missing = rows.select(F.lit(None).cast(rows.schema["cells"].dataType).alias("cells"))
+    assert {r.m for r in missing.select(rules[1].to_column().alias("m")).collect()} == {False}
+    p = Profile("p").add(RowTypeDefinition(custom("Pair"), rules[1], 5)).add(RowTypeDefinition("Data", ColorRule("w", "FFFFFF"), 1))
+    assert [r.row_type for r in C.classify(rows, p).orderBy("row_index").collect()] == [
+        "custom:Pair", "Data", "Data", "Unknown", "Data", "custom:Pair"]
+    with pytest.raises(Exception, match="3 values"):
+        rows.select(ArrowRule("short", lambda c: [True] * 3).to_column()).collect()
