@@ -3,11 +3,22 @@
 The dialect has no look-around, back-references, atomic groups or possessive
 repetition, and its classes are Unicode.  A pattern outside it is invalid; a rule with
 an invalid pattern never matches.
+
+The dialect matches in linear time.  Java backtracks: on ``(a+)+b`` its time is exponential in
+the text, and ``(a|b)*`` can exhaust a task's stack.  Patterns that may do so
+(:func:`may_backtrack`) are matched by Arrow's automaton in batches (:func:`linear_pattern`);
+all others stay in the JVM, where the time is at most polynomial.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import warnings
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 #: Escapes of letters that mean the same in Java (with Unicode classes), and those written otherwise there.
 _SAME = frozenset("dDsSwWbBAzafntrxpP")
@@ -125,7 +136,8 @@ def to_java(pattern: str, case_sensitive: bool = True) -> str:
         out.append(c)
         quantified = False
         i += 1
-    return ("(?U)" if case_sensitive else "(?iU)") + "".join(out)
+    # d: a line ends at a line feed only, as in the dialect
+    return ("(?dU)" if case_sensitive else "(?diU)") + "".join(out)
 
 
 def compiles(java: str) -> bool:
@@ -149,3 +161,143 @@ def java_pattern(pattern: str, case_sensitive: bool = True) -> str | None:
     except InvalidPattern:
         return None
     return java if compiles(java) else None
+
+
+# ---------------------------------------------------------------- linear time
+
+#: One item of a Java pattern as :func:`to_java` writes it, outside classes.
+_ITEM = re.compile(r"""\\x\{[0-9A-Fa-f]+\} | \\x[0-9A-Fa-f]{2} | \\[pP]\{\^?[^}]*\} | \\[pP]. | \\. |
+                       \(\?<[^>]*> | \(\?[dimsxU-]*[:)] | \{[0-9]+(?:,[0-9]*)?\}\?? | [*+?]\?? | .""", re.X | re.S)
+_FLAGS = re.compile(r"\(\?([dimsxU-]*)([:)])")
+
+# The Unicode properties White_Space and (besides letters, marks, decimal digits and
+# connectors) Alphabetic and Join_Control, as members of a class.
+_SPACE = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WORD = (r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{24b6}-\x{24e9}\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}"
+         r"\x{1f170}-\x{1f189}\x{200c}\x{200d}")
+_CLASSES = {"d": r"\p{Nd}", "s": _SPACE, "w": _WORD}
+
+
+def _items(java: str) -> list[str]:
+    """The pattern's items; a class is one item."""
+    out, i = [], 0
+    while i < len(java):
+        if java[i] != "[":
+            item = _ITEM.match(java, i).group()
+        else:
+            k, depth = i, 0
+            while True:
+                depth += {"[": 1, "]": -1}.get(java[k], 0)
+                k += 2 if java[k] == "\\" else 1
+                if depth == 0 or k >= len(java):
+                    break
+            item = java[i:k]
+        out.append(item)
+        i += len(item)
+    return out
+
+
+def _times(item: str) -> tuple[int, float] | None:
+    """(least, greatest) of a repetition."""
+    if item[0] in "*+?":
+        return (int(item[0] == "+"), 1 if item[0] == "?" else float("inf"))
+    if item[0] == "{" and len(item) > 1:
+        low, comma, high = item.rstrip("?")[1:-1].partition(",")
+        return int(low), int(high) if high else float("inf") if comma else int(low)
+    return None
+
+
+def may_backtrack(java: str) -> bool:
+    """Whether a part that can match in more than one way (it holds a repetition of varying length or an
+    alternation) is itself repeated.  Only then can a backtracking matcher take exponential time; not every
+    such pattern does."""
+    open_groups, varied, last = [], False, False    # ``varied``: of the group so far, ``last``: of its last item
+    for item in _items(java):
+        times = _times(item)
+        if times is not None:
+            if last and times[1] > 1:
+                return True
+            last = last or times[0] != times[1]
+            varied = varied or last
+        elif item == ")":
+            last = varied
+            varied = (open_groups.pop() if open_groups else False) or last
+        elif item[0] == "(" and not item.endswith("?)") and not (item.startswith("(?") and item.endswith(")")):
+            open_groups.append(varied)
+            varied = last = False
+        else:
+            varied, last = varied or item == "|", False
+    return False
+
+
+def _property(item: str) -> str:
+    """A general category, the only kind of property that both engines spell alike."""
+    name = item[3:-1] if item[2] == "{" else item[2]
+    if not re.fullmatch(r"[A-Z][a-z]?", name):
+        raise InvalidPattern(f"property {name}")
+    return f"\\{item[1]}{{{name}}}"
+
+
+def _escaped(item: str, in_class: bool) -> str:
+    e = item[1]
+    if e in "pP":
+        return _property(item)
+    if e.lower() in _CLASSES:
+        if e == "D":
+            return r"\P{Nd}"
+        if in_class and e.isupper():
+            raise InvalidPattern("negated class in a class")
+        return _CLASSES[e] if in_class else f"[{'^' if e.isupper() else ''}{_CLASSES[e.lower()]}]"
+    if e in "bBZG":
+        raise InvalidPattern("the automaton's word borders are ASCII")
+    return item
+
+
+def _class(item: str) -> str:
+    body = item[1:-1]
+    if "&&" in body or re.search(r"(?<!\\)\[", body):
+        raise InvalidPattern("class in a class")
+    parts = re.findall(r"\\x\{[0-9A-Fa-f]+\}|\\[pP]\{\^?[^}]*\}|\\[pP].|\\.|.", body, re.S)
+    return "[" + "".join(_escaped(p, True) if p[0] == "\\" else p for p in parts) + "]"
+
+
+def linear_pattern(java: str) -> str | None:
+    """The same pattern for Arrow's automaton, which never backtracks; None if it cannot be said there (word
+    borders, classes in classes, properties other than general categories, free spacing, over 1,000 repetitions)."""
+    out = []
+    try:
+        for item in _items(java):
+            flags = _FLAGS.fullmatch(item)
+            if flags:
+                on = flags[1].replace("U", "").replace("d", "")
+                if "x" in on:
+                    raise InvalidPattern("free spacing")
+                out.append(f"(?{on}{flags[2]}" if on.strip("-") or flags[2] == ":" else "")
+            elif item.startswith("(?<"):
+                out.append("(")
+            elif item[0] == "[":
+                out.append(_class(item))
+            else:
+                out.append(_escaped(item, False) if item[0] == "\\" else item)
+        found = "".join(out)
+        pc.match_substring_regex(pa.array([""]), found)
+        return found
+    except (InvalidPattern, pa.ArrowInvalid):
+        return None
+
+
+def matches(text: Column, java: str) -> Column:
+    """Whether the pattern is found in ``text`` (null: null): by the JVM, or by the automaton in Arrow batches where
+    the JVM might take exponential time."""
+    if not may_backtrack(java):
+        return text.rlike(java)
+    linear = linear_pattern(java)
+    if linear is None:
+        warnings.warn(f"{java!r} may take exponential time and has no linear form")
+        return text.rlike(java)
+
+    @F.arrow_udf("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, linear)
+
+    return found(text)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sheetlens.functions.cells import cell_at, cells_col, column_span, first_non_empty
 from sheetlens.functions.text import utrim
 from sheetlens.model import WHITE
-from sheetlens.operators.patterns import java_pattern
+from sheetlens.operators.patterns import java_pattern, matches
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,8 @@ class Regex:
 class TextRule(Rule):
     """Text of column ``column_index``, trimmed, against an Exact / Contains /
     Regex pattern.  The pattern itself is not trimmed.  Case-insensitive mode
-    lower-cases both sides (regex: ``(?i)``)."""
+    lower-cases both sides (regex: ``(?i)``).  A regex takes no exponential time
+    (:func:`sheetlens.operators.patterns.matches`)."""
 
     name: str
     column_index: int
@@ -126,7 +127,7 @@ class TextRule(Rule):
             if java is None:
                 warnings.warn(f"invalid regex {p.pattern!r} in rule {self.name!r}: never matches")
                 return F.lit(False)
-            return _false_if_null(content.rlike(java))
+            return _false_if_null(matches(content, java))
         target = F.lit(p.text)
         if not self.case_sensitive:
             content, target = F.lower(content), F.lower(target)

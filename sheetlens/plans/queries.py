@@ -20,6 +20,7 @@ from sheetlens.operators.profiles import auxiliary_material, cargo_analysis
 from sheetlens.operators.rules import (
     And, ColorRule, Contains, Exact, MergeRule, MergedAcross, MergedMinColumns, NotMerged, Or, Regex, TextRule,
 )
+from sheetlens.operators.rule_tables import classify_by_table, rule_table
 from sheetlens.plans.grid import flat_grid, flat_to_rows, sheet_file, table_as_rows
 from sheetlens.plans.oracle import utrim as sql_utrim
 from sheetlens.plans.oracle import with_classified, with_grid, with_workbooks
@@ -84,6 +85,23 @@ def aux_profile_counts(spark, sf_dir):
     return C.type_counts(C.classify(grid(spark, sf_dir), auxiliary_material()))
 
 
+_MIXED = {1: "cargo_analysis", 2: "auxiliary_material"}     # by order number modulo 3; the others have no profile
+
+
+@register("mixed_profiles", with_classified(
+    "SELECT file, row_index, CASE sheet_id % 3 WHEN 1 THEN row_type WHEN 2 THEN CASE WHEN p7 THEN 'Data' ELSE 'Unknown' END "
+    "ELSE 'Unknown' END AS row_type, CASE sheet_id % 3 WHEN 1 THEN matched_rule WHEN 2 THEN CASE WHEN p7 THEN 'default_rule' "
+    "ELSE 'none' END ELSE 'none' END AS matched_rule, CASE sheet_id % 3 WHEN 1 THEN confidence WHEN 2 THEN "
+    "CASE WHEN p7 THEN 1.0 ELSE 0.0 END ELSE 0.0 END AS confidence FROM c"))
+def mixed_profiles(spark, sf_dir):
+    """Files of two profiles and of none in one job, the profiles' rules joined from a table."""
+    rules = rule_table(spark, {p.name: p for p in (cargo_analysis(), auxiliary_material())})
+    order = F.regexp_extract("file", r"\d+", 0).cast("long") % 3
+    name = F.when(order == 1, F.lit(_MIXED[1])).when(order == 2, F.lit(_MIXED[2]))
+    return classify_by_table(grid(spark, sf_dir).withColumn("profile", name), rules).select(
+        "file", "row_index", "row_type", "matched_rule", F.round(F.col("confidence").cast("double"), 6).alias("confidence"))
+
+
 @register("rule_conflicts", with_classified(
     "SELECT file, row_index, 6 AS priority, 'unit_total_rule' AS rule1, 'UnitTotal' AS type1, "
     "'subtotal_rule' AS rule2, 'SubTotal' AS type2 FROM c WHERE p4 AND p5"))
@@ -267,6 +285,19 @@ def regex_patterns(spark, sf_dir):
     return rows.select(F.col("row_index").alias("page_id"), *cols)
 
 
+# Patterns on which a backtracking matcher takes exponential time or overflows its stack on long texts.
+_AMBIGUOUS = ["(a+)+b", "^([a-zA-Z0-9]+ ?)+$", "^([a-z]|[a-y]|[ ,])*[.]$", "(([a-z]+)*[,;]? ?)+[A-Z][a-z]+", "^(([^q]?){20}){9}q"]
+
+
+@register("regex_linear", "SELECT doc_id, " + ", ".join(
+    f"coalesce(regexp_matches({sql_utrim('text')}, '{p}'), false) AS m{i}" for i, p in enumerate(_AMBIGUOUS)) + " FROM documents")
+def regex_linear(spark, sf_dir):
+    """Regex rules with ambiguous repetitions on whole documents."""
+    rows = table_as_rows(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", ["text"])
+    return rows.select(F.col("row_index").alias("doc_id"), *[
+        TextRule(f"m{i}", 0, Regex(p)).to_column().alias(f"m{i}") for i, p in enumerate(_AMBIGUOUS)])
+
+
 @register("regex_invalid_is_false", "SELECT p_partkey, p_name, false AS matched FROM part")
 def regex_invalid_is_false(spark, sf_dir):
     rows = table_as_rows(table(spark, sf_dir, "part", "p_partkey", "p_name"), "p_partkey", ["p_name"])
