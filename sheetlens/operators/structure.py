@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetlens.functions.cells import contents
+from sheetlens.functions.cells import contents, held
 from sheetlens.functions.text import display_hex
 from sheetlens.model import SHEET_KEY
 
@@ -25,28 +25,38 @@ def sheet_dump(rows: DataFrame) -> DataFrame:
         *KEY, (F.col("row_index") + 1).alias("row_number"), contents("cells").alias("values"))
 
 
+def _cell_argb(cell) -> "F.Column":
+    """Theme-resolved fill colour of a cell as stored: foreground, else background, empty skipped."""
+    fg, bg = cell["fill"]["fg_resolved"], cell["fill"]["bg_resolved"]
+    return F.coalesce(F.nullif(fg, F.lit("")), F.nullif(bg, F.lit("")))
+
+
 def cell_hex(cell) -> "F.Column":
     """Theme-resolved fill colour of a cell: foreground, else background,
     empty skipped; as display hex (NULL when the cell has no colour)."""
-    fg, bg = cell["fill"]["fg_resolved"], cell["fill"]["bg_resolved"]
-    argb = F.coalesce(F.nullif(fg, F.lit("")), F.nullif(bg, F.lit("")))
+    argb = _cell_argb(cell)
     return F.when(argb.isNotNull(), display_hex(argb))
 
 
 def _row_colour_counts(rows: DataFrame) -> DataFrame:
     """Per row: (hex, n) for every colour in the row, counted inside the row's
-    own cell array (no shuffle)."""
-    hexes = F.filter(F.transform("cells", cell_hex), lambda h: h.isNotNull())
-    counted = F.transform(F.array_distinct(hexes), lambda h: F.struct(
-        h.alias("hex"), F.size(F.filter(hexes, lambda x: x == h)).cast("bigint").alias("n")))
+    own cell array (no shuffle).  The row's colours are bound to a lambda variable,
+    so they are worked out once a row and not once for each colour."""
+    hexes = F.array_compact(F.transform("cells", cell_hex))
+    counted = F.get(F.transform(F.array(hexes), lambda own: F.transform(F.array_distinct(own), lambda h: F.struct(
+        h.alias("hex"), F.size(F.filter(own, lambda x: x == h)).cast("bigint").alias("n")))), 0)
     extra = ["width"] if "width" in rows.columns else []
-    return rows.where(F.col("error").isNull()).select(*KEY, "row_index", *extra, counted.alias("colours"))
+    rows = held(rows.where(F.col("error").isNull()).select(*KEY, "row_index", *extra, "cells"))
+    return held(rows.select(*KEY, "row_index", *extra, counted.alias("colours")), "colours")
 
 
 def color_histogram(rows: DataFrame) -> DataFrame:
-    """(file, sheet_index, hex, cells): coloured cells per colour."""
-    per_row = _row_colour_counts(rows).select(*KEY, F.inline("colours"))
-    return per_row.groupBy(*KEY, "hex").agg(F.sum("n").alias("cells"))
+    """(file, sheet_index, hex, cells): coloured cells per colour.  Cells are counted by the
+    colour as stored, combined before the shuffle; the hex is made of the counted ones."""
+    cells = held(rows.where(F.col("error").isNull()).select(*KEY, "cells")).select(*KEY, F.explode("cells").alias("cell"))
+    argb = cells.select(*KEY, _cell_argb(F.col("cell")).alias("argb"))
+    stored = argb.where(F.col("argb").isNotNull()).groupBy(*KEY, "argb").agg(F.count(F.lit(1)).alias("n"))
+    return stored.groupBy(*KEY, display_hex("argb").alias("hex")).agg(F.sum("n").alias("cells"))
 
 
 def top_colors(rows: DataFrame, k: int = 8) -> DataFrame:
@@ -105,7 +115,8 @@ def analyze_structure(rows: DataFrame, sheet: str | int | None = None, colors: b
     """The structure job: pick a sheet per file (by name, else the first),
     then size, dump and (optionally) colour tables."""
     from sheetlens.sources.manifest import pick_sheet
-    picked = pick_sheet(rows, sheet)
+    from sheetlens.scratch import written
+    picked = written(pick_sheet(rows, sheet), "picked")     # every output reads the rows, none makes them again
     out = {"size": sheet_size(picked), "dump": sheet_dump(picked)}
     if colors:
         out.update(colors=top_colors(picked), dominant=dominant_rows(picked, out["size"]),
