@@ -21,7 +21,7 @@ def held(rows: DataFrame, *columns: str) -> DataFrame:
     a generator over an array of one."""
     if len(columns) < 2:
         name = columns[0] if columns else "cells"
-        return rows.withColumn(name, F.explode(F.array(name)))
+        return rows.withColumn(name, F.explode(F.array(F.col(f"`{name}`"))))
     rest = [c for c in rows.columns if c not in columns]
     return rows.select(*rest, F.inline(F.array(F.struct(*columns))))
 

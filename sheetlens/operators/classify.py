@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlens.functions.cells import first_non_empty
+from sheetlens.functions.cells import first_non_empty, held
 from sheetlens.model import NO_RULE, SHEET_KEY, UNKNOWN
 from sheetlens.operators.profiles import Profile
 from sheetlens.operators.rules import RuleContext
@@ -79,12 +79,12 @@ def conflicts(rows: DataFrame, profile: Profile, cells: str = "cells") -> DataFr
 def explain_rows(rows: DataFrame, profile: Profile, cells: str = "cells") -> DataFrame:
     """Debug trace: each definition evaluated for a row, in order, up to and
     including the first match (all of them when nothing matches)."""
-    df, ctx, defs = _prepare(rows, profile, cells)
+    df, ctx, defs = _prepare(held(rows, cells), profile, cells)
     ev = _evaluations(df, ctx, defs)
     keep = [c for c in rows.columns if c != cells]
-    df = df.withColumn("_ev", ev)
+    df = held(df.withColumn("_ev", ev), "_ev")       # read three times below
     first = F.array_min(F.transform(F.filter("_ev", lambda e: e["matched"]), lambda e: e["idx"]))
-    df = df.withColumn("_win", F.coalesce(first, F.lit(len(defs))))
+    df = held(df.withColumn("_win", F.coalesce(first, F.lit(len(defs)))), "_win")
     trace = F.filter("_ev", lambda e: e["idx"] <= F.col("_win"))
     return df.select(*keep, F.inline(F.transform(trace, lambda e: F.struct(
         (e["idx"] + 1).alias("step"), e["row_type"].alias("row_type"), e["rule"].alias("rule"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetlens.functions.cells import column_span, first_non_empty
+from sheetlens.functions.cells import column_span, first_non_empty, held
 from sheetlens.functions.text import utrim
 from sheetlens.model import NO_RULE, UNKNOWN, WHITE
 from sheetlens.operators.numbering import explicit_partitions
@@ -134,7 +134,8 @@ def classify_by_table(rows: DataFrame, rules: DataFrame, profile: str = "profile
         salted = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         dealt = rows.withColumn("_turn", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
         joined = dealt.join(salted.hint("shuffle_hash"), (key == F.col("_profile")) & (F.col("_turn") == F.col("_salt")), "left").drop("_salt", "_turn")
-    joined = joined.withColumn("_first", first_non_empty(cells))
+    # every rule reads the cells and the first of them, inside a lambda
+    joined = held(held(joined, cells).withColumn("_first", first_non_empty(F.col(f"`{cells}`"))), "_first")
     won = F.aggregate(  # the first definition that holds; later ones are not evaluated
         "_rules", F.lit(None).cast("struct<row_type:string,rule:string,confidence:float>"),
         lambda got, r: F.when(got.isNotNull(), got).when(

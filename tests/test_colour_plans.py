@@ -40,3 +40,12 @@ def test_pick_sheet_keeps_the_chosen_sheets_only(spark):
     got = lambda s: sorted((r.file, r.sheet_index) for r in pick_sheet(rows, s).collect())
     assert got(None) == [("a", 0), ("b", 2), ("b", 2)]
     assert got("y") == [("a", 1), ("b", 2), ("b", 2)]
+
+
+def test_explained_rules_are_evaluated_once(spark, tmp_path):
+    from sheetlens.operators.classify import explain_rows
+    from sheetlens.operators.profiles import cargo_analysis
+    from sheetlens.plans.grid import grid_rows
+
+    plan = _optimized(explain_rows(grid_rows(spark, _lineitem(spark, tmp_path / "t")), cargo_analysis()))
+    assert plan.count("subtotal_rule") == 1 and "explode(array(_ev" in plan
