@@ -4,6 +4,7 @@ import os
 import tempfile
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,33 @@ def test_shared_folder_is_asked_for_on_a_cluster():
             ensure_checkpoint_dir(_Fake(master))
         assert ensure_checkpoint_dir(_Fake(master, "hdfs:///shared")) == "hdfs:///shared"
     assert os.path.isdir(ensure_checkpoint_dir(_Fake("local[4]")))
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_per_file_apply_takes_many_files_a_batch(spark, batch):
+    """A file may go on over several batches; nulls of one file do not change the types of another."""
+    def cells_of(pdf):
+        """What user code sees of its file: rows, types and null places."""
+        if pdf["file"].iloc[0] == "bad":
+            raise ValueError("refused")
+        return pdf[["file"]].iloc[:1].assign(rows=",".join(str(v) for v in pdf["row_index"]), n=len(pdf), kinds=f"{pdf['k'].dtype} {pdf['ok'].dtype}",
+                                             nulls=f"{pdf['k'].isna().sum()} {sum(v is None for v in pdf['ok'])}")
+
+    big = (1 << 53) + 1
+    rows = [(f"f{i}", j, big + j, True) for i in range(20) for j in range(7)]
+    rows += [("nulls", j, None if j == 1 else j, None if j == 2 else False) for j in range(4)]
+    rows += [(None, 0, 1, True), (None, 1, 2, True), ("bad", 0, 1, True)]
+    df = spark.createDataFrame(rows, "file string, row_index bigint, k bigint, ok boolean").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = B.per_file_apply(df, cells_of, "file string, rows string, n bigint, kinds string, nulls string, error string")
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # a group a file costs a batch each
+        got = {r.file: tuple(r)[1:] for r in out.collect()}
+        dates = B.per_file_apply(df, lambda p: p[["file"]].iloc[:1].assign(d=pd.Timestamp("2020-01-02")), "file string, d date, error string")
+        assert {(str(r.d), r.error) for r in dates.collect()} == {("2020-01-02", None)} and dates.count() == 23
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plain = ("0,1,2,3,4,5,6", 7, "int64 bool", "0 0", None)
+    assert got == {**{f"f{i}": plain for i in range(20)}, "nulls": ("0,1,2,3", 4, "float64 object", "1 1", None),
+                   None: ("0,1", 2, "int64 bool", "0 0", None), "bad": (None, None, None, None, "ValueError: refused")}
