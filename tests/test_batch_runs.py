@@ -12,6 +12,7 @@ from sheetlens.model import LEDGER_SCHEMA
 from sheetlens.operators import batch as B
 from sheetlens.operators import ledger as L
 from sheetlens.operators.patterns import java_pattern
+from sheetlens.sources import xlsx as XL
 from sheetlens.sources.manifest import validate_input
 from sheetlens.sources.xlsx_writer import workbook_bytes
 
@@ -211,3 +212,18 @@ def test_per_file_apply_takes_many_files_a_batch(spark, batch):
     plain = ("0,1,2,3,4,5,6", 7, "int64 bool", "0 0", None)
     assert got == {**{f"f{i}": plain for i in range(20)}, "nulls": ("0,1,2,3", 4, "float64 object", "1 1", None),
                    None: ("0,1", 2, "int64 bool", "0 0", None), "bad": (None, None, None, None, "ValueError: refused")}
+
+
+def test_run_is_cut_once(spark, monkeypatch):
+    """The status and the tables of a run read the same parts, and numbering its rows decodes nothing first."""
+    calls = []
+    monkeypatch.setattr(XL, "cut_workbooks", lambda *a, _cut=XL.cut_workbooks: calls.append(a) or _cut(*a))
+    book = workbook_bytes([("S", [["a", "b"], [1, 2], [3, 4]], [])])
+    files = spark.createDataFrame([("x.xlsx", book), ("y.xlsx", book[:50])], "path string, content binary")
+    run = B.read_tables(files)
+    assert len(calls) == 1
+    numbered = []
+    monkeypatch.setattr(type(run.tables), "count", lambda self: numbered.append(self) or 0)
+    out = B.number_rows_per_file(run.tables)
+    assert not numbered and sorted(tuple(r["values"]) for r in out.collect()) == [("1", "1", "2"), ("2", "3", "4")]
+    assert {r.file: r.error is None for r in run.status.collect()} == {"x.xlsx": True, "y.xlsx": False} and len(calls) == 1
