@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheetlens.operators.merges import _dyadic, assign_merges
@@ -25,13 +26,14 @@ def test_dyadic_intervals(spark):
         assert at == max(r.b + 1, r.a)
 
 
-def test_equals_nested_loop(spark):
+@pytest.mark.parametrize("few", [64, 15, 0])  # 20 ranges a sheet or so: one array, some of each, dyadic boxes
+def test_equals_nested_loop(spark, few):
     rnd = random.Random(2)
     merges = [("f" + str(rnd.randint(0, 2)), 0, k, a, a + rnd.choice([0, 0, 1, 5, 40]), c, c + rnd.choice([0, 1, 7]))
               for k in range(60) for a, c in [(rnd.randint(0, 50), rnd.randint(0, 12))]]
     merges += [("f0", 0, 99, 0, 1_048_575, 3, 3), ("f1", 0, 98, 30, 20, 0, 5)]
     cells = [(f"f{f}", 0, r, c) for f in range(4) for r in range(0, 100, 3) for c in range(14)] + [("f0", 0, None, 1), ("f0", 0, 0, 3), (None, 0, 1, 1)]
-    out = assign_merges(spark.createDataFrame(cells, CELLS), spark.createDataFrame(merges, MERGES)).collect()
+    out = assign_merges(spark.createDataFrame(cells, CELLS), spark.createDataFrame(merges, MERGES), few=few).collect()
     assert len(out) == len(cells)
     for r in out:
         own = [m for m in merges if m[0] == r.file and r.row_index is not None and m[3] <= r.row_index <= m[4] and m[5] <= r.column_index <= m[6]]
@@ -58,3 +60,14 @@ def test_full_height_ranges(spark):
 def test_empty(spark):
     cells, merges = spark.createDataFrame([("f", 0, 1, 1)], CELLS), spark.createDataFrame([], MERGES)
     assert assign_merges(cells, merges).first().merge is None and assign_merges(cells.limit(0), merges).count() == 0
+
+
+def test_few_ranges_shuffle_cells_once(spark):
+    """Cells of sheets with few ranges are not looked up box by box: no row for a cell beside its own."""
+    merges = spark.range(300).selectExpr("concat('f', id % 100) file", "0 sheet_index", "int(id div 100) ordinal", "0 start_row",
+                                         "int(id % 7) end_row", "0 start_col", "1 end_col")
+    cells = spark.range(5000).selectExpr("concat('f', id % 120) file", "0 sheet_index", "id % 9 row_index", "int(id % 2) column_index")
+    out = assign_merges(cells, merges)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Generate" not in plan
+    assert out.count() == 5000 and 0 < out.where("merge is not null").count() < 5000
