@@ -112,3 +112,26 @@ def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "x" * 900, 5, "r", 7)], "doc_id long, text string, n_bytes int, _rid string, anchor int")
     r = suffix.remove_repeats(df).first()
     assert (r.n_bytes, r.n_removed, r._rid, r.anchor, r.kept) == (900, 900, "r", 7, b"")
+
+
+def test_like_segments_are_packed(spark):
+    """Segments of one content cross the shuffle as one row for each ``PACK`` of a task."""
+    rows = [(1, 2, r, r) for r in range(200)] + [(1, 3, r, r) for r in range(5)] + [(-4, 2, 7, 7)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "anchor long, seg long, rid long, at long").coalesce(1)
+    out = suffix._packed(df).collect()
+    assert sorted(((r.anchor, r.seg, len(r.rids)) for r in out)) == [(-4, 2, 1), (1, 2, 8), (1, 2, 64), (1, 2, 64), (1, 2, 64), (1, 3, 5)]
+    assert sorted((r.anchor, r.seg, x, y) for r in out for x, y in zip(r.rids, r.ats)) == sorted(rows)
+    assert suffix._packed(df.limit(0)).count() == 0
+
+
+def test_passage_of_very_many_texts(spark):
+    """A passage that nearly all texts hold goes from each of them."""
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = text(150)
+    rows = [(i, text(rnd.randint(0, 60)) + (passage if i % 10 else "") + text(rnd.randint(0, 60))) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    plan = suffix.repeated_windows(df, "doc_id", "text", 30, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rids" in plan  # the lookup gets packed rows
+    assert got(suffix.remove_repeats(df, length=30, gram=8)) == brute(rows, 30)
