@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlens.llm.common import slices, with_arrays, written
+from sheetlens.llm.common import own_names, slices, with_arrays, written
 
 LABELLED = 40_000
 TRAINED = 10_000
@@ -349,12 +349,14 @@ def classify(df: DataFrame, labels: DataFrame | None = None, text: str = "text",
             rows = []
             for t in texts:
                 words = _words(t or "")
-                rows.append(signals(words, Counter(words), flags)[:2])
-            return [r[0] for r in rows], [r[1] for r in rows]
+                rows.append(signals(words, Counter(words), flags))
+            return [list(c) for c in zip(*rows)]
         return vote
 
-    rows = base.select(F.xxhash64(doc_id, text).alias("rid"), F.col(text).alias("_t"))
-    votes = written(with_arrays(rows, ["_t"], voters, "junk int, abuse int").drop("_t"), "votes")
+    # a row's key: its id's and text's hash, and a second one of the text alone, which decides all that follows
+    key = [F.xxhash64(doc_id, text).alias("rid"), F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))).alias("tid")]
+    rows = base.select(*key, F.col(text).alias("_t"))
+    votes = written(with_arrays(rows, ["_t"], voters, "junk int, abuse int, shares array<double>").drop("_t"), "votes")
     tables = []
     for col, n in (("junk", len(JUNK)), ("abuse", len(ABUSE))):
         counts = {r[col]: r["n"] for r in votes.groupBy(col).agg(F.count(F.lit(1)).alias("n")).collect()}  # <= 2**n rows
@@ -370,27 +372,37 @@ def classify(df: DataFrame, labels: DataFrame | None = None, text: str = "text",
     w = _train(sample, listed)
 
     def scorers():
-        flags, slots_of = _Flags(listed), _Slots(w[:, :SLOTS].any(0))
+        slots_of = _Slots(w[:, :SLOTS].any(0))
         wj, wa = w[0], w[1]
 
-        def decide(texts):
-            out = [[] for _ in range(6)]
+        def add(texts):
+            out = [[], []]
             for t in texts:
-                words = _words(t or "")
-                counts = Counter(words)
-                j, a, shares = signals(words, counts, flags)
-                ids = slots_of.of(counts)
+                ids = slots_of.of(Counter(_words(t or "")))
                 at = np.fromiter(ids, dtype=np.int64, count=len(ids))
-                mark = _marks(j, a, shares)
                 scale = _scale(len(ids))
-                z = np.clip((wj[at].sum() * scale + wj[mark].sum() + wj[SLOTS],
-                             wa[at].sum() * scale + wa[mark].sum() + wa[SLOTS]), -30, 30)
-                p = 1 / (1 + np.exp(-z))
-                for c, v in zip(out, (j, a, junk_of.get(j, 0.0), abuse_of.get(a, 0.0), float(p[0]), float(p[1]))):
-                    c.append(v)
+                for c, v in zip(out, (wj, wa)):
+                    c.append(float(v[at].sum() * scale))
             return out
-        return decide
-
-    out = with_arrays(base, [text], scorers,
-                      "junk_votes int, abuse_votes int, junk_weak double, abuse_weak double, junk double, abuse double")
+        return add
+
+    @F.pandas_udf("junk_weak double, abuse_weak double, junk double, abuse double")
+    def decided(j, a, shares, words_j, words_a):
+        import pandas as pd
+        out = []
+        for x, y, s, zj, za in zip(j.tolist(), a.tolist(), shares, words_j, words_a):
+            mark = _marks(x, y, s)
+            z = np.clip((zj + w[0][mark].sum() + w[0][SLOTS], za + w[1][mark].sum() + w[1][SLOTS]), -30, 30)
+            out.append((junk_of.get(x, 0.0), abuse_of.get(y, 0.0), *(1 / (1 + np.exp(-z))).tolist()))
+        return pd.DataFrame(out, columns=["junk_weak", "abuse_weak", "junk", "abuse"])
+
+    # the votes are not taken again: a text's word weights meet them by the key, without the text
+    words = with_arrays(rows, ["_t"], scorers, "words_j double, words_a double").drop("_t").dropDuplicates(["rid", "tid"])
+    known = words.join(votes.dropDuplicates(["rid", "tid"]), ["rid", "tid"]).withColumn(
+        "d", decided("junk", "abuse", "shares", "words_j", "words_a"))
+    n = own_names(base, ["_rid", "_tid"])
+    known = known.select(F.col("rid").alias(n["_rid"]), F.col("tid").alias(n["_tid"]), F.col("junk").alias("junk_votes"),
+                         F.col("abuse").alias("abuse_votes"), "d.junk_weak", "d.abuse_weak", "d.junk", "d.abuse")
+    out = base.select("*", key[0].alias(n["_rid"]), key[1].alias(n["_tid"])).join(known, list(n.values()), "left").select(
+        *[F.col(f"`{c}`") for c in base.columns], *COLUMNS[:6])
     return (out.withColumn("score", 1 - F.greatest("junk", "abuse")).withColumn("kept", F.col("score") >= 0.5))

@@ -112,3 +112,27 @@ def test_few_words_at_every_length():
     few = 1 << quality.JUNK.index("few_words")
     for words, wanted in ((paragraph * 90, True), (paragraph * 110, True), (paragraph * 3000, True), (long_prose, False)):
         assert bool(quality.signals(words, Counter(words), quality._Flags(frozenset()))[0] & few) == wanted
+
+
+def test_votes_are_taken_once(spark, tmp_path):
+    """Every text is looked at for faults once (and again only if it trains), and rows alike or without id get the same."""
+    seen, rnd = str(tmp_path), random.Random(4)
+    rows = [(k, " ".join(rnd.choice(["river", "Stone,", "cloud", "FIELD!!", "x***"]) for _ in range(k % 40))) for k in range(300)]
+    rows += [rows[7], rows[7], (None, rows[8][1]), (None, None), (400, None), (400, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+
+    def counted(words, counts, flags, own=quality.signals):
+        import os
+        import tempfile
+        os.close(tempfile.mkstemp(dir=seen)[0])
+        return own(words, counts, flags)
+
+    own, quality.signals = quality.signals, counted
+    try:
+        out = quality.classify(df, trained=20).collect()
+    finally:
+        quality.signals = own
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(rows, key=str)
+    assert all(r.score is not None and r.junk_votes is not None for r in out)
+    assert len({tuple(r)[2:] for r in out if not r.text}) == 1 and len({tuple(r) for r in out if r.doc_id == 7}) == 1
+    assert len(rows) <= len(list(tmp_path.iterdir())) < 1.5 * len(rows)
