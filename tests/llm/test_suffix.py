@@ -135,3 +135,22 @@ def test_passage_of_very_many_texts(spark):
     plan = suffix.repeated_windows(df, "doc_id", "text", 30, 8)._jdf.queryExecution().optimizedPlan().toString()
     assert "rids" in plan  # the lookup gets packed rows
     assert got(suffix.remove_repeats(df, length=30, gram=8)) == brute(rows, 30)
+
+
+def test_a_text_gets_one_row_of_a_share(spark):
+    """However many segments of a text repeat, a share of the texts gives a row for each text, with runs that do not touch."""
+    at = lambda first, n: (first << 20) | (n << 10) | 3
+    rows = [([7, 9], [at(0, 10), at(100, 10)], None), ([7, 9], [at(10, 5), at(110, 5)], None), ([7], [at(20, 8)], [0, 1, 6, 7]),
+            ([9], [at(115, 4)], [0, 0]), ([9], [at(100, 10)], None), ([8], [at(50, 9)], [2, 4])]
+    df = spark.createDataFrame(rows, "rids array<long>, ats array<long>, runs array<int>").coalesce(1)
+    out = {r.rid: r.ranges for r in suffix._gathered(df).collect()}
+    assert out == {7: [0, 14, 20, 21, 26, 27], 8: [52, 54], 9: [100, 115]}
+    assert suffix._gathered(df.limit(0)).count() == 0
+
+
+def test_lookup_makes_no_row_for_each_segment(spark):
+    """Segments stay packed until a text's windows are one row."""
+    df = spark.createDataFrame([(i, "abcdefgh" * 40) for i in range(50)], SCHEMA)
+    out = suffix.repeated_windows(df, "doc_id", "text", 30, 8)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.doc_id for r in df.join(out, df.doc_id == out.rid).collect()) == list(range(50))
