@@ -341,7 +341,7 @@ def _less_one(df: DataFrame, text: str, width: int, wanted: DataFrame, percent:
 def _compared(members: DataFrame, marks: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """The pairs (a, b) of a probing set and another of the same key, not in one component and not larger, that
     the bitmaps do not rule out; ``nearest``: for a probing set only the one whose bitmap differs least.
-    ``members``: (key, band, node, comp, n, probe)."""
+    ``members``: (key, node, comp, n, probe), written.  A key belongs to one band, that of its probing sets."""
     fields = ["key", "bo", "bm", "probe", "node", "comp", "n", "bits"]
 
     def compare(x: list[tuple], y: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -381,13 +381,19 @@ def _compared(members: DataFrame, marks: DataFrame, percent: int, nearest: bool)
 
     size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nm"),
                                       F.ceil(F.count_if("probe") / BLOCK).cast("int").alias("no"),
-                                      F.count_distinct("comp").alias("kinds")).where("kinds > 1 and no > 0").drop("kinds")
-    rows = members.join(size, "key").join(marks, ["node", "band"])
-    place = F.xxhash64("node")
+                                      F.max(F.when(F.col("probe"), F.col("n"))).alias("most"),
+                                      F.count_distinct("comp").alias("kinds")).where("kinds > 1 and no > 0")
+    size = size.select("key", "nm", "no", _band(F.col("most"), Bands(percent)).alias("band"))
+    inside = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = rows.where("probe").select("*", F.pmod(place, F.col("no")).cast("int").alias("bo"), each("nm").alias("bm"))
-    y = rows.withColumn("probe", F.lit(False)).select("*", each("no").alias("bo"), F.pmod(place, F.col("nm")).cast("int").alias("bm"))
-    return (x.select(fields).unionByName(y.select(fields)).repartition("key", "bo", "bm")
+
+    def rows(some: DataFrame, of: DataFrame, bo: Column, bm: Column) -> DataFrame:
+        return some.join(of, "key").join(marks, ["node", "band"]).select("*", bo.alias("bo"), bm.alias("bm")).select(fields)
+
+    x = rows(members.where("probe"), size, inside("no"), each("nm"))
+    other = members.withColumn("probe", F.lit(False))
+    y = rows(other, size.where("no = 1"), F.lit(0), inside("nm")).unionByName(rows(other, size.where("no > 1"), each("no"), inside("nm")))
+    return (x.unionByName(y).repartition("key", "bo", "bm")
              .sortWithinPartitions("key", "bo", "bm").mapInArrow(scan, "a long, b long").distinct())
 
 
@@ -410,14 +416,13 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     classes = keep(docs.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("first"))
                        .withColumn("node", F.monotonically_increasing_id()), "sets-classes")
-    band = lambda n: F.lit(0) + sum(F.when(n > t, 1).otherwise(0) for t in bands.tops)
     nodes = classes.select("node", "n", "hi", "lo", "first")
 
     def marked(of: DataFrame) -> DataFrame:
         """(node, band, bits) of the sets in ``of``."""
         some = nodes.join(of.select("node").distinct(), "node", "left_semi")
         rows = docs.where("bits is not null").select("hi", "lo", F.posexplode("bits").alias("k", "bits")).join(some, ["hi", "lo"])
-        return keep(rows.select("node", (band(F.col("n")) + F.col("k")).cast("int").alias("band"), "bits")
+        return keep(rows.select("node", (_band(F.col("n"), bands) + F.col("k")).cast("int").alias("band"), "bits")
                         .dropDuplicates(["node", "band"]), "sets-marks")
 
     keyed = [docs.select("lo", F.explode(c).alias("key"), F.lit(own).alias("own")) for c, own in (("own", True), ("more", False))]
@@ -436,7 +441,7 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
                    .select(F.least("a", "node").alias("a"), F.when(F.col("turn"), F.col("n")).otherwise(F.col("na")).alias("na"),
                            F.greatest("a", "node").alias("b"), F.when(F.col("turn"), F.col("na")).otherwise(F.col("n")).alias("nb"))
                    .groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-                   .withColumn("band", band(F.greatest("na", "nb")).cast("int")))
+                   .withColumn("band", _band(F.greatest("na", "nb"), bands)))
     star = keep(_possible(star, marks, percent), "sets-star")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     full = lambda of: keep(_sets(df, text, doc_id, width, nodes.join(of, "node", "left_semi")), "sets-full")
@@ -462,9 +467,6 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
         both = both.groupBy("kind", "key", "node", "n").agg(F.max("probe").alias("probe")).join(comp, "node", "left")
         every = every.unionByName(both.select(F.xxhash64("kind", "key").alias("key"), "node", F.coalesce("comp", "node").alias("comp"), "n", "probe"))
     every = keep(every, "sets-buckets")
-    # a key belongs to one band, that of its probing sets
-    of = every.where("probe").groupBy("key").agg(F.max("n").alias("most"))
-    every = every.join(of, "key").withColumn("band", band(F.col("most")).cast("int")).drop("most")
     if upgraded:  # sets found by a deletion need share no key
         marks = marked(every)
     # a link to the nearest set of another component joins large groups; then all that is left between components
@@ -486,6 +488,10 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
         F.col("doc_id")).alias("component_id"))
 
 
+def _band(n: Column, bands: Bands) -> Column:
+    return (F.lit(0) + sum(F.when(n > t, 1).otherwise(0) for t in bands.tops)).cast("int")
+
+
 def _segments(n: Column, bands: Bands) -> Column:
     out = F.lit(bands.segments(len(bands.tops) - 1))
     for k in range(len(bands.tops) - 2, -1, -1):

@@ -140,3 +140,15 @@ def test_empty_and_extra_columns(spark):
     assert setjoin.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "a b c d e", 5, "r", 7), (2, None, 1, "k", 3)], SCHEMA + ", node int, key string, n int")
     assert got(df) == [(1, 2, 1), (2, 0, 2)]
+
+
+def test_members_of_a_key_are_joined_once_for_a_role(spark):
+    """A key's members meet what is known of the key once as probing sets and once as the others; the band comes with it."""
+    rows = [(5, k, k, 7, k < 3) for k in range(6)] + [(6, 10, 10, 7, False), (6, 11, 11, 7, False), (7, 12, 12, 7, True)]
+    members = spark.createDataFrame(rows, "key long, node long, comp long, n long, probe boolean")
+    band = setjoin.Bands(85).of(7)
+    marks = spark.createDataFrame([(r[1], band, bytearray(24)) for r in rows], "node long, band int, bits binary")
+    out = setjoin._compared(members, marks, 85, False)
+    assert {(r.a, r.b) for r in out.collect()} == {(a, b) for a in range(3) for b in range(a + 1, 6)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") <= 2 and plan.count("Join Inner") <= 6
