@@ -6,6 +6,8 @@ import os
 from sheetlens.plans import queries as Q
 from sheetlens.plans import workbooks as W
 from sheetlens.session import ensure_checkpoint_dir
+from sheetlens.sources.manifest import list_files
+from sheetlens.sources.workbook_source import read_listing
 
 ORDERS = 23
 
@@ -41,3 +43,17 @@ def test_every_workbook_is_found_over_several_folders(spark, tmp_path, monkeypat
     sheets = sorted(tuple(r) for r in Q.xlsx_manifest(spark, sf).collect())
     assert sheets == sorted([(n, 0, f"O{n[6:-5]}") for n in names] + [(n, 1, "Lines") for n in names])
     assert folders(spark) == before
+
+
+def test_listing_is_that_of_spark(spark, tmp_path):
+    """One listing of the folder instead of a task for each 32 files, with the same rows."""
+    for i in range(70):
+        (tmp_path / f"b {i}%.{'xlsx' if i % 2 else 'XLSX'}").write_bytes(b"x" * i)
+    for other in ("n.txt", "_h.xlsx", ".h.xlsx"):
+        (tmp_path / other).write_bytes(b"x")
+    got = list_files(spark, str(tmp_path))
+    want = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(str(tmp_path))
+    assert got.collect() == want.selectExpr("path as file", "length", "modificationTime").orderBy("file").collect()
+    assert read_listing(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    (tmp_path / "k=1").mkdir()
+    assert "BatchScan" not in list_files(spark, str(tmp_path))._jdf.queryExecution().toString()
