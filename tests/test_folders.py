@@ -57,3 +57,14 @@ def test_listing_is_that_of_spark(spark, tmp_path):
     assert read_listing(spark, str(tmp_path)).rdd.getNumPartitions() == 1
     (tmp_path / "k=1").mkdir()
     assert "BatchScan" not in list_files(spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
+def test_rows_of_workbooks_on_disk_leave_no_workbooks(spark, tmp_path, monkeypatch):
+    """xlsx_rows stores the rows of a folder's workbooks and deletes it before the next one is written."""
+    sf = lineitems(spark, tmp_path)
+    before, seen = folders(spark), []
+    monkeypatch.setattr(W, "WAVE_ROWS", 20)
+    monkeypatch.setattr(W, "delete_folder", lambda spark, path, _d=W.delete_folder: seen.append(len(folders(spark) - before)) or _d(spark, path))
+    rows = Q.xlsx_rows(spark, sf)
+    assert seen == [1, 1, 1] and folders(spark) == before
+    assert rows.groupBy("file").count().where("count = 7").count() == ORDERS
